@@ -2,16 +2,22 @@
 
 from __future__ import annotations
 
+from barloom.llm.license_scan import OP1_SQL, op1_license_scan
 from barloom.llm.line_dedup import OP2_SQL, op2_line_dedup
+from barloom.llm.quality_rules import OP4_SQL, op4_quality_rules
 
 
 def queries():
     return {
+        "op1_license_scan": op1_license_scan,
         "op2_line_dedup": op2_line_dedup,
+        "op4_quality_rules": op4_quality_rules,
     }
 
 
 def oracle_sql():
     return {
+        "op1_license_scan": OP1_SQL,
         "op2_line_dedup": OP2_SQL,
+        "op4_quality_rules": OP4_SQL,
     }
