@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from barloom.llm.license_scan import OP1_SQL, op1_license_scan
 from barloom.llm.line_dedup import OP2_SQL, op2_line_dedup
+from barloom.llm.pieces import op6_sentencepiece
 from barloom.llm.quality_rules import OP4_SQL, op4_quality_rules
 
 
@@ -12,6 +13,7 @@ def queries():
         "op1_license_scan": op1_license_scan,
         "op2_line_dedup": op2_line_dedup,
         "op4_quality_rules": op4_quality_rules,
+        "op6_sentencepiece": op6_sentencepiece,
     }
 
 
