@@ -17,7 +17,8 @@ from pyspark.sql import functions as F
 
 from barloom.llm.common import ascii_lower, table, whole
 
-ANY_CASE_WORD = r"[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+"
+#: what stands between words of lower-cased text
+BETWEEN = r"[\x00-\x2F\x3A-\x60\x7B-\x7F]+"
 
 # Phrases with their labels, and license texts with theirs.
 PHRASES = {"mit license": "mit", "apache license": "apache", "general public license": "gpl"}
@@ -45,7 +46,7 @@ def _need(words: list[str], threshold: float) -> int:
 
 def word_frequencies(docs: DataFrame, vocabulary: list[str], text_col: str) -> dict[str, int]:
     """How often each word of a fixed vocabulary stands in all texts. One row for each of its words reaches the driver."""
-    words = F.regexp_extract_all(ascii_lower(F.col(text_col)), F.lit(ANY_CASE_WORD), F.lit(0))
+    words = F.split(ascii_lower(F.col(text_col)), BETWEEN)
     known = docs.select(F.explode(F.filter(words, lambda w: w.isin(vocabulary))).alias("_w"))
     return {r["_w"]: r["n"] for r in known.groupBy("_w").agg(F.count("*").alias("n")).collect()}
 
@@ -85,37 +86,34 @@ def _places(parts: list[str]) -> Column:
             here = here & (F.get(F.col("_w"), i + k) == p)
         return F.when(here, i)
 
-    return F.coalesce(F.array_compact(F.transform("_w", hit)), F.array().cast("array<int>"))
+    return F.array_compact(F.transform("_w", hit))
 
 
 def scan_licenses(docs: DataFrame, threshold: float = THRESHOLD, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """id, n_words, n_base, first_word, last_word, base_labels, labels, score of each row of docs."""
     text = whole(text_col)
     templates, order = ordered_templates(word_frequencies(docs, sorted({w for _, t in TEMPLATES for w in t.split()}), text_col), threshold)
-    prefix_words = sorted({w for *_, p in templates for w in p})
-    some_prefix = "(?i)" + "|".join(prefix_words)
-    rows = docs.select(F.col(id_col), text.alias("_text"), F.regexp_count(text, F.lit(ANY_CASE_WORD)).cast("long").alias("n_words"))
+    prefixes = _literal(sorted({w for *_, p in templates for w in p}))
+    rows = docs.select(F.col(id_col), ascii_lower(text).alias("_low"))
+    rows = rows.withColumn("_w", F.array_remove(F.split("_low", BETWEEN), ""))
 
-    # phrases: only texts with their last word are split into words
-    words = F.when(F.col("_text").rlike("(?i)license"), F.regexp_extract_all(ascii_lower(F.col("_text")), F.lit(ANY_CASE_WORD), F.lit(0)))
-    rows = rows.withColumn("_w", words)
     starts = {label: F.col(f"_at_{label}") for label in PHRASES.values()}
-    rows = rows.withColumns({f"_at_{label}": _places(phrase.split()) for phrase, label in PHRASES.items()})
+    places = {f"_at_{label}": F.when(F.array_contains("_w", phrase.split()[-1]), _places(phrase.split())) for phrase, label in PHRASES.items()}
+    rows = rows.withColumns({name: F.coalesce(at, F.array().cast("array<int>")) for name, at in places.items()})
     base = F.array_compact(F.array(*[F.when(F.size(c) > 0, F.lit(k)) for k, c in sorted(starts.items())]))
     every = F.concat(*starts.values())
 
-    # blocks: lines with a prefix word, as the template words they hold, rarest first
-    lines = F.filter(F.split(F.col("_text"), "\n", -1), lambda x: x.rlike(some_prefix))
-    tokens = lambda x: F.array_intersect(_literal(order), F.regexp_extract_all(ascii_lower(x), F.lit(ANY_CASE_WORD), F.lit(0)))
+    # blocks: lines of texts with a prefix word, as the template words they hold, rarest first
+    tokens = lambda x: F.array_intersect(_literal(order), F.split(x, BETWEEN))
     least = min(need for _, _, need, _ in templates)
-    blocks = F.when(F.col("_text").rlike(some_prefix), F.filter(F.transform(lines, tokens), lambda b: F.size(b) >= least))
+    blocks = F.when(F.arrays_overlap("_w", prefixes), F.filter(F.transform(F.split("_low", "\n"), tokens), lambda b: F.size(b) >= least))
     rows = rows.withColumn("_blocks", blocks)
     best = [(t[0], f"_best{k}", F.when(F.size("_blocks") > 0, _best(F.col("_blocks"), *t)).otherwise(F.lit(0.0))) for k, t in enumerate(templates)]
     rows = rows.withColumns({name: F.coalesce(value, F.lit(0.0)) for _, name, value in best})
     found = F.array_compact(F.array(*[F.when(F.col(name) > 0, F.lit(label)) for label, name, _ in best]))
     score = F.when(F.size(every) > 0, F.lit(1.0)).otherwise(F.greatest(*[F.col(name) for _, name, _ in best]))
     return rows.select(
-        id_col, "n_words", F.size(every).cast("long").alias("n_base"), F.array_min(every).cast("long").alias("first_word"),
+        id_col, F.size("_w").cast("long").alias("n_words"), F.size(every).cast("long").alias("n_base"), F.array_min(every).cast("long").alias("first_word"),
         F.array_max(every).cast("long").alias("last_word"), F.array_join(base, ",").alias("base_labels"),
         F.array_join(F.array_sort(F.array_distinct(F.concat(base, found))), ",").alias("labels"), score.alias("score"))
 
