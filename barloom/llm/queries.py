@@ -2,22 +2,26 @@
 
 from __future__ import annotations
 
+from barloom.llm.language_id import op3_language_id
 from barloom.llm.license_scan import OP1_SQL, op1_license_scan
 from barloom.llm.line_dedup import OP2_SQL, op2_line_dedup
 from barloom.llm.packing import op7_best_fit_packing
 from barloom.llm.pieces import op6_sentencepiece
 from barloom.llm.quality_rules import OP4_SQL, op4_quality_rules
 from barloom.llm.secret_scan import op5_secret_scan
+from barloom.llm.toxicity import op8_toxicity
 
 
 def queries():
     return {
         "op1_license_scan": op1_license_scan,
         "op2_line_dedup": op2_line_dedup,
+        "op3_language_id": op3_language_id,
         "op4_quality_rules": op4_quality_rules,
         "op5_secret_scan": op5_secret_scan,
         "op6_sentencepiece": op6_sentencepiece,
         "op7_best_fit_packing": op7_best_fit_packing,
+        "op8_toxicity": op8_toxicity,
     }
 
 
