@@ -5,6 +5,7 @@ from __future__ import annotations
 from barloom.llm.language_id import op3_language_id
 from barloom.llm.license_scan import OP1_SQL, op1_license_scan
 from barloom.llm.line_dedup import OP2_SQL, op2_line_dedup
+from barloom.llm.near_dedup import op9_minhash_near_dedup
 from barloom.llm.packing import op7_best_fit_packing
 from barloom.llm.pieces import op6_sentencepiece
 from barloom.llm.quality_rules import OP4_SQL, op4_quality_rules
@@ -22,6 +23,7 @@ def queries():
         "op6_sentencepiece": op6_sentencepiece,
         "op7_best_fit_packing": op7_best_fit_packing,
         "op8_toxicity": op8_toxicity,
+        "op9_minhash_near_dedup": op9_minhash_near_dedup,
     }
 
 
