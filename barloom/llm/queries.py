@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from barloom.llm.knn import OP10_SQL, op10_exact_top_k
 from barloom.llm.language_id import op3_language_id
 from barloom.llm.license_scan import OP1_SQL, op1_license_scan
 from barloom.llm.line_dedup import OP2_SQL, op2_line_dedup
@@ -24,6 +25,7 @@ def queries():
         "op7_best_fit_packing": op7_best_fit_packing,
         "op8_toxicity": op8_toxicity,
         "op9_minhash_near_dedup": op9_minhash_near_dedup,
+        "op10_exact_top_k": op10_exact_top_k,
     }
 
 
@@ -32,4 +34,5 @@ def oracle_sql():
         "op1_license_scan": OP1_SQL,
         "op2_line_dedup": OP2_SQL,
         "op4_quality_rules": OP4_SQL,
+        "op10_exact_top_k": OP10_SQL,
     }
