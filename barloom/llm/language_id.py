@@ -80,7 +80,7 @@ def document_frequencies(learn: DataFrame, text_col: str) -> np.ndarray:
         at = np.flatnonzero(df)
         yield pa.RecordBatch.from_arrays([pa.array(at, pa.int32()), pa.array(df[at], pa.int64())], names=["bucket", "n"])
 
-    rows = learn.select(F.col(text_col).alias("text")).mapInArrow(run, "bucket int, n long").groupBy("bucket").agg(F.sum("n").alias("n")).toPandas()
+    rows = learn.select(F.col(text_col).alias("text")).mapInArrow(run, "bucket int, n long").groupBy("bucket").agg(F.sum("n").alias("n")).toArrow().to_pandas()
     df = np.zeros(WIDTH, np.int64)
     df[rows["bucket"].to_numpy()] = rows["n"].to_numpy()
     return df
@@ -172,7 +172,7 @@ def fit(learn: DataFrame, sample: int = SAMPLE, id_col: str = "doc_id", text_col
     learn = learn.where(F.col(lang_col).isNotNull())
     n = learn.count()
     keep = F.pmod(F.xxhash64(F.col(id_col)), F.lit(1 << 30)) < int(min(1.0, 0.9 * sample / max(n, 1)) * (1 << 30))
-    picked = map_texts(learn.where(keep).limit(sample), [id_col, lang_col], text_col, [("ids", "array<int>"), ("counts", "array<int>")], lambda: counts_of).toPandas()
+    picked = map_texts(learn.where(keep).limit(sample), [id_col, lang_col], text_col, [("ids", "array<int>"), ("counts", "array<int>")], lambda: counts_of).toArrow().to_pandas()
     picked = picked.sort_values(id_col, kind="stable")
     df = document_frequencies(learn, text_col)
     rows = [(lang, np.asarray(i), np.asarray(c)) for lang, i, c in zip(picked[lang_col], picked["ids"], picked["counts"], strict=True)]

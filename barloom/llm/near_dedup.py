@@ -133,7 +133,7 @@ def sketch(classes: DataFrame) -> np.ndarray:
         at = np.flatnonzero(total)
         yield pa.RecordBatch.from_arrays([pa.array(at, pa.int32()), pa.array(total[at])], names=["at", "n"])
 
-    rows = classes.select("sig").mapInArrow(run, "at int, n long").groupBy("at").agg(F.sum("n").alias("n")).toPandas()
+    rows = classes.select("sig").mapInArrow(run, "at int, n long").groupBy("at").agg(F.sum("n").alias("n")).toArrow().to_pandas()
     out = np.zeros(1 << SKETCH_BITS, np.int64)
     out[rows["at"].to_numpy()] = rows["n"].to_numpy()
     return out
@@ -250,7 +250,7 @@ def _filter_of(ids: DataFrame) -> np.ndarray:
     """A Bloom filter of FILTER_BITS bits (two hashes) of long ids, as 64-bit words; at most 2^(FILTER_BITS - 6) rows come back."""
     bit = [F.shiftrightunsigned(F.xxhash64(F.lit(k), "id"), 64 - FILTER_BITS) for k in (0, 1)]
     bits = ids.select(F.explode(F.array(*bit)).alias("b")).select(F.shiftright("b", 6).alias("at"), F.expr("shiftleft(1L, cast(b & 63 as int))").alias("w"))
-    rows = bits.groupBy("at").agg(F.bit_or("w").alias("w")).toPandas()
+    rows = bits.groupBy("at").agg(F.bit_or("w").alias("w")).toArrow().to_pandas()
     out = np.zeros(1 << (FILTER_BITS - 6), np.int64)
     out[rows["at"].to_numpy()] = rows["w"].to_numpy()
     return out.view(np.uint64)

@@ -194,7 +194,7 @@ def fit(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: st
         parts.append(rows.where((F.col("_y") == y) & (F.pmod(F.xxhash64("_i"), F.lit(1 << 30)) < share)).limit(most))
     few = F.broadcast(parts[0].unionByName(parts[1]))  # at most toxic + clean rows
     picked = docs.select(F.col(id_col).alias("_d"), F.col(text_col).alias("_text")).join(few, F.col("_d") == F.col("_i"))
-    picked = picked.select("_d", "_y", "_text").limit(2 * (toxic + clean)).toPandas().sort_values(["_d", "_y", "_text"], kind="stable")
+    picked = picked.select("_d", "_y", "_text").limit(2 * (toxic + clean)).toArrow().to_pandas().sort_values(["_d", "_y", "_text"], kind="stable")
     return train_calibrated([t or "" for t in picked["_text"]], picked["_y"].tolist(), n.get(1, 0) / max(sum(n.values()), 1))
 
 
