@@ -1,0 +1,4 @@
+"""Named queries over the operators, and the SQL that says what they must return."""
+
+from barloom.plans import windows  # noqa: F401  fills the registry
+from barloom.plans.base import QUERIES, SQL  # noqa: F401
