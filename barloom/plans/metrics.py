@@ -124,10 +124,10 @@ def agg_14(spark, sf_dir):
     return M.performance(pnl(spark, sf_dir), ["instrument"]).select("instrument", "total_return", "max_drawdown")
 
 
-@query("AGG-15", sql_of("select instrument, \"timestamp\", equity, drawdown, case when w < 6 then 'development' else 'holdout' end as segment from p", "equity drawdown", PRE))
+@query("AGG-15", sql_of("select instrument, \"timestamp\", ln(equity) as log_equity, drawdown, case when w < 6 then 'development' else 'holdout' end as segment from p", "log_equity drawdown", PRE))
 def agg_15(spark, sf_dir):
     """The holdout's equity is stitched to the development's last value: one running product does both."""
-    return pnl(spark, sf_dir).select("instrument", "timestamp", "equity", "drawdown", F.when(c("w") < 6, "development").otherwise("holdout").alias("segment"))
+    return pnl(spark, sf_dir).select("instrument", "timestamp", F.log("equity").alias("log_equity"), "drawdown", F.when(c("w") < 6, "development").otherwise("holdout").alias("segment"))
 
 
 @query("AGG-16", sql_of("select instrument, w as retrain, t - lag(t) over (partition by instrument order by w) as delta_score from (select instrument, w, sum(pnl) as t from p group by 1, 2)", "delta_score", PRE))
