@@ -46,3 +46,9 @@ def ascii_lower(col: Column) -> Column:
 
 def whole(col: str | Column) -> Column:
     return F.coalesce(F.col(col) if isinstance(col, str) else col, F.lit(""))
+
+
+def held(col: Column) -> Column:
+    """col, but never inlined into what is built on it. A filter above would else be pushed below its projection with the whole
+    expression copied into each use, into lambdas too, where it is worked out again for each element. A partition's number is never below 0, which the optimiser doesn't know."""
+    return F.when(F.spark_partition_id() >= 0, col)

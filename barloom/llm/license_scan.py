@@ -15,7 +15,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from barloom.llm.common import ascii_lower, table, whole
+from barloom.llm.common import ascii_lower, held, table, whole
 
 #: what stands between words of lower-cased text
 BETWEEN = r"[\x00-\x2F\x3A-\x60\x7B-\x7F]+"
@@ -95,7 +95,7 @@ def scan_licenses(docs: DataFrame, threshold: float = THRESHOLD, id_col: str = "
     templates, order = ordered_templates(word_frequencies(docs, sorted({w for _, t in TEMPLATES for w in t.split()}), text_col), threshold)
     prefixes = _literal(sorted({w for *_, p in templates for w in p}))
     rows = docs.select(F.col(id_col), ascii_lower(text).alias("_low"))
-    rows = rows.withColumn("_w", F.array_remove(F.split("_low", BETWEEN), ""))
+    rows = rows.withColumn("_w", held(F.array_remove(F.split("_low", BETWEEN), "")))
 
     starts = {label: F.col(f"_at_{label}") for label in PHRASES.values()}
     places = {f"_at_{label}": F.when(F.array_contains("_w", phrase.split()[-1]), _places(phrase.split())) for phrase, label in PHRASES.items()}
@@ -107,7 +107,7 @@ def scan_licenses(docs: DataFrame, threshold: float = THRESHOLD, id_col: str = "
     tokens = lambda x: F.array_intersect(_literal(order), F.split(x, BETWEEN))
     least = min(need for _, _, need, _ in templates)
     blocks = F.when(F.arrays_overlap("_w", prefixes), F.filter(F.transform(F.split("_low", "\n"), tokens), lambda b: F.size(b) >= least))
-    rows = rows.withColumn("_blocks", blocks)
+    rows = rows.withColumn("_blocks", held(blocks))
     best = [(t[0], f"_best{k}", F.when(F.size("_blocks") > 0, _best(F.col("_blocks"), *t)).otherwise(F.lit(0.0))) for k, t in enumerate(templates)]
     rows = rows.withColumns({name: F.coalesce(value, F.lit(0.0)) for _, name, value in best})
     found = F.array_compact(F.array(*[F.when(F.col(name) > 0, F.lit(label)) for label, name, _ in best]))

@@ -12,7 +12,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from barloom.llm.common import SPACES, ascii_lower, cut, table, whole
+from barloom.llm.common import SPACES, ascii_lower, cut, held, table, whole
 
 
 def line_key(line: Column) -> Column:
@@ -53,7 +53,7 @@ def dedup_lines(docs: DataFrame, min_chars: int = 20, min_docs: int = 3, id_col:
     )
     rows = docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("_d"))
     rows = rows.join(gone, (F.col(f"_d.`{id_col}`") == F.col("_id")) & (F.xxhash64(F.col(f"_d.`{text_col}`")) == F.col("_t")), "left")
-    rows = rows.withColumn("_lines", _lines(F.col(f"_d.`{text_col}`")))
+    rows = rows.withColumn("_lines", held(_lines(F.col(f"_d.`{text_col}`"))))
     kept = F.array_except(F.sequence(F.lit(0), F.size("_lines") - 1), F.col("_gone"))
     text = F.when(F.col("_gone").isNull(), F.col(f"_d.`{text_col}`")).otherwise(
         F.array_join(F.transform(kept, lambda i: F.get(F.col("_lines"), i)), "\n"))

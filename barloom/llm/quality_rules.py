@@ -12,7 +12,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from barloom.llm.common import WORD, table, whole
+from barloom.llm.common import WORD, held, table, whole
 
 SYMBOLS = "#*$%&|<>"
 _LOW = 21  # bits of a packed window that hold its place
@@ -45,7 +45,7 @@ def measure(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") ->
     all, or places need more bits, the text goes the plain way over the sorted hashes.
     """
     text = whole(text_col)
-    rows = docs.select(F.col(id_col), text.alias("_t")).withColumn("_w", F.regexp_extract_all("_t", F.lit(WORD), F.lit(0)))
+    rows = docs.select(F.col(id_col), text.alias("_t")).withColumn("_w", held(F.regexp_extract_all("_t", F.lit(WORD), F.lit(0))))
     lines = F.filter(F.split("_t", "\n", -1), lambda x: F.length(F.btrim(x, F.lit(" \t\n\x0b\x0c\r"))) > 0)
     rows = rows.select(
         id_col, "_w", F.size("_w").alias("_n"), lines.alias("_lines"),
@@ -56,24 +56,25 @@ def measure(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") ->
     windows = F.transform(F.slice("_w", 1, F.greatest(F.col("_n") - 2, F.lit(0))), lambda w, i: F.xxhash64(w, F.get(F.col("_w"), i + 1), F.get(F.col("_w"), i + 2)))
     rows = rows.select(
         id_col, "word_chars", "n_symbols", "_upper", "_lower", F.col("_n").cast("long").alias("n_words"), F.size("_lines").cast("long").alias("n_text_lines"),
-        (F.size("_lines") - F.size(F.array_distinct("_lines"))).cast("long").alias("n_dup_lines"), windows.alias("_h"), F.size("_w").alias("_k"))
+        (F.size("_lines") - F.size(F.array_distinct("_lines"))).cast("long").alias("n_dup_lines"), held(windows).alias("_h"), F.size("_w").alias("_k"))
     mask = (1 << _LOW) - 1
     packed = F.transform("_h", lambda h, i: F.shiftleft(F.shiftrightunsigned(h, _LOW), _LOW).bitwiseOR(i.cast("long")))
     # without a window that occurs twice there is nothing to sort
     some = F.size(F.array_distinct("_h")) < F.size("_h")
-    rows = rows.select("*", some.alias("_some")).select("*", F.when(F.col("_some"), F.sort_array(packed)).alias("_s"))
+    rows = rows.select("*", some.alias("_some")).select("*", held(F.when(F.col("_some"), F.sort_array(packed))).alias("_s"))
     same = lambda a, b: F.shiftrightunsigned(a.bitwiseXOR(b), _LOW) == 0
     full = lambda x: F.get(F.col("_h"), x.bitwiseAND(F.lit(mask)).cast("int"))
     state = F.transform("_s", lambda x, i: F.when(same(x, F.get(F.col("_s"), i + 1)), F.when(full(x) == full(F.get(F.col("_s"), i + 1)), 1).otherwise(2)).otherwise(0))
-    rows = rows.select("*", state.alias("_next"))
+    rows = rows.select("*", held(state).alias("_next"))
     plain = (F.size("_h") > mask) | F.array_contains("_next", 2)
     hit = F.filter(F.transform("_s", lambda x, i: F.when((F.get(F.col("_next"), i) == 1) | (F.get(F.col("_next"), i - 1) == 1), x.bitwiseAND(F.lit(mask)))), lambda x: x.isNotNull())
     # plain way: every window whose 64 bits stand twice in the sorted hashes, as a set
     sorted_all = F.sort_array("_h")
-    rows = rows.select("*", F.when(F.col("_some") & plain, sorted_all).alias("_all"), F.when(F.col("_some") & ~plain, F.sort_array(hit)).alias("_quick"))
+    rows = rows.select("*", held(F.when(F.col("_some") & plain, sorted_all)).alias("_all"), F.when(F.col("_some") & ~plain, F.sort_array(hit)).alias("_quick"))
     twice = F.array_distinct(F.filter("_all", lambda x, i: x == F.get(F.col("_all"), i - 1)))
-    slow = F.filter(F.transform("_h", lambda h, i: F.when(F.array_contains(F.col("_twice"), h), i.cast("long"))), lambda x: x.isNotNull())
-    rows = rows.select("*", twice.alias("_twice")).select("*", F.coalesce("_quick", F.when(F.col("_all").isNotNull(), slow)).alias("_places"))
+    # _twice stands outside the lambda too, so that it stays a column and isn't worked out again for each window
+    slow = F.when(F.size("_twice") > 0, F.filter(F.transform("_h", lambda h, i: F.when(F.array_contains(F.col("_twice"), h), i.cast("long"))), lambda x: x.isNotNull()))
+    rows = rows.select("*", held(twice).alias("_twice")).select("*", held(F.coalesce("_quick", F.when(F.col("_all").isNotNull(), slow))).alias("_places"))
     repeated = F.coalesce(_covered(F.col("_places"), 3), F.lit(0)).cast("long")
     return rows.select(id_col, "n_words", "word_chars", "n_symbols", "n_text_lines", "n_dup_lines", repeated.alias("n_repeat_words"),
                        F.col("_upper").alias("n_upper"), F.col("_lower").alias("n_lower"))
