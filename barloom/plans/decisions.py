@@ -47,8 +47,11 @@ NET = "(abs(er) - cost - 3e-4)"
 EM, XM = "(case when stress_p > 0.7 then 1.5 else 1 end)", "(case when stress_p > 0.7 then 0.4 else 1 end)"
 TRADE = f"(er is not null and {NET} > 8e-4 * {EM})"
 CONF = f"least(1, {NET} / (6 * greatest(cost, 8e-4) * {EM} + 1e-12))"
-zero = F.lit(0.0)
-scalar("SCA-07", lambda: [S.decide(c("er"), c("cost"), zero, zero, c("stress_p")).alias("d")] and [S.decide(c("er"), c("cost"), zero, zero, c("stress_p"))[k].alias(k) for k in ("direction", "confidence", "required", "reason")],
+def zero():
+    return F.lit(0.0)
+
+
+scalar("SCA-07", lambda: [S.decide(c("er"), c("cost"), zero(), zero(), c("stress_p"))[k].alias(k) for k in ("direction", "confidence", "required", "reason")],
        f"case when {TRADE} then sign(er)::int else 0 end as direction, case when {TRADE} then {CONF} else 0 end as confidence, 8e-4 * {EM} as required, case when er is null then 'non-finite forecast' when not {TRADE} then 'edge below requirement' else '' end as reason", "confidence required")
 scalar("SCA-08", lambda: [S.stress_factors(c("stress_p"))[0].alias("exposure"), S.stress_factors(c("stress_p"))[1].alias("edge")], f"{XM}::double as exposure, {EM}::double as edge", "exposure edge")
 scalar("SCA-09", lambda: [S.stop_distance(c("sigma_h")).alias("distance"), S.stop_triggered(c("r"), c("sigma_h") / 10).alias("hit")], "8 * sigma_h as distance, r < -0.8 * sigma_h as hit", "distance")
@@ -56,14 +59,14 @@ TARGET = f"case when {TRADE} then greatest(-{XM}, least({XM}, sign(er) * {CONF}
 
 
 def _target():
-    d = S.decide(c("er"), c("cost"), zero, zero, c("stress_p"))
+    d = S.decide(c("er"), c("cost"), zero(), zero(), c("stress_p"))
     cap = d["exposure_factor"]
     return F.when(d["direction"] != 0, F.greatest(-cap, F.least(cap, d["direction"] * d["confidence"] * S.volatility_multiplier(c("sigma_ref"), c("sigma_h"))))).otherwise(0.0)
 
 
 scalar("SCA-11", lambda: [_target().alias("target")], f"{TARGET} as target", "target")
 scalar("SCA-12", lambda: [W.reference_sigma("sigma_h", 390).alias("reference")], "sigma_ref as reference", "reference")
-scalar("SCA-13", lambda: [S.cost_bps(c("range_rel"), c("relative_spread"), zero, zero)[k].alias(k) for k in ("spread_bps", "slippage_bps", "fee_bps", "total_bps")], "relative_spread * 1e4 as spread_bps, 0.1 * range_rel * 1e4 as slippage_bps, 2.0::double as fee_bps, relative_spread * 1e4 + 1e3 * range_rel + 2 as total_bps", "spread_bps slippage_bps fee_bps total_bps")
+scalar("SCA-13", lambda: [S.cost_bps(c("range_rel"), c("relative_spread"), zero(), zero())[k].alias(k) for k in ("spread_bps", "slippage_bps", "fee_bps", "total_bps")], "relative_spread * 1e4 as spread_bps, 0.1 * range_rel * 1e4 as slippage_bps, 2.0::double as fee_bps, relative_spread * 1e4 + 1e3 * range_rel + 2 as total_bps", "spread_bps slippage_bps fee_bps total_bps")
 scalar("SCA-14", lambda: [S.fill_price(F.lit(1), c("open"), c("high"), c("low"), c("close"), c("relative_spread")).alias("buy"), S.fill_price(F.lit(-1), c("open"), c("high"), c("low"), c("close"), c("relative_spread")).alias("sell")],
        "open * (1 + relative_spread / 2 + 0.05 * range_rel) as buy, open * (1 - relative_spread / 2 - 0.05 * range_rel) as sell", "buy sell")
 scalar("SCA-15", lambda: [S.volatility_bucket(c("sigma_h") / c("sigma_ref")).alias("vol"), S.time_bucket(F.pmod(F.unix_seconds("timestamp") / 86400, F.lit(390)), F.lit(390)).alias("tod")],
