@@ -24,12 +24,13 @@ BARS_15M = TRADES + """, bars as (select instrument, time_bucket(interval 15 min
 
 
 def rolled(df: DataFrame, digits: int = 6) -> DataFrame:
-    """Doubles rounded, NaN as null, minus zero as zero; times without zone."""
+    """Doubles rounded, NaN as null, minus zero as zero; times without zone. A tiny shift first, on both sides, takes values that lie
+    just between two roundings (prices are cents over whole quantities) off the edge, where the last bit would decide."""
     out = []
     for f in df.schema.fields:
         c = F.col(f"`{f.name}`")
         if isinstance(f.dataType, (T.DoubleType, T.FloatType)):
-            c = F.round(F.when(~F.isnan(c), c.cast("double")), digits) + F.lit(0.0)
+            c = F.round(F.when(~F.isnan(c), c.cast("double")) + float(f"3.1e-{digits + 3}"), digits) + F.lit(0.0)
         elif isinstance(f.dataType, T.TimestampType):
             c = c.cast("timestamp_ntz")
         out.append(c.alias(f.name))
@@ -38,7 +39,7 @@ def rolled(df: DataFrame, digits: int = 6) -> DataFrame:
 
 def sql_of(body: str, doubles: str = "", views: str = BARS_DAILY, digits: int = 6) -> str:
     """SQL with common views, its double columns rounded as in rolled()."""
-    replace = ", ".join(f'round({c}, {digits}) + 0.0 as {c}' for c in doubles.split())
+    replace = ", ".join(f'round(({c})::double + 3.1e-{digits + 3}, {digits}) + 0.0 as {c}' for c in doubles.split())
     star = f"* replace ({replace})" if replace else "*"
     head = f"with recursive {views}, q as ({body})" if views else f"with recursive q as ({body})"
     return f"{head} select {star} from q"
