@@ -37,7 +37,7 @@ POSTED = COORDINATES - MATCHES + 1
 CHUNK = 256
 #: counters of the frequency sketch, and bits of the filter of candidate ids (both sent to every executor)
 SKETCH_BITS, FILTER_BITS = 20, 25
-_KNOWN = 500_000
+_KNOWN = 150_000
 
 _rng = np.random.default_rng(20)
 _PLACE = _rng.integers(0, 2**63, WORDS, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
