@@ -225,3 +225,14 @@ def test_features_are_causal(spark, sf):
     f = lambda d: features.volume_features(features.return_features(features.with_returns(d))).where(F.col("timestamp") <= cut).select("instrument", "timestamp", "return_4", "volume_z")
     changed = b.withColumns({c: F.when(F.col("timestamp") > cut, F.col(c) * 2).otherwise(F.col(c)) for c in ("open", "high", "low", "close", "volume")})
     assert f(b).exceptAll(f(changed)).count() == 0
+
+
+def test_chunks_equal_whole_series(spark, sf):
+    from barloom.operators.chunks import in_chunks
+
+    base = features.with_returns(bars.bars_daily(spark, sf))
+    f = lambda d: features.volume_features(features.return_features(d))
+    cols = ["instrument", "timestamp", "return_16", "volume_z", "volume_change"]
+    r = lambda d: d.select("instrument", "timestamp", *[F.round(c, 9).alias(c) for c in cols[2:]])
+    whole, parts = r(f(base)), r(in_chunks(base, f, 60, 200))
+    assert parts.count() == whole.count() and parts.exceptAll(whole).count() == 0
