@@ -28,7 +28,7 @@ CAPACITY = 2048
 OPEN_BINS = 256
 #: tasks whose open bins are packed together
 TASKS = 16
-WORDS = 300_000
+WORDS = 400_000
 
 
 class WordTokenizer:
