@@ -16,6 +16,7 @@ from barloom.operators import folds as FO
 from barloom.operators import labels as L
 from barloom.operators import metrics as M
 from barloom.operators import models as MO
+from barloom.operators import training as T
 from barloom.plans import config as C
 from barloom.plans import gates as G
 from barloom.plans.base import BARS_15M, BARS_DAILY, ORDER, TRADES, query, sql_of
@@ -102,17 +103,39 @@ def mod_08(spark, sf_dir):
     return forecasts(spark, sf_dir).select("instrument", "timestamp", MO.linear({"one": 0.1, "range_rel": 2.0, "relative_spread": -0.5}).alias("adverse"))
 
 
+def training_rows(spark, sf_dir):
+    """All bars with inputs, labels and what their simulation needs; a task of an instrument picks the rows that have them."""
+    df = L.labels(X.regime_columns(X.volatility_features(X.return_features(forecasts(spark, sf_dir)))))
+    own = {"sigma": c("sigma_h"), "cost_side": c("cost_side_exec"), "adverse": F.lit(0.0), "uncertainty": F.lit(0.0), "session": F.unix_seconds("timestamp").cast("double"), "window": F.lit(0.0)}
+    return df.withColumns(own).select("instrument", "timestamp", *T.COLUMNS)
+
+
 def fold_scores(spark, sf_dir):
-    """A task for each fold: calibrate on what came before, trade the validation rows, measure."""
-    rows = sim_rows(spark, sf_dir).where("instrument = 'A'")
-    layout = L.folds(2000)
-    parts = L.assign_folds(rows, layout).where("part = 'validation'").withColumn("scenario_fold", c("fold").cast("string"))
-    out = FO.simulate_frame(parts, {"full": FO.SimParams()}, key="scenario_fold")
-    return out.groupBy(F.split("key", "/")[0].cast("int").alias("fold")).agg(F.sum("pnl").alias("net"), (M.ratio(F.avg("pnl"), F.stddev_pop("pnl")) * 252**0.5).alias("sharpe"), F.count("*").alias("n"))
+    """A task for each instrument: in each fold of its own rows fit, calibrate on what came before, trade the validation rows, measure."""
+    return training_rows(spark, sf_dir).groupBy("instrument").applyInPandas(T.task(lambda s: T.evaluate(s, np.arange(len(s.bars)), T.FULL)[0], T.FOLDS), T.FOLDS)
+
+
+@query("MOD-09")
+def mod_09(spark, sf_dir):
+    return fold_scores(spark, sf_dir).select("instrument", "fold", "net", "sharpe", "n", "corr", "accuracy", "max_drawdown", "calibration_rows")
+
+
+@query("LAB-07")
+def lab_07(spark, sf_dir):
+    """The order and the filter's noises of each fold, from bars up to the newest one in a training label."""
+    def kernel(s):
+        for fold, train_end, _, _ in L.folds(len(s.bars)) if len(s.bars) >= 200 else []:
+            upto = s.label_end(train_end - 1)
+            yield {"fold": fold, "train_bars": upto + 1, "d": s.order(upto), **dict(zip(("q_level", "q_velocity", "r"), s.kalman(upto), strict=True))}
+
+    schema = "instrument string, fold int, train_bars long, d double, q_level double, q_velocity double, r double"
+    return training_rows(spark, sf_dir).groupBy("instrument").applyInPandas(T.task(kernel, schema), schema)
 
 
-for _key in ("MOD-09", "LAB-07", "MOD-17"):
-    query(_key)(lambda spark, sf_dir: fold_scores(spark, sf_dir))
+@query("MOD-17")
+def mod_17(spark, sf_dir):
+    """The adverse-selection model of each fold, from forecasts before its validation rows, and what it says of those."""
+    return fold_scores(spark, sf_dir).select("instrument", "fold", "exec_rows", "residual_std", "r2", "adverse", "uncertainty")
 
 
 @query("MOD-10")
@@ -124,7 +147,7 @@ def mod_10(spark, sf_dir):
 @query("MOD-11")
 def mod_11(spark, sf_dir):
     """A retrain: folds, acceptance, and what it decides."""
-    f = fold_scores(spark, sf_dir).agg(F.avg("sharpe").alias("mean_sharpe"), F.count_if(c("net") > 0).cast("int").alias("wins"))
+    f = fold_scores(spark, sf_dir).groupBy("instrument").agg(F.avg("sharpe").alias("mean_sharpe"), F.count_if(c("net") > 0).cast("int").alias("wins"))
     return f.withColumn("accepted", (c("mean_sharpe") > 0) & (c("wins") >= 3))
 
 
