@@ -16,6 +16,7 @@ from barloom.operators import folds as FO
 from barloom.operators import labels as L
 from barloom.operators import metrics as M
 from barloom.operators import models as MO
+from barloom.operators import stats as ST
 from barloom.operators import training as T
 from barloom.plans import config as C
 from barloom.plans import gates as G
@@ -193,6 +194,12 @@ def run_01(spark, sf_dir):
     return w.select("window", F.last(F.when(c("ok"), c("window")), True).over(Window.orderBy("window")).alias("model"))  # a row a window
 
 
+@query("RUN-01-windows")
+def run_01_windows(spark, sf_dir):
+    """The walk over each instrument's bars: train, accept, carry on, trade out of sample. A row an instrument and window."""
+    return training_rows(spark, sf_dir).groupBy("instrument").applyInPandas(T.task(T.walk, T.WALK), T.WALK)
+
+
 @query("RUN-02", "select * from (values (0, 'walkforward'), (1, 'baselines'), (2, 'bootstrap'), (3, 'gates')) t(n, stage)")
 def run_02(spark, sf_dir):
     return spark.createDataFrame(list(enumerate(resolve_stages("walkforward,baselines,bootstrap,gates"))), "n int, stage string")
@@ -250,7 +257,41 @@ def run_09(spark, sf_dir):
 
 @query("GAT-01")
 def gat_01(spark, sf_dir):
-    rows, rung = G.evaluate({"windows": 22, "net_return": 0.1, "sharpe": 0.8, "max_drawdown": 0.08, "delta_sharpe": 0.2, "dominance": 0.3})
+    """The gates, fed from the stages' queries over these tables."""
+    from barloom.plans.base import QUERIES
+    from barloom.plans.runner import stage_table
+
+    return gates_frame(spark, {stage: stage_table(spark, sf_dir, stage) for stage in ("walkforward", "execution_stress", "timing", "bootstrap", "leakage", "reproducibility")} | {"holdout": QUERIES["MOD-10"](spark, sf_dir)})
+
+
+def gate_values(tables) -> dict:
+    """What the gates judge, from stage tables; the worst instrument counts. A stage that didn't run leaves its gates open."""
+    one = lambda name, *aggs: tables[name].agg(*aggs).first() if name in tables else [None] * len(aggs)
+    out = {}
+    if "walkforward" in tables:
+        w = tables["walkforward"].select(F.inline("instruments"))
+        up = F.when(c("net_full") > 0, c("net_full"))
+        each = w.groupBy("instrument").agg(F.count_if(c("model").isNotNull()).alias("windows"), F.first("return_full").alias("net"), F.first("sharpe_full").alias("sharpe"), F.first("drawdown_full").alias("dd"), F.sum("oos_rows").alias("n"),
+                                           (F.first("sharpe_full") - F.first("sharpe_baseline")).alias("delta"), M.ratio(F.max(up), F.sum(up)).alias("dominance")).collect()  # a row an instrument
+        worst = lambda k, f: f(r[k] for r in each)
+        out = {"windows": worst("windows", min), "net_return": worst("net", min), "sharpe": worst("sharpe", min), "max_drawdown": worst("dd", max), "delta_sharpe": worst("delta", min), "dominance": worst("dominance", max),
+               "p_bonferroni": max(ST.multiple_testing(r.sharpe, r.n, 252.0, len(each) * T.WINDOWS)["p_bonferroni"] if r.sharpe > 0 and r.n else 1.0 for r in each)}
+    if "execution_stress" in tables:
+        levels = tables["execution_stress"].where(c("scenario").rlike("^x[0-9.]+_d0$")).select("instrument", F.regexp_extract("scenario", "^x([0-9.]+)", 1).cast("double").alias("x"), "total_return").collect()
+        points = {i: sorted((r.x, r.total_return) for r in levels if r.instrument == i) for i in {r.instrument for r in levels}}
+        # without a crossing it lies beyond the highest level, or below the lowest
+        out["cost_break_even"] = min(b if (b := ST.break_even(v)) is not None else v[-1][0] if v[-1][1] > 0 else v[0][0] for v in points.values())
+    if "timing" in tables:
+        out["delay_sharpe"] = tables["timing"].where("scenario = 'delay_1'").agg(F.min("sharpe")).first()[0]
+    if "bootstrap" in tables:
+        out["bootstrap_low"] = tables["bootstrap"].where("metric = 'sharpe'").agg(F.min("low")).first()[0]
+    if "reproducibility" in tables:
+        out["identical"] = int(one("reproducibility", F.sum("changed"))[0] == 0)
+    return out | {"leaks": one("leakage", F.sum("changed"))[0], "holdout_return": one("holdout", F.min("net"))[0]}
+
+
+def gates_frame(spark, tables):
+    rows, rung = G.evaluate(gate_values(tables))
     return spark.createDataFrame([(n, g, None if v is None else float(v), t, p, rung) for n, g, v, t, p in rows], "gate string, grp string, value double, threshold double, passed boolean, class string")
 
 
@@ -349,9 +390,10 @@ def fea_26(spark, sf_dir):
 def fld_07(spark, sf_dir):
     """Re-entry after twelve marks books what was gained and leaves equity as it was."""
     price = np.r_[100.0, 100.0 + 0.1 * np.arange(1, 13)]
-    led = FO.ledger(np.r_[100.0, np.zeros(12)], price)
-    gained = float(led["units"][-1] * (price[-1] - price[0]))
-    return spark.createDataFrame([(round(gained, 6), 0, 0.0)], "realised double, holding int, change double")
+    _, entry, _ = FO.step_rules(1.0, 1.0, 12, False, FO.SimParams())
+    led = FO.ledger(np.r_[100.0, np.zeros(12), *([-100.0, 100.0] if entry else [0.0, 0.0])], np.r_[price, price[-1], price[-1]])
+    change = float(led["equity"][-1] - led["equity"][12])
+    return spark.createDataFrame([(round(float(led["realised"][-1]), 6), 0 if entry else 13, round(change, 6))], "realised double, holding int, change double")
 
 
 def halts(marks: list[bool], recovery: int = 13) -> list[bool]:

@@ -7,15 +7,27 @@ import datetime as dt
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from barloom.plans.base import QUERIES, query
-from barloom.plans.research import resolve_stages
+from barloom.plans.base import QUERIES, query, rolled
+from barloom.plans.research import gates_frame, resolve_stages
 from barloom.sources.bars import fresh_path
 
 #: the query that each stage stores
-TABLES = {"walkforward": "RUN-01", "baselines": "BAS-01", "cost": "STR-01", "execution_stress": "STR-02", "timing": "STR-03", "perturbation": "STR-04", "d_perturbation": "STR-05", "sanity": "SAN-01",
+TABLES = {"walkforward": "RUN-01-windows", "baselines": "BAS-01", "cost": "STR-01", "execution_stress": "STR-02", "timing": "STR-03", "perturbation": "STR-04", "d_perturbation": "STR-05", "sanity": "SAN-01",
           "leakage": "SAN-03", "regimes": "AGG-07", "ablation": "ABL-01", "families": "ABL-03", "bootstrap": "STA-01", "holdout": "MOD-10", "reproducibility": "REP-02", "gates": "GAT-01"}
 
 
+#: stages whose table has a row for each value of a column and the instruments' rows inside it
+NESTED = {"walkforward": "window"}
+
+
+def stage_table(spark: SparkSession, sf_dir: str, stage: str) -> DataFrame:
+    """What a stage stores."""
+    df = QUERIES[TABLES[stage]](spark, sf_dir)
+    if by := NESTED.get(stage):
+        df = df.groupBy(by).agg(F.sort_array(F.collect_list(F.struct(*[c for c in df.columns if c != by]))).alias("instruments"))
+    return df
+
+
 def open_holdout(spark: SparkSession, log: str, who: str, why: str) -> DataFrame:
     """Appends a row to the access log and returns all of it. Nothing is ever taken out."""
     if not why.strip():
@@ -25,14 +37,15 @@ def open_holdout(spark: SparkSession, log: str, who: str, why: str) -> DataFrame
 
 
 def run_research(spark: SparkSession, sf_dir: str, spec: str = "quick", run_dir: str | None = None, holdout_reason: str | None = None) -> DataFrame:
-    """Runs the stages, writes <run_dir>/<stage> for each, and returns (n, stage, rows, path)."""
+    """Runs the stages, writes <run_dir>/<stage> for each, and returns (n, stage, rows, path). The gates judge the tables written before."""
     run_dir = run_dir or fresh_path(spark, "run")
     if holdout_reason:
         open_holdout(spark, f"{run_dir}/holdout_log", "run", holdout_reason)
     out = []
     for n, stage in enumerate(resolve_stages(spec, open_holdout=bool(holdout_reason))):
         path = f"{run_dir}/{stage}"
-        QUERIES[TABLES[stage]](spark, sf_dir).write.parquet(path)
+        done = {s: spark.read.parquet(p) for _, s, _, p in out}
+        (rolled(gates_frame(spark, done)) if stage == "gates" else stage_table(spark, sf_dir, stage)).write.parquet(path)
         out.append((n, stage, spark.read.parquet(path).count(), path))
     return spark.createDataFrame(out, "n int, stage string, rows long, path string")
 

@@ -38,3 +38,31 @@ def test_adverse_model_sees_no_later_rows(spark, sf):
     s.a["r_fill"][cut:] += 1.0
     after = T.evaluate(s, rows, T.FULL)[0]
     assert [r["residual_std"] for r in before[:3]] == [r["residual_std"] for r in after[:3]] and before[4]["residual_std"] != after[4]["residual_std"]
+
+
+def test_walk_follows_the_bars(spark, sf, names):
+    s = series(spark, sf, "A")
+    got = T.walk(s)
+    assert len(got) == T.WINDOWS and sum(r["oos_rows"] for r in got) == len(s.bars) - int(len(s.bars) * T.FIRST)
+    last = None
+    for r in got:
+        last = r["window"] if r["accepted"] else last
+        assert r["deployed"] == last and r["train_end"] <= s.bars[-1]
+    cut = s.bars[len(s.bars) // 2]
+    s.a["y_norm"][cut:] *= -1
+    s.a["open_next2"][cut:] *= 1.5
+    other = T.walk(s)
+    assert [r["net_full"] for r in got[:3]] == [r["net_full"] for r in other[:3]] and got[-1]["net_full"] != other[-1]["net_full"]
+
+
+def test_gates_judge_the_stored_tables(spark, sf, names, tmp_path):
+    from barloom.plans.runner import run_research
+
+    paths = {r.stage: r.path for r in run_research(spark, sf, "walkforward,timing,gates", str(tmp_path / "run")).collect()}
+    walk = spark.read.parquet(paths["walkforward"]).select("window", F.inline("instruments")).collect()
+    assert {(r.window, r.instrument) for r in walk} == {(w, i) for w in range(T.WINDOWS) for i in names}
+    gates = {r.gate: r for r in spark.read.parquet(paths["gates"]).collect()}
+    assert gates["sharpe"].value == pytest.approx(min(r.sharpe_full for r in walk)) and gates["windows"].value <= T.WINDOWS
+    timing = spark.read.parquet(paths["timing"]).where("scenario = 'delay_1'").collect()
+    assert gates["delay_sharpe"].value == pytest.approx(min(r.sharpe for r in timing))
+    assert gates["leaks"].value is None and gates["leaks"].passed is None
