@@ -26,23 +26,43 @@ def _draws(spark: SparkSession, n: int, kernel, schema: str) -> DataFrame:
 
 def block_bootstrap(spark: SparkSession, pnl: np.ndarray, per_year: float = 252.0, block: int = 65, n: int = 1000, seed: int = 0) -> DataFrame:
     """Circular block bootstrap: sharpe, cagr, total_return, max_drawdown of each draw."""
+    return _draws(spark, n, lambda k: block_draw(pnl, k, per_year, block, seed), BLOCK)
+
+
+BLOCK = "draw long, sharpe double, cagr double, total_return double, max_drawdown double"
+ABLATION = "draw long, mean double, median double"
+TRADES = "draw long, terminal double, max_drawdown double"
+
+
+def block_draw(pnl: np.ndarray, k: int, per_year: float = 252.0, block: int = 65, seed: int = 0) -> tuple:
     size = len(pnl)
+    rng = np.random.default_rng([seed, k])
+    starts = rng.integers(0, size, -(-size // block))
+    x = pnl[(starts[:, None] + np.arange(block)).ravel()[:size] % size]
+    eq = np.cumprod(1 + x)
+    sd = x.std()
+    dd = float((1 - eq / np.maximum(np.maximum.accumulate(eq), 1)).max())
+    return k, float(x.mean() / sd * math.sqrt(per_year)) if sd > 0 else 0.0, float(max(eq[-1], 1e-9) ** (per_year / size) - 1), float(eq[-1] - 1), dd
+
 
-    def one(k: int):
-        rng = np.random.default_rng([seed, k])
-        starts = rng.integers(0, size, -(-size // block))
-        x = pnl[(starts[:, None] + np.arange(block)).ravel()[:size] % size]
-        eq = np.cumprod(1 + x)
-        sd = x.std()
-        dd = float((1 - eq / np.maximum(np.maximum.accumulate(eq), 1)).max())
-        return k, float(x.mean() / sd * math.sqrt(per_year)) if sd > 0 else 0.0, float(max(eq[-1], 1e-9) ** (per_year / size) - 1), float(eq[-1] - 1), dd
+def draws_by_key(rows: DataFrame, value: str, order: str, kernel, schema: str, n: int, parts: int = 8, key: str = "instrument") -> DataFrame:
+    """kernel(values in order, draw number) -> tuple, for n draws of each key: a task for each key and part of the draws."""
+    names = [f.split()[0] for f in schema.split(", ")]
 
-    return _draws(spark, n, one, "draw long, sharpe double, cagr double, total_return double, max_drawdown double")
+    def run(pdf: pd.DataFrame) -> pd.DataFrame:
+        pdf = pdf.sort_values(order)
+        x, k, p = pdf[value].to_numpy(float), pdf[key].iloc[0], int(pdf["_part"].iloc[0])
+        out = pd.DataFrame([kernel(x, i) for i in range(p, n, parts)], columns=names)
+        out.insert(0, key, k)
+        return out
 
+    spread = rows.select(key, order, value, F.explode(F.sequence(F.lit(0), F.lit(min(parts, n) - 1))).alias("_part"))
+    return spread.groupBy(key, "_part").applyInPandas(run, f"{key} string, {schema}")
 
-def intervals(draws: DataFrame, columns: list[str], confidence: float = 0.95) -> DataFrame:
+
+def intervals(draws: DataFrame, columns: list[str], confidence: float = 0.95, by: tuple[str, ...] = ()) -> DataFrame:
     lo, hi = (1 - confidence) / 2, (1 + confidence) / 2
-    parts = [draws.agg(F.lit(c).alias("metric"), F.avg(c).alias("mean"), F.percentile(c, F.lit(lo)).alias("low"), F.percentile(c, F.lit(hi)).alias("high")) for c in columns]
+    parts = [draws.groupBy(*by).agg(F.lit(c).alias("metric"), F.avg(c).alias("mean"), F.percentile(c, F.lit(lo)).alias("low"), F.percentile(c, F.lit(hi)).alias("high")) for c in columns]
     out = parts[0]
     for p in parts[1:]:
         out = out.unionByName(p)
@@ -58,20 +78,22 @@ def sign_test(values: np.ndarray) -> float:
     return min(1.0, 2 * tail)
 
 
+def ablation_draw(deltas: np.ndarray, k: int, seed: int = 0) -> tuple:
+    x = np.random.default_rng([seed, k]).choice(deltas, len(deltas))
+    return k, float(x.mean()), float(np.median(x))
+
+
 def ablation_bootstrap(spark: SparkSession, deltas: np.ndarray, n: int = 5000, seed: int = 0) -> DataFrame:
-    def one(k: int):
-        x = np.random.default_rng([seed, k]).choice(deltas, len(deltas))
-        return k, float(x.mean()), float(np.median(x))
+    return _draws(spark, n, lambda k: ablation_draw(deltas, k, seed), ABLATION)
 
-    return _draws(spark, n, one, "draw long, mean double, median double")
 
+def trades_draw(pnls: np.ndarray, k: int, seed: int = 0) -> tuple:
+    eq = np.cumprod(1 + np.random.default_rng([seed, k]).choice(pnls, len(pnls)))
+    return k, float(eq[-1]), float((1 - eq / np.maximum(np.maximum.accumulate(eq), 1)).max())
 
-def monte_carlo_trades(spark: SparkSession, pnls: np.ndarray, n: int = 2000, seed: int = 0) -> DataFrame:
-    def one(k: int):
-        eq = np.cumprod(1 + np.random.default_rng([seed, k]).choice(pnls, len(pnls)))
-        return k, float(eq[-1]), float((1 - eq / np.maximum(np.maximum.accumulate(eq), 1)).max())
 
-    return _draws(spark, n, one, "draw long, terminal double, max_drawdown double")
+def monte_carlo_trades(spark: SparkSession, pnls: np.ndarray, n: int = 2000, seed: int = 0) -> DataFrame:
+    return _draws(spark, n, lambda k: trades_draw(pnls, k, seed), TRADES)
 
 
 def multiple_testing(sharpe_annual: float, n_bars: int, per_year: float, tests: int) -> dict[str, float]:

@@ -142,27 +142,30 @@ def agg_17(spark, sf_dir):
     return t.groupBy("instrument").agg(F.count("*").alias("windows"), F.count_if(c("t") > 0).alias("accepted"), F.avg((c("t") > 0).cast("double")).alias("deployed"))
 
 
-# --- resampling: the series of one instrument is bounded by its bars and goes to each task
-def _pnl_of(spark, sf_dir, name="A") -> np.ndarray:
-    rows = prescribed(spark, sf_dir).where(c("instrument") == name).select("timestamp", "pnl").toArrow()
-    return rows.column("pnl").to_numpy()[np.argsort(rows.column("timestamp").to_numpy())]
-
-
+# --- resampling: the draws of each instrument fan out as tasks; no series reaches the driver
 @query("STA-01")
 def sta_01(spark, sf_dir):
-    draws = ST.block_bootstrap(spark, _pnl_of(spark, sf_dir), n=1000)
-    return ST.intervals(draws, ["sharpe", "cagr", "total_return", "max_drawdown"])
+    draws = ST.draws_by_key(prescribed(spark, sf_dir), "pnl", "timestamp", ST.block_draw, ST.BLOCK, n=1000)
+    return ST.intervals(draws, ["sharpe", "cagr", "total_return", "max_drawdown"], by=("instrument",))
+
+
+def _deltas(pnl):
+    return np.array([x.sum() for x in np.array_split(pnl, 10)])
 
 
 @query("STA-02")
 def sta_02(spark, sf_dir):
-    deltas = np.array([x.sum() for x in np.array_split(_pnl_of(spark, sf_dir), 10)])
-    return ST.intervals(ST.ablation_bootstrap(spark, deltas, n=2000), ["mean", "median"]).withColumn("p_sign", F.lit(ST.sign_test(deltas)))
+    def one(pnl, k):
+        return *ST.ablation_draw(_deltas(pnl), k), ST.sign_test(_deltas(pnl))
+
+    draws = ST.draws_by_key(prescribed(spark, sf_dir), "pnl", "timestamp", one, ST.ABLATION + ", p_sign double", n=2000)
+    sign = draws.groupBy("instrument").agg(F.first("p_sign").alias("p_sign"))
+    return ST.intervals(draws, ["mean", "median"], by=("instrument",)).join(sign, "instrument")
 
 
 @query("STA-03")
 def sta_03(spark, sf_dir):
-    return ST.intervals(ST.monte_carlo_trades(spark, _pnl_of(spark, sf_dir), n=1000), ["terminal", "max_drawdown"])
+    return ST.intervals(ST.draws_by_key(prescribed(spark, sf_dir), "pnl", "timestamp", ST.trades_draw, ST.TRADES, n=1000), ["terminal", "max_drawdown"], by=("instrument",))
 
 
 @query("STA-04")

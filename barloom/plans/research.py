@@ -54,29 +54,39 @@ def mod_02(spark, sf_dir):
     return model.transform(rows.where("row >= 1500")).withColumn("p", MO.probability()).groupBy("instrument").agg(F.avg("p").alias("mean_p"), F.avg(((c("p") > 0.5) == (c("up") == 1)).cast("double")).alias("accuracy"))
 
 
-def _sample(spark, sf_dir):
-    t = labelled(spark, sf_dir).where((c("instrument") == "A") & c("y").isNotNull()).select("timestamp", F.coalesce("z", F.lit(0.0)).alias("z"), "y").orderBy("timestamp").toArrow()
-    return t.column("z").to_numpy(), np.clip(t.column("y").to_numpy(), -0.1, 0.1)
+def calibrated(spark, sf_dir, kernel, schema: str):
+    """kernel(forecasts, clipped labels) -> rows, in a task for each instrument."""
+    def run(pdf: pd.DataFrame) -> pd.DataFrame:
+        pdf = pdf.sort_values("timestamp")
+        out = pd.DataFrame(kernel(pdf["z"].to_numpy(float), np.clip(pdf["y"].to_numpy(float), -0.1, 0.1)), columns=[f.split()[0] for f in schema.split(", ")])
+        out.insert(0, "instrument", pdf["instrument"].iloc[0])
+        return out
+
+    rows = labelled(spark, sf_dir).where(c("y").isNotNull()).select("instrument", "timestamp", F.coalesce("z", F.lit(0.0)).alias("z"), "y")
+    return rows.groupBy("instrument").applyInPandas(run, f"instrument string, {schema}")
 
 
 @query("MOD-04")
 def mod_04(spark, sf_dir):
-    a, y = _sample(spark, sf_dir)
-    out = [(k, int(len(m.x)), float(m.y.min()), float(m.y.max())) for k in ("isotonic", "binned") for m in [MO.Calibrator(k).fit(a, y)]]
-    return spark.createDataFrame(out, "kind string, points int, lowest double, highest double")
+    def kernel(a, y):
+        fits = [(k, MO.Calibrator(k).fit(a, y)) for k in ("isotonic", "binned")]
+        return [(k, len(m.x), float(m.y.min()) if len(m.y) else None, float(m.y.max()) if len(m.y) else None) for k, m in fits]
+
+    return calibrated(spark, sf_dir, kernel, "kind string, points int, lowest double, highest double")
 
 
 @query("MOD-05")
 def mod_05(spark, sf_dir):
-    a, y = _sample(spark, sf_dir)
-    m = MO.Calibrator().fit(a[:1500], y[:1500])
-    return spark.createDataFrame([(float(x), float(v)) for x, v in zip(a[1500:], m.predict(a[1500:]), strict=True)], "a double, expected double")
+    """The first 1,500 rows of each instrument calibrate, the rest is predicted."""
+    def kernel(a, y):
+        return list(zip(a[1500:], MO.Calibrator().fit(a[:1500], y[:1500]).predict(a[1500:]), strict=True))
+
+    return calibrated(spark, sf_dir, kernel, "a double, expected double")
 
 
 @query("MOD-18")
 def mod_18(spark, sf_dir):
-    a, y = _sample(spark, sf_dir)
-    return spark.createDataFrame(MO.Calibrator().fit(a, y).curve(50), "a double, expected double")
+    return calibrated(spark, sf_dir, lambda a, y: MO.Calibrator().fit(a, y).curve(50), "a double, expected double")
 
 
 @query("MOD-06")
@@ -284,7 +294,7 @@ def gate_values(tables) -> dict:
     if "timing" in tables:
         out["delay_sharpe"] = tables["timing"].where("scenario = 'delay_1'").agg(F.min("sharpe")).first()[0]
     if "bootstrap" in tables:
-        out["bootstrap_low"] = tables["bootstrap"].where("metric = 'sharpe'").agg(F.min("low")).first()[0]
+        out["bootstrap_low"] = tables["bootstrap"].where("metric = 'sharpe'").select(F.inline("instruments")).agg(F.min("low")).first()[0]
     if "reproducibility" in tables:
         out["identical"] = int(one("reproducibility", F.sum("changed"))[0] == 0)
     return out | {"leaks": one("leakage", F.sum("changed"))[0], "holdout_return": one("holdout", F.min("net"))[0]}

@@ -17,7 +17,7 @@ TABLES = {"walkforward": "RUN-01-windows", "baselines": "BAS-01", "cost": "STR-0
 
 
 #: stages whose table has a row for each value of a column and the instruments' rows inside it
-NESTED = {"walkforward": "window"}
+NESTED = {"walkforward": "window", "bootstrap": "metric"}
 
 
 def stage_table(spark: SparkSession, sf_dir: str, stage: str) -> DataFrame:

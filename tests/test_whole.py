@@ -66,3 +66,19 @@ def test_gates_judge_the_stored_tables(spark, sf, names, tmp_path):
     timing = spark.read.parquet(paths["timing"]).where("scenario = 'delay_1'").collect()
     assert gates["delay_sharpe"].value == pytest.approx(min(r.sharpe for r in timing))
     assert gates["leaks"].value is None and gates["leaks"].passed is None
+
+
+@pytest.mark.parametrize("key", ["STA-01", "STA-02", "STA-03", "MOD-04", "MOD-18"])
+def test_statistics_of_each_instrument(spark, sf, names, key):
+    rows = QUERIES[key](spark, sf).groupBy("instrument").count().collect()
+    assert {r.instrument for r in rows} == names and len({r["count"] for r in rows}) == 1
+
+
+def test_draws_equal_those_of_one_series(spark, sf):
+    from barloom.operators import stats
+    from barloom.plans.decisions import prescribed
+
+    rows = prescribed(spark, sf)
+    pnl = rows.where("instrument = 'N'").orderBy("timestamp").toPandas()["pnl"].to_numpy()
+    mine = stats.draws_by_key(rows, "pnl", "timestamp", stats.block_draw, stats.BLOCK, n=20).where("instrument = 'N'").drop("instrument").orderBy("draw").collect()
+    assert np.allclose(np.array(mine, float), np.array(stats.block_bootstrap(spark, pnl, n=20).orderBy("draw").collect(), float))
