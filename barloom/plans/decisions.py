@@ -115,6 +115,16 @@ def lab_03(spark, sf_dir):
     return L.assign_folds(B.bars_daily(spark, sf_dir), layout).groupBy("fold", "part").agg(F.count("*").alias("n"))
 
 
+EDGE = "floor(n * (0.4::double + {} * 0.1::double))"
+
+
+@query("LAB-03-instruments", sql_of(f"""select instrument, fold, part, count(*)::bigint as n from (select instrument, f.k::int as fold, case when i < {EDGE.format('(f.k - 1)')} - 5 then 'train' else 'validation' end as part
+ from (select instrument, row_number() {ORDER} - 1 as i, count(*) over (partition by instrument) as n from bars) b join generate_series(1, 5) f(k) on i < {EDGE.format('(f.k - 1)')} - 5 or (i >= {EDGE.format('(f.k - 1)')} + 5 and i < least(n, {EDGE.format('f.k')}))) group by 1, 2, 3"""))
+def lab_03_instruments(spark, sf_dir):
+    """Folds over all rows of each instrument."""
+    return L.assign_own_folds(B.bars_daily(spark, sf_dir)).groupBy("instrument", "fold", "part").agg(F.count("*").alias("n"))
+
+
 @query("LAB-04", sql_of("select k::int as \"window\", 250 * k as train_start, 3000 + 250 * k as train_end, least(3250 + 250 * k, 8500) as oos_end from generate_series(0, 21) t(k)", "", "one as (select 1)"))
 def lab_04(spark, sf_dir):
     return L.schedule_frame(spark, n_bars=10_000, train=3_000, oos=250, holdout_fraction=0.15)

@@ -274,6 +274,15 @@ def joi_04(spark, sf_dir):
     return rows.join(F.broadcast(w), (F.col("i") >= F.col("lo")) & (F.col("i") < F.col("hi"))).select("instrument", "timestamp", "window")
 
 
+@query("JOI-04-instruments", sql_of(f"select {ID}, ((i - 300) // 250)::int as \"window\" from (select *, row_number() {ORDER} - 1 as i from bars) where i >= 300"))
+def joi_04_instruments(spark, sf_dir):
+    """The windows that each instrument's rows fill, to its last row."""
+    rows = daily(spark, sf_dir).withColumn("i", F.row_number().over(B.by_time()) - 1)
+    last = F.floor((F.max("i") - 300) / 250).cast("int")
+    w = rows.groupBy("instrument").agg(last.alias("_last")).where("_last >= 0").select("instrument", F.explode(F.sequence(F.lit(0), F.col("_last"))).alias("window"))
+    return rows.withColumn("window", F.floor((F.col("i") - 300) / 250).cast("int")).join(w, ["instrument", "window"]).select("instrument", "timestamp", "window")
+
+
 TRD = "t as (select trade_id, entry_row, entry_row + 4 + trade_id % 3 as exit_row from (select k as trade_id, 7 * k as entry_row from generate_series(0, 200) g(k)))"
 
 

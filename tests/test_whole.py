@@ -82,3 +82,15 @@ def test_draws_equal_those_of_one_series(spark, sf):
     pnl = rows.where("instrument = 'N'").orderBy("timestamp").toPandas()["pnl"].to_numpy()
     mine = stats.draws_by_key(rows, "pnl", "timestamp", stats.block_draw, stats.BLOCK, n=20).where("instrument = 'N'").drop("instrument").orderBy("draw").collect()
     assert np.allclose(np.array(mine, float), np.array(stats.block_bootstrap(spark, pnl, n=20).orderBy("draw").collect(), float))
+
+
+def test_folds_and_windows_reach_the_last_row(spark, sf):
+    from barloom.operators import labels
+
+    df = bars.bars_daily(spark, sf)
+    count = {r.instrument: r["count"] for r in df.groupBy("instrument").count().collect()}
+    got = QUERIES["LAB-03-instruments"](spark, sf).collect()
+    for name, n in count.items():
+        want = {(k, p): v for k, t, a, b in labels.folds(n) for p, v in (("train", t), ("validation", b - a))}
+        assert {(r.fold, r.part): r.n for r in got if r.instrument == name} == want
+    assert QUERIES["JOI-04-instruments"](spark, sf).count() == sum(n - 300 for n in count.values())
