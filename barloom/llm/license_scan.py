@@ -1,6 +1,7 @@
 """License scans: phrases, and an exact set-similarity join of text blocks with license templates.
 
-A block is a line of a text, taken as its set of words. The words of the templates are ordered by their frequency in the
+A block is a line of a text, or as many consecutive words as a template has and a quarter more, whatever lines they stand on; it is
+taken as its set of words. The words of the templates are ordered by their frequency in the
 corpus, rarest first. A block can reach the containment threshold of a template only if it holds one of the first
 |T| - need + 1 words of the template (prefix), has at least ``need`` template words at all (length), and has enough words left
 after the place of the first shared one (position). Blocks that pass are verified on the full sets, so none is missed.
@@ -78,6 +79,17 @@ def _best(blocks: Column, label: str, words: list[str], need: int, prefix: list[
     return F.when(most >= need, most / F.lit(float(len(words)))).otherwise(F.lit(0.0))
 
 
+def _wrapped(words: list[str], need: int, prefix: list[str], length: int) -> Column:
+    """Largest containment of a template in `length` consecutive words of _w; 0 below the need. Only surroundings of its prefix
+    words that hold enough of its words are cut into windows, which start at one of its words."""
+    near = F.filter(F.transform("_w", lambda w, i: F.when(w.isin(prefix), i)), lambda i: i.isNotNull())
+    around = F.transform(near, lambda i: F.slice("_w", F.greatest(i + 2 - length, F.lit(1)), F.least(i, F.lit(length - 1)) + length))
+    around = F.filter(around, lambda a: F.size(F.array_intersect(_literal(words), a)) >= need)
+    most = F.transform(around, lambda a: F.array_max(F.transform(a, lambda w, j: F.when(w.isin(words), F.size(F.array_intersect(_literal(words), F.slice(a, j + 1, length)))).otherwise(0))))
+    best = F.array_max(most)
+    return F.when(best >= need, best / F.lit(float(len(words)))).otherwise(F.lit(0.0))
+
+
 def _places(parts: list[str]) -> Column:
     """Starts of consecutive words in the column _w."""
     def hit(w: Column, i: Column) -> Column:
@@ -110,6 +122,13 @@ def scan_licenses(docs: DataFrame, threshold: float = THRESHOLD, id_col: str = "
     rows = rows.withColumn("_blocks", held(blocks))
     best = [(t[0], f"_best{k}", F.when(F.size("_blocks") > 0, _best(F.col("_blocks"), *t)).otherwise(F.lit(0.0))) for k, t in enumerate(templates)]
     rows = rows.withColumns({name: F.coalesce(value, F.lit(0.0)) for _, name, value in best})
+    # windows over lines: only for texts that hold enough of a template's words and no line with all of them
+    held_words = F.when(F.arrays_overlap("_w", prefixes), F.array_intersect(_literal(order), "_w"))
+    rows = rows.withColumn("_known", held(held_words))
+    for (_, name, _), t, (_, text_of) in zip(best, templates, TEMPLATES, strict=True):
+        size = len(text_of.split())
+        could = (F.col(name) < 1) & (F.size("_known") >= t[2]) & (F.size(F.array_intersect(F.col("_known"), _literal(t[1]))) >= t[2])
+        rows = rows.withColumn(name, F.when(could, F.greatest(F.col(name), F.coalesce(_wrapped(*t[1:], size + size // 4), F.lit(0.0)))).otherwise(F.col(name)))
     found = F.array_compact(F.array(*[F.when(F.col(name) > 0, F.lit(label)) for label, name, _ in best]))
     score = F.when(F.size(every) > 0, F.lit(1.0)).otherwise(F.greatest(*[F.col(name) for _, name, _ in best]))
     return rows.select(
