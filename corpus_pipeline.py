@@ -22,8 +22,11 @@ def with_text(docs: DataFrame, text) -> DataFrame:
 
 
 def language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Drops documents without a letter and those whose language stays unclear; the rest keeps all columns."""
+    """Drops documents without a letter and those whose language stays unclear; the rest keeps all columns. Where no language can be
+    learned, none is unclear: only documents without a letter go."""
     model = fit(docs.where(~held_out()))
+    if not model.languages:
+        return docs.where(F.coalesce(F.col("text"), F.lit("")).rlike(r"\p{L}"))
     judged = predict(docs, model, docs.columns)
     return judged.where((F.col("lang_pred") != UNKNOWN) & (F.col("score") >= LANGUAGE_SCORE)).select(*docs.columns)
 

@@ -1,5 +1,8 @@
 """Wrapped notices, long and headed secrets, corpora without labels."""
 
+from pyspark.sql import functions as F
+
+import corpus_pipeline
 from barloom.llm.license_scan import scan_licenses
 
 BSD = "Redistribution and use in source and binary forms, with or without\n * modification, are permitted provided that the following conditions\n * are met:"
@@ -11,3 +14,11 @@ def test_wrapped_notices(spark):
     texts = [filler + BSD + "\n" + filler, MIT, "all\nrights\nreserved", "all of the\nrights are\nreserved", " ".join(BSD.split()[:8]) + "\n" + filler + " ".join(BSD.split()[8:])]
     got = {r.doc_id: (r.labels, r.score) for r in scan_licenses(spark.createDataFrame(list(enumerate(texts)), "doc_id int, text string")).collect()}
     assert got == {0: ("bsd", 1.0), 1: ("mit", 1.0), 2: ("reserved", 1.0), 3: ("", 0.0), 4: ("", 0.0)}
+
+
+def test_language_stage_without_labels(spark):
+    rows = [(i, t, None, "s", 1) for i, t in enumerate(["plain words of a text", "ünïcode", "12 34 --", "", None])]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string, source string, n_chars long")
+    kept = corpus_pipeline.language(spark, docs, "").select("doc_id").collect()
+    assert {r.doc_id for r in kept} == {0, 1}
+    assert corpus_pipeline.language(spark, docs.where(F.lit(False)), "").count() == 0
