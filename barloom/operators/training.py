@@ -224,6 +224,88 @@ def walk(s: Series) -> list[dict]:
     return records
 
 
+class Light:
+    """One refit on the first 60 % of the rows, its last quarter held for the calibration; the rest is traded."""
+
+    def __init__(self, s: Series, names: list[str], y: np.ndarray | None = None, shuffle: np.random.Generator | None = None):
+        n, cut = len(s.bars), int(len(s.bars) * 0.6)
+        inner = int(cut * (1 - INNER))
+        fit, cal, self.rows = np.arange(inner - PURGE), np.arange(inner + PURGE, cut - PURGE), np.arange(cut, n)
+        self.s, self.names, self.d = s, names, s.order(s.label_end(fit[-1]))
+        y, x = s.of("y_norm", np.arange(n)) if y is None else y, s.x(names, fit, self.d)
+        fit_ok, cal_ok = np.isfinite(y[fit]), np.isfinite(y[cal])
+        self.pair = Pair((shuffle.permutation(x) if shuffle else x)[fit_ok], y[fit][fit_ok])
+        self.g = MO.Calibrator().fit(self.pair.predict(s.x(names, cal, self.d))[0][cal_ok], y[cal][cal_ok])
+        self.x = s.x(names, self.rows, self.d)
+        self.e = self.forecast(self.x)
+
+    def forecast(self, x: np.ndarray) -> np.ndarray:
+        return self.g.predict(self.pair.predict(x)[0])
+
+    def trade(self, e: np.ndarray, **changes) -> dict[str, float]:
+        zero = np.zeros(len(e))
+        return measure(self.s.simulate(self.rows, e, zero, zero, **changes), e, self.s.of("y", self.rows))
+
+
+def _seed(s: Series, *parts: int) -> np.random.Generator:
+    return np.random.default_rng([*s.name.encode(), *parts])
+
+
+def sanity(s: Series, shift: int = 20, draws: int = 20) -> list[dict]:
+    """The refit as it is, on destroyed labels or inputs or a shifted target, and its forecasts permuted or at other costs."""
+    if len(s.bars) < 200:
+        return []
+    full, y = Light(s, FULL), s.of("y_norm", np.arange(len(s.bars)))
+    moved = np.r_[y[shift:], np.full(shift, np.nan)]
+    moved[int(len(y) * 0.6) - PURGE - shift : int(len(y) * 0.6)] = np.nan  # no label from the traded rows
+    refits = {"shuffled_labels": Light(s, FULL, y=_seed(s, 1).permutation(y[: int(len(y) * 0.6)])), "shuffled_features": Light(s, FULL, shuffle=_seed(s, 2)), "target_shift": Light(s, FULL, y=moved)}
+    runs = {"strategy": full.trade(full.e), "reversed": full.trade(-full.e), "zero_cost": full.trade(full.e, cost_scale=0.0), "double_cost": full.trade(full.e, cost_scale=2.0)}
+    runs |= {k: m.trade(m.e) for k, m in refits.items()} | {f"random_{k}": full.trade(_seed(s, 3, k).permutation(full.e)) for k in range(draws)}
+    return [{"scenario": k, **r} for k, r in runs.items()]
+
+
+def ablation(s: Series) -> list[dict]:
+    """Net results of refits with and without each optional family: base, base with it, full without it, full."""
+    if len(s.bars) < 200:
+        return []
+    net = lambda families: (lambda m: m.trade(m.e)["net"])(Light(s, [n for f in FAMILIES if f in families for n in FAMILIES[f]]))
+    base, full = net({"PRICE"}), net(set(FAMILIES))
+    return [{"family": f, "baseline": base, "base_plus": net({"PRICE", f}), "full_minus": net(set(FAMILIES) - {f}), "full": full} for f in FAMILIES if f != "PRICE"]
+
+
+def sabotage(s: Series, seeds: int = 3) -> list[dict]:
+    """Net results when a family's inputs are shuffled, frozen, random, flipped, delayed or taken out after the fit."""
+    if len(s.bars) < 200:
+        return []
+    m, out = Light(s, FULL), []
+    for k, (family, names) in enumerate(FAMILIES.items()):
+        at = [FULL.index(n) for n in names]
+        sub = m.x[:, at]
+        ways = {"flip": -sub, "freeze": np.repeat(sub.mean(axis=0, keepdims=True), len(sub), axis=0), "delay": np.vstack([sub[:1], sub[:-1]]), "delay2": np.vstack([sub[:2], sub[:-2]]), "remove": np.zeros_like(sub)}
+        for i in range(seeds):
+            g = _seed(s, 4, k, i)
+            ways |= {f"shuffle_{i}": g.permutation(sub), f"random_{i}": g.standard_normal(sub.shape) * sub.std(axis=0) + sub.mean(axis=0)}
+        for mode, v in ways.items():
+            x = m.x.copy()
+            x[:, at] = v
+            out.append({"family": family, "mode": mode, "net": m.trade(m.forecast(x))["net"]})
+    return out
+
+
+def baselines(s: Series, draws: int = 20) -> list[dict]:
+    """Net results over the traded rows: the strategy, without fractional inputs, momentum, and the strategy's exposure permuted."""
+    if len(s.bars) < 200:
+        return []
+    m, less = Light(s, FULL), Light(s, BASELINE)
+    a = {c: s.of(c, m.rows) for c in FO.SIM_COLUMNS}
+    move, cost = a["open_next2"] / a["open_next"] - 1, a["cost_side"]
+    net = lambda q: float((q * move - np.abs(np.diff(q, prepend=0.0)) * cost).sum())
+    held = FO.simulate(a | {"er": m.e * a["sigma"] * math.sqrt(HORIZON), "adverse": np.zeros(len(m.e)), "uncertainty": np.zeros(len(m.e))}, FO.SimParams())[0]["exposure"]
+    momentum = FO.momentum_exposure(s.a["log_close"], s.a["sigma"])[s.bars[m.rows]]
+    runs = {"strategy": net(held), "no_fractional": less.trade(less.e)["net"], "momentum": net(momentum)} | {f"random_{k}": net(_seed(s, 5, k).permutation(held)) for k in range(draws)}
+    return [{"scenario": k, "net": v} for k, v in runs.items()]
+
+
 def task(kernel, schema: str):
     """For applyInPandas: kernel(series) -> records, with the instrument in front."""
     names = [f.split()[0] for f in schema.split(", ")]

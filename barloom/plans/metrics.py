@@ -192,7 +192,10 @@ def str_01(spark, sf_dir):
 
 @query("STR-02")
 def str_02(spark, sf_dir):
-    return scenario_metrics(spark, sf_dir, {f"x{x}_d{d}": FO.scenario(cost_scale=x, delay=d) for x in (0.5, 1.0, 2.0) for d in (0, 1)})
+    """Frozen decisions at each cost level and delay, and decisions that know the level."""
+    levels = (0.5, 1.0, 1.5, 2.0, 3.0)
+    frozen = {f"x{x}_d{d}": FO.scenario(cost_scale=x, delay=d) for x in levels for d in (0, 1, 2, 3)}
+    return scenario_metrics(spark, sf_dir, frozen | {f"adaptive_x{x}": FO.scenario(cost_scale=x, signal_cost_scale=x) for x in levels})
 
 
 @query("STR-03")
@@ -218,7 +221,7 @@ def str_05(spark, sf_dir):
 
 @query("SAN-01")
 def san_01(spark, sf_dir):
-    """Shuffled, reversed and shifted forecasts must lose their edge."""
+    """Reversed and shifted forecasts must lose their edge; SAN-01-refits has shuffled labels and inputs, permutations and costs."""
     rows = sim_rows(spark, sf_dir)
     w = by_time()
     variants = {"base": c("er"), "reversed": -c("er"), "shifted": F.coalesce(F.lag("er", 20).over(w), F.lit(0.0)), "zero": F.lit(0.0)}
@@ -261,14 +264,6 @@ def san_04(spark, sf_dir):
     return df.agg(F.count("*").alias("rows"), F.count_if(~((c("available") <= c("decided")) & (c("decided") <= c("executed")))).alias("violations"))
 
 
-@query("ABL-01")
-def abl_01(spark, sf_dir):
-    rows = sim_rows(spark, sf_dir)
-    base = FO.simulate_frame(rows.withColumn("er", c("er") / 2), {"baseline": BASE}).unionByName(FO.simulate_frame(rows, {"full": BASE}))
-    df = base.select(F.split("key", "/")[0].alias("instrument"), F.split("key", "/")[1].alias("variant"), "pnl")
-    return df.groupBy("instrument").pivot("variant", ["baseline", "full"]).agg(F.sum("pnl")).withColumn("delta", c("full") - c("baseline"))
-
-
 @query("ABL-02")
 def abl_02(spark, sf_dir):
     tags = tag_regimes(ret(spark, sf_dir)).select("instrument", "timestamp", "vol_tag")
@@ -285,14 +280,6 @@ def abl_03(spark, sf_dir):
     return df.groupBy("instrument").agg(*[F.sum(k).alias(k) for k in SABOTAGE])
 
 
-@query("ABL-04")
-def abl_04(spark, sf_dir):
-    a = abl_01(spark, sf_dir)
-    return a.select("instrument", (c("delta") > 0).alias("improves"), (c("full") > 0).alias("profitable"))
-
-
-
-
 @query("BAS-01", sql_of("select instrument, 0.0::double as cash, product(1 + coalesce(exp(r) - 1, 0)) - 1 as buy_hold, sum(case when sigma_h > 0 then least(1, 0.1 / (sigma_h * sqrt(252))) * nr end) as vol_scaled from (select *, lead(r) " + ORDER + " as nr from r1) group by 1", "cash buy_hold vol_scaled", RET))
 def bas_01(spark, sf_dir):
     from barloom.functions.scalars import vol_scaled_exposure

@@ -210,6 +210,32 @@ def run_01_windows(spark, sf_dir):
     return training_rows(spark, sf_dir).groupBy("instrument").applyInPandas(T.task(T.walk, T.WALK), T.WALK)
 
 
+def _tasks(key: str, kernel, schema: str):
+    @query(key)
+    def run(spark, sf_dir):
+        return training_rows(spark, sf_dir).groupBy("instrument").applyInPandas(T.task(kernel, schema), schema)
+
+    return run
+
+
+san_01_refits = _tasks("SAN-01-refits", T.sanity, "instrument string, scenario string, net double, sharpe double, total_return double, n long")
+abl_03_inputs = _tasks("ABL-03-inputs", T.sabotage, "instrument string, family string, mode string, net double")
+bas_01_paths = _tasks("BAS-01-paths", T.baselines, "instrument string, scenario string, net double")
+
+
+@query("ABL-01")
+def abl_01(spark, sf_dir):
+    """Refits with and without each optional family; delta is full against baseline."""
+    schema = "instrument string, family string, baseline double, base_plus double, full_minus double, full double"
+    df = training_rows(spark, sf_dir).groupBy("instrument").applyInPandas(T.task(T.ablation, schema), schema)
+    return df.withColumns({"additive": c("base_plus") - c("baseline"), "marginal": c("full") - c("full_minus"), "delta": c("full") - c("baseline")})
+
+
+@query("ABL-04")
+def abl_04(spark, sf_dir):
+    return abl_01(spark, sf_dir).groupBy("instrument").agg(F.first(c("delta") > 0).alias("improves"), F.first(c("full") > 0).alias("profitable"))
+
+
 @query("RUN-02", "select * from (values (0, 'walkforward'), (1, 'baselines'), (2, 'bootstrap'), (3, 'gates')) t(n, stage)")
 def run_02(spark, sf_dir):
     return spark.createDataFrame(list(enumerate(resolve_stages("walkforward,baselines,bootstrap,gates"))), "n int, stage string")

@@ -16,6 +16,8 @@ TABLES = {"walkforward": "RUN-01-windows", "baselines": "BAS-01", "cost": "STR-0
           "leakage": "SAN-03", "regimes": "AGG-07", "ablation": "ABL-01", "families": "ABL-03", "bootstrap": "STA-01", "holdout": "MOD-10", "reproducibility": "REP-02", "gates": "GAT-01"}
 
 
+#: what a stage stores beside its table, at <stage>_more
+MORE = {"baselines": "BAS-01-paths", "sanity": "SAN-01-refits", "families": "ABL-03-inputs"}
 #: stages whose table has a row for each value of a column and the instruments' rows inside it
 NESTED = {"walkforward": "window", "bootstrap": "metric"}
 
@@ -46,6 +48,8 @@ def run_research(spark: SparkSession, sf_dir: str, spec: str = "quick", run_dir:
         path = f"{run_dir}/{stage}"
         done = {s: spark.read.parquet(p) for _, s, _, p in out}
         (rolled(gates_frame(spark, done)) if stage == "gates" else stage_table(spark, sf_dir, stage)).write.parquet(path)
+        if stage in MORE:
+            QUERIES[MORE[stage]](spark, sf_dir).write.parquet(f"{path}_more")
         out.append((n, stage, spark.read.parquet(path).count(), path))
     return spark.createDataFrame(out, "n int, stage string, rows long, path string")
 

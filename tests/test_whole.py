@@ -94,3 +94,12 @@ def test_folds_and_windows_reach_the_last_row(spark, sf):
         want = {(k, p): v for k, t, a, b in labels.folds(n) for p, v in (("train", t), ("validation", b - a))}
         assert {(r.fold, r.part): r.n for r in got if r.instrument == name} == want
     assert QUERIES["JOI-04-instruments"](spark, sf).count() == sum(n - 300 for n in count.values())
+
+
+def test_every_variant(spark, sf, names):
+    got = {key: QUERIES[key](spark, sf).collect() for key in ("SAN-01-refits", "ABL-01", "ABL-03-inputs", "BAS-01-paths", "STR-02")}
+    per = {key: {i: [r for r in rows if r.instrument == i] for i in names} for key, rows in got.items()}
+    assert all({len(v) for v in per[key].values()} == {n} for key, n in {"SAN-01-refits": 27, "ABL-01": 2, "ABL-03-inputs": 33, "BAS-01-paths": 23, "STR-02": 25}.items())
+    for rows in per["SAN-01-refits"].values():
+        net = {r.scenario: r.net for r in rows}
+        assert net["zero_cost"] >= net["strategy"] >= net["double_cost"] and len(set(net.values())) > 10
