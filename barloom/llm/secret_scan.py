@@ -32,8 +32,8 @@ HEX = re.compile(r"[0-9a-f]+")
 ADDED = [
     (3, ("ghp_", "gho_", "xox", "glpat-", "sk_live_"), re.compile(r"(?:gh[po]_[A-Za-z0-9]{30,}|xox[abprs]-[A-Za-z0-9-]{20,}|glpat-[A-Za-z0-9_-]{20,}|sk_live_[A-Za-z0-9]{20,})")),
     (4, ("earer ",), re.compile(r"[Bb]earer ([A-Za-z0-9._~+/-]{20,}=*)")),
-    (5, ("PRIVATE KEY-----",), re.compile(r"-----BEGIN [A-Z ]{0,20}PRIVATE KEY-----[A-Za-z0-9+/=\s]{40,}")),
-    (6, ("://",), re.compile(r"[a-z][a-z0-9+.-]{1,12}://[^\s:/@]{1,64}:([^\s:/@]{6,64})@")),
+    (5, ("PRIVATE KEY-----",), re.compile(r"-----BEGIN [A-Z ]{0,20}PRIVATE KEY-----(?:\s*[A-Za-z][A-Za-z0-9-]{0,40}:[^\r\n]*[\r\n])*[A-Za-z0-9+/=\s]{40,}")),
+    (6, ("://",), re.compile(r"[a-z][a-z0-9+.-]{1,12}://[^\s:/@]+:([^\s:/@]{6,})@")),
 ]
 _WORDS = ("password", "passwd", "secret", "token", "apikey", "api_key")
 _IS_HEX = np.zeros(256, np.uint8)

@@ -4,6 +4,7 @@ from pyspark.sql import functions as F
 
 import corpus_pipeline
 from barloom.llm.license_scan import scan_licenses
+from barloom.llm.secret_scan import find, redact
 
 BSD = "Redistribution and use in source and binary forms, with or without\n * modification, are permitted provided that the following conditions\n * are met:"
 MIT = "Permission is hereby granted, free of charge, to any person obtaining a copy\nof this software and associated documentation files (the \"Software\"), to deal\nin the Software without restriction"
@@ -16,6 +17,16 @@ def test_wrapped_notices(spark):
     assert got == {0: ("bsd", 1.0), 1: ("mit", 1.0), 2: ("reserved", 1.0), 3: ("", 0.0), 4: ("", 0.0)}
 
 
+def test_long_and_headed_secrets(spark):
+    token = "x" * 65 + "Ab1" * 100
+    key = "-----BEGIN RSA PRIVATE KEY-----\nProc-Type: 4,ENCRYPTED\nDEK-Info: AES-128-CBC,0A1B\n\n" + "QUJD" * 16 + "\n"
+    urls = [f"see https://x-access-token:{token}@host/a", f"ftp://{token}:{token}@host", "https://user:short@host"]
+    assert [[v for k, _, _, v in find(u) if k == 6] for u in urls] == [[token], [token], []]
+    assert [(k, s) for k, s, _, _ in find("a " + key) if k == 5] == [(5, 2)] and find(key)[0][2] == len(key)
+    docs = spark.createDataFrame([(0, "s", urls[0])], "doc_id int, source string, text string")
+    assert redact(docs).first().text == "see <secret>host/a"
+
+
 def test_language_stage_without_labels(spark):
     rows = [(i, t, None, "s", 1) for i, t in enumerate(["plain words of a text", "ünïcode", "12 34 --", "", None])]
     docs = spark.createDataFrame(rows, "doc_id long, text string, lang string, source string, n_chars long")
