@@ -15,6 +15,18 @@ SLICE = 4_000_000
 ROWS = 500
 
 
+_TABLES: list[dict] = []
+
+
+def claim(words: dict | None = None) -> None:
+    """Called where a task begins: of the tables of known words in this Python worker only the task's own stays. Workers live on
+    from stage to stage, and the tables of one stage would else stay in memory through all later ones."""
+    for other in _TABLES:
+        if other is not words:
+            other.clear()
+    _TABLES[:] = [] if words is None else [words]
+
+
 def slices(texts: list[str], most: int = SLICE) -> Iterator[tuple[int, int]]:
     """[start, end) of runs of texts of at most `most` characters, or of one text."""
     start, size = 0, 0

@@ -17,7 +17,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from barloom.llm.batches import map_texts, slices
+from barloom.llm.batches import claim, map_texts, slices
 from barloom.llm.common import table
 from barloom.llm.ngrams import SPACE, flatten, gram_hashes
 
@@ -181,7 +181,11 @@ def fit(learn: DataFrame, sample: int = SAMPLE, id_col: str = "doc_id", text_col
 
 def predict(docs: DataFrame, model: Model, keep: list[str], text_col: str = "text") -> DataFrame:
     """Columns keep, lang_pred and score of each row."""
-    return map_texts(docs, keep, text_col, [("lang_pred", "string"), ("score", "double")], lambda: model.predict)
+    def make():
+        claim()
+        return model.predict
+
+    return map_texts(docs, keep, text_col, [("lang_pred", "string"), ("score", "double")], make)
 
 
 def held_out(id_col: str = "doc_id") -> Column:

@@ -1,10 +1,16 @@
 """Corpus-wide line deduplication.
 
 Lines are exploded with their position, normalised and hashed to 128 bits; distinct documents are counted per hash, and the
-lines of a hash over the threshold go, except in the document with the largest id that holds it. The rest is joined by position.
+lines of a hash over the threshold go, except in its keeper: the document with the largest (or smallest) id that holds it. The
+rest is joined by position.
+
+Copies: a document that takes several lines and much of its text from one keeper is a copy of that document rather than a bearer
+of boilerplate. Without its lines it would be a torso that no near-duplicate search finds any more. With ``whole_copies`` such a
+document keeps all its lines and is left to that search, which can then remove it as a whole; lines are kept once among the others.
 
 Defined cases: null or empty text is one empty line, never dropped. Lines whose key is shorter than ``min_chars`` stay. Rows
-with a null id are not counted and keep all lines. Rows that repeat an id count as one document. Other columns pass through.
+with a null id are not counted and keep all lines. Rows that repeat an id count as one document. Other columns pass through,
+but for own ones named like the two counts, which these replace: give the counts other names where they are to stay.
 """
 
 from __future__ import annotations
@@ -15,6 +21,10 @@ from pyspark.sql import functions as F
 from barloom.llm.common import SPACES, ascii_lower, cut, held, table, whole
 
 
+#: a copy has at least COPY_LINES different lines of one keeper that make up COPY_SHARE of its text, or any that make up COPY_ALL
+COPY_LINES, COPY_SHARE, COPY_ALL = 3, 0.25, 0.95
+
+
 def line_key(line: Column) -> Column:
     return ascii_lower(F.btrim(line, F.lit(SPACES)))
 
@@ -24,33 +34,46 @@ def _lines(text: Column) -> Column:
 
 
 def postings(docs: DataFrame, id_col: str, text_col: str, min_chars: int) -> DataFrame:
-    """(id, text hash, position, key hash) of each line that can be dropped at all."""
+    """(id, text hash, text size, position, length, key hash) of each line that can be dropped at all."""
     lines = docs.where(F.col(id_col).isNotNull() & (F.length(text_col) >= min_chars)).select(
-        F.col(id_col).alias("_id"), F.xxhash64(text_col).alias("_t"), F.posexplode(_lines(F.col(text_col))).alias("_pos", "_line")
+        F.col(id_col).alias("_id"), F.xxhash64(text_col).alias("_t"), F.length(text_col).alias("_size"), F.posexplode(_lines(F.col(text_col))).alias("_pos", "_line")
     )
-    keyed = lines.select("_id", "_t", "_pos", line_key(F.col("_line")).alias("_key")).where(F.length("_key") >= min_chars)
-    return keyed.select("_id", "_t", "_pos", F.xxhash64("_key").alias("_k1"), F.xxhash64(F.lit("second"), "_key").alias("_k2"))
+    keyed = lines.select("_id", "_t", "_size", "_pos", F.length("_line").alias("_len"), line_key(F.col("_line")).alias("_key")).where(F.length("_key") >= min_chars)
+    return keyed.select("_id", "_t", "_size", "_pos", "_len", F.xxhash64("_key").alias("_k1"), F.xxhash64(F.lit("second"), "_key").alias("_k2"))
 
 
-def frequent_lines(posts: DataFrame, min_docs: int) -> DataFrame:
+def frequent_lines(posts: DataFrame, min_docs: int, keep: str = "largest") -> DataFrame:
     """(key hash, id of the document that keeps it); distinct pairs are merged before the shuffle by key."""
-    counted = posts.groupBy("_k1", "_k2").agg(F.count_distinct("_id").alias("_n"), F.max("_id").alias("_keeper"))
+    keeper = {"largest": F.max, "smallest": F.min}[keep]("_id")
+    counted = posts.groupBy("_k1", "_k2").agg(F.count_distinct("_id").alias("_n"), keeper.alias("_keeper"))
     return counted.where(F.col("_n") >= min_docs).select("_k1", "_k2", "_keeper")
 
 
+def _copies(lost: DataFrame) -> DataFrame:
+    """(_id, _t) of documents that are copies of another. lost: the lines that others keep."""
+    by_keeper = lost.groupBy("_id", "_t", "_keeper", "_size").agg(F.collect_set(F.struct("_pos", "_len", "_k1")).alias("_at"))
+    share = F.aggregate("_at", F.lit(0), lambda a, x: a + x["_len"]) / F.col("_size")
+    several = F.size(F.array_distinct("_at._k1")) >= COPY_LINES
+    return by_keeper.where((share >= COPY_ALL) | (several & (share >= COPY_SHARE))).select("_id", "_t").distinct()
+
+
 def dedup_lines(docs: DataFrame, min_chars: int = 20, min_docs: int = 3, id_col: str = "doc_id", text_col: str = "text",
-                n_lines: str = "n_lines", n_dropped: str = "n_dropped") -> DataFrame:
+                n_lines: str = "n_lines", n_dropped: str = "n_dropped", keep: str = "largest", whole_copies: bool = False) -> DataFrame:
     """docs with text_col less its repeated lines, and two long columns added: lines before, lines dropped.
 
     Frequent keys are cut to the shared folder: read from there, both sides of the join are plain exchanges, and adaptive
     execution can split a key that a third of all lines carry.
     """
     posts = postings(docs, id_col, text_col, min_chars)
-    frequent = cut(frequent_lines(posts, min_docs))
-    gone = (
-        posts.join(frequent, ["_k1", "_k2"]).where(F.col("_id") != F.col("_keeper"))
-        .groupBy("_id", "_t").agg(F.collect_set("_pos").alias("_gone"))
-    )
+    if not whole_copies:
+        posts = posts.drop("_size")
+    frequent = cut(frequent_lines(posts, min_docs, keep))
+    carried = posts.join(frequent, ["_k1", "_k2"])
+    if whole_copies:  # the others agree anew on who keeps a line, since a copy may go
+        carried = cut(carried)
+        others = cut(carried.join(cut(_copies(carried.where(F.col("_id") != F.col("_keeper")))), ["_id", "_t"], "left_anti").drop("_keeper"))
+        carried = others.join(cut(frequent_lines(others, 1, keep)), ["_k1", "_k2"])
+    gone = carried.where(F.col("_id") != F.col("_keeper")).groupBy("_id", "_t").agg(F.collect_set("_pos").alias("_gone"))
     rows = docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("_d"))
     rows = rows.join(gone, (F.col(f"_d.`{id_col}`") == F.col("_id")) & (F.xxhash64(F.col(f"_d.`{text_col}`")) == F.col("_t")), "left")
     rows = rows.withColumn("_lines", held(_lines(F.col(f"_d.`{text_col}`"))))

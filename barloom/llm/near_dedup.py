@@ -27,7 +27,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from barloom.llm.batches import ROWS, map_texts, slices
+from barloom.llm.batches import ROWS, claim, map_texts, slices
 from barloom.llm.common import cut, table
 from barloom.llm.components import components
 
@@ -104,10 +104,15 @@ def _describe(texts: list[str | None]) -> list:
     return [n, k1, k2, sig]
 
 
+def _describer():
+    claim(_words)
+    return _describe
+
+
 def describe(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
     """id, n, k1, k2 (128 bits of the set), sig of each row."""
     rows = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("_text"))
-    return map_texts(rows, ["id"], "_text", [("n", "long"), ("k1", "long"), ("k2", "long"), ("sig", "binary")], lambda: _describe)
+    return map_texts(rows, ["id"], "_text", [("n", "long"), ("k1", "long"), ("k2", "long"), ("sig", "binary")], _describer)
 
 
 def _tokens(sig: np.ndarray) -> np.ndarray:
@@ -262,6 +267,7 @@ def _sets_of(docs: DataFrame, wanted: DataFrame, id_col: str, text_col: str) ->
     bit = [F.shiftrightunsigned(F.xxhash64(F.lit(k), F.col("id")), 64 - FILTER_BITS).alias(f"b{k}") for k in (0, 1)]
 
     def run(batches):
+        claim(_words)
         held = words.value
         for part in _parts(batches):
             ok = np.ones(part.num_rows, bool)

@@ -21,7 +21,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from barloom.llm.batches import ROWS, slices
+from barloom.llm.batches import ROWS, claim, slices
 from barloom.llm.common import cut, table
 
 CAPACITY = 2048
@@ -181,7 +181,9 @@ def pack(docs: DataFrame, path: str, capacity: int = CAPACITY, open_bins: int =
          id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """(id, piece, start, length, ids_crc32, sequence_id, offset) of every piece of docs' texts."""
     def run(batches):
-        yield from pack_partition(batches, word_tokenizer(path).encode, TaskContext.get().partitionId(), capacity, open_bins, end_id)
+        tokenizer = word_tokenizer(path)
+        claim(tokenizer.known)
+        yield from pack_partition(batches, tokenizer.encode, TaskContext.get().partitionId(), capacity, open_bins, end_id)
 
     rows = cut(docs.select(F.col(id_col).cast("long").alias("doc"), F.col(text_col).alias("text")).mapInArrow(run, PIECES))
     left = rows.where(F.col("piece").isNull()).select("bin", "open_fill", F.shiftright("bin", 32 + TASKS.bit_length() - 1).alias("tasks"))

@@ -20,7 +20,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from barloom.llm.batches import map_texts, slices
+from barloom.llm.batches import claim, map_texts, slices
 from barloom.llm.common import table
 
 SPACE = "▁"
@@ -224,6 +224,7 @@ def encode_decode(docs: DataFrame, path: str, keep: list[str], text_col: str = "
     """Columns keep, ids (array of int, end id last) and decoded (what the ids decode to)."""
     def make():
         m = model(path)
+        claim(m.known)
 
         def work(texts):
             raw = m.encode([t or "" for t in texts])

@@ -1,4 +1,14 @@
-"""A training corpus from raw documents: language, repeated lines, near-duplicates, secrets, packed sequences."""
+"""A training corpus from raw documents: language, repeated lines, near-duplicates, secrets, packed sequences.
+
+Each stage takes all columns of its documents as one struct, so columns of any other name pass through it, those that an operator
+uses itself (score, lang_pred, n_lines, component_id, ...) included. Defined cases, the same in every stage but the last:
+null texts stay null where the document stays; an empty table gives an empty one; rows that repeat an id are one document, and
+stay or go together; rows without an id are documents of their own. ``n_chars`` changes with the text alone.
+
+What one stage keeps another must not lose: a repeated line stays in the document with the smallest id that holds it, since
+near-duplicates too leave the smallest id of a group; and copies of a whole document keep their lines, so that the
+near-duplicate stage still finds them and removes all but one.
+"""
 
 from __future__ import annotations
 
@@ -16,40 +26,47 @@ from barloom.llm.secret_scan import redact
 LANGUAGE_SCORE = 0.4
 
 
-def with_text(docs: DataFrame, text) -> DataFrame:
-    """The columns of documents with a new text and its length."""
-    return docs.withColumn("text", text).withColumn("n_chars", F.length("text").cast("long"))
+def whole_rows(docs: DataFrame) -> DataFrame:
+    """_d: all columns of a document; doc_id, text, source: what operators read."""
+    return docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("_d"), *[F.col(c) for c in ("doc_id", "text", "source")])
+
+
+def with_text(rows: DataFrame, columns: list[str]) -> DataFrame:
+    """The columns of documents with the text that an operator left beside them, and its length where it is another."""
+    same = F.col("text").eqNullSafe(F.col("_d.text"))
+    new = {"text": F.col("text"), "n_chars": F.when(same, F.col("_d.n_chars")).otherwise(F.length("text").cast("long")) if "n_chars" in columns else None}
+    return rows.select(*[(new[c] if c in new else F.col(f"_d.`{c}`")).alias(c) for c in columns])
 
 
 def language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Drops documents without a letter and those whose language stays unclear; the rest keeps all columns. Where no language can be
-    learned, none is unclear: only documents without a letter go."""
+    learned, none is unclear: only documents without a letter go. A null text has no letter."""
     model = fit(docs.where(~held_out()))
     if not model.languages:
         return docs.where(F.coalesce(F.col("text"), F.lit("")).rlike(r"\p{L}"))
-    judged = predict(docs, model, docs.columns)
-    return judged.where((F.col("lang_pred") != UNKNOWN) & (F.col("score") >= LANGUAGE_SCORE)).select(*docs.columns)
+    judged = predict(whole_rows(docs), model, ["_d"])
+    return judged.where((F.col("lang_pred") != UNKNOWN) & (F.col("score") >= LANGUAGE_SCORE)).select("_d.*")
 
 
 def lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Takes repeated lines out of the texts; every document stays."""
-    out = dedup_lines(docs).select(*docs.columns)
-    return with_text(out, F.col("text")).select(*docs.columns)
+    """Takes repeated lines out of the texts, but for their keepers and for copies of whole documents; every document stays."""
+    return with_text(dedup_lines(whole_rows(docs), keep="smallest", whole_copies=True), docs.columns)
 
 
 def near(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Keeps the document with the smallest id of each component of near-duplicates."""
-    kept = near_duplicates(docs).where("kept").select(F.col("doc_id").alias("_kept")).distinct()
-    return docs.join(kept, F.col("doc_id").eqNullSafe(F.col("_kept"))).select(*docs.columns)
+    """Keeps the document with the smallest id of each component of near-duplicates; texts without a word have none."""
+    kept = near_duplicates(docs.select("doc_id", "text")).where("kept").select(F.col("doc_id").alias("_kept")).distinct()
+    rows = whole_rows(docs).select("_d", "doc_id")
+    return rows.join(kept, F.col("doc_id").eqNullSafe(F.col("_kept"))).select("_d.*")
 
 
 def secrets(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Replaces live-looking secrets by a mark; every document stays."""
-    return with_text(redact(docs), F.col("text")).select(*docs.columns)
+    return with_text(redact(whole_rows(docs)), docs.columns)
 
 
 def packing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Pieces of all documents, packed into sequences."""
+    """Pieces of all documents, packed into sequences. A null text is an empty one; repeated rows are packed once each."""
     import public_tokenizers
 
     return pack(docs, public_tokenizers.path("word_bpe_49k.json"))
