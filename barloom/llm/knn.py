@@ -1,29 +1,40 @@
 """Exact top-k search by a Voronoi kNN join.
 
-Vectors are integers (floor of SCALE times each component) and scored by inner product. With one more coordinate that brings
-every candidate to the largest norm, a larger inner product is a smaller distance, so the triangle inequality holds:
-queries and candidates are assigned to their nearest pivots; from the cells' summaries (radii, smallest distances to the pivot)
-each group of queries gets a bound on the distance of its k-th neighbour; a candidate goes to a group of queries only if it can
-be that near. Groups are solved locally in blocks of queries and hashed parts of candidates, and each part's k best are merged.
-Scores are exact integers; distances only decide what is sent, with a margin for rounding.
+Vectors are integers (floor of SCALE times each component), scored by inner product.
+
+1. A sample of rows is drawn by hash of their id; pivots are picked from it one by one, each the farthest from those before, so
+   that every cluster gets one and cells stay narrow. Every row belongs to the cell of its nearest pivot; a cell's summary is its
+   radius (largest distance to the pivot) and its largest norm.
+2. Cells go to groups by the nearest of a few pivots (the first ones picked), so that a group holds about PART rows; larger groups
+   are split into parts by the hash of ids, whatever vector or cell their rows share.
+3. A query's k-th best score is at least its k-th best among the sample, which are rows themselves. A cell with pivot p, radius r
+   and largest norm m holds no score above min(q.p + |q| r, |q| m) (Cauchy-Schwarz), so a query is sent only to groups with a cell
+   that can reach its bound. Candidates stay: each is shuffled once, to its own part, and only if a query needs its cell; queries
+   are what is replicated.
+4. A part is solved locally, cell by cell from the most promising, skipping those that can't reach the k-th best found so far.
+   The k best of each part are merged.
+
+Scores are exact integers; bounds only decide what is sent and scored, with a margin for rounding. Bounds on sizes: at most
+MOST_PIVOTS pivots and SEEDS times as many sample rows (their vectors, and one summary row for each pivot, reach the driver and
+every task); there are about sqrt(rows) pivots below that. Vectors without clusters can't be pruned by any such bound: each query then goes to each part, and all pairs are scored.
 
 Defined cases: vectors that are null or empty, or hold null or non-finite components, take no part; nor do rows without an id.
 Repeated equal rows count once. Shorter vectors are taken as followed by zeros. Ties go to the smaller id. A query has fewer than
-k rows where there are fewer candidates. A vector that very many rows share is spread by the hash of its rows' ids.
+k rows where there are fewer candidates.
 """
 
 from __future__ import annotations
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from barloom.llm.common import cut, table
 
 SCALE, K = 256, 5
-#: queries to a pivot (pivots: 2 to MOST_PIVOTS), queries of a block, candidates of a part
-QUERIES, MOST_PIVOTS, BLOCK, PART = 128, 256, 512, 20_000
+#: sample rows for each pivot, rows of a part, queries of one task, queries scored at once
+MOST_PIVOTS, SEEDS, PART, QUERIES, BLOCK = 2048, 4, 8192, 50_000, 512
 MARGIN = 1e-6
 
 
@@ -42,11 +53,6 @@ def integers(column: pa.Array, width: int) -> np.ndarray:
     return out
 
 
-def _distances(x: np.ndarray, lift: np.ndarray, pivots: np.ndarray, pivot_lift: np.ndarray) -> np.ndarray:
-    square = (x * x).sum(axis=1)[:, None] + (pivots * pivots).sum(axis=1)[None, :] - 2 * x @ pivots.T + (lift[:, None] - pivot_lift[None, :]) ** 2
-    return np.sqrt(np.maximum(square, 0))
-
-
 def _scores(q: np.ndarray, x: np.ndarray) -> np.ndarray:
     """Exact inner products: in doubles while they are exact there, else in 64-bit integers."""
     if len(q) and len(x) and np.abs(q).max() * np.abs(x).max() * q.shape[1] >= 2**53:
@@ -54,86 +60,185 @@ def _scores(q: np.ndarray, x: np.ndarray) -> np.ndarray:
     return (q @ x.T).astype(np.int64)
 
 
-def _best(table_: pa.Table, width: int, k: int) -> pa.Table:
-    """The k best candidates of a part for each query of a block."""
-    is_query = table_.column("is_query").to_numpy(zero_copy_only=False).astype(bool)
-    ids, vectors = table_.column("id").to_numpy(), integers(table_.column("v").combine_chunks(), width)
-    order = np.argsort(ids[~is_query], kind="stable")
-    c_ids, c = ids[~is_query][order], vectors[~is_query][order]
-    q_ids, q = ids[is_query], vectors[is_query]
-    out = [[], [], []]
-    for a in range(0, len(q_ids), 64):
-        s = _scores(q[a : a + 64], c)
-        for row, query in enumerate(q_ids[a : a + 64]):
-            own = s[row]
-            keep = c_ids != query
-            if keep.sum() > k:
-                least = np.partition(own[keep], keep.sum() - k)[keep.sum() - k]
-                keep &= own >= least
-            at = np.flatnonzero(keep)
-            at = at[np.argsort(-own[at], kind="stable")][:k]
-            out[0] += [query] * len(at)
-            out[1] += c_ids[at].tolist()
-            out[2] += own[at].tolist()
-    return pa.table({n: pa.array(np.array(x, np.int64)) for n, x in zip(("query_id", "vec_id", "score"), out, strict=True)})
+def _norms(x: np.ndarray) -> np.ndarray:
+    return np.sqrt((x * x).sum(axis=1))
 
 
-def top_k(vectors: DataFrame, is_query: Column, k: int = K, id_col: str = "vec_id", vec_col: str = "embedding") -> DataFrame:
-    """query_id, rank (from 1), vec_id, score of the k best rows for each row that is_query (a condition on id_col) holds for."""
-    rows = vectors.select(F.col(id_col).cast("long").alias("id"), is_query.alias("is_query"), F.col(vec_col).cast("array<double>").alias("v"))
-    rows = rows.where(F.col("id").isNotNull() & usable(F.col("v"))).select("id", F.coalesce("is_query", F.lit(False)).alias("is_query"), "v").distinct()
-    square = F.aggregate("v", F.lit(0.0), lambda a, x: a + F.floor(SCALE * x) * F.floor(SCALE * x).cast("double"))
-    rows = cut(rows)
-    n, n_queries, norm, width = rows.agg(F.count("*"), F.count_if("is_query"), F.max(square), F.max(F.size("v"))).first()
-    schema = "query_id long, vec_id long, score long"
-    if not n_queries:
-        return vectors.sparkSession.createDataFrame([], "query_id long, rank int, vec_id long, score long")
-    count = min(MOST_PIVOTS, max(2, -(-n_queries // QUERIES)))
-    picked = rows.orderBy(F.xxhash64("id"), "id").limit(count).select("v").toArrow().column("v").combine_chunks()
-    pivots = np.unique(integers(picked, width), axis=0)
-    lifts = np.sqrt(np.maximum(norm - (pivots * pivots).sum(axis=1), 0))
+def farthest_first(x: np.ndarray, count: int) -> np.ndarray:
+    """Places of at most `count` rows, each the farthest from those picked before; equal rows are picked once."""
+    picked, distance = [0], ((x - x[0]) ** 2).sum(axis=1)
+    while len(picked) < count and distance.max() > 0:
+        picked.append(int(distance.argmax()))
+        distance = np.minimum(distance, ((x - x[picked[-1]]) ** 2).sum(axis=1))
+    return np.array(picked)
+
+
+class Cells:
+    """Pivots, the summaries of their cells, and the sample."""
+
+    def __init__(self, ids: np.ndarray, seeds: np.ndarray, count: int, groups: int):
+        self.ids, self.seeds = ids, seeds
+        self.pivots = seeds[farthest_first(seeds, count)]
+        self.square = (self.pivots * self.pivots).sum(axis=1)
+        self.group = self._nearest(self.pivots, min(groups, len(self.pivots)))[0]
+        pivots = self.pivots
+        self.radius, self.norm, self.filled = np.zeros(len(pivots)), np.zeros(len(pivots)), np.zeros(len(pivots), bool)
+
+    def _nearest(self, x: np.ndarray, among: int) -> tuple[np.ndarray, np.ndarray]:
+        at, distance = np.zeros(len(x), np.int32), np.zeros(len(x))
+        for a in range(0, len(x), 1024):
+            part = x[a : a + 1024]
+            d = self.square[None, :among] - 2 * part @ self.pivots[:among].T
+            own = d.argmin(axis=1)
+            at[a : a + 1024] = own
+            distance[a : a + 1024] = np.sqrt(((part - self.pivots[own]) ** 2).sum(axis=1))
+        return at, distance
+
+    def assign(self, x: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        return self._nearest(x, len(self.pivots))
+
+    def summarise(self, cell: np.ndarray, radius: np.ndarray, norm: np.ndarray) -> None:
+        self.radius[cell], self.norm[cell], self.filled[cell] = radius, norm, True
+
+    def most(self, q: np.ndarray) -> np.ndarray:
+        """For each query and cell a score that no row of the cell exceeds."""
+        size = _norms(q)[:, None]
+        bound = np.minimum(q @ self.pivots.T + size * self.radius[None, :], size * self.norm[None, :])
+        return np.where(self.filled[None, :], bound + np.abs(bound) * MARGIN + MARGIN, -np.inf)
+
+    def least(self, ids: np.ndarray, q: np.ndarray, k: int) -> np.ndarray:
+        """A score that each query's k-th best row reaches: its k-th best in the sample."""
+        s = np.where(self.ids[None, :] == ids[:, None], -np.inf, _scores(q, self.seeds).astype(float))
+        return np.partition(s, -k, axis=1)[:, -k] if s.shape[1] >= k else np.full(len(q), -np.inf)
+
+    def reached(self, ids: np.ndarray, q: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray]:
+        """(row, cell) pairs: the cells that may hold one of a query's k best."""
+        pairs = [np.nonzero(self.most(q[a : a + 256]) >= self.least(ids[a : a + 256], q[a : a + 256], k)[:, None]) for a in range(0, len(q), 256)]
+        return np.concatenate([i + 256 * n for n, (i, _) in enumerate(pairs)]), np.concatenate([c for _, c in pairs])
+
+
+def _distinct(ids: np.ndarray, cell: np.ndarray, x: np.ndarray) -> np.ndarray:
+    """Places of the rows by cell, then id; equal rows once."""
+    order = np.lexsort((ids, cell))
+    near = np.flatnonzero((ids[order][1:] == ids[order][:-1]) & (cell[order][1:] == cell[order][:-1]))
+    keep, seen = np.ones(len(order), bool), set()
+    for i in np.union1d(near, near + 1).tolist():
+        row = (int(ids[order[i]]), x[order[i]].tobytes())
+        keep[i] = row not in seen
+        seen.add(row)
+    return order[keep]
+
+
+def solve_part(part: pa.Table, cells: Cells, width: int, k: int) -> tuple[list[np.ndarray], int]:
+    """(query_id, vec_id, score) columns of the k best candidates of a part for each of its queries, and the pairs scored."""
+    is_query = part.column("is_query").to_numpy(zero_copy_only=False).astype(bool)
+    ids, cell, x = part.column("id").to_numpy(), part.column("cell").to_numpy(), integers(part.column("v").combine_chunks(), width)
+    order = np.flatnonzero(~is_query)
+    order = order[_distinct(ids[order], cell[order], x[order])]
+    c_ids, c = ids[order], x[order]
+    own, starts = np.unique(cell[order], return_index=True)
+    ends = np.r_[starts[1:], len(order)]
+    pairs, out = 0, []
+    for lo in range(0, int(is_query.sum()) if len(order) else 0, BLOCK):
+        at = np.flatnonzero(is_query)[lo : lo + BLOCK]
+        q_ids, q = ids[at], x[at]
+        least, most = cells.least(q_ids, q, k), cells.most(q)[:, own]
+        best, found = np.full((len(q), k), -np.inf), []
+        for j in np.argsort(-most.max(axis=0), kind="stable"):
+            a, b = starts[j], ends[j]
+            rows = np.flatnonzero(most[:, j] >= np.maximum(least, best[:, 0]))
+            if not len(rows):
+                continue
+            s = _scores(q[rows], c[a:b])
+            pairs += s.size
+            mine = np.where(c_ids[None, a:b] == q_ids[rows][:, None], -np.inf, s.astype(float))
+            best[rows] = np.sort(np.partition(np.concatenate([best[rows], mine], axis=1), -k, axis=1)[:, -k:], axis=1)
+            i, e = np.nonzero((mine >= best[rows][:, :1]) & (mine > -np.inf))
+            found.append((rows[i], c_ids[a:b][e], s[i, e]))
+        if found:
+            row, vec, score = (np.concatenate(f) for f in zip(*found, strict=True))
+            by = np.lexsort((vec, -score, row))
+            row, vec, score = row[by], vec[by], score[by]
+            first = np.searchsorted(row, np.arange(len(q)))
+            top = np.arange(len(row)) - first[row] < k
+            out.append((q_ids[row[top]], vec[top], score[top]))
+    return [np.concatenate(f) for f in zip(*out, strict=True)] if out else [np.empty(0, np.int64)] * 3, pairs
+
+
+def voronoi_cells(rows: DataFrame, n: int, width: int) -> tuple[Cells, DataFrame]:
+    """Pivots with the summaries of their cells, and the rows with their cell, cut to the shared folder."""
+    count = int(min(MOST_PIVOTS, max(2, np.ceil(np.sqrt(n)))))
+    picked = rows.orderBy(F.xxhash64("id"), "id").select("id", "v").limit(SEEDS * count).toArrow()
+    ids, seeds = picked.column("id").to_numpy(), integers(picked.column("v").combine_chunks(), width)
+    at = _distinct(ids, np.zeros(len(ids), np.int32), seeds)
+    cells = Cells(ids[at], seeds[at], count, int(max(1, -(-n // PART))))
 
     def assign(batches):
         for b in batches:
-            if not b.num_rows:
-                continue
             x = integers(b.column("v"), width)
-            lift = np.sqrt(np.maximum(norm - (x * x).sum(axis=1), 0))
-            d, q = _distances(x, lift, pivots, lifts), _distances(x, np.zeros(len(x)), pivots, lifts)
-            names = [*b.schema.names, "cell", "d", "query_cell", "query_d"]
-            yield pa.RecordBatch.from_arrays([*b.columns, pa.array(d.argmin(axis=1).astype(np.int32)), pa.array(d.min(axis=1)), pa.array(q.argmin(axis=1).astype(np.int32)), pa.array(q.min(axis=1))], names=names)
+            cell, d = cells.assign(x)
+            yield pa.RecordBatch.from_arrays([*b.columns, pa.array(cell), pa.array(d), pa.array(_norms(x))], names=[*b.schema.names, "cell", "d", "norm"])
+
+    kind = rows.schema["v"].dataType.simpleString()
+    rows = cut(rows.mapInArrow(assign, f"id long, is_query boolean, v {kind}, cell int, d double, norm double"))
+    summary = rows.groupBy("cell").agg(F.max("d").alias("d"), F.max("norm").alias("norm"), F.count("*").alias("n")).toPandas()  # a row for each pivot
+    cells.summarise(summary["cell"].to_numpy(), summary["d"].to_numpy(), summary["norm"].to_numpy())
+    size = np.bincount(cells.group[summary["cell"].to_numpy()], summary["n"].to_numpy(), minlength=len(cells.group))
+    cells.parts = np.maximum(1, -(-size // PART)).astype(int)
+    return cells, rows
 
-    rows = cut(rows.mapInArrow(assign, "id long, is_query boolean, v array<double>, cell int, d double, query_cell int, query_d double"))
 
-    def nearest(batches):
-        kept: dict[int, np.ndarray] = {}
+def route(rows: DataFrame, cells: Cells, width: int, k: int) -> DataFrame:
+    """(id, v, group, cells) for each query and each group that it must see, with the cells it may need there."""
+    def run(batches):
         for b in batches:
-            cell, d = b.column(0).to_numpy(), b.column(1).to_numpy()
-            for c in np.unique(cell):
-                kept[int(c)] = np.sort(np.r_[kept.get(int(c), np.empty(0)), d[cell == c]])[: k + 1]
-        pairs = [(c, x) for c, own in kept.items() for x in own.tolist()]
-        yield pa.RecordBatch.from_arrays([pa.array([c for c, _ in pairs], pa.int32()), pa.array([x for _, x in pairs], pa.float64())], names=["cell", "d"])
-
-    near = rows.select("cell", "d").mapInArrow(nearest, "cell int, d double").groupBy("cell").agg(F.slice(F.sort_array(F.collect_list("d")), 1, k + 1).alias("near")).collect()
-    radius = {r[0]: (r[1], r[2]) for r in rows.where("is_query").groupBy("query_cell").agg(F.max("query_d"), F.count("*")).collect()}
-    between = _distances(pivots, lifts, pivots, lifts)
-    sends = []
-    for i, (far, own) in radius.items():
-        bound = np.sort(np.concatenate([far + between[i, r["cell"]] + np.array(r["near"]) for r in near]))
-        bound = bound[k] if len(bound) > k else np.inf
-        sends += [(j, i, float(max(between[i, j] - far - bound, 0) * (1 - MARGIN) - MARGIN) if np.isfinite(bound) else 0.0, int(-(-own // BLOCK))) for j in range(len(pivots))]
-    plan = F.broadcast(vectors.sparkSession.createDataFrame(sends, "cell int, group int, least double, blocks int"))  # at most MOST_PIVOTS squared rows
-    parts = int(max(1, -(-n // PART)))
-    block = F.pmod(F.xxhash64("id"), F.col("blocks")).cast("int")
-    sent = rows.join(plan, "cell").where(F.col("d") >= F.col("least")).select(
-        "group", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("block"), F.pmod(F.xxhash64("id"), F.lit(parts)).cast("int").alias("part"), "id", F.lit(False).alias("is_query"), "v")
-    blocks = F.broadcast(vectors.sparkSession.createDataFrame(sorted({(i, b) for _, i, _, b in sends}), "group int, blocks int"))
-    asked = rows.where("is_query").join(blocks, F.col("query_cell") == F.col("group")).select(
-        "group", block.alias("block"), F.explode(F.sequence(F.lit(0), F.lit(parts - 1))).alias("part"), "id", F.lit(True).alias("is_query"), "v")
-    solved = sent.unionByName(asked).groupBy("group", "block", "part").applyInArrow(lambda t: _best(t, width, k), schema)
-    best = F.slice(F.sort_array(F.collect_list(F.struct((-F.col("score")).alias("s"), F.col("vec_id").alias("i")))), 1, k)
-    ranked = solved.groupBy("query_id").agg(best.alias("b")).select("query_id", F.posexplode("b").alias("p", "b"))
-    return ranked.select("query_id", (F.col("p") + 1).cast("int").alias("rank"), F.col("b.i").alias("vec_id"), (-F.col("b.s")).alias("score"))
+            row, cell = cells.reached(b.column("id").to_numpy(), integers(b.column("v"), width), k) if b.num_rows else (np.empty(0, int), np.empty(0, int))
+            group = cells.group[cell]
+            order = np.lexsort((cell, group, row))
+            row, cell, group = row[order], cell[order], group[order]
+            start = np.flatnonzero(np.r_[True, (row[1:] != row[:-1]) | (group[1:] != group[:-1])]) if len(row) else row
+            lists = pa.ListArray.from_arrays(pa.array(np.r_[start, len(row)].astype(np.int32)), pa.array(cell.astype(np.int32)))
+            yield pa.RecordBatch.from_arrays([b.column("id").take(pa.array(row[start])), b.column("v").take(pa.array(row[start])), pa.array(group[start].astype(np.int32)), lists], names=["id", "v", "group", "cells"])
+
+    return rows.where("is_query").select("id", "v").distinct().mapInArrow(run, f"id long, v {rows.schema['v'].dataType.simpleString()}, group int, cells array<int>")
+
+
+def dealt(rows: DataFrame, routes: DataFrame, cells: Cells) -> DataFrame:
+    """Candidates and queries with the (group, part, block) they meet in. A cell that no query needs isn't sent at all. Only where
+    more than QUERIES queries see a group does it get several blocks of them, to each of which its candidates are copied."""
+    spark = rows.sparkSession
+    asked = {r["group"]: -(-r["n"] // QUERIES) for r in routes.groupBy("group").agg(F.count("*").alias("n")).collect()}  # at most a row for each pivot
+    needed = sorted(r[0] for r in routes.select(F.explode("cells")).distinct().collect())  # the same
+    of_cell = F.broadcast(spark.createDataFrame([(c, int(cells.group[c]), int(cells.parts[cells.group[c]]), asked[int(cells.group[c])]) for c in needed], "cell int, group int, parts int, blocks int"))
+    of_group = F.broadcast(spark.createDataFrame([(g, int(cells.parts[g]), n) for g, n in sorted(asked.items())], "group int, parts int, blocks int"))
+    every = lambda n: F.explode(F.sequence(F.lit(0), F.col(n) - 1))
+    one = lambda n: F.pmod(F.xxhash64("id"), F.col(n)).cast("int")
+    candidates = rows.join(of_cell, "cell").select("group", one("parts").alias("part"), every("blocks").alias("block"), F.lit(False).alias("is_query"), "id", "cell", "v")
+    queries = routes.join(of_group, "group").select("group", every("parts").alias("part"), one("blocks").alias("block"), F.lit(True).alias("is_query"), "id", F.lit(-1).alias("cell"), "v")
+    return candidates.unionByName(queries)
+
+
+def top_k(vectors: DataFrame, is_query: Column, k: int = K, id_col: str = "vec_id", vec_col: str = "embedding") -> DataFrame:
+    """query_id, rank (from 1), vec_id, score of the k best rows for each row that is_query (a condition on id_col) holds for."""
+    v = F.col(vec_col)
+    if vectors.select(v).schema[0].dataType.simpleString() != "array<float>":
+        v = v.cast("array<double>")
+    rows = vectors.select(F.col(id_col).cast("long").alias("id"), F.coalesce(is_query, F.lit(False)).alias("is_query"), v.alias("v")).where(F.col("id").isNotNull() & usable(F.col("v")))
+    n, n_queries, width = rows.agg(F.count("*"), F.count_if("is_query"), F.max(F.size("v"))).first()
+    if not n_queries:
+        return vectors.sparkSession.createDataFrame([], "query_id long, rank int, vec_id long, score long")
+    cells, rows = voronoi_cells(rows, n, width)
+    routes = cut(route(rows, cells, width, k))
+    if routes.isEmpty():  # a single row
+        return vectors.sparkSession.createDataFrame([], "query_id long, rank int, vec_id long, score long")
+
+    def solve(part: pa.Table) -> pa.Table:
+        out, _ = solve_part(part, cells, width, k)
+        return pa.table({n: pa.array(x, pa.int64()) for n, x in zip(("query_id", "vec_id", "score"), out, strict=True)})
+
+    solved = dealt(rows, routes, cells).groupBy("group", "part", "block").applyInArrow(solve, "query_id long, vec_id long, score long")
+    best = Window.partitionBy("query_id").orderBy(F.desc("score"), "vec_id")
+    return solved.withColumn("rank", F.row_number().over(best)).where(F.col("rank") <= k).select("query_id", "rank", "vec_id", "score")
 
 
 def op10_exact_top_k(spark, sf_dir):

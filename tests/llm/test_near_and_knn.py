@@ -115,3 +115,37 @@ def test_top_k_few(spark):
     assert [tuple(r) for r in top_k(frame, frame.vec_id % 50 == 0).orderBy("rank").collect()] == [(0, 1, 8, 768 * 256), (0, 2, 7, 128 * 256 + 128 * 512)]
     assert top_k(frame.where("vec_id > 5"), frame.vec_id % 50 == 0).count() == 0
     assert top_k(frame.where("vec_id > 50"), frame.vec_id % 50 == 0).count() == 0
+
+
+def test_pruning_on_clustered_vectors(spark):
+    """Queries go to few groups, and few of all pairs are scored; the result stays exact."""
+    from pyspark.sql import functions as F
+
+    from barloom.llm import knn
+
+    rng = np.random.default_rng(4)
+    centres = rng.normal(size=(40, 32)) * 3
+    rows = [(i, (centres[i % 40] + 0.1 * rng.normal(size=32)).tolist()) for i in range(4000)]
+    old, knn.PART = knn.PART, 250
+    try:
+        frame = vectors(spark, rows).repartition(4)
+        plain = frame.select(F.col("vec_id").alias("id"), (F.col("vec_id") % 50 == 0).alias("is_query"), F.col("embedding").alias("v"))
+        cells, placed = knn.voronoi_cells(plain, 4000, 32)
+        routes = knn.route(placed, cells, 32, 5)
+        groups = len(set(cells.group.tolist()))
+        assert groups >= 8 and routes.count() < 0.3 * 80 * groups
+        sent = knn.dealt(placed, routes, cells).toArrow()
+        assert (~sent.column("is_query").to_numpy(zero_copy_only=False)).sum() <= 4000
+        keys = sorted({(g, p, b) for g, p, b in zip(*(sent.column(c).to_pylist() for c in ("group", "part", "block")), strict=True)})
+        import pyarrow.compute as pc
+
+        pairs = sum(knn.solve_part(sent.filter(pc.and_(pc.and_(pc.equal(sent["group"], g), pc.equal(sent["part"], p)), pc.equal(sent["block"], b))), cells, 32, 5)[1] for g, p, b in keys)
+        assert pairs < 0.1 * 80 * 4000
+        old_queries, knn.QUERIES = knn.QUERIES, 3
+        got = sorted(tuple(r) for r in top_k(frame, frame.vec_id % 50 == 0).collect())
+        knn.QUERIES = old_queries
+    finally:
+        knn.PART = old
+    con = duckdb.connect()
+    con.register("embeddings", frame.select("vec_id", "embedding").toPandas())
+    assert got == sorted(con.execute(OP10_SQL).fetchall())
