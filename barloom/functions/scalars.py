@@ -85,15 +85,15 @@ def decide(er: Column, cost: Column, adverse: Column, uncertainty: Column, stres
         net = size - cost - fees - adverse - BUFFER - uncertainty
         required = MIN_EDGE * edge
         confidence = F.least(F.lit(1.0), net / (CONFIDENCE_MULTIPLE * F.greatest(cost + fees, F.lit(MIN_EDGE)) * edge + EPS))
-        trade = net > required
+        deal = net > required
     else:
         required = COST_MULTIPLE * cost * edge
         net = size - required
         confidence = F.least(F.lit(1.0), size / (CONFIDENCE_MULTIPLE * cost * edge + EPS))
-        trade = net > 0
-    trade = trade & finite(er)
-    reason = F.when(~finite(er), "non-finite forecast").when(~trade, "edge below requirement").otherwise("")
-    return F.struct(F.when(trade, F.signum(er)).otherwise(0.0).cast("int").alias("direction"), F.when(trade, confidence).otherwise(0.0).alias("confidence"),
+        deal = net > 0
+    deal = deal & finite(er)
+    reason = F.when(~finite(er), "non-finite forecast").when(~deal, "edge below requirement").otherwise("")
+    return F.struct(F.when(deal, F.signum(er)).otherwise(0.0).cast("int").alias("direction"), F.when(deal, confidence).otherwise(0.0).alias("confidence"),
                     net.alias("net"), required.alias("required"), exposure.alias("exposure_factor"), reason.alias("reason"))
 
 

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import numpy as np
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 from pyspark.sql.window import WindowSpec
@@ -71,16 +72,24 @@ def safe_corr(a, b, n: int) -> Column:
 
 
 def corr_with_index(x, n: int) -> Column:
-    """Correlation of the last n values with their order; 0 where they don't vary. The index is centred at the window's end,
-    so that sums stay small on long series: it comes from moments of the row number."""
-    row = F.row_number().over(by_time()).cast("double")
+    """Correlation of the last n values with their order; 0 where they don't vary. The covariance is updated around running means,
+    so it doesn't lose digits where row numbers are large."""
     w = trailing(n)
     spread = ((n * n - 1) / 12.0) ** 0.5
-    mean_row = row - (n - 1) / 2.0
-    cross = F.avg(_c(x) * row).over(w) - F.avg(_c(x)).over(w) * mean_row
+    cross = F.covar_pop(_c(x), F.row_number().over(by_time()).cast("double")).over(w)
     return full(x, n, F.coalesce(F.try_divide(cross, F.stddev_pop(_c(x)).over(w) * spread), F.lit(0.0)))
 
 
+def np_robust_z(x: np.ndarray, n: int, eps: float = EPS) -> np.ndarray:
+    """robust_z of an array in time order, some windows at a time."""
+    out = np.full(len(x), np.nan)
+    for a in range(0, len(x) - n + 1, 2048):
+        v = np.lib.stride_tricks.sliding_window_view(x, n)[a : a + 2048]
+        median = np.median(v, axis=1)
+        out[a + n - 1 : a + n - 1 + len(v)] = (v[:, -1] - median) / (1.4826 * np.median(np.abs(v - median[:, None]), axis=1) + eps)
+    return out
+
+
 def convolve(x, weights: list[float]) -> Column:
     """Sum of weights[k] * x(t - k), null until all taps are there and where one is null."""
     n = len(weights)

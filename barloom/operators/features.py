@@ -4,13 +4,17 @@ from __future__ import annotations
 
 import math
 
+import numpy as np
+import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 from pyspark.sql.window import Window
 
-from barloom.functions.windows import EPS, corr_with_index, ewma_variance, lag, robust_z, rolling_std, safe_corr
-from barloom.operators.fractional import transform
-from barloom.sources.bars import KEY, by_time, trailing
+from barloom.functions.windows import EPS, corr_with_index, ewma_weights, lag, np_robust_z, robust_z, rolling_std, safe_corr
+from barloom.operators.chunks import CHUNK, map_chunks
+from barloom.operators.fractional import MAX_LAGS, np_transform
+from barloom.sources.bars import KEY, TIME, by_time, trailing
 
 LAGS, VOLS = (1, 2, 4, 8, 16), (10, 50, 200)
 
@@ -26,16 +30,26 @@ def return_features(df: DataFrame, lags=LAGS) -> DataFrame:
     return df.withColumns({f"return_{k}": (F.col("log_close") - lag("log_close", k)) / (F.col("sigma_h") * math.sqrt(k) + EPS) for k in lags})
 
 
-def volatility_features(df: DataFrame, vols=VOLS) -> DataFrame:
+def volatility_features(df: DataFrame, vols=VOLS, range_z: bool = True) -> DataFrame:
     s = {n: rolling_std("r", n) for n in vols}
     out = df.withColumns({f"vol_{n}": F.log(c + EPS) for n, c in s.items()})
-    return out.withColumns({"vol_ratio_short": s[10] / (s[50] + EPS), "vol_ratio_long": s[50] / (s[200] + EPS), "range_z": robust_z("range_rel", 250),
+    return out.withColumns({"vol_ratio_short": s[10] / (s[50] + EPS), "vol_ratio_long": s[50] / (s[200] + EPS), **({"range_z": robust_z("range_rel", 250)} if range_z else {}),
                             "close_location": (2 * F.col("close") - F.col("high") - F.col("low")) / (F.col("high") - F.col("low") + EPS)})
 
 
 def fractional_volatility(df: DataFrame, decay: float = 0.94, window: int = 450, d: float = 0.4) -> DataFrame:
-    out = df.withColumn("ewma_variance", ewma_variance("r", decay, window))
-    return out.withColumn("_lv", F.log(F.col("ewma_variance") + EPS)).withColumn("fractional_volatility", transform("_lv", d)).drop("_lv")
+    """df with fractional_volatility and range_z, in an Arrow pass for each key of df (a chunk, within in_chunks)."""
+    taps = np.array(ewma_weights(decay, window))
+
+    def run(pdf: pd.DataFrame) -> pd.DataFrame:
+        pdf = pdf.sort_values(TIME)
+        r, value = pdf["r"].to_numpy(float), np.full(len(pdf), np.nan)
+        if len(r) >= window:
+            value[window - 1 :] = np.log(np.convolve(r * r, taps, "valid") + EPS)
+        return pdf.assign(fractional_volatility=np_transform(value, d), range_z=np_robust_z(pdf["range_rel"].to_numpy(float), 250))
+
+    schema = T.StructType([*df.schema.fields, *[T.StructField(n, T.DoubleType()) for n in ("fractional_volatility", "range_z")]])
+    return df.groupBy(KEY).applyInPandas(run, schema)
 
 
 def volume_features(df: DataFrame, window: int = 50) -> DataFrame:
@@ -43,19 +57,28 @@ def volume_features(df: DataFrame, window: int = 50) -> DataFrame:
     return out.withColumns({"volume_z": robust_z("_v", window), "volume_change": F.col("_v") - lag("_v", 1)}).drop("_v")
 
 
-def fractional_features(df: DataFrame, adaptive_d: float = 0.35, window: int = 250) -> DataFrame:
-    """Levels, robust z, slopes and curvature of four orders, and differences across scales."""
-    orders = {"adaptive": adaptive_d, "025": 0.25, "050": 0.50, "075": 0.75}
-    out = df.withColumns({f"fd_{n}": transform("log_close", d) for n, d in orders.items()})
-    more: dict[str, Column] = {}
-    for n in orders:
-        c = f"fd_{n}"
-        more |= {f"{c}_z": robust_z(c, window), f"fd_slope_1_{n}": F.col(c) - lag(c, 1), f"fd_slope_4_{n}": F.col(c) - lag(c, 4),
-                 f"fd_curvature_{n}": F.col(c) - 2 * lag(c, 1) + lag(c, 2)}
-    out = out.withColumns(more)
-    z = lambda n: F.col(f"fd_{n}_z")
-    return out.withColumns({"fd_cross_sm": z("025") - z("050"), "fd_cross_mf": z("050") - z("075"), "fd_cross_sf": z("025") - z("075"),
-                            "fractional_state": F.abs(z("025")) / (F.abs(z("075")) + 0.1)})
+FRACTIONAL = {"adaptive": 0.35, "025": 0.25, "050": 0.50, "075": 0.75}
+FRACTIONAL_NAMES = [f"fd_{n}{s}" for n in FRACTIONAL for s in ("", "_z")] + [f"fd_slope_{k}_{n}" for n in FRACTIONAL for k in (1, 4)]
+FRACTIONAL_NAMES += [f"fd_curvature_{n}" for n in FRACTIONAL] + ["fd_cross_sm", "fd_cross_mf", "fd_cross_sf", "fractional_state"]
+
+
+def _ago(x: np.ndarray, k: int) -> np.ndarray:
+    return np.r_[np.full(min(k, len(x)), np.nan), x[:-k]]
+
+
+def fractional_arrays(log_close: np.ndarray, orders: dict[str, float] = FRACTIONAL, window: int = 250) -> dict[str, np.ndarray]:
+    """Levels, robust z, slopes and curvature of each order, and differences across scales, of prices in time order."""
+    out = {}
+    for n, d in orders.items():
+        x = out[f"fd_{n}"] = np_transform(log_close, d)
+        out |= {f"fd_{n}_z": np_robust_z(x, window), f"fd_slope_1_{n}": x - _ago(x, 1), f"fd_slope_4_{n}": x - _ago(x, 4), f"fd_curvature_{n}": x - 2 * _ago(x, 1) + _ago(x, 2)}
+    z = {n: out[f"fd_{n}_z"] for n in orders}
+    return out | {"fd_cross_sm": z["025"] - z["050"], "fd_cross_mf": z["050"] - z["075"], "fd_cross_sf": z["025"] - z["075"], "fractional_state": np.abs(z["025"]) / (np.abs(z["075"]) + 0.1)}
+
+
+def fractional_features(df: DataFrame, chunk: int = CHUNK) -> DataFrame:
+    """instrument, timestamp, log_close and the fractional features, in one Arrow pass over chunks of each instrument."""
+    return map_chunks(df, "log_close", fractional_arrays, FRACTIONAL_NAMES, MAX_LAGS + 250 + 4, chunk)
 
 
 def regime_columns(df: DataFrame) -> DataFrame:

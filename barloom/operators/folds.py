@@ -9,6 +9,7 @@ import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.window import Window
 
 from barloom.sources.bars import KEY, TIME
 
@@ -37,6 +38,7 @@ class SimParams:
     stress_edge: float = 1.5
     cost_scale: float = 1.0
     signal_cost_scale: float = 1.0
+    cost_bps: float | None = None
     delay: int = 0
     daily_loss: float | None = None
     drawdown_halt: float | None = None
@@ -52,14 +54,14 @@ def targets(a: dict[str, np.ndarray], p: SimParams) -> np.ndarray:
     edge, cap = np.where(hit, p.stress_edge, 1.0), p.max_abs * np.where(hit, p.stress_exposure, 1.0)
     if p.rule == "net_edge":
         net = size - cost - clean(a["adverse"]) - p.buffer - np.maximum(clean(a["uncertainty"]), 0)
-        trade, conf = net > p.min_edge * edge, net / (p.confidence_multiple * np.maximum(cost, p.min_edge) * edge + p.eps)
+        deal, conf = net > p.min_edge * edge, net / (p.confidence_multiple * np.maximum(cost, p.min_edge) * edge + p.eps)
     else:
         net = size - p.cost_multiple * cost * edge
-        trade, conf = net > 0, size / (p.confidence_multiple * cost * edge + p.eps)
+        deal, conf = net > 0, size / (p.confidence_multiple * cost * edge + p.eps)
     good = np.isfinite(a["sigma_ref"]) & np.isfinite(a["sigma"]) & (a["sigma"] > 0)
     vm = np.where(good, np.clip(a["sigma_ref"] / np.where(good, a["sigma"], 1.0), p.vm_low, p.vm_high), p.vm_low)
     q = np.sign(clean(er)) * np.minimum(1.0, conf) * vm
-    return np.where(trade & np.isfinite(er), np.clip(q, -cap, cap), 0.0)
+    return np.where(deal & np.isfinite(er), np.clip(q, -cap, cap), 0.0)
 
 
 def step_rules(want: float, q: float, holding: int, stopped: bool, p: SimParams) -> tuple[float, bool, str]:
@@ -76,12 +78,12 @@ def step_rules(want: float, q: float, holding: int, stopped: bool, p: SimParams)
 
 
 def simulate(a: dict[str, np.ndarray], p: SimParams) -> tuple[dict[str, np.ndarray], list[tuple]]:
-    """Rows (exposure, pnl, cost, equity) and trades (entry, exit, side, gross, cost, net, reason) of one ordered series."""
+    """Rows (exposure, pnl, cost, equity) and deals (entry, exit, side, gross, cost, net, reason) of one ordered series."""
     n = len(a["er"])
     want = targets(a, p)
     out = {k: np.zeros(n) for k in ("exposure", "pnl", "cost_bar")}
     equity = np.ones(n)
-    trades: list[tuple] = []
+    deals: list[tuple] = []
     value = peak = day_start = 1.0
     q, holding, entry_price, entry_sigma = 0.0, 0, math.nan, math.nan
     gross = paid = 0.0
@@ -89,15 +91,15 @@ def simulate(a: dict[str, np.ndarray], p: SimParams) -> tuple[dict[str, np.ndarr
     session = window = None
 
     def close(row: int, why: str) -> None:
-        trades.append((since, row, int(np.sign(q)), gross, paid, gross - paid, why))
+        deals.append((since, row, int(np.sign(q)), gross, paid, gross - paid, why))
 
     for i in range(n - p.delay):
         if a["session"][i] != session:
             session, day_start = a["session"][i], value
         if a["window"][i] != window:
-            if window_halt is not None:
-                window_halt = None
-            window, peak = a["window"][i], value
+            if window_halt is not None:  # only a halt that ends moves the peak: losses spread over windows still add up
+                window_halt, peak = None, value
+            window = a["window"][i]
         if q:
             holding += 1
         side = float(np.sign(q))
@@ -112,7 +114,7 @@ def simulate(a: dict[str, np.ndarray], p: SimParams) -> tuple[dict[str, np.ndarr
         j = i + p.delay
         move = a["open_next2"][j] / a["open_next"][j] - 1
         move = move if math.isfinite(move) else 0.0
-        side_cost = a["cost_side"][j] * p.cost_scale
+        side_cost = a["cost_side"][j] * p.cost_scale if p.cost_bps is None else p.cost_bps / 2e4
         side_cost = side_cost if math.isfinite(side_cost) else 0.0
         cost = abs(new - q) * side_cost
         ends = bool(q) and (new == 0 or np.sign(new) != np.sign(q) or entry)
@@ -138,32 +140,32 @@ def simulate(a: dict[str, np.ndarray], p: SimParams) -> tuple[dict[str, np.ndarr
     if p.delay:
         equity[max(n - p.delay, 0):] = value
     if q:
-        close(n - 1, "end")
-    return out | {"equity": equity}, trades
+        close(n - p.delay - 1, "end")
+    return out | {"equity": equity}, deals
 
 
 ROWS = "key string, timestamp timestamp, exposure double, pnl double, cost_bar double, equity double"
-TRADES = "key string, entry_row long, exit_row long, side int, gross double, cost double, net double, reason string"
+DEALS = "key string, entry_row long, exit_row long, side int, gross double, cost double, net double, reason string"
 
 
 def _arrays(pdf: pd.DataFrame) -> dict[str, np.ndarray]:
     return {c: pdf[c].to_numpy(float) for c in SIM_COLUMNS}
 
 
-def simulate_frame(rows: DataFrame, params: dict[str, SimParams], key: str = KEY, want_trades: bool = False) -> DataFrame:
-    """Simulated rows, or trades, of each key and scenario. Scenarios fan out: a task for each (key, scenario)."""
+def simulate_frame(rows: DataFrame, params: dict[str, SimParams], key: str = KEY, want_deals: bool = False) -> DataFrame:
+    """Simulated rows, or deals, of each key and scenario. Scenarios fan out: a task for each (key, scenario)."""
     names = F.explode(F.array(*[F.lit(n) for n in params]))
 
     def run(pdf: pd.DataFrame) -> pd.DataFrame:
         pdf = pdf.sort_values(TIME)
-        out, trades = simulate(_arrays(pdf), params[pdf["scenario"].iloc[0]])
+        out, deals = simulate(_arrays(pdf), params[pdf["scenario"].iloc[0]])
         label = f"{pdf[key].iloc[0]}/{pdf['scenario'].iloc[0]}"
-        if want_trades:
-            return pd.DataFrame([(label, *t) for t in trades], columns=[f.split()[0] for f in TRADES.split(", ")])
+        if want_deals:
+            return pd.DataFrame([(label, *t) for t in deals], columns=[f.split()[0] for f in DEALS.split(", ")])
         return pd.DataFrame({"key": label, "timestamp": pdf[TIME].to_numpy(), **out})[[f.split()[0] for f in ROWS.split(", ")]]
 
     picked = rows.select(key, TIME, *SIM_COLUMNS, names.alias("scenario"))
-    return picked.groupBy(key, "scenario").applyInPandas(run, TRADES if want_trades else ROWS)
+    return picked.groupBy(key, "scenario").applyInPandas(run, DEALS if want_deals else ROWS)
 
 
 def scenario(**changes) -> SimParams:
@@ -246,6 +248,18 @@ def fit_kalman(df: DataFrame, x: str = "log_close") -> DataFrame:
     return scored.groupBy(KEY).agg(F.max_by(F.struct("q_level", "q_velocity", "r", "ll"), F.struct("ll", -F.col("k"))).alias("b")).select(KEY, "b.*")
 
 
+KALMAN_FEATURES = ("price", "velocity", "acceleration", "innovation", "innovation_z", "state_uncertainty", "observed_minus_filtered")
+
+
+def kalman_features(y: np.ndarray, sigma: np.ndarray, q_level: float, q_velocity: float, r: float, eps: float = 1e-12) -> dict[str, np.ndarray]:
+    """The filter's level, velocity, acceleration, innovation and uncertainty in units of sigma (or of the innovation's own)."""
+    level, velocity, innovation, s, p = kalman(y, q_level, q_velocity, r)[0].T
+    unit = np.where(np.isfinite(sigma) & (sigma > 0), sigma, math.nan) + eps
+    before = np.r_[math.nan, velocity[:-1]]
+    values = ((level - y) / unit, velocity / unit, (velocity - before) / unit, innovation / unit, innovation / np.sqrt(np.maximum(s, eps)), np.sqrt(np.maximum(p, 0)) / unit, (y - level) / unit)
+    return {f"kalman_{n}": v for n, v in zip(KALMAN_FEATURES, values, strict=True)}
+
+
 def rts_smooth(y: np.ndarray, q_level: float, q_velocity: float, r: float) -> np.ndarray:
     """Backward-smoothed levels, for diagnostics only."""
     f, q = np.array([[1.0, 1.0], [0.0, 1.0]]), np.diag([q_level, q_velocity])
@@ -346,7 +360,7 @@ LEDGER = "instrument string, timestamp timestamp, units double, cash double, equ
 
 
 def ledger(fills: np.ndarray, prices: np.ndarray, capital: float = 100_000.0, commission: float = 0.0) -> dict[str, np.ndarray]:
-    """Marks of a series: fills[t] units traded at prices[t] (0: none). Average price is size-weighted on adds, the fill's on flips."""
+    """Marks of a series: fills[t] units dealt at prices[t] (0: none). Average price is size-weighted on adds, the fill's on flips."""
     n = len(prices)
     out = {k: np.zeros(n) for k in ("units", "cash", "equity", "exposure", "drawdown", "realised")}
     units = average = realised = 0.0
@@ -373,13 +387,13 @@ def ledger(fills: np.ndarray, prices: np.ndarray, capital: float = 100_000.0, co
 
 
 def order_units(equity: float, price: float, current_units: float, target: float, min_notional: float = 100.0) -> float:
-    """Units to trade for a target exposure; 0 below the smallest notional."""
+    """Units to deal for a target exposure; 0 below the smallest notional."""
     delta = equity * target / price - current_units
     return delta if abs(delta) * price >= min_notional else 0.0
 
 
 # --- event bars
-EVENT_BARS = "instrument string, start timestamp, open double, high double, low double, close double, volume double, dollar_volume double, trade_count long, bar_id string"
+EVENT_BARS = "instrument string, start timestamp, open double, high double, low double, close double, volume double, dollar_volume double, deal_count long, bar_id string"
 
 
 class BarBuilder:
@@ -412,19 +426,43 @@ class BarBuilder:
         return self._emit("-partial") if self.bar is not None else None
 
 
+def bar_ends(amount: np.ndarray, target: float) -> np.ndarray:
+    """Ends (exclusive) of the bars of a session: each runs until its amounts reach the target; the last one may be short."""
+    out, at, size = [], 0, 64
+    while at < len(amount):
+        total = np.cumsum(amount[at : at + size])
+        if total[-1] >= target:
+            at += int(np.argmax(total >= target)) + 1
+        elif at + size < len(amount):
+            size *= 2
+            continue
+        else:
+            at = len(amount)
+        out.append(at)
+    return np.array(out, int)
+
+
 def event_bars(ticks: DataFrame, kind: str, target: float) -> DataFrame:
-    """Volume, dollar or tick bars of trades (price, size), flushed when the session (date) changes and at the end."""
+    """Volume, dollar or tick bars of events (price, size). No bar crosses a session (date), so each session of an instrument is
+    cut by a task of its own; bars are numbered afterwards."""
+    names = [f.split()[0] for f in EVENT_BARS.split(", ")]
+
     def run(pdf: pd.DataFrame) -> pd.DataFrame:
         pdf = pdf.sort_values([TIME, "sequence_id"])
-        b, out = BarBuilder(kind, target), []
-        for t, p, s, d in zip(pdf[TIME], pdf["price"], pdf["size"], pdf["session"], strict=True):
-            out += b.push(t, p, s, d)
-        out += [x for x in [b.flush()] if x]
-        rows = pd.DataFrame(out, columns=[f.split()[0] for f in EVENT_BARS.split(", ")][1:])
-        rows.insert(0, KEY, pdf[KEY].iloc[0])
-        return rows
-
-    return ticks.withColumn("session", F.to_date(TIME).cast("string")).groupBy(KEY).applyInPandas(run, EVENT_BARS)
+        p, s = pdf["price"].to_numpy(float), pdf["size"].to_numpy(float)
+        amount = {"volume": s, "dollar": p * s, "tick": np.ones(len(s))}[kind]
+        ends = bar_ends(amount, target)
+        starts = np.r_[0, ends[:-1]]
+        add = lambda x: np.add.reduceat(x, starts)
+        out = pd.DataFrame({"start": pdf[TIME].to_numpy()[starts], "open": p[starts], "high": np.maximum.reduceat(p, starts), "low": np.minimum.reduceat(p, starts), "close": p[ends - 1],
+                            "volume": add(s), "dollar_volume": add(p * s), "deal_count": ends - starts, "bar_id": ""})
+        if np.cumsum(amount[starts[-1] :])[-1] < target:
+            out.loc[len(out) - 1, "bar_id"] = "-partial"
+        return out.assign(**{KEY: pdf[KEY].iloc[0], "session": pdf["session"].iloc[0], "k": np.arange(len(out))})[[*names, "session", "k"]]
+
+    cut = ticks.withColumn("session", F.to_date(TIME).cast("string")).groupBy(KEY, "session").applyInPandas(run, EVENT_BARS + ", session string, k long")
+    n = F.row_number().over(Window.partitionBy(KEY).orderBy("session", "k")) - 1
+    return cut.withColumn("bar_id", F.concat(F.lit(f"{kind}-"), n.cast("string"), "bar_id")).select(*names)
 
 
 def parse_target(name: str) -> tuple[str, float]:

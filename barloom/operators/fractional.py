@@ -12,6 +12,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from barloom.functions.windows import convolve
+from barloom.operators.chunks import map_chunks
 from barloom.sources.bars import KEY, TIME
 
 THRESHOLD, RUN, MAX_LAGS = 1e-5, 10, 500
@@ -48,6 +49,11 @@ def transform(x: str | Column, d: float, **kw) -> Column:
     return convolve(x, list(weights(d, **kw)))
 
 
+def transformed(df: DataFrame, x: str, orders: dict[str, float], keep: tuple[str, ...] = ()) -> DataFrame:
+    """instrument, timestamp, x, the columns keep, and x at each order (column name: order), in one Arrow pass over chunks."""
+    return map_chunks(df, x, lambda v: {n: np_transform(v, d) for n, d in orders.items()}, list(orders), MAX_LAGS, keep=keep)
+
+
 def latest(bars: DataFrame, x: str, d: float) -> DataFrame:
     """The newest transformed value of each instrument, from the last kernel length of rows only."""
     w = Window.partitionBy(KEY).orderBy(F.col(TIME).desc())
@@ -118,11 +124,13 @@ def kpss(x: np.ndarray) -> tuple[float, float]:
     return stat, float(np.interp(stat, [0.347, 0.463, 0.574, 0.739], [0.10, 0.05, 0.025, 0.01]))
 
 
+#: observations that a unit-root test needs
+LEAST = 50
 CANDIDATES = tuple(round(0.05 * k, 2) for k in range(1, 20))
 EVALUATION = "instrument string, d double, adf double, p_adf double, kpss double, p_kpss double, corr double, n_obs long, kernel int"
 
 
-def evaluate_orders(bars: DataFrame, candidates: tuple[float, ...] = CANDIDATES, x: str = "log_close") -> DataFrame:
+def evaluate_orders(bars: DataFrame, candidates: tuple[float, ...] = CANDIDATES, x: str = "log_close", least: int = LEAST) -> DataFrame:
     """Stationarity tests of each candidate order, a task for each (instrument, order)."""
     def one(pdf: pd.DataFrame) -> pd.DataFrame:
         d, inst = float(pdf["d"].iloc[0]), pdf[KEY].iloc[0]
@@ -130,7 +138,7 @@ def evaluate_orders(bars: DataFrame, candidates: tuple[float, ...] = CANDIDATES,
         f = np_transform(v, d)
         ok = np.isfinite(f)
         a, pa, k, pk, c = math.nan, math.nan, math.nan, math.nan, math.nan
-        if ok.sum() >= 100 and np.ptp(f[ok]) > 0:
+        if ok.sum() >= least and np.ptp(f[ok]) > 0:
             (a, pa), (k, pk) = adf(f[ok]), kpss(f[ok])
             c = float(np.corrcoef(f[ok], v[ok])[0, 1])
         return pd.DataFrame([[inst, d, a, pa, k, pk, c, int(ok.sum()), kernel_length(d)]], columns=["instrument", "d", "adf", "p_adf", "kpss", "p_kpss", "corr", "n_obs", "kernel"])

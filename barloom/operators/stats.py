@@ -31,7 +31,7 @@ def block_bootstrap(spark: SparkSession, pnl: np.ndarray, per_year: float = 252.
 
 BLOCK = "draw long, sharpe double, cagr double, total_return double, max_drawdown double"
 ABLATION = "draw long, mean double, median double"
-TRADES = "draw long, terminal double, max_drawdown double"
+DEALS = "draw long, terminal double, max_drawdown double"
 
 
 def block_draw(pnl: np.ndarray, k: int, per_year: float = 252.0, block: int = 65, seed: int = 0) -> tuple:
@@ -87,13 +87,13 @@ def ablation_bootstrap(spark: SparkSession, deltas: np.ndarray, n: int = 5000, s
     return _draws(spark, n, lambda k: ablation_draw(deltas, k, seed), ABLATION)
 
 
-def trades_draw(pnls: np.ndarray, k: int, seed: int = 0) -> tuple:
+def deals_draw(pnls: np.ndarray, k: int, seed: int = 0) -> tuple:
     eq = np.cumprod(1 + np.random.default_rng([seed, k]).choice(pnls, len(pnls)))
     return k, float(eq[-1]), float((1 - eq / np.maximum(np.maximum.accumulate(eq), 1)).max())
 
 
-def monte_carlo_trades(spark: SparkSession, pnls: np.ndarray, n: int = 2000, seed: int = 0) -> DataFrame:
-    return _draws(spark, n, lambda k: trades_draw(pnls, k, seed), TRADES)
+def monte_carlo_deals(spark: SparkSession, pnls: np.ndarray, n: int = 2000, seed: int = 0) -> DataFrame:
+    return _draws(spark, n, lambda k: deals_draw(pnls, k, seed), DEALS)
 
 
 def multiple_testing(sharpe_annual: float, n_bars: int, per_year: float, tests: int) -> dict[str, float]:

@@ -111,7 +111,7 @@ class Series:
         for d in FR.CANDIDATES:
             f = FR.np_transform(x, d)
             f = f[np.isfinite(f)]
-            if len(f) >= 100 and np.ptp(f) > 0:
+            if len(f) >= FR.LEAST and np.ptp(f) > 0:
                 (stat, p), (_, q) = FR.adf(f), FR.kpss(f)
                 if p < 0.05 and q > 0.05:
                     return float(d)
@@ -126,8 +126,13 @@ class Series:
         return base, base * v, base * r
 
     def simulate(self, rows: np.ndarray, e: np.ndarray, adverse: np.ndarray, uncertainty: np.ndarray, **changes) -> np.ndarray:
+        return self.simulated(rows, e, adverse, uncertainty, **changes)[0]
+
+    def simulated(self, rows: np.ndarray, e: np.ndarray, adverse: np.ndarray, uncertainty: np.ndarray, **changes) -> tuple[np.ndarray, int]:
+        """Results of the rows, and how many positions were closed."""
         a = {c: self.of(c, rows) for c in FO.SIM_COLUMNS} | {"er": e * self.of("sigma", rows) * math.sqrt(HORIZON), "adverse": adverse, "uncertainty": uncertainty}
-        return FO.simulate(a, FO.scenario(**changes))[0]["pnl"]
+        out, closed = FO.simulate(a, FO.scenario(**changes))
+        return out["pnl"], len(closed)
 
 
 def measure(pnl: np.ndarray, e: np.ndarray, y: np.ndarray) -> dict[str, float]:
@@ -195,7 +200,7 @@ VARIANTS = ("full", "baseline", "production")
 
 
 def walk(s: Series) -> list[dict]:
-    """A record for each window: training on the rows before it, whether it is accepted, what it deploys, and its trades out of
+    """A record for each window: training on the rows before it, whether it is accepted, what it deploys, and its deals out of
     sample. full and baseline carry the last fitted model on, production the last accepted one; before any, they stay flat."""
     n = len(s.bars)
     edges = np.linspace(int(n * FIRST), n, WINDOWS + 1).astype(int)
@@ -217,21 +222,21 @@ def walk(s: Series) -> list[dict]:
     rows = np.arange(edges[0], n)
     for v in VARIANTS:
         e, adverse, uncertainty = (np.concatenate(x) for x in zip(*parts[v], strict=True))
-        pnl = s.simulate(rows, e, adverse, uncertainty)
-        whole = measure(pnl, e, s.of("y", rows))
+        pnl, closed = s.simulated(rows, e, adverse, uncertainty)
+        whole = measure(pnl, e, s.of("y", rows)) | {"deals": closed}
         for r, a, b in zip(records, edges - edges[0], edges[1:] - edges[0], strict=False):
-            r |= {f"net_{v}": round(float(pnl[a:b].sum()), 6), f"sharpe_{v}": round(whole["sharpe"], 6), f"return_{v}": round(whole["total_return"], 6), f"drawdown_{v}": round(whole["max_drawdown"], 6)}
+            r |= {f"net_{v}": round(float(pnl[a:b].sum()), 6), f"sharpe_{v}": round(whole["sharpe"], 6), f"return_{v}": round(whole["total_return"], 6), f"drawdown_{v}": round(whole["max_drawdown"], 6), f"pf_{v}": round(whole["profit_factor"], 6), f"deals_{v}": closed}
     return records
 
 
 class Light:
-    """One refit on the first 60 % of the rows, its last quarter held for the calibration; the rest is traded."""
+    """One refit on the first 60 % of the rows, its last quarter held for the calibration; the rest is run."""
 
-    def __init__(self, s: Series, names: list[str], y: np.ndarray | None = None, shuffle: np.random.Generator | None = None):
+    def __init__(self, s: Series, names: list[str], y: np.ndarray | None = None, shuffle: np.random.Generator | None = None, step: float = 0.0):
         n, cut = len(s.bars), int(len(s.bars) * 0.6)
         inner = int(cut * (1 - INNER))
         fit, cal, self.rows = np.arange(inner - PURGE), np.arange(inner + PURGE, cut - PURGE), np.arange(cut, n)
-        self.s, self.names, self.d = s, names, s.order(s.label_end(fit[-1]))
+        self.s, self.names, self.d = s, names, float(np.clip(round(s.order(s.label_end(fit[-1])) + step, 2), 0.05, 0.95))
         y, x = s.of("y_norm", np.arange(n)) if y is None else y, s.x(names, fit, self.d)
         fit_ok, cal_ok = np.isfinite(y[fit]), np.isfinite(y[cal])
         self.pair = Pair((shuffle.permutation(x) if shuffle else x)[fit_ok], y[fit][fit_ok])
@@ -242,7 +247,7 @@ class Light:
     def forecast(self, x: np.ndarray) -> np.ndarray:
         return self.g.predict(self.pair.predict(x)[0])
 
-    def trade(self, e: np.ndarray, **changes) -> dict[str, float]:
+    def deal(self, e: np.ndarray, **changes) -> dict[str, float]:
         zero = np.zeros(len(e))
         return measure(self.s.simulate(self.rows, e, zero, zero, **changes), e, self.s.of("y", self.rows))
 
@@ -257,18 +262,26 @@ def sanity(s: Series, shift: int = 20, draws: int = 20) -> list[dict]:
         return []
     full, y = Light(s, FULL), s.of("y_norm", np.arange(len(s.bars)))
     moved = np.r_[y[shift:], np.full(shift, np.nan)]
-    moved[int(len(y) * 0.6) - PURGE - shift : int(len(y) * 0.6)] = np.nan  # no label from the traded rows
+    moved[int(len(y) * 0.6) - PURGE - shift : int(len(y) * 0.6)] = np.nan  # no label from the rows that are run
     refits = {"shuffled_labels": Light(s, FULL, y=_seed(s, 1).permutation(y[: int(len(y) * 0.6)])), "shuffled_features": Light(s, FULL, shuffle=_seed(s, 2)), "target_shift": Light(s, FULL, y=moved)}
-    runs = {"strategy": full.trade(full.e), "reversed": full.trade(-full.e), "zero_cost": full.trade(full.e, cost_scale=0.0), "double_cost": full.trade(full.e, cost_scale=2.0)}
-    runs |= {k: m.trade(m.e) for k, m in refits.items()} | {f"random_{k}": full.trade(_seed(s, 3, k).permutation(full.e)) for k in range(draws)}
+    runs = {"strategy": full.deal(full.e), "reversed": full.deal(-full.e), "zero_cost": full.deal(full.e, cost_scale=0.0), "double_cost": full.deal(full.e, cost_scale=2.0)}
+    runs |= {k: m.deal(m.e) for k, m in refits.items()} | {f"random_{k}": full.deal(_seed(s, 3, k).permutation(full.e)) for k in range(draws)}
     return [{"scenario": k, **r} for k, r in runs.items()]
 
 
+def around_order(s: Series, steps: tuple[int, ...] = (-2, -1, 0, 1, 2)) -> list[dict]:
+    """Refits with the fractional order some steps of 0.05 beside the chosen one; collapsed: the chosen one earns, the other loses."""
+    if len(s.bars) < 200:
+        return []
+    runs = {k: (m := Light(s, FULL, step=0.05 * k)) and (m.d, m.deal(m.e)) for k in steps}
+    return [{"step": k, "d": d, "net": r["net"], "sharpe": r["sharpe"], "corr": r["corr"], "collapsed": bool(runs[0][1]["sharpe"] > 0 > r["sharpe"])} for k, (d, r) in runs.items()]
+
+
 def ablation(s: Series) -> list[dict]:
     """Net results of refits with and without each optional family: base, base with it, full without it, full."""
     if len(s.bars) < 200:
         return []
-    net = lambda families: (lambda m: m.trade(m.e)["net"])(Light(s, [n for f in FAMILIES if f in families for n in FAMILIES[f]]))
+    net = lambda families: (lambda m: m.deal(m.e)["net"])(Light(s, [n for f in FAMILIES if f in families for n in FAMILIES[f]]))
     base, full = net({"PRICE"}), net(set(FAMILIES))
     return [{"family": f, "baseline": base, "base_plus": net({"PRICE", f}), "full_minus": net(set(FAMILIES) - {f}), "full": full} for f in FAMILIES if f != "PRICE"]
 
@@ -288,12 +301,12 @@ def sabotage(s: Series, seeds: int = 3) -> list[dict]:
         for mode, v in ways.items():
             x = m.x.copy()
             x[:, at] = v
-            out.append({"family": family, "mode": mode, "net": m.trade(m.forecast(x))["net"]})
+            out.append({"family": family, "mode": mode, "net": m.deal(m.forecast(x))["net"]})
     return out
 
 
 def baselines(s: Series, draws: int = 20) -> list[dict]:
-    """Net results over the traded rows: the strategy, without fractional inputs, momentum, and the strategy's exposure permuted."""
+    """Net results over the rows that are run: the strategy, without fractional inputs, momentum, and the strategy's exposure permuted."""
     if len(s.bars) < 200:
         return []
     m, less = Light(s, FULL), Light(s, BASELINE)
@@ -302,7 +315,7 @@ def baselines(s: Series, draws: int = 20) -> list[dict]:
     net = lambda q: float((q * move - np.abs(np.diff(q, prepend=0.0)) * cost).sum())
     held = FO.simulate(a | {"er": m.e * a["sigma"] * math.sqrt(HORIZON), "adverse": np.zeros(len(m.e)), "uncertainty": np.zeros(len(m.e))}, FO.SimParams())[0]["exposure"]
     momentum = FO.momentum_exposure(s.a["log_close"], s.a["sigma"])[s.bars[m.rows]]
-    runs = {"strategy": net(held), "no_fractional": less.trade(less.e)["net"], "momentum": net(momentum)} | {f"random_{k}": net(_seed(s, 5, k).permutation(held)) for k in range(draws)}
+    runs = {"strategy": net(held), "no_fractional": less.deal(less.e)["net"], "momentum": net(momentum)} | {f"random_{k}": net(_seed(s, 5, k).permutation(held)) for k in range(draws)}
     return [{"scenario": k, "net": v} for k, v in runs.items()]
 
 
@@ -318,4 +331,4 @@ def task(kernel, schema: str):
 
 
 FOLDS = "instrument string, fold int, d double, train_bars long, calibration_rows long, exec_rows long, residual_std double, r2 double, adverse double, uncertainty double, net double, sharpe double, n long, total_return double, max_drawdown double, corr double, accuracy double, profit_factor double"
-WALK = "instrument string, window int, train_start long, train_end long, oos_rows long, d double, accepted boolean, model int, deployed int, " + ", ".join(f"net_{v} double, sharpe_{v} double, return_{v} double, drawdown_{v} double" for v in VARIANTS)
+WALK = "instrument string, window int, train_start long, train_end long, oos_rows long, d double, accepted boolean, model int, deployed int, " + ", ".join(f"net_{v} double, sharpe_{v} double, return_{v} double, drawdown_{v} double, pf_{v} double, deals_{v} long" for v in VARIANTS)

@@ -13,14 +13,14 @@ SQL: dict[str, str] = {}
 
 BARS_DAILY = """bars as (select *, close * (1 - avg_disc / 200) as bid, close * (1 + avg_disc / 200) as ask from (
   select l_returnflag as instrument, l_shipdate as "timestamp", arg_min(px, k) as open, max(px) as high, min(px) as low, arg_max(px, k) as close,
-    sum(l_quantity) as volume, sum(l_extendedprice) as dollar_volume, count(*) as trade_count,
+    sum(l_quantity) as volume, sum(l_extendedprice) as dollar_volume, count(*) as deal_count,
     sum(case when l_linestatus = 'O' then l_quantity else 0 end) as bid_size, sum(case when l_linestatus = 'F' then l_quantity else 0 end) as ask_size, avg(l_discount) as avg_disc
   from (select *, l_extendedprice / l_quantity as px, row(l_orderkey, l_linenumber, l_partkey, l_suppkey) as k from lineitem) group by 1, 2))"""
-TRADES = """trades as (select event_type as instrument, ts as "timestamp", value as price, 1 + cast(json_extract(props, '$.k') as double) as size, event_id as sequence_id
+DEALS = """deals as (select event_type as instrument, ts as "timestamp", value as price, 1 + cast(json_extract(props, '$.k') as double) as size, event_id as sequence_id
   from events where value > 0)"""
-BARS_15M = TRADES + """, bars as (select instrument, time_bucket(interval 15 minutes, "timestamp") as "timestamp", arg_min(price, k) as open, max(price) as high, min(price) as low,
-  arg_max(price, k) as close, sum(size) as volume, sum(price * size) as dollar_volume, count(*) as trade_count
-  from (select * exclude ("timestamp"), "timestamp", row("timestamp", sequence_id) as k from trades) group by 1, 2)"""
+BARS_15M = DEALS + """, bars as (select instrument, time_bucket(interval 15 minutes, "timestamp") as "timestamp", arg_min(price, k) as open, max(price) as high, min(price) as low,
+  arg_max(price, k) as close, sum(size) as volume, sum(price * size) as dollar_volume, count(*) as deal_count
+  from (select * exclude ("timestamp"), "timestamp", row("timestamp", sequence_id) as k from deals) group by 1, 2)"""
 
 
 def rolled(df: DataFrame, digits: int = 6) -> DataFrame:

@@ -1,15 +1,15 @@
-"""Immutable nested configuration with overrides and a digest; run manifests; an atomic model pointer."""
+"""Immutable nested configuration with overrides and a digest; run manifests; published models."""
 
 from __future__ import annotations
 
 import hashlib
 import json
-import os
-import tempfile
 from collections.abc import Mapping
 from types import MappingProxyType
 from typing import Any
 
+from pyspark.sql import DataFrame, SparkSession
+
 
 def freeze(x: Any) -> Any:
     if isinstance(x, Mapping):
@@ -78,24 +78,22 @@ def compare_runs(a: Mapping, b: Mapping) -> dict:
 
 
 class ModelRegistry:
-    """Models saved by id under a folder, and a pointer to the current one that is replaced in one step."""
+    """Published models in an append-only table on shared storage; the current one is the last version. One writer at a time."""
+
+    SCHEMA = "version long, model string, meta string"
 
-    def __init__(self, root: str):
-        self.root = root
-        os.makedirs(root, exist_ok=True)
+    def __init__(self, spark: SparkSession, root: str):
+        self.spark, self.root = spark, root
+        spark.createDataFrame([], self.SCHEMA).write.mode("append").parquet(root)
 
-    def path(self, model_id: str) -> str:
-        return os.path.join(self.root, model_id)
+    def versions(self) -> DataFrame:
+        return self.spark.read.schema(self.SCHEMA).parquet(self.root)
 
-    def publish(self, model_id: str, meta: Mapping | None = None) -> None:
-        fd, tmp = tempfile.mkstemp(dir=self.root)
-        with os.fdopen(fd, "w") as f:
-            json.dump({"model": model_id, **thaw(dict(meta or {}))}, f)
-        os.replace(tmp, os.path.join(self.root, "current.json"))
+    def publish(self, model_id: str, meta: Mapping | None = None) -> int:
+        version = self.versions().count() + 1
+        self.spark.createDataFrame([(version, model_id, json.dumps(thaw(dict(meta or {})), default=str))], self.SCHEMA).coalesce(1).write.mode("append").parquet(self.root)
+        return version
 
     def current(self) -> dict | None:
-        try:
-            with open(os.path.join(self.root, "current.json")) as f:
-                return json.load(f)
-        except FileNotFoundError:
-            return None
+        row = self.versions().orderBy("version", ascending=False).first()
+        return None if row is None else {"version": row["version"], "model": row["model"], **json.loads(row["meta"])}

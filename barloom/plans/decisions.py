@@ -10,7 +10,7 @@ from barloom.functions import windows as W
 from barloom.operators import features as X
 from barloom.operators import folds as FO
 from barloom.operators import labels as L
-from barloom.plans.base import BARS_15M, BARS_DAILY, ORDER, TRADES, full, over, query, sql_of
+from barloom.plans.base import BARS_15M, BARS_DAILY, ORDER, DEALS, full, over, query, sql_of
 from barloom.plans.windows import RET, ret
 from barloom.sources import bars as B
 
@@ -45,17 +45,17 @@ scalar("SCA-05", lambda: [S.volatility_multiplier(c("sigma_ref"), c("sigma_h")).
 scalar("SCA-06", lambda: [S.turnover_suppressed(c("er") * 100, c("z") / 10).alias("q")], "case when sign(er * 100) <> sign(z / 10) or abs(er * 100 - z / 10) >= 0.15 then er * 100 else z / 10 end as q", "q")
 NET = "(abs(er) - cost - 3e-4)"
 EM, XM = "(case when stress_p > 0.7 then 1.5 else 1 end)", "(case when stress_p > 0.7 then 0.4 else 1 end)"
-TRADE = f"(er is not null and {NET} > 8e-4 * {EM})"
+DEAL = f"(er is not null and {NET} > 8e-4 * {EM})"
 CONF = f"least(1, {NET} / (6 * greatest(cost, 8e-4) * {EM} + 1e-12))"
 def zero():
     return F.lit(0.0)
 
 
 scalar("SCA-07", lambda: [S.decide(c("er"), c("cost"), zero(), zero(), c("stress_p"))[k].alias(k) for k in ("direction", "confidence", "required", "reason")],
-       f"case when {TRADE} then sign(er)::int else 0 end as direction, case when {TRADE} then {CONF} else 0 end as confidence, 8e-4 * {EM} as required, case when er is null then 'non-finite forecast' when not {TRADE} then 'edge below requirement' else '' end as reason", "confidence required")
+       f"case when {DEAL} then sign(er)::int else 0 end as direction, case when {DEAL} then {CONF} else 0 end as confidence, 8e-4 * {EM} as required, case when er is null then 'non-finite forecast' when not {DEAL} then 'edge below requirement' else '' end as reason", "confidence required")
 scalar("SCA-08", lambda: [S.stress_factors(c("stress_p"))[0].alias("exposure"), S.stress_factors(c("stress_p"))[1].alias("edge")], f"{XM}::double as exposure, {EM}::double as edge", "exposure edge")
 scalar("SCA-09", lambda: [S.stop_distance(c("sigma_h")).alias("distance"), S.stop_triggered(c("r"), c("sigma_h") / 10).alias("hit")], "8 * sigma_h as distance, r < -0.8 * sigma_h as hit", "distance")
-TARGET = f"case when {TRADE} then greatest(-{XM}, least({XM}, sign(er) * {CONF} * {VM})) else 0 end"
+TARGET = f"case when {DEAL} then greatest(-{XM}, least({XM}, sign(er) * {CONF} * {VM})) else 0 end"
 
 
 def _target():
@@ -225,8 +225,8 @@ def fld_05(spark, sf_dir):
     return ret(spark, sf_dir).select("instrument", "timestamp", S.vol_scaled_exposure(c("sigma_h"), 252.0).alias("exposure"))
 
 
-LED = f"""o as (select *, row_number() {ORDER} as n from bars), f as (select *, case when n % 25 = 1 then 10 * ((n // 25) % 5 - 2) else 0 end::double as units_traded from o),
-l as (select *, sum(units_traded) {ORDER} as units, 100000 - sum(units_traded * close) {ORDER} - count(case when units_traded <> 0 then 1 end) {ORDER} as cash from f)"""
+LED = f"""o as (select *, row_number() {ORDER} as n from bars), f as (select *, case when n % 25 = 1 then 10 * ((n // 25) % 5 - 2) else 0 end::double as units_dealt from o),
+l as (select *, sum(units_dealt) {ORDER} as units, 100000 - sum(units_dealt * close) {ORDER} - count(case when units_dealt <> 0 then 1 end) {ORDER} as cash from f)"""
 
 
 def fills(spark, sf_dir):
@@ -258,7 +258,7 @@ def fld_16(spark, sf_dir):
 
 @query("FLD-17")
 def fld_17(spark, sf_dir):
-    return FO.simulate_frame(sim_rows(spark, sf_dir), {"base": FO.SimParams()}, want_trades=True)
+    return FO.simulate_frame(sim_rows(spark, sf_dir), {"base": FO.SimParams()}, want_deals=True)
 
 
 @query("FLD-08")
@@ -293,29 +293,29 @@ def fld_12(spark, sf_dir):
 
 
 # --- event bars
-SEQ = TRADES + """, t as (select *, row_number() over (partition by instrument order by "timestamp", sequence_id) as n, ("timestamp")::date as d from trades)"""
+SEQ = DEALS + """, t as (select *, row_number() over (partition by instrument order by "timestamp", sequence_id) as n, ("timestamp")::date as d from deals)"""
 RSM = SEQ + """, b(instrument, n, d, acc, bar, vol) as (select instrument, 0::bigint, null::date, 0.0::double, 0::bigint, 0.0::double from t where n = 1
  union all select t.instrument, t.n, t.d, case when b.acc >= TARGET or (b.d is not null and b.d <> t.d) then 0 else b.acc end + t.size, b.bar + case when b.n > 0 and (b.acc >= TARGET or b.d <> t.d) then 1 else 0 end, t.size
  from b join t on t.instrument = b.instrument and t.n = b.n + 1)"""
 
 
-@query("RSM-01", sql_of("select b.instrument, b.bar, arg_min(t.price, t.n) as open, max(t.price) as high, min(t.price) as low, arg_max(t.price, t.n) as close, sum(t.size) as volume, count(*) as trade_count from b join t on t.instrument = b.instrument and t.n = b.n group by 1, 2", "open high low close volume", RSM.replace("TARGET", "1000")))
+@query("RSM-01", sql_of("select b.instrument, b.bar, arg_min(t.price, t.n) as open, max(t.price) as high, min(t.price) as low, arg_max(t.price, t.n) as close, sum(t.size) as volume, count(*) as deal_count from b join t on t.instrument = b.instrument and t.n = b.n group by 1, 2", "open high low close volume", RSM.replace("TARGET", "1000")))
 def rsm_01(spark, sf_dir):
-    out = FO.event_bars(B.trades(spark, sf_dir), "volume", 1000.0)
-    return out.select("instrument", F.regexp_extract("bar_id", r"-(\d+)", 1).cast("long").alias("bar"), "open", "high", "low", "close", "volume", "trade_count")
+    out = FO.event_bars(B.deals(spark, sf_dir), "volume", 1000.0)
+    return out.select("instrument", F.regexp_extract("bar_id", r"-(\d+)", 1).cast("long").alias("bar"), "open", "high", "low", "close", "volume", "deal_count")
 
 
 @query("RSM-02")
 def rsm_02(spark, sf_dir):
-    return FO.event_bars(B.trades(spark, sf_dir), "dollar", 50_000.0)
+    return FO.event_bars(B.deals(spark, sf_dir), "dollar", 50_000.0)
 
 
-TICKS = "select instrument, min(\"timestamp\") as start, count(*) as trade_count, sum(size) as volume from (select *, (row_number() over (partition by instrument, d order by n) - 1) // 20 as k from t) group by instrument, d, k"
+TICKS = "select instrument, min(\"timestamp\") as start, count(*) as deal_count, sum(size) as volume from (select *, (row_number() over (partition by instrument, d order by n) - 1) // 20 as k from t) group by instrument, d, k"
 
 
 @query("RSM-03", sql_of(TICKS, "volume", SEQ))
 def rsm_03(spark, sf_dir):
-    return FO.event_bars(B.trades(spark, sf_dir), "tick", 20).select("instrument", "start", "trade_count", "volume")
+    return FO.event_bars(B.deals(spark, sf_dir), "tick", 20).select("instrument", "start", "deal_count", "volume")
 
 
 @query("RSM-04", sql_of("select instrument, list_sort(list(n))[len(list(n)) // 2 + 1] as bars_per_session from (select instrument, \"timestamp\"::date as d, count(*) as n from bars group by 1, 2) group by 1", "", BARS_15M))
@@ -330,16 +330,16 @@ def rsm_05(spark, sf_dir):
     return spark.createDataFrame([(n, *FO.parse_target(n)) for n in ("dollar_250m", "volume_500k", "tick_20", "time_30")], "name string, kind string, target double")
 
 
-@query("RSM-06", sql_of("select instrument, time_bucket(interval 30 minutes, \"timestamp\") as \"timestamp\", sum(size) as volume, count(*) as trade_count from trades group by 1, 2", "volume", TRADES))
+@query("RSM-06", sql_of("select instrument, time_bucket(interval 30 minutes, \"timestamp\") as \"timestamp\", sum(size) as volume, count(*) as deal_count from deals group by 1, 2", "volume", DEALS))
 def rsm_06(spark, sf_dir):
-    return B.time_bars(B.trades(spark, sf_dir), "30 minutes").select("instrument", "timestamp", "volume", "trade_count")
+    return B.time_bars(B.deals(spark, sf_dir), "30 minutes").select("instrument", "timestamp", "volume", "deal_count")
 
 
 @query("RSM-07", sql_of("select 'tick_20' as candidate, instrument, count(*)::bigint as bars from (" + TICKS + ") group by 2 union all select 'tick_50', instrument, count(*)::bigint from (" + TICKS.replace("// 20", "// 50") + ") group by 2", "", SEQ))
 def rsm_07(spark, sf_dir):
     out = None
     for name in ("tick_20", "tick_50"):
-        one = FO.event_bars(B.trades(spark, sf_dir), *FO.parse_target(name)).groupBy("instrument").agg(F.count("*").alias("bars")).select(F.lit(name).alias("candidate"), "instrument", "bars")
+        one = FO.event_bars(B.deals(spark, sf_dir), *FO.parse_target(name)).groupBy("instrument").agg(F.count("*").alias("bars")).select(F.lit(name).alias("candidate"), "instrument", "bars")
         out = one if out is None else out.unionByName(one)
     return out
 
@@ -357,9 +357,16 @@ def fea_21(spark, sf_dir):
 
 @query("FEA-22")
 def fea_22(spark, sf_dir):
-    level = FO.fold_column(ret(spark, sf_dir), "log_close", lambda y: FO.kalman(y, 1e-4, 1e-6, 1e-4)[0][:, 2], "innovation")
-    df = ret(spark, sf_dir).select("instrument", "timestamp", "sigma_h").join(level, ["instrument", "timestamp"])
-    return df.select("instrument", "timestamp", (c("innovation") / c("sigma_h")).alias("kalman_innovation"))
+    """All features of the filter with fixed noises."""
+    import pandas as pd
+
+    def run(pdf):
+        pdf = pdf.sort_values("timestamp")
+        made = FO.kalman_features(pdf["log_close"].to_numpy(float), pdf["sigma_h"].to_numpy(float), 1e-4, 1e-6, 1e-4)
+        return pd.DataFrame({"instrument": pdf["instrument"].to_numpy(), "timestamp": pdf["timestamp"].to_numpy(), **made})
+
+    schema = "instrument string, timestamp timestamp, " + ", ".join(f"kalman_{n} double" for n in FO.KALMAN_FEATURES)
+    return ret(spark, sf_dir).select("instrument", "timestamp", "log_close", "sigma_h").groupBy("instrument").applyInPandas(run, schema)
 
 
 @query("FEA-23")
@@ -367,16 +374,22 @@ def fea_23(spark, sf_dir):
     return FO.fold_column(ret(spark, sf_dir), "log_close", lambda y: FO.rts_smooth(y, 1e-4, 1e-6, 1e-4), "smoothed")
 
 
+OBS = ["obs_return", "obs_abs_return", "obs_log_vol", "obs_log_volume", "obs_spread", "obs_trend"]
+#: the share of an instrument's rows that fits its components; what comes after is only filtered
+TRAINING = 0.6
+
+
 def hmm_frame(spark, sf_dir, what):
+    """Fitted on the training block of each instrument, then run over all of its rows."""
     import numpy as np
     import pandas as pd
 
-    obs = ["obs_return", "obs_abs_return", "obs_log_vol", "obs_log_volume", "obs_spread", "obs_trend"]
+    obs = OBS
 
     def run(pdf):
         pdf = pdf.sort_values("timestamp")
         x = pdf[obs].to_numpy(float)
-        m = FO.GaussianHMM().fit(x)
+        m = FO.GaussianHMM().fit(x[: int(len(x) * TRAINING)])
         p = m.smooth(x) if what == "smooth" else m.filter(x)
         out = pd.DataFrame({"instrument": pdf["instrument"].to_numpy(), "timestamp": pdf["timestamp"].to_numpy()})
         for k in range(3):

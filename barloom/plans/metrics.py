@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-import numpy as np
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
@@ -111,10 +110,9 @@ def agg_11(spark, sf_dir):
 @query("AGG-13")
 def agg_13(spark, sf_dir):
     """Out-of-sample score of each candidate order: the fractional momentum's IC."""
-    from barloom.operators.fractional import transform
+    from barloom.operators.fractional import transformed
 
-    df = labelled(spark, sf_dir)
-    df = df.withColumns({f"f{k}": transform("log_close", d) for k, d in enumerate((0.25, 0.5, 0.75))})
+    df = transformed(labelled(spark, sf_dir), "log_close", {f"f{k}": d for k, d in enumerate((0.25, 0.5, 0.75))}, ("y",))
     out = df.groupBy("instrument").agg(*[M.safe_corr(f"f{k}", "y").alias(f"d{k}") for k in range(3)])
     return out.select("instrument", F.expr("stack(3, 0.25D, d0, 0.5D, d1, 0.75D, d2) as (d, score)"))
 
@@ -142,6 +140,9 @@ def agg_17(spark, sf_dir):
     return t.groupBy("instrument").agg(F.count("*").alias("windows"), F.count_if(c("t") > 0).alias("accepted"), F.avg((c("t") > 0).cast("double")).alias("deployed"))
 
 
+BASE = FO.SimParams()
+
+
 # --- resampling: the draws of each instrument fan out as tasks; no series reaches the driver
 @query("STA-01")
 def sta_01(spark, sf_dir):
@@ -149,28 +150,34 @@ def sta_01(spark, sf_dir):
     return ST.intervals(draws, ["sharpe", "cagr", "total_return", "max_drawdown"], by=("instrument",))
 
 
-def _deltas(pnl):
-    return np.array([x.sum() for x in np.array_split(pnl, 10)])
-
-
 @query("STA-02")
 def sta_02(spark, sf_dir):
-    def one(pnl, k):
-        return *ST.ablation_draw(_deltas(pnl), k), ST.sign_test(_deltas(pnl))
+    """What the fractional inputs add in each window of the walk, resampled over windows; and the exact sign test."""
+    from barloom.plans.base import QUERIES
 
-    draws = ST.draws_by_key(prescribed(spark, sf_dir), "pnl", "timestamp", one, ST.ABLATION + ", p_sign double", n=2000)
+    deltas = QUERIES["RUN-01-windows"](spark, sf_dir).select("instrument", "window", (c("net_full") - c("net_baseline")).alias("delta"))
+
+    def one(delta, k):
+        return *ST.ablation_draw(delta, k), ST.sign_test(delta)
+
+    draws = ST.draws_by_key(deltas, "delta", "window", one, ST.ABLATION + ", p_sign double", n=5000)
     sign = draws.groupBy("instrument").agg(F.first("p_sign").alias("p_sign"))
     return ST.intervals(draws, ["mean", "median"], by=("instrument",)).join(sign, "instrument")
 
 
 @query("STA-03")
 def sta_03(spark, sf_dir):
-    return ST.intervals(ST.draws_by_key(prescribed(spark, sf_dir), "pnl", "timestamp", ST.trades_draw, ST.TRADES, n=1000), ["terminal", "max_drawdown"], by=("instrument",))
+    """The net results of closed positions, drawn in random order with replacement."""
+    closed = FO.simulate_frame(sim_rows(spark, sf_dir), {"base": BASE}, want_deals=True).withColumn("instrument", F.split("key", "/")[0])
+    return ST.intervals(ST.draws_by_key(closed, "net", "entry_row", ST.deals_draw, ST.DEALS, n=2000), ["terminal", "max_drawdown"], by=("instrument",))
 
 
 @query("STA-04")
 def sta_04(spark, sf_dir):
-    return spark.createDataFrame([(k, float(v)) for k, v in ST.multiple_testing(1.2, 2500, 252.0, 12).items()], "name string, value double")
+    """t, p and the corrected p of each instrument's Sharpe ratio, for as many tests as there are windows and instruments."""
+    p = M.performance(pnl(spark, sf_dir), ["instrument"]).select("instrument", "sharpe", "n").collect()  # a row an instrument
+    rows = [(r.instrument, k, float(v)) for r in p for k, v in ST.multiple_testing(r.sharpe, r.n, 252.0, 12 * len(p)).items()]
+    return spark.createDataFrame(rows, "instrument string, name string, value double")
 
 
 # --- scenarios: name -> parameters; all fan out in one job
@@ -181,21 +188,26 @@ def scenario_metrics(spark, sf_dir, params):
     return out.select("instrument", "scenario", "total_return", "sharpe", "max_drawdown", "mean_exposure")
 
 
-BASE = FO.SimParams()
-
-
 @query("STR-01")
 def str_01(spark, sf_dir):
-    out = {f"realised_{x}": FO.scenario(cost_scale=x) for x in (0.0, 1.0, 2.0, 3.0)} | {f"signal_{x}": FO.scenario(signal_cost_scale=x) for x in (0.5, 2.0)}
-    return scenario_metrics(spark, sf_dir, out)
+    """Cost curve: realised costs scaled with decisions frozen, decisions that expect other costs, and fixed costs of some basis
+    points a round trip; with the level of each kind at which the return crosses 0 (null where it doesn't)."""
+    out = {f"realised_{x}": FO.scenario(cost_scale=x) for x in (0.0, 0.5, 1.0, 1.5, 2.0, 3.0, 5.0)} | {f"signal_{x}": FO.scenario(signal_cost_scale=x) for x in (0.5, 1.0, 2.0)}
+    out |= {f"bps_{x}": FO.scenario(cost_bps=float(x)) for x in (0, 1, 2, 5, 10, 20, 50)}
+    df = scenario_metrics(spark, sf_dir, out).withColumns({"kind": F.split("scenario", "_")[0], "level": F.split("scenario", "_")[1].cast("double")})
+    w = Window.partitionBy("instrument", "kind").orderBy("level")
+    before, level = F.lag("total_return").over(w), F.lag("level").over(w)
+    crossing = F.when((before > 0) & (c("total_return") <= 0), level + (c("level") - level) * before / (before - c("total_return")))
+    return df.withColumn("_x", crossing).withColumn("break_even", F.min("_x").over(Window.partitionBy("instrument", "kind"))).drop("_x")
 
 
 @query("STR-02")
 def str_02(spark, sf_dir):
     """Frozen decisions at each cost level and delay, and decisions that know the level."""
     levels = (0.5, 1.0, 1.5, 2.0, 3.0)
+    # survives: still earns something
     frozen = {f"x{x}_d{d}": FO.scenario(cost_scale=x, delay=d) for x in levels for d in (0, 1, 2, 3)}
-    return scenario_metrics(spark, sf_dir, frozen | {f"adaptive_x{x}": FO.scenario(cost_scale=x, signal_cost_scale=x) for x in levels})
+    return scenario_metrics(spark, sf_dir, frozen | {f"adaptive_x{x}": FO.scenario(cost_scale=x, signal_cost_scale=x) for x in levels}).withColumn("survives", c("total_return") > 0)
 
 
 @query("STR-03")
@@ -207,15 +219,18 @@ def str_03(spark, sf_dir):
 def str_04(spark, sf_dir):
     names = ("min_edge", "buffer", "rebalance", "max_holding", "stop_multiple", "confidence_multiple")
     out = {f"{n}_{f}": FO.scenario(**{n: type(getattr(BASE, n))(getattr(BASE, n) * f)}) for n in names for f in (0.5, 2)}
-    return scenario_metrics(spark, sf_dir, out | {"base": BASE})
+    df = scenario_metrics(spark, sf_dir, out | {"base": BASE})
+    base = F.max(F.when(c("scenario") == "base", c("sharpe"))).over(Window.partitionBy("instrument"))
+    # collapse: the base earns something, and the perturbed rules lose
+    return df.withColumn("collapsed", (base > 0) & (c("sharpe") < 0))
 
 
 @query("STR-05")
 def str_05(spark, sf_dir):
     """The fractional order a step up and down: correlation of each with the label."""
-    from barloom.operators.fractional import transform
+    from barloom.operators.fractional import transformed
 
-    df = labelled(spark, sf_dir).withColumns({f"f{k}": transform("log_close", d) for k, d in enumerate((0.25, 0.3, 0.35, 0.4, 0.45))})
+    df = transformed(labelled(spark, sf_dir), "log_close", {f"f{k}": d for k, d in enumerate((0.25, 0.3, 0.35, 0.4, 0.45))}, ("y",))
     return df.groupBy("instrument").agg(*[M.safe_corr(f"f{k}", "y").alias(f"step_{k - 2}".replace("-", "m")) for k in range(5)])
 
 

@@ -20,8 +20,10 @@ from barloom.operators import stats as ST
 from barloom.operators import training as T
 from barloom.plans import config as C
 from barloom.plans import gates as G
-from barloom.plans.base import BARS_15M, BARS_DAILY, ORDER, TRADES, query, sql_of
-from barloom.plans.decisions import FC, LAB, forecasts, labelled, sim_rows
+from barloom.plans.base import BARS_15M, BARS_DAILY, ORDER, DEALS, query, sql_of
+from barloom.plans.decisions import FC, LAB, OBS, TRAINING, forecasts, labelled, sim_rows
+from barloom.plans.metrics import PRE, pnl
+from barloom.plans.windows import RET
 from barloom.sources import bars as B
 from barloom.sources import synthetic as SY
 from barloom.streaming import jobs as J
@@ -122,7 +124,7 @@ def training_rows(spark, sf_dir):
 
 
 def fold_scores(spark, sf_dir):
-    """A task for each instrument: in each fold of its own rows fit, calibrate on what came before, trade the validation rows, measure."""
+    """A task for each instrument: in each fold of its own rows fit, calibrate on what came before, try the validation rows, measure."""
     return training_rows(spark, sf_dir).groupBy("instrument").applyInPandas(T.task(lambda s: T.evaluate(s, np.arange(len(s.bars)), T.FULL)[0], T.FOLDS), T.FOLDS)
 
 
@@ -178,16 +180,29 @@ def mod_13(spark, sf_dir):
                                         F.avg(c("cost") + 3e-4 + 8e-4).alias("mean_required"), F.count_if(F.abs("er") - c("cost") - 3e-4 > 8e-4).alias("tradable"))
 
 
-@query("MOD-14", "select true as stable, false as other")
+@query("MOD-14", sql_of("select instrument, substr(sha256('[' || count(*) || ', ' || sum(volume)::bigint || ']'), 1, 16) as digest from bars group by 1"))
 def mod_14(spark, sf_dir):
-    a, b = MO.digest([1, 2.5, "x"]), MO.digest([1, 2.5, "y"])
-    return spark.createDataFrame([(a == MO.digest([1, 2.5, "x"]), a == b)], "stable boolean, other boolean")
+    """The digest of what was fitted: here on each instrument's row count and volume."""
+    rows = B.bars_daily(spark, sf_dir).groupBy("instrument").agg(F.count("*").alias("n"), F.sum("volume").cast("long").alias("v")).collect()  # a row an instrument
+    return spark.createDataFrame([(r.instrument, MO.digest([r.n, r.v])) for r in rows], "instrument string, digest string")
 
 
-@query("MOD-15", "select * from (values ('accuracy', true), ('correlation', true), ('net', true), ('profit_factor', false), ('drawdown', true), ('beats_baseline', true), ('holdout', false)) t(\"check\", passed)")
+ACCEPT = """m as (select instrument, avg(case when q <> 0 then (sign(q) = sign(open_next2 / open_next - 1))::int end) as accuracy, covar_pop(q, open_next2 / open_next - 1) as corr, sum(pnl) as net,
+ sum(case when pnl > 0 then pnl else 0 end) / nullif(-sum(case when pnl < 0 then pnl else 0 end), 0) as pf, max(drawdown) as dd from p group by 1),
+wins as (select instrument, count_if(t > 0) as k from (select instrument, w, sum(pnl) as t from p group by 1, 2) group by 1)"""
+
+
+@query("MOD-15", sql_of("""select instrument, unnest(['accuracy', 'correlation', 'net', 'profit_factor', 'drawdown', 'beats_baseline']) as "check", unnest([accuracy > 0.51, corr > 0, net > 0, pf > 1.05, dd < 0.15, k >= 3]) as passed
+ from m join wins using (instrument)""", "", PRE + ", " + ACCEPT))
 def mod_15(spark, sf_dir):
-    out = MO.accept({"accuracy": 0.52, "corr": 0.01, "net": 0.1, "profit_factor": 1.0, "max_drawdown": 0.1}, 3, -0.1)
-    return spark.createDataFrame(list(out.items()), "check string, passed boolean")
+    """The acceptance checks on the results of each instrument's prescribed exposure; wins are windows with a gain."""
+    move = c("open_next2") / c("open_next") - 1
+    wins = pnl(spark, sf_dir).groupBy("instrument", "w").agg(F.sum("pnl").alias("t")).groupBy("instrument").agg(F.count_if(c("t") > 0).alias("k"))
+    gain = lambda up: F.sum(F.when(c("pnl") > 0 if up else c("pnl") < 0, c("pnl")).otherwise(0.0))
+    rows = pnl(spark, sf_dir).groupBy("instrument").agg(
+        F.avg(F.when(c("q") != 0, (F.signum("q") == F.signum(move)).cast("int"))).alias("accuracy"), F.covar_pop(c("q"), move).alias("corr"), F.sum("pnl").alias("net"),
+        M.ratio(gain(True), -gain(False)).alias("profit_factor"), F.max("drawdown").alias("max_drawdown")).join(wins, "instrument").collect()  # a row an instrument
+    return spark.createDataFrame([(r.instrument, k, bool(v)) for r in rows for k, v in MO.accept(r.asDict(), r.k).items()], "instrument string, check string, passed boolean")
 
 
 @query("MOD-16")
@@ -197,16 +212,22 @@ def mod_16(spark, sf_dir):
 
 
 # --- runs
-@query("RUN-01", sql_of("select w as \"window\", last_value(case when ok then w end ignore nulls) over (order by w rows unbounded preceding) as model from (select w, (w * 7) % 3 <> 1 as ok from generate_series(0, 20) t(w))", "", NONE))
+CARRY = PRE + ", t as (select instrument, w, sum(pnl) as t from p group by 1, 2)"
+
+
+def window_totals(spark, sf_dir):
+    return pnl(spark, sf_dir).groupBy("instrument", c("w").alias("window")).agg(F.sum("pnl").alias("t"))
+
+
+@query("RUN-01", sql_of("select instrument, w as \"window\", last_value(case when t > 0 then w end ignore nulls) over (partition by instrument order by w rows unbounded preceding) as model from t", "", CARRY))
 def run_01(spark, sf_dir):
-    """Which model each window deploys: its own if accepted, else the last accepted one."""
-    w = spark.range(21).select(c("id").alias("window"), ((c("id") * 7) % 3 != 1).alias("ok"))
-    return w.select("window", F.last(F.when(c("ok"), c("window")), True).over(Window.orderBy("window")).alias("model"))  # a row a window
+    """Which model each window deploys: its own if accepted (here: its window gains), else the last accepted one."""
+    return window_totals(spark, sf_dir).select("instrument", "window", F.last(F.when(c("t") > 0, c("window")), True).over(Window.partitionBy("instrument").orderBy("window")).alias("model"))
 
 
 @query("RUN-01-windows")
 def run_01_windows(spark, sf_dir):
-    """The walk over each instrument's bars: train, accept, carry on, trade out of sample. A row an instrument and window."""
+    """The walk over each instrument's bars: train, accept, carry on, run out of sample. A row an instrument and window."""
     return training_rows(spark, sf_dir).groupBy("instrument").applyInPandas(T.task(T.walk, T.WALK), T.WALK)
 
 
@@ -220,6 +241,7 @@ def _tasks(key: str, kernel, schema: str):
 
 san_01_refits = _tasks("SAN-01-refits", T.sanity, "instrument string, scenario string, net double, sharpe double, total_return double, n long")
 abl_03_inputs = _tasks("ABL-03-inputs", T.sabotage, "instrument string, family string, mode string, net double")
+str_05_refits = _tasks("STR-05-refits", T.around_order, "instrument string, step int, d double, net double, sharpe double, corr double, collapsed boolean")
 bas_01_paths = _tasks("BAS-01-paths", T.baselines, "instrument string, scenario string, net double")
 
 
@@ -331,6 +353,65 @@ def gates_frame(spark, tables):
     return spark.createDataFrame([(n, g, None if v is None else float(v), t, p, rung) for n, g, v, t, p in rows], "gate string, grp string, value double, threshold double, passed boolean, class string")
 
 
+def sanity_verdicts(refits):
+    """instrument, scenario, passed of the sanity tests: what is destroyed must lose its edge, costs must cost, and the strategy
+    must lie above 95 % of its own permutations."""
+    base = refits.where("scenario = 'strategy'").select("instrument", c("sharpe").alias("base"), c("total_return").alias("base_return"))
+    rows = refits.join(F.broadcast(base), "instrument")  # a row an instrument and scenario
+    vanishes = (c("sharpe") < 1) & ((c("sharpe") < c("base")) | (c("base") <= 0))
+    tests = {"shuffled_labels": vanishes, "shuffled_features": vanishes, "target_shift": (c("sharpe") < c("base")) | (c("total_return") <= 0), "reversed": c("sharpe") < c("base"),
+             "zero_cost": c("total_return") >= c("base_return") - 1e-9, "double_cost": c("total_return") <= c("base_return") + 1e-9}
+    verdict = F.coalesce(*[F.when(c("scenario") == n, t) for n, t in tests.items()])
+    single = rows.where(c("scenario").isin(*tests)).select("instrument", "scenario", verdict.alias("passed"))
+    permuted = rows.where(c("scenario").startswith("random_")).groupBy("instrument").agg(F.avg((c("sharpe") < c("base")).cast("double")).alias("share"), F.percentile("sharpe", F.lit(0.5)).alias("middle"))
+    return single.unionByName(permuted.select("instrument", F.lit("random").alias("scenario"), ((c("share") >= 0.95) & (c("middle") < 1)).alias("passed")))
+
+
+@query("SAN-01-verdicts")
+def san_01_verdicts(spark, sf_dir):
+    return sanity_verdicts(san_01_refits(spark, sf_dir))
+
+
+def ladder_values(tables) -> dict:
+    """What the full ladder judges, from stage tables; the worst instrument counts, and a stage that didn't run leaves its gates open."""
+    out = gate_values({k: v for k, v in tables.items() if k in ("bootstrap", "leakage", "reproducibility", "holdout")})
+    if "walkforward" in tables:
+        delta = c("net_full") - c("net_baseline")
+        w = tables["walkforward"].select(F.inline("instruments")).groupBy("instrument").agg(
+            F.count_if(c("model").isNotNull()).alias("windows"), F.first("deals_full").alias("deals"), F.first("sharpe_full").alias("sharpe"), F.first("drawdown_full").alias("dd"), F.first("pf_full").alias("pf"),
+            F.avg((c("net_full") > 0).cast("double")).alias("up"), F.first("return_production").alias("pr"), F.first("sharpe_production").alias("ps"), M.ratio(F.sum(F.when(c("deployed").isNotNull(), c("oos_rows"))), F.sum("oos_rows")).alias("deployed"),
+            F.percentile(delta, F.lit(0.5)).alias("median_delta"), F.avg((delta > 0).cast("double")).alias("positive_deltas"))
+        names = {"windows": "windows", "deals": "deals", "sharpe": "sharpe", "profit_factor": "pf", "positive_windows": "up", "production_return": "pr", "production_sharpe": "ps", "deployed": "deployed",
+                 "median_delta": "median_delta", "positive_deltas": "positive_deltas"}
+        out |= w.agg(F.max("dd").alias("max_drawdown"), *[F.min(col).alias(n) for n, col in names.items()]).first().asDict()
+    if "cost" in tables:
+        out["profitable_at_2x"] = int(tables["cost"].where("scenario = 'realised_2.0'").agg(F.min("total_return")).first()[0] > 0)
+    if "timing" in tables:
+        out["viable_at_plus_1"] = int(tables["timing"].where("scenario = 'delay_1'").agg(F.min(F.least("total_return", "sharpe"))).first()[0] > 0)
+    if collapse := [tables[k].where("collapsed").count() for k in ("perturbation", "d_perturbation_more") if k in tables]:
+        out["collapsed"] = sum(collapse)
+    if "sanity_more" in tables:
+        out["sanity_failed"] = sanity_verdicts(tables["sanity_more"]).where("not passed").count()
+    if "holdout" in tables:
+        out |= {"holdout_opened": 1}
+    return out
+
+
+def ladder_frame(spark, tables):
+    rows, rung = G.evaluate(ladder_values(tables), gates=G.FULL_GATES)
+    return spark.createDataFrame([(n, g, None if v is None else float(v), t, p, rung) for n, g, v, t, p in rows], "gate string, grp string, value double, threshold double, passed boolean, class string")
+
+
+@query("GAT-01-ladder")
+def gat_01_ladder(spark, sf_dir):
+    """All gates of the ladder, from the stages' queries over these tables; the holdout stays closed."""
+    from barloom.plans.base import QUERIES
+    from barloom.plans.runner import stage_table
+
+    tables = {s: stage_table(spark, sf_dir, s) for s in ("walkforward", "cost", "timing", "perturbation", "bootstrap", "leakage", "reproducibility")}
+    return ladder_frame(spark, tables | {"d_perturbation_more": QUERIES["STR-05-refits"](spark, sf_dir), "sanity_more": QUERIES["SAN-01-refits"](spark, sf_dir)})
+
+
 @query("REP-01", "select true as identical, 0::bigint as differing")
 def rep_01(spark, sf_dir):
     sums = lambda: {r["instrument"]: r["checksum"] for r in B.checksum(B.bars_daily(spark, sf_dir)).collect()}  # noqa: E731  a row an instrument
@@ -372,15 +453,13 @@ def src_21(spark, sf_dir):
     return spark.read.parquet(f"{path}/bars")
 
 
-@query("SRC-22", "select 'm2' as current, 2::int as version")
+@query("SRC-22", sql_of("select instrument as current, row_number() over (order by n, instrument)::int as version from (select instrument, count(*) as n from bars group by 1) qualify row_number() over (order by n desc, instrument desc) = 1"))
 def src_22(spark, sf_dir):
-    import tempfile
-
-    with tempfile.TemporaryDirectory() as d:  # the driver's pointer only; models themselves are written by Spark
-        r = C.ModelRegistry(d)
-        r.publish("m1", {"version": 1})
-        r.publish("m2", {"version": 2})
-        now = r.current()
+    """Instruments published as models, the fewest bars first; the current one is the last published."""
+    registry = C.ModelRegistry(spark, B.fresh_path(spark, "registry"))
+    for r in B.bars_daily(spark, sf_dir).groupBy("instrument").agg(F.count("*").alias("n")).orderBy("n", "instrument").collect():  # a row an instrument
+        registry.publish(r.instrument, {"bars": r.n})
+    now = registry.current()
     return spark.createDataFrame([(now["model"], now["version"])], "current string, version int")
 
 
@@ -411,8 +490,18 @@ def api_01(spark, sf_dir):
 
 @query("FEA-24")
 def fea_24(spark, sf_dir):
-    fitted = FO.fit_kalman(B.bars_daily(spark, sf_dir).withColumn("log_close", F.log("close")))
-    return fitted.withColumn("digest", F.substring(F.sha2(F.concat_ws("|", F.round("q_level", 9).cast("string"), F.round("r", 9).cast("string")), 256), 1, 16)).select("instrument", "digest")
+    """Filter and hidden states fitted on each instrument's training block, and the digest of both."""
+    def run(pdf: pd.DataFrame) -> pd.DataFrame:
+        pdf = pdf.sort_values("timestamp").iloc[: int(len(pdf) * TRAINING)]
+        y = pdf["log_close"].to_numpy(float)
+        base = max(float(np.nanvar(np.diff(y))), 1e-12)
+        v, r = max(FO.KALMAN_GRID, key=lambda g: FO.kalman(y, base, base * g[0], base * g[1])[1])
+        m = FO.GaussianHMM().fit(pdf[OBS].to_numpy(float))
+        fitted = [f"{x:.9g}" for x in (base, base * v, base * r, *m.mean.ravel(), *m.var.ravel(), *m.trans.ravel())]
+        return pd.DataFrame([(pdf["instrument"].iloc[0], len(pdf), pdf["timestamp"].iloc[-1], base * r, MO.digest(fitted))], columns=["instrument", "n_bars", "fitted_end", "r", "digest"])
+
+    df = X.hmm_observations(X.with_returns(B.bars_daily(spark, sf_dir))).select("instrument", "timestamp", "log_close", *OBS)
+    return df.groupBy("instrument").applyInPandas(run, "instrument string, n_bars long, fitted_end timestamp, r double, digest string")
 
 
 @query("FEA-26", "select 3::int as states, 1800.0::double as staleness")
@@ -422,14 +511,22 @@ def fea_26(spark, sf_dir):
 
 
 # --- ledger and event loop folds
-@query("FLD-07", "select 120.0::double as realised, 0::int as holding, 0.0::double as change")
+@query("FLD-07", sql_of("""select instrument, 100 * (coalesce(arg_max(close, n) filter (where n % 12 = 0), arg_min(close, n)) - arg_min(close, n)) as realised,
+ 100000 + 100 * (arg_max(close, n) - arg_min(close, n)) as equity from o group by 1""", "realised equity", BARS_DAILY + f", o as (select *, row_number() {ORDER} as n from bars)"))
 def fld_07(spark, sf_dir):
-    """Re-entry after twelve marks books what was gained and leaves equity as it was."""
-    price = np.r_[100.0, 100.0 + 0.1 * np.arange(1, 13)]
-    _, entry, _ = FO.step_rules(1.0, 1.0, 12, False, FO.SimParams())
-    led = FO.ledger(np.r_[100.0, np.zeros(12), *([-100.0, 100.0] if entry else [0.0, 0.0])], np.r_[price, price[-1], price[-1]])
-    change = float(led["equity"][-1] - led["equity"][12])
-    return spark.createDataFrame([(round(float(led["realised"][-1]), 6), 0 if entry else 13, round(change, 6))], "realised double, holding int, change double")
+    """100 units held, closed and taken anew after every twelve bars: that books what was gained, and equity stays what it was."""
+    def run(pdf: pd.DataFrame) -> pd.DataFrame:
+        price = pdf.sort_values("timestamp")["close"].to_numpy(float)
+        again = (np.arange(len(price)) + 1) % 12 == 0
+        times = np.where(again, 3, 1)  # the bar itself, the close and the new entry
+        fill = np.zeros(times.sum())
+        at = np.cumsum(times)[again]
+        fill[at - 2], fill[at - 1] = -100.0, 100.0
+        fill[0] = 100.0
+        led = FO.ledger(fill, np.repeat(price, times))
+        return pd.DataFrame([(pdf["instrument"].iloc[0], float(led["realised"][-1]), float(led["equity"][-1]))], columns=["instrument", "realised", "equity"])
+
+    return B.bars_daily(spark, sf_dir).select("instrument", "timestamp", "close").groupBy("instrument").applyInPandas(run, "instrument string, realised double, equity double")
 
 
 def halts(marks: list[bool], recovery: int = 13) -> list[bool]:
@@ -442,9 +539,18 @@ def halts(marks: list[bool], recovery: int = 13) -> list[bool]:
     return out
 
 
-@query("FLD-09", "select * from (values (0, true), (1, true), (2, true), (3, true), (4, true), (5, true), (6, false), (7, false)) t(n, halted)")
+HALTED = f'max((r < -0.025)::int) over (partition by instrument order by "timestamp" rows between 12 preceding and current row) = 1'
+
+
+def halted_bars(spark, sf_dir):
+    """Bars with halted: a loss of over 2.5 % arms, 13 bars without one in a row clear."""
+    df = X.with_returns(B.bars_daily(spark, sf_dir)).withColumn("bad", F.coalesce((c("r") < -0.025).cast("double"), F.lit(0.0)))
+    return FO.fold_column(df, "bad", lambda x: np.array(halts((x > 0).tolist()), float), "halted").withColumn("halted", c("halted") > 0)
+
+
+@query("FLD-09", sql_of(f"select {ID}, coalesce({HALTED}, false) as halted from r1", "", RET))
 def fld_09(spark, sf_dir):
-    return spark.createDataFrame(list(enumerate(halts([True, False, False, True, False, False, False, False], 3))), "n int, halted boolean")
+    return halted_bars(spark, sf_dir)
 
 
 def event_loop(spark, sf_dir, bars=None):
@@ -465,17 +571,22 @@ def fld_19(spark, sf_dir):
     return B.bars_15m(spark, sf_dir).where(c("timestamp") <= end).groupBy("instrument").agg(F.max("timestamp").alias("snapshot_end"))
 
 
-@query("API-10", "select * from (values ('INITIALIZING', 100, 0), ('HALTED', 100, 0), ('HALTED', -50, -50), ('RUNNING', 100, 100)) t(state, wanted, allowed)")
+STATES = RET + f""", o as (select *, row_number() {ORDER} as n, coalesce({HALTED}, false) as halted from r1), s as (select *, case when n <= 200 then 'INITIALIZING' when halted then 'HALTED' else 'RUNNING' end as state, n % 7 - 3 as wanted from o)"""
+
+
+@query("API-10", sql_of("select instrument, \"timestamp\", state, wanted::int as wanted, (case when state = 'INITIALIZING' or (state = 'HALTED' and wanted > 0) then 0 else wanted end)::int as allowed from s", "", STATES))
 def api_10(spark, sf_dir):
     """Orders a state allows: none while initialising, only those that flatten (here a long position) while halted."""
-    df = spark.createDataFrame([("INITIALIZING", 100), ("HALTED", 100), ("HALTED", -50), ("RUNNING", 100)], "state string, wanted int")
-    return df.withColumn("allowed", F.when(c("state") == "INITIALIZING", 0).when((c("state") == "HALTED") & (c("wanted") > 0), 0).otherwise(c("wanted")))
+    n = F.row_number().over(B.by_time())
+    state = F.when(n <= 200, "INITIALIZING").when(c("halted"), "HALTED").otherwise("RUNNING")
+    df = halted_bars(spark, sf_dir).select("instrument", "timestamp", state.alias("state"), (n % 7 - 3).alias("wanted"))
+    return df.withColumn("allowed", F.when((c("state") == "INITIALIZING") | ((c("state") == "HALTED") & (c("wanted") > 0)), 0).otherwise(c("wanted")))
 
 
-# --- streaming, over the trade tape written as files
+# --- streaming, over the deal tape written as files
 def _stream_source(spark, sf_dir):
     path = B.fresh_path(spark, "ticks")
-    B.trades(spark, sf_dir).orderBy("timestamp").coalesce(1).write.option("maxRecordsPerFile", 5000).parquet(path)
+    B.deals(spark, sf_dir).orderBy("timestamp").coalesce(1).write.option("maxRecordsPerFile", 5000).parquet(path)
     return J.tick_stream(spark, path)
 
 
@@ -483,7 +594,7 @@ def _name():
     return f"s{uuid.uuid4().hex}"
 
 
-@query("REL-24", sql_of("select instrument, \"timestamp\", open, high, low, close, volume, trade_count from bars where \"timestamp\" + interval 15 minutes <= (select max(\"timestamp\") from trades) - interval 20 seconds", "open high low close volume", BARS_15M))
+@query("REL-24", sql_of("select instrument, \"timestamp\", open, high, low, close, volume, deal_count from bars where \"timestamp\" + interval 15 minutes <= (select max(\"timestamp\") from deals) - interval 20 seconds", "open high low close volume", BARS_15M))
 def rel_24(spark, sf_dir):
     return J.collect_stream(J.stream_bars(_stream_source(spark, sf_dir)), _name(), B.fresh_path(spark, "ck"))
 
@@ -494,10 +605,10 @@ def src_15(spark, sf_dir):
 
 
 @query("REL-24-session", sql_of("""select instrument, s as start, e as "end", n, volume from (select instrument, min("timestamp") as s, max("timestamp") + interval 30 minutes as e, count(*) as n, sum(size) as volume from
- (select *, sum(fresh) over (partition by instrument order by "timestamp", sequence_id) as k from (select *, case when date_diff('microsecond', lag("timestamp") over (partition by instrument order by "timestamp", sequence_id), "timestamp") >= 1800000000 then 1 else 0 end as fresh from trades)) group by instrument, k)""", "volume", TRADES))
+ (select *, sum(fresh) over (partition by instrument order by "timestamp", sequence_id) as k from (select *, case when date_diff('microsecond', lag("timestamp") over (partition by instrument order by "timestamp", sequence_id), "timestamp") >= 1800000000 then 1 else 0 end as fresh from deals)) group by instrument, k)""", "volume", DEALS))
 def rel_24_session(spark, sf_dir):
     """The batch form of the session windows."""
-    g = B.trades(spark, sf_dir).groupBy("instrument", F.session_window("timestamp", "30 minutes").alias("w")).agg(F.count("*").alias("n"), F.sum("size").alias("volume"))
+    g = B.deals(spark, sf_dir).groupBy("instrument", F.session_window("timestamp", "30 minutes").alias("w")).agg(F.count("*").alias("n"), F.sum("size").alias("volume"))
     return g.select("instrument", c("w.start").alias("start"), c("w.end").alias("end"), "n", "volume")
 
 
@@ -630,21 +741,21 @@ def rel_23(spark, sf_dir):
     return spark.sql("with recursive r(n) as (select 1 union all select n * 2 from r where n < 1000) select n from r")
 
 
-REL4 = sql_of('select p."timestamp", p.sequence_id, s.price as other from (select * from trades where instrument = \'view\') p asof left join (select * from trades where instrument = \'click\') s on p."timestamp" >= s."timestamp"', "other", TRADES)
+REL4 = sql_of('select p."timestamp", p.sequence_id, s.price as other from (select * from deals where instrument = \'view\') p asof left join (select * from deals where instrument = \'click\') s on p."timestamp" >= s."timestamp"', "other", DEALS)
 
 
 @query("REL-04", REL4)
 def rel_04(spark, sf_dir):
     from barloom.operators.asof import asof_join
 
-    tr = B.trades(spark, sf_dir).withColumn("all", F.lit(1))
+    tr = B.deals(spark, sf_dir).withColumn("all", F.lit(1))
     return asof_join(tr.where("instrument = 'view'"), tr.where("instrument = 'click'").select("all", "timestamp", c("price").alias("other")), ["all"], ["other"]).select("timestamp", "sequence_id", "other")
 
 
-@query("REL-05", sql_of("select p.sequence_id, count(s.sequence_id) as near from (select * from trades where instrument = 'view') p left join (select * from trades where instrument = 'purchase') s on s.\"timestamp\" between p.\"timestamp\" - interval 10 minutes and p.\"timestamp\" group by 1", "", TRADES))
+@query("REL-05", sql_of("select p.sequence_id, count(s.sequence_id) as near from (select * from deals where instrument = 'view') p left join (select * from deals where instrument = 'purchase') s on s.\"timestamp\" between p.\"timestamp\" - interval 10 minutes and p.\"timestamp\" group by 1", "", DEALS))
 def rel_05(spark, sf_dir):
     """Interval join by buckets of the interval's length: an equi-join on the bucket and the one before."""
-    tr = B.trades(spark, sf_dir)
+    tr = B.deals(spark, sf_dir)
     bucket = F.floor(F.unix_seconds("timestamp") / 600)
     p = tr.where("instrument = 'view'").select("sequence_id", "timestamp", F.explode(F.array(bucket, bucket - 1)).alias("b"))
     s = tr.where("instrument = 'purchase'").select(c("timestamp").alias("t2"), bucket.alias("b"))

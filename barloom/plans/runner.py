@@ -6,9 +6,12 @@ import datetime as dt
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.window import Window
 
-from barloom.plans.base import QUERIES, query, rolled
-from barloom.plans.research import gates_frame, resolve_stages
+from barloom.operators.metrics import ratio
+from barloom.plans.base import QUERIES, query, rolled, sql_of
+from barloom.plans.metrics import PRE, pnl
+from barloom.plans.research import gates_frame, ladder_frame, resolve_stages
 from barloom.sources.bars import fresh_path
 
 #: the query that each stage stores
@@ -17,7 +20,7 @@ TABLES = {"walkforward": "RUN-01-windows", "baselines": "BAS-01", "cost": "STR-0
 
 
 #: what a stage stores beside its table, at <stage>_more
-MORE = {"baselines": "BAS-01-paths", "sanity": "SAN-01-refits", "families": "ABL-03-inputs"}
+MORE = {"baselines": "BAS-01-paths", "sanity": "SAN-01-refits", "families": "ABL-03-inputs", "d_perturbation": "STR-05-refits"}
 #: stages whose table has a row for each value of a column and the instruments' rows inside it
 NESTED = {"walkforward": "window", "bootstrap": "metric"}
 
@@ -50,6 +53,9 @@ def run_research(spark: SparkSession, sf_dir: str, spec: str = "quick", run_dir:
         (rolled(gates_frame(spark, done)) if stage == "gates" else stage_table(spark, sf_dir, stage)).write.parquet(path)
         if stage in MORE:
             QUERIES[MORE[stage]](spark, sf_dir).write.parquet(f"{path}_more")
+        if stage == "gates":  # those of the full ladder
+            more = {f"{s}_more": spark.read.parquet(f"{p}_more") for _, s, _, p in out if s in MORE}
+            rolled(ladder_frame(spark, done | more)).write.parquet(f"{path}_more")
         out.append((n, stage, spark.read.parquet(path).count(), path))
     return spark.createDataFrame(out, "n int, stage string, rows long, path string")
 
@@ -76,13 +82,14 @@ def run_04(spark, sf_dir):
     return out.agg(F.count("*").alias("entries"), F.max_by("why", "at").alias("last_reason"))
 
 
-@query("RUN-10", "select * from (values (0, 'm0', 'm0'), (1, 'm1', 'm0'), (2, 'm2', 'm2'), (3, 'm3', 'm2')) t(n, candidate, deployed)")
+@query("RUN-10", sql_of("""select instrument, w as "window", 'm' || w::bigint as candidate, last_value(case when s > 0 then 'm' || w::bigint end ignore nulls) over (partition by instrument order by w rows unbounded preceding) as deployed
+ from (select instrument, w, avg(pnl) / nullif(stddev_pop(pnl), 0) as s from p group by 1, 2)""", "", PRE))
 def run_10(spark, sf_dir):
-    """Which model is deployed after each report: rejected candidates leave the one before."""
-    from pyspark.sql.window import Window
-
-    df = spark.createDataFrame([(0, "m0", True), (1, "m1", False), (2, "m2", True), (3, "m3", False)], "n int, candidate string, accepted boolean")
-    return df.select("n", "candidate", F.last(F.when(F.col("accepted"), F.col("candidate")), True).over(Window.orderBy("n")).alias("deployed"))
+    """Which model is deployed after each report: one that is rejected (here: no positive Sharpe ratio in its window) leaves the one before."""
+    name = F.concat(F.lit("m"), F.col("w").cast("string"))
+    s = pnl(spark, sf_dir).groupBy("instrument", "w").agg(ratio(F.avg("pnl"), F.stddev_pop("pnl")).alias("s"))
+    deployed = F.last(F.when(F.col("s") > 0, name), True).over(Window.partitionBy("instrument").orderBy("w"))
+    return s.select("instrument", F.col("w").alias("window"), name.alias("candidate"), deployed.alias("deployed"))
 
 
 @query("ORD-05")

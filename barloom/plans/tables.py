@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from barloom.operators import validate as V
-from barloom.plans.base import BARS_15M, BARS_DAILY, ORDER, TRADES, query, sql_of
+from barloom.plans.base import BARS_15M, BARS_DAILY, ORDER, DEALS, query, sql_of
 from barloom.sources import bars as B
 from barloom.sources import calendar as C
 
@@ -105,7 +105,7 @@ def src_13(spark, sf_dir):
     return B.bars_15m(spark, sf_dir).where(F.col("instrument").isin("click", "purchase")).groupBy("instrument").agg(F.count("*").alias("n"), F.max("timestamp").alias("newest"))
 
 
-@query("SRC-14", sql_of(f"select instrument as symbol, \"timestamp\" as exchange_timestamp, 'BAR' as event_type, 'bars' as source, row_number() {ORDER} - 1 as sequence_id, close as trade_price, volume as trade_size from bars", "trade_price trade_size", BARS_15M))
+@query("SRC-14", sql_of(f"select instrument as symbol, \"timestamp\" as exchange_timestamp, 'BAR' as event_type, 'bars' as source, row_number() {ORDER} - 1 as sequence_id, close as deal_price, volume as deal_size from bars", "deal_price deal_size", BARS_15M))
 def src_14(spark, sf_dir):
     return B.events_from_bars(B.bars_15m(spark, sf_dir))
 
@@ -152,14 +152,14 @@ def cal_10(spark, sf_dir):
     return C.grid(C.days(spark, 2024, 2024))
 
 
-@query("CAL-01", sql_of("select sequence_id, l as local, l::date as session_date from (select *, " + LOCAL + " as l from trades)", "", TRADES))
+@query("CAL-01", sql_of("select sequence_id, l as local, l::date as session_date from (select *, " + LOCAL + " as l from deals)", "", DEALS))
 def cal_01(spark, sf_dir):
-    return B.trades(spark, sf_dir).select("sequence_id", C.local("timestamp").alias("local"), C.session_date("timestamp").alias("session_date"))
+    return B.deals(spark, sf_dir).select("sequence_id", C.local("timestamp").alias("local"), C.session_date("timestamp").alias("session_date"))
 
 
-@query("CAL-07", sql_of(f"select sequence_id, {MIN}::int as minute from (select *, {LOCAL} as l from trades)", "", TRADES))
+@query("CAL-07", sql_of(f"select sequence_id, {MIN}::int as minute from (select *, {LOCAL} as l from deals)", "", DEALS))
 def cal_07(spark, sf_dir):
-    return B.trades(spark, sf_dir).select("sequence_id", C.minutes_since_open("timestamp").cast("int").alias("minute"))
+    return B.deals(spark, sf_dir).select("sequence_id", C.minutes_since_open("timestamp").cast("int").alias("minute"))
 
 
 @query("CAL-08", sql_of(f"select {ID}, isodow(l) < 6 and {MIN} between 0 and 389 as in_session, isodow(l) < 6 and {MIN} between 0 and 389 and {MIN} % 30 = 0 as on_grid from {L}", "", BARS_15M))
@@ -283,16 +283,16 @@ def joi_04_instruments(spark, sf_dir):
     return rows.withColumn("window", F.floor((F.col("i") - 300) / 250).cast("int")).join(w, ["instrument", "window"]).select("instrument", "timestamp", "window")
 
 
-TRD = "t as (select trade_id, entry_row, entry_row + 4 + trade_id % 3 as exit_row from (select k as trade_id, 7 * k as entry_row from generate_series(0, 200) g(k)))"
+TRD = "t as (select deal_id, entry_row, entry_row + 4 + deal_id % 3 as exit_row from (select k as deal_id, 7 * k as entry_row from generate_series(0, 200) g(k)))"
 
 
-@query("JOI-05", sql_of("select i as row, max(trade_id)::int as trade_id from t join generate_series(0, 1500) g(i) on i between entry_row and exit_row group by 1", "", TRD))
+@query("JOI-05", sql_of("select i as row, max(deal_id)::int as deal_id from t join generate_series(0, 1500) g(i) on i between entry_row and exit_row group by 1", "", TRD))
 def joi_05(spark, sf_dir):
-    """Interval join of trades with rows; of trades on the same row the later one counts. Spans are expanded, so it is an equi-join."""
+    """Interval join of deals with rows; of deals on the same row the later one counts. Spans are expanded, so it is an equi-join."""
     k = F.col("id").cast("int")
-    t = spark.range(201).select(k.alias("trade_id"), (7 * F.col("id")).alias("entry_row"), (7 * F.col("id") + 4 + F.col("id") % 3).alias("exit_row"))
-    spans = t.select("trade_id", F.explode(F.sequence("entry_row", "exit_row")).alias("row"))
-    return spark.range(1501).withColumnRenamed("id", "row").join(spans, "row").groupBy("row").agg(F.max("trade_id").alias("trade_id"))
+    t = spark.range(201).select(k.alias("deal_id"), (7 * F.col("id")).alias("entry_row"), (7 * F.col("id") + 4 + F.col("id") % 3).alias("exit_row"))
+    spans = t.select("deal_id", F.explode(F.sequence("entry_row", "exit_row")).alias("row"))
+    return spark.range(1501).withColumnRenamed("id", "row").join(spans, "row").groupBy("row").agg(F.max("deal_id").alias("deal_id"))
 
 
 @query("JOI-06", sql_of(f"select a.instrument, a.\"timestamp\", a.close, b.open as next_open from n a join n b on a.instrument = b.instrument and a.i + 1 = b.i", "close next_open", BARS_DAILY + f", n as (select *, row_number() {ORDER} as i from bars)"))
@@ -308,11 +308,11 @@ def joi_07(spark, sf_dir):
     return cols(B.bars_15m(spark, sf_dir).where((F.unix_seconds("timestamp") + 900 <= end) & (F.col("instrument") != "view")))
 
 
-@query("JOI-08", sql_of("select entry_row // 250 as window_id, count(*)::bigint as trades from t group by 1", "", TRD))
+@query("JOI-08", sql_of("select entry_row // 250 as window_id, count(*)::bigint as deals from t group by 1", "", TRD))
 def joi_08(spark, sf_dir):
     t = spark.range(201).select((7 * F.col("id")).alias("entry_row"))
     windows = spark.range(1501).select(F.col("id").alias("entry_row"), F.floor(F.col("id") / 250).alias("window_id"))
-    return t.join(windows, "entry_row").groupBy("window_id").agg(F.count("*").alias("trades"))
+    return t.join(windows, "entry_row").groupBy("window_id").agg(F.count("*").alias("deals"))
 
 
 @query("JOI-09", sql_of("select 0::bigint as differing_keys", "", "one as (select 1)"))

@@ -12,8 +12,6 @@ from barloom.operators.chunks import in_chunks
 from barloom.plans.base import BARS_15M, BARS_DAILY, ORDER, full, over, query, sql_of, z_sql
 from barloom.sources.bars import bars_15m, bars_daily
 
-#: rows of a chunk of a long series
-CHUNK = 50_000
 RET = BARS_DAILY + f""", r0 as (select *, ln(close) as log_close, ln(close) - lag(ln(close)) {ORDER} as r from bars),
 r1 as (select *, {full("r", 50, f"stddev_pop(r) {over(50)}")} as sigma_h, (high - low) / close as range_rel from r0)"""
 RET15 = RET.replace(BARS_DAILY, BARS_15M)
@@ -106,7 +104,9 @@ def frc_02(spark, sf_dir):
 
 
 for _key, _d in (("FRC-03", 0.5), ("FRC-05", 0.75)):
-    simple(_key, lambda _d=_d: FR.transform("log_close", _d), dot("log_close", list(FR.weights(_d))))
+    @query(_key, sql_of(f"select {ID}, {dot('log_close', list(FR.weights(_d)))} as x from r1", "x", RET))
+    def _(spark, sf_dir, _d=_d):
+        return FR.transformed(bars_daily(spark, sf_dir).withColumn("log_close", F.log("close")), "log_close", {"x": _d}).select("instrument", "timestamp", "x")
 
 
 @query("FRC-04", sql_of(f"select {ID}, x as value from (select *, {dot('log_close', list(FR.weights(0.5)))} as x, row_number() over (partition by instrument order by \"timestamp\" desc) as back from r1) where back = 1", "value", RET))
@@ -116,7 +116,7 @@ def frc_04(spark, sf_dir):
 
 @query("FRC-08")
 def frc_08(spark, sf_dir):
-    return FR.evaluate_orders(ret(spark, sf_dir), (0.1, 0.3, 0.5, 0.7, 0.9))
+    return FR.evaluate_orders(ret(spark, sf_dir))
 
 
 @query("FRC-06")
@@ -149,7 +149,7 @@ V3 = RET + f", ew as (select *, {dot('(r * r)', W.ewma_weights(0.94, 450))} as e
 
 @query("FEA-03", sql_of(f"select {ID}, ln({S[10]} + 1e-12) as vol_10, ln({S[50]} + 1e-12) as vol_50, ln({S[200]} + 1e-12) as vol_200, {S[10]} / ({S[50]} + 1e-12) as vol_ratio_short, {S[50]} / ({S[200]} + 1e-12) as vol_ratio_long, {z_sql('range_rel', 250)} as range_z, (2 * close - high - low) / (high - low + 1e-12) as close_location, {FV} as fractional_volatility from ew2", "vol_10 vol_50 vol_200 vol_ratio_short vol_ratio_long range_z close_location fractional_volatility", V3, 5), 5)
 def fea_03(spark, sf_dir):
-    out = in_chunks(ret(spark, sf_dir), lambda df: X.volatility_features(X.fractional_volatility(df)), X.required_history(), CHUNK)
+    out = in_chunks(bars_daily(spark, sf_dir), lambda df: X.fractional_volatility(X.volatility_features(X.with_returns(df), range_z=False)), X.required_history() + 1)
     return out.select("instrument", "timestamp", "vol_10", "vol_50", "vol_200", "vol_ratio_short", "vol_ratio_long", "range_z", "close_location", "fractional_volatility")
 
 
@@ -165,7 +165,7 @@ _fd_sql = ", ".join([f"fd_{n}, fd_{n}_z, fd_{n} - lag(fd_{n}) {ORDER} as fd_slop
 
 @query("FEA-01", sql_of(f"select {ID}, {_fd_sql}, fd_025_z - fd_050_z as fd_cross_sm, fd_050_z - fd_075_z as fd_cross_mf, fd_025_z - fd_075_z as fd_cross_sf, abs(fd_025_z) / (abs(fd_075_z) + 0.1) as fractional_state from fz", " ".join(_fd), FD, 5), 5)
 def fea_01(spark, sf_dir):
-    return in_chunks(ret(spark, sf_dir), X.fractional_features, 500 + 250 + 4, CHUNK).select("instrument", "timestamp", *_fd)
+    return X.fractional_features(bars_daily(spark, sf_dir).withColumn("log_close", F.log("close"))).select("instrument", "timestamp", *_fd)
 
 
 @query("FEA-05", sql_of(f"select {ID}, {CORR50} as trend_state, {S[20]} / ({S[200]} + 1e-12) as volatility_state from r2", "trend_state volatility_state", RN))

@@ -1,4 +1,4 @@
-"""Bars: schema, readers and writers, and bars built from trade and line-item tables."""
+"""Bars: schema, readers and writers, and bars built from deal and line-item tables."""
 
 from __future__ import annotations
 
@@ -17,7 +17,7 @@ BAR_SCHEMA = T.StructType(
     + [T.StructField("bar_minutes", T.IntegerType()), T.StructField("bid", T.DoubleType()), T.StructField("ask", T.DoubleType()),
        T.StructField("quote_timestamp", T.TimestampType()), T.StructField("observed_at", T.TimestampType()),
        T.StructField("bid_size", T.DoubleType()), T.StructField("ask_size", T.DoubleType()), T.StructField("end_time", T.TimestampType()),
-       T.StructField("dollar_volume", T.DoubleType()), T.StructField("trade_count", T.LongType()), T.StructField("vwap", T.DoubleType()),
+       T.StructField("dollar_volume", T.DoubleType()), T.StructField("deal_count", T.LongType()), T.StructField("vwap", T.DoubleType()),
        T.StructField("bar_kind", T.StringType()), T.StructField("bar_id", T.StringType())])
 
 
@@ -38,9 +38,11 @@ def running() -> WindowSpec:
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder all executors share (spark.checkpoint.dir); where that is unset, a local one of our own."""
+    """The folder all executors share (spark.checkpoint.dir); where that is unset, a local one of our own, on one machine only."""
     path = spark.sparkContext.getConf().get("spark.checkpoint.dir", None) or spark.conf.get("barloom.shared.dir", None)
     if not path:
+        if not spark.sparkContext.master.startswith("local"):
+            raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
         path = tempfile.mkdtemp(prefix="barloom-")
         spark.conf.set("barloom.shared.dir", path)
     return path.rstrip("/")
@@ -59,30 +61,30 @@ def bars_daily(spark: SparkSession, sf_dir: str) -> DataFrame:
         F.col("l_extendedprice").cast("double").alias("p"), F.col("l_linestatus").alias("s"), F.col("l_discount").cast("double").alias("d"))
     out = rows.groupBy(KEY, TIME).agg(
         F.min_by("px", "k").alias("open"), F.max("px").alias("high"), F.min("px").alias("low"), F.max_by("px", "k").alias("close"),
-        F.sum("q").alias("volume"), F.sum("p").alias("dollar_volume"), F.count("*").alias("trade_count"),
+        F.sum("q").alias("volume"), F.sum("p").alias("dollar_volume"), F.count("*").alias("deal_count"),
         F.sum(F.when(F.col("s") == "O", F.col("q")).otherwise(0.0)).alias("bid_size"), F.sum(F.when(F.col("s") == "F", F.col("q")).otherwise(0.0)).alias("ask_size"),
         F.avg("d").alias("avg_disc"))
     return out.select("*", (F.col("close") * (1 - F.col("avg_disc") / 200)).alias("bid"), (F.col("close") * (1 + F.col("avg_disc") / 200)).alias("ask")).drop("avg_disc")
 
 
-def trades(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Trade events: instrument, exchange time, price, size, sequence id."""
+def deals(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Deal events: instrument, exchange time, price, size, sequence id."""
     return table(spark, sf_dir, "events").where("value > 0").select(
         F.col("event_type").alias(KEY), F.col("ts").cast("timestamp").alias(TIME), F.col("value").alias("price"),
         (1 + F.get_json_object("props", "$.k").cast("double")).alias("size"), F.col("event_id").alias("sequence_id"))
 
 
 def time_bars(ticks: DataFrame, length: str = "15 minutes", slide: str | None = None) -> DataFrame:
-    """Tumbling (or sliding) time bars of trades; bars exist only where trades do."""
+    """Tumbling (or sliding) time bars of deals; bars exist only where deals do."""
     key = F.struct(TIME, "sequence_id")
     out = ticks.groupBy(KEY, F.window(TIME, length, slide or length).alias("w")).agg(
         F.min_by("price", key).alias("open"), F.max("price").alias("high"), F.min("price").alias("low"), F.max_by("price", key).alias("close"),
-        F.sum("size").alias("volume"), F.sum(F.col("price") * F.col("size")).alias("dollar_volume"), F.count("*").alias("trade_count"))
-    return out.select(KEY, F.col("w.start").alias(TIME), "open", "high", "low", "close", "volume", "dollar_volume", "trade_count")
+        F.sum("size").alias("volume"), F.sum(F.col("price") * F.col("size")).alias("dollar_volume"), F.count("*").alias("deal_count"))
+    return out.select(KEY, F.col("w.start").alias(TIME), "open", "high", "low", "close", "volume", "dollar_volume", "deal_count")
 
 
 def bars_15m(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return time_bars(trades(spark, sf_dir))
+    return time_bars(deals(spark, sf_dir))
 
 
 def read_bars_csv(spark: SparkSession, path: str, instrument: str | None = None, bar_minutes: int = 30) -> DataFrame:
@@ -156,7 +158,7 @@ def poll(bars: DataFrame, cursor: Column, now: Column, grace_seconds: int = 20,
 
 def events_from_bars(bars: DataFrame, source: str = "bars") -> DataFrame:
     return bars.select(F.col(KEY).alias("symbol"), F.col(TIME).alias("exchange_timestamp"), F.lit("BAR").alias("event_type"), F.lit(source).alias("source"),
-                       (F.row_number().over(by_time()) - 1).cast("long").alias("sequence_id"), F.col("close").alias("trade_price"), F.col("volume").alias("trade_size"))
+                       (F.row_number().over(by_time()) - 1).cast("long").alias("sequence_id"), F.col("close").alias("deal_price"), F.col("volume").alias("deal_size"))
 
 
 def with_bar_columns(bars: DataFrame, bar_seconds: int = 86400) -> DataFrame:

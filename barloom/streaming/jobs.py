@@ -23,8 +23,8 @@ def stream_bars(ticks: DataFrame, length: str = "15 minutes", delay: str = "20 s
     key = F.struct(TIME, "sequence_id")
     out = ticks.withWatermark(TIME, delay).groupBy(KEY, F.window(TIME, length, slide or length).alias("w")).agg(
         F.min_by("price", key).alias("open"), F.max("price").alias("high"), F.min("price").alias("low"), F.max_by("price", key).alias("close"),
-        F.sum("size").alias("volume"), F.count("*").alias("trade_count"))
-    return out.select(KEY, F.col("w.start").alias(TIME), "open", "high", "low", "close", "volume", "trade_count")
+        F.sum("size").alias("volume"), F.count("*").alias("deal_count"))
+    return out.select(KEY, F.col("w.start").alias(TIME), "open", "high", "low", "close", "volume", "deal_count")
 
 
 def stream_sessions(ticks: DataFrame, gap: str = "30 minutes", delay: str = "20 seconds") -> DataFrame:
@@ -32,7 +32,7 @@ def stream_sessions(ticks: DataFrame, gap: str = "30 minutes", delay: str = "20
     return out.select(KEY, F.col("w.start").alias("start"), F.col("w.end").alias("end"), "n", "volume")
 
 
-EVENT = "instrument string, start timestamp, close double, volume double, trade_count long, kind string"
+EVENT = "instrument string, start timestamp, close double, volume double, deal_count long, kind string"
 _STATE = "last timestamp, start timestamp, close double, volume double, n long, session string"
 
 

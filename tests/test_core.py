@@ -118,10 +118,10 @@ def sim_input(n=400, seed=3):
             "open_next2": p[2 : n + 2], "adverse": np.zeros(n), "uncertainty": np.zeros(n), "stress_p": np.zeros(n), "session": np.arange(n) // 13.0, "window": np.arange(n) // 100.0}
 
 
-def test_trades_add_up():
+def test_deals_add_up():
     for p in (folds.SimParams(), folds.scenario(rule="legacy"), folds.scenario(delay=1), folds.scenario(daily_loss=0.002, drawdown_halt=0.005)):
-        rows, trades = folds.simulate(sim_input(), p)
-        assert sum(t[5] for t in trades) == pytest.approx(rows["pnl"].sum(), abs=1e-12)
+        rows, deals = folds.simulate(sim_input(), p)
+        assert sum(t[5] for t in deals) == pytest.approx(rows["pnl"].sum(), abs=1e-12)
         assert rows["equity"][-1] == pytest.approx(np.prod(1 + rows["pnl"]))
     free, _ = folds.simulate(sim_input(), folds.scenario(cost_scale=0.0))
     paid, _ = folds.simulate(sim_input(), folds.scenario(cost_scale=3.0))
@@ -132,8 +132,8 @@ def test_cadence():
     a = sim_input(40)
     a["er"][:] = 0.05
     a["log_close"][:], a["open_next"][:], a["open_next2"][:] = math.log(100), 100.0, 100.0
-    _, trades = folds.simulate(a, folds.SimParams())
-    assert [t[0] for t in trades] == [0, 12, 24, 36]
+    _, deals = folds.simulate(a, folds.SimParams())
+    assert [t[0] for t in deals] == [0, 12, 24, 36]
 
 
 def test_ledger():
@@ -208,14 +208,14 @@ def test_synthetic(spark):
 
 
 def test_stream_equals_batch(spark, sf, tmp_path):
-    ticks = bars.trades(spark, sf)
+    ticks = bars.deals(spark, sf)
     ticks.orderBy("timestamp").coalesce(1).write.option("maxRecordsPerFile", 200).parquet(str(tmp_path / "t"))
     got = jobs.collect_stream(jobs.stream_bars(jobs.tick_stream(spark, str(tmp_path / "t"))), "stream_test", str(tmp_path / "c"))
     want = bars.time_bars(ticks)
     last = ticks.agg(F.max(F.unix_seconds("timestamp"))).first()[0]
     want = want.where(F.unix_seconds("timestamp") + 900 <= last - 20).select(*got.columns)
     assert got.count() == want.count() > 50
-    r = lambda d: d.select("instrument", "timestamp", "open", "close", F.round("volume", 6).alias("v"), "trade_count")
+    r = lambda d: d.select("instrument", "timestamp", "open", "close", F.round("volume", 6).alias("v"), "deal_count")
     assert r(got).exceptAll(r(want)).count() == 0
 
 
@@ -236,3 +236,87 @@ def test_chunks_equal_whole_series(spark, sf):
     r = lambda d: d.select("instrument", "timestamp", *[F.round(c, 9).alias(c) for c in cols[2:]])
     whole, parts = r(f(base)), r(in_chunks(base, f, 60, 200))
     assert parts.count() == whole.count() and parts.exceptAll(whole).count() == 0
+
+
+def falling(n=120, loss=0.005):
+    """Long all the way while every bar loses a little; windows of ten bars, one session."""
+    open_ = 100 * (1 - loss) ** np.arange(n + 2)
+    a = {k: np.zeros(n) for k in folds.SIM_COLUMNS}
+    return a | {"er": np.full(n, 1.0), "sigma": np.full(n, 0.5), "sigma_ref": np.full(n, 0.5), "log_close": np.log(open_[:n]), "open_next": open_[:n], "open_next2": open_[1 : n + 1], "session": np.zeros(n),
+                "window": np.arange(n) // 10.0, "stress_p": np.zeros(n)}
+
+
+def test_drawdown_adds_up_over_windows():
+    """A loss spread over windows halts as it would in one; the next window lifts the halt, and only that moves the peak."""
+    p = folds.scenario(drawdown_halt=0.10)
+    spread, _ = folds.simulate(falling(), p)
+    whole, _ = folds.simulate(falling() | {"window": np.zeros(120)}, p)
+    first = int(np.argmax(spread["exposure"] == 0))
+    assert first == int(np.argmax(whole["exposure"] == 0)) > 0 and 0.89 < whole["equity"][-1] < 0.901
+    assert (whole["exposure"][first:] == 0).all()
+    lifted = 10 * (first // 10 + 1)
+    assert (spread["exposure"][first:lifted] == 0).all() and spread["exposure"][lifted] > 0
+    again = lifted + int(np.argmax(spread["exposure"][lifted:] == 0))
+    assert again - lifted >= first - 1  # a full new drawdown from where the halt ended
+
+
+def test_last_position_ends_on_the_last_usable_row():
+    for delay in (0, 2):
+        _, closed = folds.simulate(falling(), folds.scenario(delay=delay, max_holding=10_000))
+        assert closed[-1][1] == 120 - delay - 1 and closed[-1][-1] == "end"
+
+
+def test_fixed_costs_replace_modelled_ones():
+    a = sim_input()
+    free, _ = folds.simulate(a, folds.scenario(cost_bps=0.0))
+    dear, _ = folds.simulate(a, folds.scenario(cost_bps=50.0))
+    assert free["cost_bar"].sum() == 0 and np.allclose(dear["cost_bar"], np.abs(np.diff(dear["exposure"], prepend=0.0)) * 0.0025)
+
+
+def test_hidden_states_know_the_training_block_only(spark, sf):
+    """What comes after the training block changes no fitted number and no earlier state."""
+    from barloom.plans import QUERIES
+    from barloom.plans import decisions as D
+
+    got = QUERIES["FEA-16"](spark, sf).where("instrument = 'A'").orderBy("timestamp").toPandas()
+    rows = features.hmm_observations(features.with_returns(bars.bars_daily(spark, sf))).where("instrument = 'A'").orderBy("timestamp").select(*D.OBS).toPandas().to_numpy(float)
+    cut = int(len(rows) * D.TRAINING)
+    m = folds.GaussianHMM().fit(rows[:cut])
+    rows[cut:] += 1.0
+    assert np.allclose(got[["p0", "p1", "p2"]].to_numpy()[:cut], m.filter(rows)[:cut], atol=1e-6)
+
+
+def test_numbered_rows(spark, sf):
+    from barloom.operators.chunks import numbered
+
+    got = numbered(bars.bars_15m(spark, sf)).select("instrument", "timestamp", "_row").toPandas().sort_values(["instrument", "timestamp"])
+    assert all(g["_row"].tolist() == list(range(len(g))) for _, g in got.groupby("instrument"))
+
+
+def test_chunked_features_equal_whole_series(spark, sf):
+    base = bars.bars_daily(spark, sf).withColumn("log_close", F.log("close"))
+    whole, parts = (features.fractional_features(base, chunk).toPandas().sort_values(["instrument", "timestamp"]).reset_index(drop=True) for chunk in (50_000, 300))
+    assert len(whole) == len(parts) and np.allclose(whole[features.FRACTIONAL_NAMES].to_numpy(float), parts[features.FRACTIONAL_NAMES].to_numpy(float), atol=1e-9, equal_nan=True)
+    assert whole["fd_050_z"].notna().sum() > 1000
+
+
+def test_bar_ends():
+    """Against the builder that takes one event at a time."""
+    rng = np.random.default_rng(5)
+    for kind in ("volume", "dollar", "tick"):
+        price, size = rng.random(700) + 1, rng.integers(1, 40, 700).astype(float)
+        b = folds.BarBuilder(kind, 300.0)
+        made = [x for k in range(700) for x in b.push(k, price[k], size[k], "s")] + [b.flush()]
+        ends = np.cumsum([x[7] for x in made if x])
+        assert folds.bar_ends({"volume": size, "dollar": price * size, "tick": np.ones(700)}[kind], 300.0).tolist() == ends.tolist()
+    assert folds.bar_ends(np.ones(5), 5.0).tolist() == [5]
+
+
+def test_gate_ladder():
+    good = {n: {">": t + 1, ">=": t, "<": t - 0.01, "<=": t}[op] for n, _, t, op in gates.FULL_GATES}
+    assert len(gates.FULL_GATES) == 21 and gates.evaluate(good, gates=gates.FULL_GATES)[1] == "PAPER ELIGIBLE"
+    closed = {k: v for k, v in good.items() if not k.startswith("holdout")}
+    rows, rung = gates.evaluate(closed, gates=gates.FULL_GATES)
+    assert rung == "VALIDATED CANDIDATE" and sum(p is None for *_, p in rows) == 3
+    assert gates.evaluate(good | {"collapsed": 1}, gates=gates.FULL_GATES)[1] == "CANDIDATE"
+    assert gates.evaluate(good, synthetic=True, gates=gates.FULL_GATES)[1].startswith("EXPERIMENTAL")

@@ -41,7 +41,7 @@ def test_entry_without_llm(tmp_path):
     for name in ("barloom", "__spark_entry__.py"):
         src = os.path.join(REPO, name)
         shutil.copytree(src, tmp_path / name) if os.path.isdir(src) else shutil.copy(src, tmp_path / name)
-    shutil.rmtree(tmp_path / "barloom" / "llm")
+    shutil.rmtree(tmp_path / "barloom" / "llm", ignore_errors=True)  # the driver may have taken it out before
     code = "import __spark_entry__ as e; q = e.queries(); assert len(q) > 200 and 'pipeline' not in q and set(e.oracle_sql()) <= set(q); print('ok')"
     got = subprocess.run([sys.executable, "-c", code], cwd=tmp_path, capture_output=True, text=True, timeout=60)
     assert got.stdout.strip() == "ok", got.stderr
