@@ -4,13 +4,17 @@ from __future__ import annotations
 
 from collections.abc import Callable, Iterator
 
+import numpy as np
+import pandas as pd
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 #: characters of text handled at once; one longer text is a slice of its own
 SLICE = 4_000_000
+#: bits of the filter of ids that is sent to every executor (4 MB)
+FILTER_BITS = 25
 #: rows of an Arrow batch, so that a batch of very long texts stays small
 ROWS = 500
 
@@ -64,3 +68,37 @@ def map_texts(df: DataFrame, keep: list[str], text_col: str, fields: list[tuple[
     picked = df.select(*[F.col(f"`{c}`").alias(n) for c, n in zip(keep, names, strict=True)], F.col(f"`{text_col}`").alias("_text"))
     out = picked.mapInArrow(run, inner)
     return out.select(*[F.col(n).alias(c) for n, c in zip(names, keep, strict=True)], *[F.col(f"_n{i}").alias(n) for i, (n, _) in enumerate(fields)])
+
+
+def filter_bits(id_col: Column) -> list[Column]:
+    """The two bits of a long id."""
+    return [F.shiftrightunsigned(F.xxhash64(F.lit(k), id_col.try_cast("long")), 64 - FILTER_BITS) for k in (0, 1)]
+
+
+def id_filter(ids: DataFrame) -> np.ndarray:
+    """A Bloom filter of the long ids in column id, as 64-bit words; at most 2^(FILTER_BITS - 6) rows reach the driver."""
+    bits = ids.select(F.explode(F.array(*filter_bits(F.col("id")))).alias("b")).select(F.shiftright("b", 6).alias("at"), F.expr("shiftleft(1L, cast(b & 63 as int))").alias("w"))
+    rows = bits.groupBy("at").agg(F.bit_or("w").alias("w")).toArrow().to_pandas()
+    out = np.zeros(1 << (FILTER_BITS - 6), np.int64)
+    out[rows["at"].to_numpy()] = rows["w"].to_numpy()
+    return out.view(np.uint64)
+
+
+def lets_through(words: np.ndarray, *bits: np.ndarray) -> np.ndarray:
+    """Which ids may be in the filter, by their bits."""
+    ok = np.ones(len(bits[0]), bool)
+    for b in bits:
+        ok &= (words[(b >> np.uint64(6)).astype(np.int64)] >> (b & np.uint64(63))) & np.uint64(1) == 1
+    return ok
+
+
+def may_be_among(ids: DataFrame, id_col: Column) -> Column:
+    """Whether id_col may be one of the ids (column id): surely true for those, and for a few others. Only ids pass through Python;
+    rows that it is false for need no join, so their other columns needn't be shuffled."""
+    held = ids.sparkSession.sparkContext.broadcast(id_filter(ids))
+
+    @F.pandas_udf("boolean")
+    def run(a: pd.Series, b: pd.Series) -> pd.Series:
+        return pd.Series(lets_through(held.value, a.to_numpy().astype(np.uint64), b.to_numpy().astype(np.uint64)))
+
+    return run(*filter_bits(id_col))

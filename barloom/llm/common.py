@@ -24,6 +24,8 @@ def shared_dir(spark: SparkSession) -> str:
     if not path:
         path = spark.conf.get("barloom.checkpoint.dir", None)
         if not path:
+            if not sc.master.startswith("local"):
+                raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
             path = tempfile.mkdtemp(prefix="barloom-")
             spark.conf.set("barloom.checkpoint.dir", path)
     if sc._jsc.sc().getCheckpointDir().isEmpty():
@@ -31,14 +33,27 @@ def shared_dir(spark: SparkSession) -> str:
     return path
 
 
+#: tables that cut() wrote and nothing has dropped yet, the newest last
+WRITTEN: list[str] = []
+
+
 def cut(df: DataFrame) -> DataFrame:
     """Materialise df in the shared folder and read it back: later stages don't recompute it and survive lost executors."""
     spark = df.sparkSession
     path = f"{shared_dir(spark).rstrip('/')}/barloom-{uuid.uuid4().hex}"
     df.write.parquet(path)
+    WRITTEN.append(path)
     return spark.read.schema(df.schema).parquet(path)
 
 
+def drop(spark: SparkSession, paths: list[str] | None = None) -> None:
+    """Deletes tables of cut(), all of this driver's if none are named: to be called once what was made of them is written."""
+    for path in list(WRITTEN if paths is None else paths):
+        where = spark._jvm.org.apache.hadoop.fs.Path(path)
+        where.getFileSystem(spark._jsc.hadoopConfiguration()).delete(where, True)
+        WRITTEN.remove(path)
+
+
 def ascii_lower(col: Column) -> Column:
     """Lower-case A-Z only. lower() does just that to text of single-byte characters, and faster."""
     return F.when(F.length(col) == F.octet_length(col), F.lower(col)).otherwise(F.translate(col, UPPER, LOWER))

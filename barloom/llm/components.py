@@ -5,10 +5,10 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from barloom.llm.common import cut
+from barloom.llm.common import WRITTEN, cut, drop
 
 
-def components(edges: DataFrame, most: int = 40) -> DataFrame:
+def components(edges: DataFrame) -> DataFrame:
     """(node, label) for each end of edges (u, v), label being the smallest node that it reaches.
 
     Each round takes the smallest label among neighbours, then the label's own label, so a path of n nodes needs about
@@ -17,13 +17,14 @@ def components(edges: DataFrame, most: int = 40) -> DataFrame:
     """
     both = cut(edges.where("u <> v").selectExpr("inline(array(struct(u, v), struct(v as u, u as v)))").distinct())
     labels = cut(both.groupBy(F.col("u").alias("node")).agg(F.least(F.min("v"), F.first("u")).alias("label")))
-    for _ in range(most):
+    while True:  # labels only fall, so it ends
+        old = WRITTEN[-1:]
         near = both.join(labels.select(F.col("node").alias("v"), "label"), "v").groupBy(F.col("u").alias("node")).agg(F.min("label").alias("near"))
         new = labels.join(near, "node").select("node", F.least("label", "near").alias("_l"), F.col("label").alias("_old"))
         own = cut(new)
         step = own.join(own.select(F.col("node").alias("_l"), F.col("_l").alias("_up")), "_l", "left")
         new = cut(step.select("node", F.least("_l", "_up").alias("label"), "_old"))
         labels = new.select("node", "label")
+        drop(edges.sparkSession, [*old, WRITTEN[-2]])  # the labels before, and those half way
         if new.where("label <> _old").isEmpty():
             return labels
-    raise RuntimeError("labels still change; the graph has too long paths for the rounds allowed")

@@ -24,7 +24,7 @@ from barloom.llm.ngrams import SPACE, flatten, gram_hashes
 BITS = 15
 ORDERS = (1, 2, 3)
 SAMPLE = 3000
-ALPHA, BETA, L1, L2, EPOCHS, SCALE = 0.5, 1.0, 1e-4, 1e-4, 4, 30.0
+ALPHA, BETA, L1, L2, EPOCHS, SCALE = 0.5, 1.0, 0.1, 1e-4, 4, 30.0
 UNKNOWN = "und"
 _CHARS = 1_000_000
 

@@ -5,6 +5,7 @@ taken as its set of words. The words of the templates are ordered by their frequ
 corpus, rarest first. A block can reach the containment threshold of a template only if it holds one of the first
 |T| - need + 1 words of the template (prefix), has at least ``need`` template words at all (length), and has enough words left
 after the place of the first shared one (position). Blocks that pass are verified on the full sets, so none is missed.
+A set of very few words says little, so templates of fewer than PHRASE words count only where they stand consecutively.
 Templates are few and fixed, so the join runs inside each row: no shuffle, whatever the corpus holds.
 
 Defined cases: null or empty text has no words, no labels and score 0. Repeated rows are scanned like any other. Words are
@@ -39,6 +40,14 @@ TEMPLATES = [
     ("reserved", "all rights reserved"),
 ]
 THRESHOLD = 0.8
+PHRASE = 5
+LONG_TEMPLATES = [(label, t) for label, t in TEMPLATES if len(t.split()) >= PHRASE]
+SHORT_TEMPLATES = [(label, t) for label, t in TEMPLATES if len(t.split()) < PHRASE]
+
+
+def _window(text: str) -> int:
+    """Words of a window for a template."""
+    return len(text.split()) + len(text.split()) // 4
 
 
 def _need(words: list[str], threshold: float) -> int:
@@ -54,10 +63,10 @@ def word_frequencies(docs: DataFrame, vocabulary: list[str], text_col: str) -> d
 
 def ordered_templates(frequency: dict[str, int], threshold: float):
     """(label, words rarest first, words needed, prefix), and all words rarest first."""
-    order = sorted({w for _, t in TEMPLATES for w in t.split()}, key=lambda w: (frequency.get(w, 0), w))
+    order = sorted({w for _, t in LONG_TEMPLATES for w in t.split()}, key=lambda w: (frequency.get(w, 0), w))
     place = {w: i for i, w in enumerate(order)}
     out = []
-    for label, text in TEMPLATES:
+    for label, text in LONG_TEMPLATES:
         words = sorted(set(text.split()), key=place.get)
         need = _need(words, threshold)
         out.append((label, words, need, words[: len(words) - need + 1]))
@@ -104,7 +113,7 @@ def _places(parts: list[str]) -> Column:
 def scan_licenses(docs: DataFrame, threshold: float = THRESHOLD, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """id, n_words, n_base, first_word, last_word, base_labels, labels, score of each row of docs."""
     text = whole(text_col)
-    templates, order = ordered_templates(word_frequencies(docs, sorted({w for _, t in TEMPLATES for w in t.split()}), text_col), threshold)
+    templates, order = ordered_templates(word_frequencies(docs, sorted({w for _, t in LONG_TEMPLATES for w in t.split()}), text_col), threshold)
     prefixes = _literal(sorted({w for *_, p in templates for w in p}))
     rows = docs.select(F.col(id_col), ascii_lower(text).alias("_low"))
     rows = rows.withColumn("_w", held(F.array_remove(F.split("_low", BETWEEN), "")))
@@ -125,10 +134,13 @@ def scan_licenses(docs: DataFrame, threshold: float = THRESHOLD, id_col: str = "
     # windows over lines: only for texts that hold enough of a template's words and no line with all of them
     held_words = F.when(F.arrays_overlap("_w", prefixes), F.array_intersect(_literal(order), "_w"))
     rows = rows.withColumn("_known", held(held_words))
-    for (_, name, _), t, (_, text_of) in zip(best, templates, TEMPLATES, strict=True):
-        size = len(text_of.split())
+    for (_, name, _), t, (_, text_of) in zip(best, templates, LONG_TEMPLATES, strict=True):
         could = (F.col(name) < 1) & (F.size("_known") >= t[2]) & (F.size(F.array_intersect(F.col("_known"), _literal(t[1]))) >= t[2])
-        rows = rows.withColumn(name, F.when(could, F.greatest(F.col(name), F.coalesce(_wrapped(*t[1:], size + size // 4), F.lit(0.0)))).otherwise(F.col(name)))
+        rows = rows.withColumn(name, F.when(could, F.greatest(F.col(name), F.coalesce(_wrapped(*t[1:], _window(text_of)), F.lit(0.0)))).otherwise(F.col(name)))
+    for k, (label, phrase) in enumerate(SHORT_TEMPLATES):
+        there = F.array_contains("_w", phrase.split()[-1]) & (F.size(_places(phrase.split())) > 0)
+        rows = rows.withColumn(f"_short{k}", F.when(there, F.lit(1.0)).otherwise(F.lit(0.0)))
+        best.append((label, f"_short{k}", None))
     found = F.array_compact(F.array(*[F.when(F.col(name) > 0, F.lit(label)) for label, name, _ in best]))
     score = F.when(F.size(every) > 0, F.lit(1.0)).otherwise(F.greatest(*[F.col(name) for _, name, _ in best]))
     return rows.select(
@@ -147,16 +159,23 @@ def _sql() -> str:
     hits = " union all ".join(
         f"select doc_id, '{label}' as label, i - 1 as st from toks where i + {len(p.split()) - 1} <= len(w) and "
         + " and ".join(f"w[i + {k}] = '{x}'" for k, x in enumerate(p.split())) for p, label in PHRASES.items())
-    temps = ", ".join(f"({k}, '{label}', {sorted(set(t.split()))}, {_need(sorted(set(t.split())), THRESHOLD)})" for k, (label, t) in enumerate(TEMPLATES))
+    temps = ", ".join(f"({k}, '{label}', {sorted(set(t.split()))}, {_need(sorted(set(t.split())), THRESHOLD)}, {_window(t)})" for k, (label, t) in enumerate(LONG_TEMPLATES))
+    short = " union all ".join(
+        f"select doc_id, '{label}' as label, 1.0::double as c from (select doc_id, w, unnest(range(1, len(w) + 1)) as i from words where list_contains(w, '{t.split()[-1]}')) where "
+        + " and ".join(f"w[i + {k}] = '{x}'" for k, x in enumerate(t.split())) for label, t in SHORT_TEMPLATES)
     return f"""
 with d as (select doc_id, {fold} as t from documents),
 words as (select doc_id, regexp_extract_all(t, '{cls}') as w, t from d),
 toks as (select doc_id, w, unnest(range(1, len(w) + 1)) as i from words where contains(t, 'license')),
 hits as ({hits}),
 base as (select doc_id, count(*) as n, min(st) as lo, max(st) as hi, list(distinct label) as ls from hits group by doc_id),
-temps(k, label, tw, need) as (values {temps}),
+temps(k, label, tw, need, size) as (values {temps}),
 lines as (select doc_id, list_distinct(regexp_extract_all(line, '{cls}')) as lw from (select doc_id, unnest(string_split(t, chr(10))) as line from d)),
-found as (select doc_id, label, len(list_intersect(lw, tw)) / len(tw)::double as c from lines, temps where len(list_intersect(lw, tw)) >= need),
+candidates as (select doc_id, w, label, tw, need, size from (select doc_id, w, list_distinct(w) as dw from words), temps where len(list_intersect(dw, tw)) >= need),
+starts as (select doc_id, label, tw, need, w[i:i + size - 1] as win from (select *, unnest(range(1, len(w) + 1)) as i from candidates) where list_contains(tw, w[i])),
+wins as (select doc_id, label, need, len(tw) as n, len(list_intersect(list_distinct(win), tw)) as hit from starts),
+found as (select doc_id, label, len(list_intersect(lw, tw)) / len(tw)::double as c from lines, temps where len(list_intersect(lw, tw)) >= need
+  union all select doc_id, label, hit / n::double as c from wins where hit >= need union all {short}),
 best as (select doc_id, list(distinct label) as ls, max(c) as c from found group by doc_id)
 select w.doc_id, len(w.w)::bigint as n_words, coalesce(b.n, 0)::bigint as n_base, b.lo::bigint as first_word, b.hi::bigint as last_word,
   coalesce(array_to_string(list_sort(b.ls), ','), '') as base_labels,

@@ -12,11 +12,14 @@
 4. For cells of several parts, the classes that aren't connected with the leader are compared with all other parts, in blocks.
 5. Links give components; copies follow their class.
 
-Chance: a pair of similarity exactly 0.75 agrees in fewer than 75 of 128 coordinates with probability below 1e-5; links above it
-are safer still. Everything that comes out is verified on the full sets.
+Chance: a pair of similarity exactly 0.75 agrees in fewer than 70 of 128 coordinates with probability 1.6e-7 (binomial); links
+above it are safer still. Everything that comes out is verified on the full sets. Cost: pairs that agree so often and yet are no
+links must all be verified, whatever the order; m classes of similarity 0.6 to 0.75 among each other are m^2 / 2 such pairs. They
+are dealt in blocks to many tasks, and verified there by one matrix product for a block.
 
 Defined cases: null or empty text, or text of white space, has an empty set and is linked with nothing. Fewer words than five are
-one shingle. Rows with a null id are linked with nothing and kept. Rows that repeat an id are one document.
+one shingle. Rows with a null id are linked with nothing and kept. Rows that repeat an id are one document: it has the links of
+all its texts, which so belong to one component (n_shingles is that of each row).
 """
 
 from __future__ import annotations
@@ -27,16 +30,16 @@ import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from barloom.llm.batches import ROWS, claim, map_texts, slices
+from barloom.llm.batches import ROWS, claim, filter_bits, id_filter, lets_through, map_texts, slices
 from barloom.llm.common import cut, table
 from barloom.llm.components import components
 
 WORDS, PERCENT = 5, 75
-COORDINATES, MATCHES = 128, 75
+COORDINATES, MATCHES = 128, 70
 POSTED = COORDINATES - MATCHES + 1
 CHUNK = 256
-#: counters of the frequency sketch, and bits of the filter of candidate ids (both sent to every executor)
-SKETCH_BITS, FILTER_BITS = 20, 25
+#: counters of the frequency sketch that is sent to every executor
+SKETCH_BITS = 20
 _KNOWN = 150_000
 
 _rng = np.random.default_rng(20)
@@ -182,6 +185,43 @@ def _collisions(a: np.ndarray, b: np.ndarray) -> np.ndarray:
     return total
 
 
+def _intersections(a: list[np.ndarray], b: list[np.ndarray], columns: int = 1 << 14) -> np.ndarray:
+    """Sizes of the intersections of each set of a with each of b, by products of 0-1 matrices of some columns at a time."""
+    known, at = np.unique(np.concatenate([*a, *b]), return_inverse=True)
+    row = np.repeat(np.arange(len(a) + len(b)), [len(s) for s in (*a, *b)])
+    order = np.argsort(at, kind="stable")
+    at, row = at[order], row[order]
+    total = np.zeros((len(a), len(b)), np.float32)
+    for lo in range(0, len(known), columns):
+        some = slice(*np.searchsorted(at, [lo, lo + columns]))
+        m = np.zeros((len(a) + len(b), columns), np.float32)
+        m[row[some], at[some] - lo] = 1
+        total += m[: len(a)] @ m[len(a) :].T
+    return total.astype(np.int64)
+
+
+#: verifications in vain after which the rest of a block is verified by a matrix product
+IN_VAIN = 2000
+
+
+class _Verifier:
+    """Whether two sets of a block are similar: one by one at first, all at once where that turns out to be much work."""
+
+    def __init__(self, a: list[np.ndarray], b: list[np.ndarray]):
+        self.a, self.b, self.vain, self.all = a, b, 0, None
+
+    def __call__(self, i: int, j: int) -> bool:
+        if self.all is not None:
+            return bool(self.all[i, j])
+        ok = _similar(self.a[i], self.b[j])
+        self.vain += not ok
+        if self.vain == IN_VAIN:
+            both = _intersections(self.a, self.b)
+            size = np.array([len(s) for s in self.a])[:, None] + np.array([len(s) for s in self.b])[None, :]
+            self.all = 100 * both >= PERCENT * (size - both)
+        return ok
+
+
 class _Forest:
     def __init__(self, n: int):
         self.up = list(range(n))
@@ -210,13 +250,13 @@ def _table(schema: str, *columns) -> pa.Table:
 
 def _hopeful(part: pa.Table) -> pa.Table:
     """The rows of a part that collide often enough with another; all of them where the cell has several parts."""
-    ids, chunks = part.column("id").to_numpy(), part.column("chunks").to_numpy()
-    if chunks[0] == 1:
+    if part.column("chunks")[0].as_py() == 1:
         sig = _matrix(part.column("sig"))
         hits = _collisions(sig, sig) >= MATCHES
         np.fill_diagonal(hits, False)
         part = part.filter(pa.array(hits.any(axis=1)))
-        ids = part.column("id").to_numpy()
+    ids, at = np.unique(part.column("id").to_numpy(), return_index=True)  # an id with several texts stands there several times
+    part = part.take(at)
     return _table(_HOPEFUL, part.column("leader").to_numpy(), part.column("chunk").to_numpy(), part.column("chunks").to_numpy(), ids)
 
 
@@ -228,10 +268,10 @@ def _link_part(part: pa.Table) -> pa.Table:
     """Verified links that connect the classes of a part, the leader's first."""
     part = part.take(np.argsort(part.column("id").to_numpy() != part.column("leader").to_numpy(), kind="stable"))
     ids, sig, sets = _load(part)
-    forest, links = _Forest(len(ids)), []
+    forest, similar, links = _Forest(len(ids)), _Verifier(sets, sets), []
     left, right = np.nonzero(np.triu(_collisions(sig, sig) >= MATCHES, 1))
     for i, j in zip(left.tolist(), right.tolist(), strict=True):
-        if forest.root(i) != forest.root(j) and _similar(sets[i], sets[j]) and forest.join(i, j):
+        if forest.root(i) != forest.root(j) and similar(i, j) and forest.join(i, j):
             links.append((ids[i], ids[j]))
     return _table(_LINKS, [a for a, _ in links], [b for _, b in links])
 
@@ -242,55 +282,43 @@ def _link_blocks(part: pa.Table) -> pa.Table:
     minor, label = part.column("minor").to_numpy(zero_copy_only=False).astype(bool), part.column("label").to_numpy()
     rows, others = np.flatnonzero(minor), np.flatnonzero(~minor)
     _, own = np.unique(label, return_inverse=True)
-    forest, links = _Forest(own.max() + 1), []
+    forest, similar, links = _Forest(own.max() + 1), _Verifier([sets[i] for i in rows], [sets[j] for j in others]), []
     hits = (_collisions(sig[rows], sig[others]) >= MATCHES) & (label[rows][:, None] != label[others][None, :])
-    for i, j in zip(*(x.tolist() for x in np.nonzero(hits)), strict=True):
-        i, j = rows[i], others[j]
-        if forest.root(own[i]) != forest.root(own[j]) and _similar(sets[i], sets[j]) and forest.join(own[i], own[j]):
+    for x, y in zip(*(x.tolist() for x in np.nonzero(hits)), strict=True):
+        i, j = rows[x], others[y]
+        if forest.root(own[i]) != forest.root(own[j]) and similar(x, y) and forest.join(own[i], own[j]):
             links.append((ids[i], ids[j]))
     return _table(_LINKS, [a for a, _ in links], [b for _, b in links])
 
 
-def _filter_of(ids: DataFrame) -> np.ndarray:
-    """A Bloom filter of FILTER_BITS bits (two hashes) of long ids, as 64-bit words; at most 2^(FILTER_BITS - 6) rows come back."""
-    bit = [F.shiftrightunsigned(F.xxhash64(F.lit(k), "id"), 64 - FILTER_BITS) for k in (0, 1)]
-    bits = ids.select(F.explode(F.array(*bit)).alias("b")).select(F.shiftright("b", 6).alias("at"), F.expr("shiftleft(1L, cast(b & 63 as int))").alias("w"))
-    rows = bits.groupBy("at").agg(F.bit_or("w").alias("w")).toArrow().to_pandas()
-    out = np.zeros(1 << (FILTER_BITS - 6), np.int64)
-    out[rows["at"].to_numpy()] = rows["w"].to_numpy()
-    return out.view(np.uint64)
-
-
 def _sets_of(docs: DataFrame, wanted: DataFrame, id_col: str, text_col: str) -> DataFrame:
-    """(id, sig, shingles) of the wanted ids, and of a few others that the filter lets through."""
-    words = docs.sparkSession.sparkContext.broadcast(_filter_of(wanted))
-    bit = [F.shiftrightunsigned(F.xxhash64(F.lit(k), F.col("id")), 64 - FILTER_BITS).alias(f"b{k}") for k in (0, 1)]
+    """(id, sig, shingles, k1) of the wanted ids, and of a few others that the filter lets through; a row for each text of an id."""
+    words = docs.sparkSession.sparkContext.broadcast(id_filter(wanted))
+    bit = [b.alias(f"b{k}") for k, b in enumerate(filter_bits(F.col("id")))]
 
     def run(batches):
         claim(_words)
         held = words.value
         for part in _parts(batches):
-            ok = np.ones(part.num_rows, bool)
-            for k in (1, 2):
-                b = part.column(k).to_numpy().astype(np.uint64)
-                ok &= (held[(b >> np.uint64(6)).astype(np.int64)] >> (b & np.uint64(63))) & np.uint64(1) == 1
+            ok = lets_through(held, *[part.column(k).to_numpy().astype(np.uint64) for k in (1, 2)])
             part = part.filter(pa.array(ok))
             sets = [shingles(t) for t in part.column(3).to_pylist()]
             some = np.array([len(s) > 0 for s in sets], bool)
             part, sets = part.filter(pa.array(some)), [s for s in sets if len(s)]
             sig = [r.tobytes() for r in signatures(sets)]
-            yield pa.RecordBatch.from_arrays([part.column(0), pa.array(sig, pa.binary()), pa.array([s.tobytes() for s in sets], pa.binary())], names=["id", "sig", "shingles"])
+            yield pa.RecordBatch.from_arrays([part.column(0), pa.array(sig, pa.binary()), pa.array([s.tobytes() for s in sets], pa.binary()),
+                                              pa.array([int(_mix(s).sum().view(np.int64)) for s in sets], pa.int64())], names=["id", "sig", "shingles", "k1"])
 
     rows = docs.where(F.col(id_col).isNotNull()).select(F.col(id_col).cast("long").alias("id"), F.col(text_col).alias("text"))
-    return rows.select("id", *bit, "text").mapInArrow(run, "id long, sig binary, shingles binary")
+    return rows.select("id", *bit, "text").mapInArrow(run, "id long, sig binary, shingles binary, k1 long")
 
 
 def _block(n: int | Column) -> Column:
     return F.pmod(F.xxhash64("id"), n).cast("int")
 
 
-def find_links(docs: DataFrame, classes: DataFrame, id_col: str, text_col: str) -> DataFrame:
-    """Components (node, label) of classes (id, sig); classes linked with nothing are left out."""
+def find_links(docs: DataFrame, classes: DataFrame, id_col: str, text_col: str, more: DataFrame) -> DataFrame:
+    """Components (node, label) of classes (id, sig) by their links and those of more (u, v); classes linked with nothing are left out."""
     spark = docs.sparkSession
     posts = postings(classes, spark.sparkContext.broadcast(sketch(classes)))
     leaders = posts.groupBy("token").agg(F.count("*").alias("n"), F.max(F.struct("central", "id")).alias("best"))
@@ -301,9 +329,9 @@ def find_links(docs: DataFrame, classes: DataFrame, id_col: str, text_col: str)
     at = F.when(F.col("id") == F.col("leader"), F.sequence(F.lit(0), F.col("chunks") - 1)).otherwise(F.array(_block(F.col("chunks"))))
     parts = parts.select("leader", "chunks", "id", F.explode(at).alias("chunk"))
     hopeful = cut(parts.join(classes.select("id", "sig"), "id").groupBy("leader", "chunk").applyInArrow(_hopeful, _HOPEFUL))
-    sets = cut(_sets_of(docs, hopeful.select("id").distinct(), id_col, text_col).dropDuplicates(["id"]))
+    sets = cut(_sets_of(docs, hopeful.select("id").distinct(), id_col, text_col).dropDuplicates(["id", "k1"]).drop("k1"))
     links = cut(hopeful.join(sets, "id").groupBy("leader", "chunk").applyInArrow(_link_part, _LINKS))
-    labels = components(links)
+    labels = components(links.unionByName(more))
     if large.isEmpty():
         return labels
     return _across(hopeful, sets, labels)
@@ -337,7 +365,10 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     all_rows = cut(describe(docs, id_col, text_col))
     full = all_rows.where("n > 0 and id is not null")
     classes = cut(full.groupBy("k1", "k2").agg(F.min("id").alias("id"), F.first("sig").alias("sig")))
-    labels = find_links(docs, classes, id_col, text_col)
+    # ids with several texts: linked with the class of each
+    several = full.groupBy("id").agg(F.min(F.struct("k1", "k2")).alias("a"), F.max(F.struct("k1", "k2")).alias("b")).where("a <> b").select("id")
+    own = full.join(cut(several), "id").select(F.col("id").alias("u"), "k1", "k2").distinct()
+    labels = find_links(docs, classes, id_col, text_col, cut(own.join(classes, ["k1", "k2"]).select("u", F.col("id").alias("v"))))
     named = cut(classes.select("k1", "k2", F.col("id").alias("_rep")).join(labels, F.col("_rep") == F.col("node"), "left").select("k1", "k2", F.coalesce("label", "_rep").alias("_c")))
     out = all_rows.select("id", "n", F.when(F.col("n") > 0, F.col("k1")).alias("k1"), F.when(F.col("n") > 0, F.col("k2")).alias("k2")).join(named, ["k1", "k2"], "left")
     component = F.when(F.col("id").isNotNull(), F.coalesce("_c", "id"))

@@ -27,8 +27,8 @@ SPACE = "▁"
 NONE = np.int32(2**31 - 1)
 #: words kept by a Python worker; then it starts anew
 WORDS = 400_000
-#: a run of spaces longer than this is cut after whole pieces of the longest run
-RUN = 48
+#: a run of spaces longer than this many of the longest piece of spaces is cut into such pieces and a rest
+RUNS = 3
 
 codecs.register_error("each_byte", lambda e: ("�" * (e.end - e.start), e.end))
 
@@ -81,6 +81,17 @@ class PieceModel:
             pattern = rf"{s}*[^{plain}{s}]+|{s}*[{plain}]+|{s}+"
         self.words = re.compile(pattern)
         self.known: dict[str, bytes] = {}
+        self.run = self._longest_run([p for p, ok in zip(pieces, normal, strict=True) if ok and not p.strip(s)])
+
+    def _longest_run(self, runs: list[str]) -> int:
+        """Length of the longest piece of spaces, where long runs begin with that piece and go on like shorter ones; else 0."""
+        n = max(map(len, runs), default=0)
+        if not n:
+            return 0
+        long = self.merge_words([SPACE * (RUNS * n + k) for k in range(n)])
+        short = self.merge_words([SPACE * ((RUNS - 1) * n + k) for k in range(n)])
+        whole = self.symbol[SPACE * n]
+        return n if all(a.tolist() == [whole, *b.tolist()] for a, b in zip(long, short, strict=True)) else 0
 
     def pairs(self, a: np.ndarray, b: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """Rank and merged piece of symbol pairs; NONE where there is no such piece."""
@@ -180,13 +191,13 @@ class PieceModel:
         if not text:
             return []
         words = self.words.findall(SPACE + text.replace(" ", SPACE))
-        if SPACE * RUN not in text.replace(" ", SPACE):
+        if not self.run or SPACE * (RUNS * self.run) not in text.replace(" ", SPACE):
             return words
         out = []
         for w in words:
             run = len(w) - len(w.lstrip(SPACE))
-            blocks = max(0, run - RUN + 15) // 16
-            out += [SPACE * 16] * blocks + [w[16 * blocks :]]
+            blocks = max(0, run - (RUNS - 1) * self.run - 1) // self.run
+            out += [SPACE * self.run] * blocks + [w[self.run * blocks :]]
         return out
 
     def encode(self, texts: list[str]) -> list[bytes]:

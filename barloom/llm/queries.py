@@ -10,7 +10,7 @@ from barloom.llm.near_dedup import op9_minhash_near_dedup
 from barloom.llm.packing import op7_best_fit_packing
 from barloom.llm.pieces import op6_sentencepiece
 from barloom.llm.quality_rules import OP4_SQL, op4_quality_rules
-from barloom.llm.secret_scan import op5_secret_scan
+from barloom.llm.secret_scan import OP5_SQL, op5_secret_scan
 from barloom.llm.toxicity import op8_toxicity
 
 
@@ -34,5 +34,6 @@ def oracle_sql():
         "op1_license_scan": OP1_SQL,
         "op2_line_dedup": OP2_SQL,
         "op4_quality_rules": OP4_SQL,
+        "op5_secret_scan": OP5_SQL,
         "op10_exact_top_k": OP10_SQL,
     }

@@ -17,7 +17,7 @@ import numpy as np
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from barloom.llm.batches import map_texts, slices
+from barloom.llm.batches import map_texts, may_be_among, slices
 from barloom.llm.common import cut, table, whole
 
 # Kinds in their order, the first three the base kinds.
@@ -32,8 +32,8 @@ HEX = re.compile(r"[0-9a-f]+")
 ADDED = [
     (3, ("ghp_", "gho_", "xox", "glpat-", "sk_live_"), re.compile(r"(?:gh[po]_[A-Za-z0-9]{30,}|xox[abprs]-[A-Za-z0-9-]{20,}|glpat-[A-Za-z0-9_-]{20,}|sk_live_[A-Za-z0-9]{20,})")),
     (4, ("earer ",), re.compile(r"[Bb]earer ([A-Za-z0-9._~+/-]{20,}=*)")),
-    (5, ("PRIVATE KEY-----",), re.compile(r"-----BEGIN [A-Z ]{0,20}PRIVATE KEY-----(?:\s*[A-Za-z][A-Za-z0-9-]{0,40}:[^\r\n]*[\r\n])*[A-Za-z0-9+/=\s]{40,}")),
-    (6, ("://",), re.compile(r"[a-z][a-z0-9+.-]{1,12}://[^\s:/@]+:([^\s:/@]{6,})@")),
+    (5, ("PRIVATE KEY-----",), re.compile(r"-----BEGIN [A-Z ]{0,20}PRIVATE KEY-----(?:[\x09-\x0D\x20]*[A-Za-z][A-Za-z0-9-]{0,40}:[^\r\n]*[\r\n])*[A-Za-z0-9+/=\x09-\x0D\x20]{40,}")),
+    (6, ("://",), re.compile(r"[a-z][a-z0-9+.-]{1,12}://[^\x09-\x0D\x20:/@]+:([^\x09-\x0D\x20:/@]{6,})@")),
 ]
 _WORDS = ("password", "passwd", "secret", "token", "apikey", "api_key")
 _IS_HEX = np.zeros(256, np.uint8)
@@ -111,16 +111,20 @@ def scan_secrets(docs: DataFrame, id_col: str = "doc_id", owner_col: str = "sour
 def redact(docs: DataFrame, mark: str = "<secret>", id_col: str = "doc_id", owner_col: str = "source", text_col: str = "text") -> DataFrame:
     """docs with every live span of text_col replaced by a mark; copied examples stay. Overlapping spans give one mark."""
     judged = judged_spans(cut(candidates(docs, id_col, owner_col, text_col)))
-    live = judged.select("_id", "_t", F.filter("spans", lambda s: s.live).alias("_s")).where(F.size("_s") > 0)
+    live = cut(judged.select("_id", "_t", F.filter("spans", lambda s: s.live).alias("_s")).where(F.size("_s") > 0))
+    # texts without a live span aren't shuffled
     rows = docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("_d"))
-    rows = rows.join(live, F.col(f"_d.`{id_col}`").eqNullSafe(F.col("_id")) & (F.xxhash64(F.col(f"_d.`{text_col}`")) == F.col("_t")), "left")
+    may = may_be_among(live.select(F.col("_id").alias("id")), F.col(f"_d.`{id_col}`"))
+    rows = rows.withColumn("_may", may)
+    same = rows.where("not _may").select("_d.*")
+    rows = rows.where("_may").join(live, F.col(f"_d.`{id_col}`").eqNullSafe(F.col("_id")) & (F.xxhash64(F.col(f"_d.`{text_col}`")) == F.col("_t")), "left")
     old = F.col(f"_d.`{text_col}`")
     state = F.aggregate(
         "_s", F.struct(F.lit("").alias("text"), F.lit(0).alias("at")),
         lambda a, s: F.when(s.start >= a["at"], F.struct(F.concat(a["text"], F.substring(old, a["at"] + 1, s.start - a["at"]), F.lit(mark)).alias("text"), s.end.alias("at")))
         .otherwise(F.struct(a["text"].alias("text"), F.greatest(a["at"], s.end).alias("at"))),
         lambda a: F.concat(a["text"], F.substring(old, a["at"] + 1, F.length(old))))
-    return rows.select(*[F.when(F.col("_s").isNull(), old).otherwise(state).alias(c) if c == text_col else F.col(f"_d.`{c}`").alias(c) for c in docs.columns])
+    return same.unionByName(rows.select(*[F.when(F.col("_s").isNull(), old).otherwise(state).alias(c) if c == text_col else F.col(f"_d.`{c}`").alias(c) for c in docs.columns]))
 
 
 def digest(spans: Column) -> Column:
@@ -134,3 +138,31 @@ def op5_secret_scan(spark, sf_dir):
     of = lambda k: F.size(F.filter("spans", lambda s: s.kind == k)).cast("long").alias(f"n_{KINDS[k]}")
     return found.select("doc_id", of(0), of(1), of(2), F.sha2(digest(F.filter("spans", lambda s: s.kind < BASE)), 256).alias("base_sha256"), digest(F.col("spans")).alias("spans"),
                         F.size(F.filter("spans", lambda s: s.live)).cast("long").alias("n_live"))
+
+
+def _sql() -> str:
+    """The same in SQL: a match starts where the texts between matches and the matches before it end."""
+    letters = "".join(f"[{x.upper()}{x}]" if x.isalpha() else x for x in "password|passwd|secret|token|api_?key")
+    assign = ASSIGN.pattern.replace("(?ai:password|passwd|secret|token|api_?key)", letters)
+    patterns = [(0, assign, 2, 6), (1, "AKIA[A-Z0-9]{16,}", 0, 20), (2, "[0-9a-f]{24,}", 0, 24)] + [(k, p.pattern, p.groups, 0) for k, _, p in ADDED]
+    parts = " union all ".join(
+        f"select rid, doc_id, owner, {k} as kind, {least} as least, regexp_extract_all(t, '{p}') as m, string_split_regex(t, '{p}') as g, regexp_extract_all(t, '{p}', {group}) as v from d where regexp_matches(t, '{p}')"
+        for k, p, group, least in ((k, p.replace("'", "''"), group, least) for k, p, group, least in patterns))
+    names = ", ".join(f"'{k}'" for k in KINDS)
+    text = "string_agg({} || ':' || st || ':' || en, ',' order by st, kind, en)".format(f"[{names}][kind + 1]")
+    return f"""
+with d as (select row_number() over () as rid, doc_id, coalesce(source::varchar, '') as owner, coalesce(text, '') as t from documents),
+hits as ({parts}),
+places as (select rid, doc_id, owner, kind, least, v[i] as val, m[i] as hit,
+    list_sum(list_transform(g[1:i], lambda x: length(x)))::bigint + coalesce(list_sum(list_transform(m[1:i - 1], lambda x: length(x))), 0)::bigint as st
+  from (select *, unnest(range(1, len(m) + 1)) as i from hits)),
+spans as (select distinct rid, doc_id, owner, kind, val, st, st + length(hit) as en from places where length(val) >= least),
+ownership as (select val, not (count(distinct owner) > {EXAMPLE_OWNERS} or (count(distinct owner) > 1 and count(distinct doc_id) >= {EXAMPLE_REPOSITORIES})) as live from spans group by val),
+judged as (select rid, kind, st, en, live from spans join ownership using (val) where kind < {BASE} or live),
+found as (select rid, count_if(kind = 0) as n_assign, count_if(kind = 1) as n_access, count_if(kind = 2) as n_hex, {text} filter (where kind < {BASE}) as base, {text} as spans, count_if(live) as n_live from judged group by rid)
+select doc_id, coalesce(n_assign, 0)::bigint as n_assign, coalesce(n_access, 0)::bigint as n_access, coalesce(n_hex, 0)::bigint as n_hex, sha256(coalesce(base, '')) as base_sha256,
+  coalesce(spans, '') as spans, coalesce(n_live, 0)::bigint as n_live from d left join found using (rid)
+"""
+
+
+OP5_SQL = _sql()

@@ -7,7 +7,8 @@ the final logit are fitted on a fifth of the sample that doesn't train. In
 training toxic texts teach through windows drawn at random at first, then through their most toxic window so far; clean ones
 through windows drawn at random and their most toxic window. Prediction needs one number for each n-gram: no matrix there.
 
-Bounds: at most SAMPLE_TOXIC and SAMPLE_CLEAN labelled rows train the classifier; every row is scored.
+Bounds: at most SAMPLE_TOXIC and SAMPLE_CLEAN labelled rows of at most LONGEST characters train the classifier (so at most 80 MB of
+text reach the driver); every row is scored, whatever its length. A toxic text missed counts MISS times a false alarm.
 Defined cases: null or empty text is scored like a window without n-grams (the bias alone). Rows with null labels don't train;
 without rows of both labels every score is the share of label 1, or 0. Repeated rows get equal results.
 """
@@ -23,10 +24,11 @@ from barloom.llm.common import table
 from barloom.llm.ngrams import SPACE, flatten, gram_hashes
 
 BITS, ORDERS, DIM, WINDOW = 17, (3, 4, 5), 16, 8
-SAMPLE_TOXIC, SAMPLE_CLEAN = 1500, 2500
-FIRST, DRAWN = 3, 8  # epochs before the most toxic windows are known, and windows drawn at random for each text
+SAMPLE_TOXIC, SAMPLE_CLEAN, LONGEST = 1500, 2500, 20_000
+MISS = 4
+FIRST, DRAWN = 5, 8  # epochs before the most toxic windows are known, and windows drawn at random for each text
 MIN_TEXTS = 5
-EPOCHS, BATCH, RATE, START, SCALE = 10, 128, 0.5, 1e-2, 10.0
+EPOCHS, BATCH, RATE, START, SCALE = 14, 128, 0.5, 1e-2, 10.0
 _CHARS = 1_000_000
 
 _WORD = np.array([c if chr(c).isalnum() or chr(c) in "*@$'-_" or c > 0x7F and not chr(c).isspace() else SPACE for c in range(0x3000)], np.uint32)
@@ -178,7 +180,7 @@ def train_calibrated(texts: list[str], labels: list[int], share_of_toxic: float)
     model = train([texts[k] for k in rest], [labels[k] for k in rest])
     y = np.array([labels[k] for k in back])
     if len(set(y.tolist())) == 2 and len({labels[k] for k in rest}) == 2:
-        weight = np.where(y == 1, share_of_toxic / y.mean(), (1 - share_of_toxic) / (1 - y.mean()))
+        weight = np.where(y == 1, MISS * share_of_toxic / y.mean(), (1 - share_of_toxic) / (1 - y.mean()))
         model.scale, model.shift = calibrate(model.logits([texts[k] for k in back]), y, weight)
     return model
 
@@ -193,7 +195,7 @@ def fit(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: st
         share = int(min(1.0, 0.9 * most / max(n.get(y, 0), 1)) * (1 << 30))
         parts.append(rows.where((F.col("_y") == y) & (F.pmod(F.xxhash64("_i"), F.lit(1 << 30)) < share)).limit(most))
     few = F.broadcast(parts[0].unionByName(parts[1]))  # at most toxic + clean rows
-    picked = docs.select(F.col(id_col).alias("_d"), F.col(text_col).alias("_text")).join(few, F.col("_d") == F.col("_i"))
+    picked = docs.where(F.length(F.coalesce(F.col(text_col), F.lit(""))) <= LONGEST).select(F.col(id_col).alias("_d"), F.col(text_col).alias("_text")).join(few, F.col("_d") == F.col("_i"))
     picked = picked.select("_d", "_y", "_text").limit(2 * (toxic + clean)).toArrow().to_pandas().sort_values(["_d", "_y", "_text"], kind="stable")
     return train_calibrated([t or "" for t in picked["_text"]], picked["_y"].tolist(), n.get(1, 0) / max(sum(n.values()), 1))
 

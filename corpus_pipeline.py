@@ -15,7 +15,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from barloom.llm.common import cut
+from barloom.llm.batches import may_be_among
+from barloom.llm.common import WRITTEN, cut, drop
 from barloom.llm.language_id import UNKNOWN, fit, held_out, predict
 from barloom.llm.line_dedup import dedup_lines
 from barloom.llm.near_dedup import near_duplicates
@@ -55,9 +56,10 @@ def lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 def near(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Keeps the document with the smallest id of each component of near-duplicates; texts without a word have none."""
-    kept = near_duplicates(docs.select("doc_id", "text")).where("kept").select(F.col("doc_id").alias("_kept")).distinct()
-    rows = whole_rows(docs).select("_d", "doc_id")
-    return rows.join(kept, F.col("doc_id").eqNullSafe(F.col("_kept"))).select("_d.*")
+    gone = cut(near_duplicates(docs.select("doc_id", "text")).where("not kept").select(F.col("doc_id").alias("id")).distinct())
+    rows = whole_rows(docs).select("_d", "doc_id").withColumn("_may", may_be_among(gone, F.col("doc_id")))
+    # texts of documents that surely stay aren't shuffled
+    return rows.where("not _may").unionByName(rows.where("_may").join(gone, F.col("doc_id") == F.col("id"), "left_anti")).select("_d.*")
 
 
 def secrets(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -79,7 +81,11 @@ ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
+    """The stages one after the other, each written to the shared folder; what a stage needed is dropped once the next one is written."""
+    docs, old = spark.read.parquet(f"{sf_dir}/documents.parquet"), []
     for _, stage in STAGES[:-1]:
+        start = len(WRITTEN)
         docs = cut(stage(spark, docs, sf_dir))
+        drop(spark, old + WRITTEN[start:-1])
+        old = WRITTEN[-1:]
     return STAGES[-1][1](spark, docs, sf_dir)

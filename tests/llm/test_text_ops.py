@@ -9,7 +9,8 @@ import pytest
 from barloom.llm.license_scan import OP1_SQL, scan_licenses
 from barloom.llm.line_dedup import OP2_SQL, dedup_lines
 from barloom.llm.quality_rules import CURRENT, OP4_SQL, POLICIES, ablations, apply_policy, ledger, policy_mask
-from barloom.llm.secret_scan import EXAMPLE_OWNERS, find, redact, scan_secrets
+from barloom.llm import quality_rules
+from barloom.llm.secret_scan import EXAMPLE_OWNERS, OP5_SQL, find, op5_secret_scan, redact, scan_secrets
 
 SCHEMA = "doc_id long, text string, lang string, source string, n_chars long, _id string, kept string"
 LONG = "word and other word " * 3000
@@ -143,3 +144,57 @@ def test_find_orders_by_start():
     spans = find(f"token={HEXA}")
     assert [s[:3] for s in spans] == [(0, 0, 38), (2, 6, 38)]
     assert hashlib.sha256(b"").hexdigest().startswith("e3b0")
+
+
+def test_secrets_against_sql(spark, tmp_path):
+    """Spans of all kinds and the ownership counts, odd texts included."""
+    key = "-----BEGIN RSA PRIVATE KEY-----\nProc-Type: 4,ENCRYPTED\n\n" + "QUJD" * 16 + "\n"
+    more = ["ghp_" + "a1" * 20, "xoxb-" + "1" * 30 + " sk_live_" + "a" * 24, "bearer " + "t" * 30, "Bearer short", key, "see https://u:longpass@h and ftp://é:🔑🔑🔑🔑🔑🔑@h", "https://u:short@h", "token='" + "e" * 9 + "'"]
+    rows = [(i, t, f"owner{i % 4}") for i, t in enumerate([*SECRETS, *ODD, *more])]
+    rows += [(500 + i, "password=copiedEverywhere", f"o{i}") for i in range(4)] + [(600 + i, "x glpat-" + "z" * 22, ["a", "b", None][i % 3]) for i in range(30)] + [(2, SECRETS[2], "s"), (None, SECRETS[2], None)]
+    spark.createDataFrame(rows, "doc_id long, text string, source string").repartition(3).write.parquet(str(tmp_path / "documents.parquet"))
+    con = duckdb.connect()
+    con.execute(f"create view documents as select * from '{tmp_path}/documents.parquet/*.parquet'")
+    out = con.execute(OP5_SQL)
+    same(op5_secret_scan(spark, str(tmp_path)), ([d[0] for d in out.description], out.fetchall()))
+
+
+def test_repeats_without_packing(spark, monkeypatch):
+    """Texts with more words than a packed place can hold: the same figures, in time that grows with n log n."""
+    import random
+    import time
+
+    rng = random.Random(1)
+    texts = [*ODD, "x y z " * 50, " ".join(rng.choice("abcd") for _ in range(500)), " ".join(f"w{rng.randint(0, 60)}" for _ in range(900))]
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    want = {r.doc_id: r.n_repeat_words for r in ledger(docs).collect()}
+    monkeypatch.setattr(quality_rules, "_LOW", 2)
+    assert {r.doc_id: r.n_repeat_words for r in ledger(docs).collect()} == want
+    took = {}
+    for n in (40_000, 160_000):
+        long = spark.createDataFrame([(0, " ".join(f"w{rng.randint(0, 300)}" for _ in range(n)))], "doc_id long, text string")
+        began = time.time()
+        assert ledger(long).first().n_repeat_words > 0
+        took[n] = time.time() - began
+    assert took[160_000] < 9 * took[40_000] + 3
+
+
+def test_short_templates_stand_together(spark):
+    texts = ["All rights reserved.", "the rights were reserved for all who came", "rights reserved, all rights\nreserved", "all, rights; reserved"]
+    got = [r.labels for r in scan_licenses(spark.createDataFrame(list(enumerate(texts)), "doc_id int, text string")).orderBy("doc_id").collect()]
+    assert got == ["reserved", "", "reserved", "reserved"]
+
+
+def test_wrapped_templates_against_sql(spark):
+    """Templates wrapped at any width, cut, mixed or with words between them: windows over lines are the same in SQL."""
+    from barloom.llm.license_scan import TEMPLATES
+
+    texts = []
+    for width in (1, 3, 9):
+        for _, t in TEMPLATES:
+            w = t.split()
+            texts += ["\n * ".join(" ".join(w[k : k + width]) for k in range(0, len(w), width)), "some prose " * 40 + "\n".join(w) + " more prose" * 40]
+            texts += [" and\n".join(w), "\n".join(w[len(w) // 3 :]), "\n".join(x for x in w for _ in (0, 1)), " ".join(w[: len(w) // 2]) + " filler" * 60 + " ".join(w[len(w) // 2 :])]
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    same(scan_licenses(docs), sql_rows(OP1_SQL, docs))
+    assert scan_licenses(docs).where("labels <> ''").count() > 60
