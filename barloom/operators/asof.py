@@ -7,7 +7,8 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 
-def asof_join(targets: DataFrame, sources: DataFrame, on: list[str], value_cols: list[str], time: str = "timestamp", tolerance_seconds: float | None = None) -> DataFrame:
+def asof_join(targets: DataFrame, sources: DataFrame, on: list[str], value_cols: list[str], time: str = "timestamp",
+    tolerance_seconds: float | None = None) -> DataFrame:
     """targets with, of each key, the latest source row not after its time, and age_s.
 
     Both sides are unioned and the last source is carried forward: one shuffle by key, one sort, no pairs. Of sources at the same

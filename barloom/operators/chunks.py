@@ -39,12 +39,14 @@ def in_chunks(df: DataFrame, features: Callable[[DataFrame], DataFrame], lookbac
     For windows that look back on at most `lookback` rows in all the result is the same; running and recursive columns need the
     whole series and don't belong here. Rows of the overlap are replicated, lookback / chunk of all, and dropped at the end.
     """
-    keyed = _spread(df, lookback, chunk).withColumn("_instrument", F.col(KEY)).withColumn(KEY, F.concat_ws("#", KEY, F.col("_chunk").cast("string")))
+    keyed = _spread(df, lookback, chunk).withColumn("_instrument", F.col(KEY)).withColumn(KEY,
+        F.concat_ws("#", KEY, F.col("_chunk").cast("string")))
     out = features(keyed).where("_own")
     return out.withColumn(KEY, F.col("_instrument")).drop("_instrument", "_chunk", "_own", "_row")
 
 
-def map_chunks(df: DataFrame, x: str, kernel: Callable[[np.ndarray], dict[str, np.ndarray]], names: list[str], lookback: int, chunk: int = CHUNK,
+def map_chunks(df: DataFrame, x: str, kernel: Callable[[np.ndarray], dict[str, np.ndarray]], names: list[str], lookback: int,
+    chunk: int = CHUNK,
                keep: tuple[str, ...] = ()) -> DataFrame:
     """instrument, timestamp, x, the double columns keep, and the columns that kernel makes of x in time order, looking back on at most `lookback` rows; one
     Arrow pass over chunks. What isn't finite comes back as null."""
@@ -53,7 +55,8 @@ def map_chunks(df: DataFrame, x: str, kernel: Callable[[np.ndarray], dict[str, n
         v, own = pdf["x"].to_numpy(float), pdf["_own"].to_numpy(bool)
         made = kernel(v)
         values = {n: np.where(np.isfinite(made[n]), made[n], np.nan)[own] for n in names}  # NaN arrives as null
-        return pd.DataFrame({**{c: pdf[c].to_numpy()[own] for c in (KEY, TIME)}, x: v[own], **{c: pdf[c].to_numpy(float)[own] for c in keep}, **values})
+        return pd.DataFrame({**{c: pdf[c].to_numpy()[own] for c in (KEY, TIME)}, x: v[own],
+            **{c: pdf[c].to_numpy(float)[own] for c in keep}, **values})
 
     schema = f"{KEY} string, {TIME} timestamp, " + ", ".join(f"{n} double" for n in (x, *keep, *names))
     return _spread(df.select(KEY, TIME, F.col(x).alias("x"), *keep), lookback, chunk).groupBy(KEY, "_chunk").applyInPandas(run, schema)

@@ -27,13 +27,15 @@ def with_returns(bars: DataFrame) -> DataFrame:
 
 
 def return_features(df: DataFrame, lags=LAGS) -> DataFrame:
-    return df.withColumns({f"return_{k}": (F.col("log_close") - lag("log_close", k)) / (F.col("sigma_h") * math.sqrt(k) + EPS) for k in lags})
+    return df.withColumns({f"return_{k}": (F.col("log_close") - lag("log_close",
+        k)) / (F.col("sigma_h") * math.sqrt(k) + EPS) for k in lags})
 
 
 def volatility_features(df: DataFrame, vols=VOLS, range_z: bool = True) -> DataFrame:
     s = {n: rolling_std("r", n) for n in vols}
     out = df.withColumns({f"vol_{n}": F.log(c + EPS) for n, c in s.items()})
-    return out.withColumns({"vol_ratio_short": s[10] / (s[50] + EPS), "vol_ratio_long": s[50] / (s[200] + EPS), **({"range_z": robust_z("range_rel", 250)} if range_z else {}),
+    return out.withColumns({"vol_ratio_short": s[10] / (s[50] + EPS), "vol_ratio_long": s[50] / (s[200] + EPS),
+        **({"range_z": robust_z("range_rel", 250)} if range_z else {}),
                             "close_location": (2 * F.col("close") - F.col("high") - F.col("low")) / (F.col("high") - F.col("low") + EPS)})
 
 
@@ -71,9 +73,11 @@ def fractional_arrays(log_close: np.ndarray, orders: dict[str, float] = FRACTION
     out = {}
     for n, d in orders.items():
         x = out[f"fd_{n}"] = np_transform(log_close, d)
-        out |= {f"fd_{n}_z": np_robust_z(x, window), f"fd_slope_1_{n}": x - _ago(x, 1), f"fd_slope_4_{n}": x - _ago(x, 4), f"fd_curvature_{n}": x - 2 * _ago(x, 1) + _ago(x, 2)}
+        out |= {f"fd_{n}_z": np_robust_z(x, window), f"fd_slope_1_{n}": x - _ago(x, 1), f"fd_slope_4_{n}": x - _ago(x, 4),
+            f"fd_curvature_{n}": x - 2 * _ago(x, 1) + _ago(x, 2)}
     z = {n: out[f"fd_{n}_z"] for n in orders}
-    return out | {"fd_cross_sm": z["025"] - z["050"], "fd_cross_mf": z["050"] - z["075"], "fd_cross_sf": z["025"] - z["075"], "fractional_state": np.abs(z["025"]) / (np.abs(z["075"]) + 0.1)}
+    return out | {"fd_cross_sm": z["025"] - z["050"], "fd_cross_mf": z["050"] - z["075"], "fd_cross_sf": z["025"] - z["075"],
+        "fractional_state": np.abs(z["025"]) / (np.abs(z["075"]) + 0.1)}
 
 
 def fractional_features(df: DataFrame, chunk: int = CHUNK) -> DataFrame:
@@ -82,29 +86,34 @@ def fractional_features(df: DataFrame, chunk: int = CHUNK) -> DataFrame:
 
 
 def regime_columns(df: DataFrame) -> DataFrame:
-    return df.withColumns({"trend_state": corr_with_index("log_close", 50), "volatility_state": rolling_std("r", 20) / (rolling_std("r", 200) + EPS)})
+    return df.withColumns({"trend_state": corr_with_index("log_close", 50),
+        "volatility_state": rolling_std("r", 20) / (rolling_std("r", 200) + EPS)})
 
 
 def order_flow(df: DataFrame) -> DataFrame:
     """Order-flow imbalance of consecutive quotes; null unless all eight inputs are there."""
     pb, pa, pbs, pas = (lag(c, 1) for c in ("bid", "ask", "bid_size", "ask_size"))
     b, a, bs, az = (F.col(c) for c in ("bid", "ask", "bid_size", "ask_size"))
-    e = F.when(b >= pb, bs).otherwise(0.0) - F.when(b <= pb, pbs).otherwise(0.0) - F.when(a <= pa, az).otherwise(0.0) + F.when(a >= pa, pas).otherwise(0.0)
+    e = F.when(b >= pb, bs).otherwise(0.0) - F.when(b <= pb, pbs).otherwise(0.0) - F.when(a <= pa, az).otherwise(0.0) + F.when(a >= pa,
+        pas).otherwise(0.0)
     there = pb.isNotNull() & pa.isNotNull() & pbs.isNotNull() & pas.isNotNull() & b.isNotNull() & a.isNotNull() & bs.isNotNull() & az.isNotNull()
     depth = bs + az
     mid = (b + a) / 2
-    return df.withColumns({"ofi_raw": F.when(there, e), "ofi_normalized": F.when(there, e / (depth + EPS)), "quote_imbalance": (bs - az) / (depth + EPS), "ofi_spread": F.when(mid > 0, (a - b) / mid)})
+    return df.withColumns({"ofi_raw": F.when(there, e), "ofi_normalized": F.when(there, e / (depth + EPS)),
+        "quote_imbalance": (bs - az) / (depth + EPS), "ofi_spread": F.when(mid > 0, (a - b) / mid)})
 
 
 def ofi_features(df: DataFrame, z: int = 100) -> DataFrame:
     """Order-flow columns that need no recursion; the EMAs come from operators.folds.ema."""
     out = order_flow(df)
-    return out.withColumns({"ofi_zscore": robust_z("ofi_normalized", z), "ofi_price_divergence": robust_z("ofi_normalized", z) - robust_z("r", z), "ofi_spread_zscore": robust_z("ofi_spread", z)})
+    return out.withColumns({"ofi_zscore": robust_z("ofi_normalized", z),
+        "ofi_price_divergence": robust_z("ofi_normalized", z) - robust_z("r", z), "ofi_spread_zscore": robust_z("ofi_spread", z)})
 
 
 def hmm_observations(df: DataFrame) -> DataFrame:
     spread = F.when((F.col("bid") + F.col("ask")) > 0, (F.col("ask") - F.col("bid")) / ((F.col("ask") + F.col("bid")) / 2))
-    return df.withColumns({"obs_return": F.col("r"), "obs_abs_return": F.abs("r"), "obs_log_vol": F.log(rolling_std("r", 20) + EPS), "obs_log_volume": F.log1p("volume"),
+    return df.withColumns({"obs_return": F.col("r"), "obs_abs_return": F.abs("r"), "obs_log_vol": F.log(rolling_std("r", 20) + EPS),
+        "obs_log_volume": F.log1p("volume"),
                            "obs_spread": spread, "obs_trend": corr_with_index("log_close", 50)})
 
 
@@ -115,7 +124,8 @@ def vpin(df: DataFrame, bucket: int = 5, buckets: int = 50) -> DataFrame:
     buy = normal_cdf(F.col("r") / (F.col("sigma_h") + EPS)) * F.col("volume")
     out = df.withColumn("_imb", buy - (F.col("volume") - buy))
     bars5 = trailing(bucket)
-    out = out.withColumns({"_bi": F.when(F.count("_imb").over(bars5) == bucket, F.abs(F.sum("_imb").over(bars5))), "_bv": F.when(F.count("volume").over(bars5) == bucket, F.sum("volume").over(bars5))})
+    out = out.withColumns({"_bi": F.when(F.count("_imb").over(bars5) == bucket, F.abs(F.sum("_imb").over(bars5))),
+        "_bv": F.when(F.count("volume").over(bars5) == bucket, F.sum("volume").over(bars5))})
     step = lambda c: [F.lag(c, w - 1 - k * bucket).over(by_time()) for k in range(buckets)]
     num, den = sum(step("_bi")[1:], step("_bi")[0]), sum(step("_bv")[1:], step("_bv")[0])
     return out.withColumn("vpin", F.try_divide(num, den)).drop("_imb", "_bi", "_bv")
@@ -138,17 +148,20 @@ def cross_asset(primary: DataFrame, context: dict[str, DataFrame], tolerance_sec
     out = primary
     for name, other in context.items():
         named = other.select("all", "timestamp", *[F.col(c).alias(f"{name}_{c}") for c in ("r", "r4", "log_close")])
-        out = asof_join(out, named, ["all"], [f"{name}_r", f"{name}_r4", f"{name}_log_close"], tolerance_seconds=tolerance_seconds).withColumnRenamed("age_s", f"xa_{name}_age_s")
+        out = asof_join(out, named, ["all"], [f"{name}_r", f"{name}_r4", f"{name}_log_close"],
+            tolerance_seconds=tolerance_seconds).withColumnRenamed("age_s", f"xa_{name}_age_s")
     new: dict[str, Column] = {}
     for n in context:
         r0, o0 = F.coalesce(F.col("r"), F.lit(0.0)), F.coalesce(F.col(f"{n}_r"), F.lit(0.0))
-        new |= {f"xa_{n}_rel_return_1": (F.col(f"{n}_r") - F.col("r")) / (F.col("sigma_h") + EPS), f"xa_{n}_rel_return_4": (F.col(f"{n}_r4") - F.col("r4")) / (2 * F.col("sigma_h") + EPS),
+        new |= {f"xa_{n}_rel_return_1": (F.col(f"{n}_r") - F.col("r")) / (F.col("sigma_h") + EPS),
+            f"xa_{n}_rel_return_4": (F.col(f"{n}_r4") - F.col("r4")) / (2 * F.col("sigma_h") + EPS),
                 f"xa_{n}_corr_short": safe_corr(r0, o0, 20), f"xa_{n}_corr_breakdown": safe_corr(r0, o0, 20) - safe_corr(r0, o0, 200),
                 f"xa_{n}_divergence": robust_z(F.col(f"{n}_log_close") - F.col("log_close"), 50)}
     up = sum((F.coalesce((F.col(f"{n}_r") > 0).cast("int"), F.lit(0)) for n in context), F.lit(0)) / float(len(context))
     values = F.array_compact(F.array(*[F.col(f"{n}_r") for n in context]))
     mean = F.aggregate(values, F.lit(0.0), lambda a, x: a + x) / F.nullif(F.size(values).cast("double"), F.lit(0.0))
-    var = F.aggregate(F.transform(values, lambda x: (x - mean) * (x - mean)), F.lit(0.0), lambda a, x: a + x) / F.nullif(F.size(values).cast("double"), F.lit(0.0))
+    var = F.aggregate(F.transform(values, lambda x: (x - mean) * (x - mean)), F.lit(0.0), lambda a,
+        x: a + x) / F.nullif(F.size(values).cast("double"), F.lit(0.0))
     return out.withColumns(new).withColumns({"xa_breadth": up, "xa_dispersion": F.sqrt(var) / (F.col("sigma_h") + EPS)})
 
 
@@ -161,7 +174,8 @@ def regime_state(df: DataFrame, probs: list[str], leave: list[float]) -> DataFra
     change = F.coalesce((F.col("regime_most_likely") != lag("regime_most_likely", 1)).cast("int"), F.lit(1))
     out = out.withColumn("_change", change).withColumn("_island", F.sum("_change").over(by_time()))
     age = F.row_number().over(Window.partitionBy(KEY, "_island").orderBy("timestamp")) - 1
-    return out.withColumns({"regime_age": age, "regime_transition_prob": F.get(F.array(*[F.lit(x) for x in leave]), F.col("regime_most_likely")), "regime_stress_p": F.col(probs[-1])}).drop("_change", "_island")
+    return out.withColumns({"regime_age": age, "regime_transition_prob": F.get(F.array(*[F.lit(x) for x in leave]),
+        F.col("regime_most_likely")), "regime_stress_p": F.col(probs[-1])}).drop("_change", "_island")
 
 
 def time_of_session(df: DataFrame, zone: str = "America/New_York", open_minute: int = 570, session_minutes: int = 390) -> DataFrame:

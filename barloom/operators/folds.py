@@ -13,7 +13,8 @@ from pyspark.sql.window import Window
 
 from barloom.sources.bars import KEY, TIME
 
-SIM_COLUMNS = ["er", "sigma", "sigma_ref", "cost", "cost_side", "log_close", "open_next", "open_next2", "adverse", "uncertainty", "stress_p", "session", "window"]
+SIM_COLUMNS = ["er", "sigma", "sigma_ref", "cost", "cost_side", "log_close", "open_next", "open_next2", "adverse", "uncertainty",
+    "stress_p", "session", "window"]
 
 
 @dataclass(frozen=True)
@@ -235,28 +236,33 @@ KALMAN_GRID = [(v, r) for v in (1e-4, 1e-3, 1e-2, 1e-1) for r in (0.25, 0.5, 1.0
 
 def fit_kalman(df: DataFrame, x: str = "log_close") -> DataFrame:
     """The grid point of largest innovation likelihood of each instrument: a task for each (instrument, point)."""
-    points = F.explode(F.array(*[F.struct(F.lit(v).alias("v"), F.lit(r).alias("m"), F.lit(k).alias("k")) for k, (v, r) in enumerate(KALMAN_GRID)]))
+    points = F.explode(F.array(*[F.struct(F.lit(v).alias("v"), F.lit(r).alias("m"), F.lit(k).alias("k")) for k,
+        (v, r) in enumerate(KALMAN_GRID)]))
 
     def run(pdf: pd.DataFrame) -> pd.DataFrame:
         y = pdf.sort_values(TIME)["x"].to_numpy(float)
         base = max(float(np.nanvar(np.diff(y))), 1e-12)
         v, m, k = float(pdf["v"].iloc[0]), float(pdf["m"].iloc[0]), int(pdf["k"].iloc[0])
-        return pd.DataFrame([(pdf[KEY].iloc[0], base, base * v, base * m, kalman(y, base, base * v, base * m)[1], k)], columns=["instrument", "q_level", "q_velocity", "r", "ll", "k"])
+        return pd.DataFrame([(pdf[KEY].iloc[0], base, base * v, base * m, kalman(y, base, base * v, base * m)[1], k)],
+            columns=["instrument", "q_level", "q_velocity", "r", "ll", "k"])
 
     grid = df.select(KEY, TIME, F.col(x).alias("x"), points.alias("g")).select(KEY, TIME, "x", "g.*")
     scored = grid.groupBy(KEY, "k").applyInPandas(run, "instrument string, q_level double, q_velocity double, r double, ll double, k int")
-    return scored.groupBy(KEY).agg(F.max_by(F.struct("q_level", "q_velocity", "r", "ll"), F.struct("ll", -F.col("k"))).alias("b")).select(KEY, "b.*")
+    return scored.groupBy(KEY).agg(F.max_by(F.struct("q_level", "q_velocity", "r", "ll"),
+        F.struct("ll", -F.col("k"))).alias("b")).select(KEY, "b.*")
 
 
 KALMAN_FEATURES = ("price", "velocity", "acceleration", "innovation", "innovation_z", "state_uncertainty", "observed_minus_filtered")
 
 
-def kalman_features(y: np.ndarray, sigma: np.ndarray, q_level: float, q_velocity: float, r: float, eps: float = 1e-12) -> dict[str, np.ndarray]:
+def kalman_features(y: np.ndarray, sigma: np.ndarray, q_level: float, q_velocity: float, r: float, eps: float = 1e-12) -> dict[str,
+    np.ndarray]:
     """The filter's level, velocity, acceleration, innovation and uncertainty in units of sigma (or of the innovation's own)."""
     level, velocity, innovation, s, p = kalman(y, q_level, q_velocity, r)[0].T
     unit = np.where(np.isfinite(sigma) & (sigma > 0), sigma, math.nan) + eps
     before = np.r_[math.nan, velocity[:-1]]
-    values = ((level - y) / unit, velocity / unit, (velocity - before) / unit, innovation / unit, innovation / np.sqrt(np.maximum(s, eps)), np.sqrt(np.maximum(p, 0)) / unit, (y - level) / unit)
+    values = ((level - y) / unit, velocity / unit, (velocity - before) / unit, innovation / unit, innovation / np.sqrt(np.maximum(s, eps)),
+        np.sqrt(np.maximum(p, 0)) / unit, (y - level) / unit)
     return {f"kalman_{n}": v for n, v in zip(KALMAN_FEATURES, values, strict=True)}
 
 
@@ -329,7 +335,9 @@ class GaussianHMM:
             like = self._likelihood(z)
             alpha, beta, gamma, scale = self._posterior(like)
             ll = float(np.log(scale).sum() + self._shift.sum())
-            xi = np.einsum("ti,ij,tj->ij", alpha[:-1], self.trans, like[1:] * beta[1:] / scale[1:, None]) if len(z) < 2 else (alpha[:-1].T @ (like[1:] * beta[1:] / scale[1:, None])) * self.trans
+            xi = np.einsum("ti,ij,tj->ij", alpha[:-1], self.trans,
+                like[1:] * beta[1:] / scale[1:, None]) if len(z) < 2 else (alpha[:-1].T @ (like[1:] * beta[1:] / scale[1:,
+                None])) * self.trans
             self.trans = np.maximum(xi / xi.sum(axis=1, keepdims=True), self.floor)
             self.trans /= self.trans.sum(axis=1, keepdims=True)
             self.start = gamma[0]
@@ -352,7 +360,8 @@ class GaussianHMM:
 
     def meta(self, x: np.ndarray) -> list[dict]:
         state = self.filter(x).argmax(axis=1)
-        return [{"state": k, "occupancy": float((state == k).mean()), "expected_duration": float(1 / max(1 - self.trans[k, k], 1e-9))} for k in range(self.k)]
+        return [{"state": k, "occupancy": float((state == k).mean()),
+            "expected_duration": float(1 / max(1 - self.trans[k, k], 1e-9))} for k in range(self.k)]
 
 
 # --- ledger
@@ -381,7 +390,8 @@ def ledger(fills: np.ndarray, prices: np.ndarray, capital: float = 100_000.0, co
             units = after
         value = cash + units * px
         peak = max(peak, value)
-        for k, v in (("units", units), ("cash", cash), ("equity", value), ("exposure", units * px / value), ("drawdown", 1 - value / peak), ("realised", realised)):
+        for k, v in (("units", units), ("cash", cash), ("equity", value), ("exposure", units * px / value), ("drawdown", 1 - value / peak),
+            ("realised", realised)):
             out[k][t] = v
     return out
 
@@ -454,13 +464,15 @@ def event_bars(ticks: DataFrame, kind: str, target: float) -> DataFrame:
         ends = bar_ends(amount, target)
         starts = np.r_[0, ends[:-1]]
         add = lambda x: np.add.reduceat(x, starts)
-        out = pd.DataFrame({"start": pdf[TIME].to_numpy()[starts], "open": p[starts], "high": np.maximum.reduceat(p, starts), "low": np.minimum.reduceat(p, starts), "close": p[ends - 1],
+        out = pd.DataFrame({"start": pdf[TIME].to_numpy()[starts], "open": p[starts], "high": np.maximum.reduceat(p, starts),
+            "low": np.minimum.reduceat(p, starts), "close": p[ends - 1],
                             "volume": add(s), "dollar_volume": add(p * s), "deal_count": ends - starts, "bar_id": ""})
         if np.cumsum(amount[starts[-1] :])[-1] < target:
             out.loc[len(out) - 1, "bar_id"] = "-partial"
         return out.assign(**{KEY: pdf[KEY].iloc[0], "session": pdf["session"].iloc[0], "k": np.arange(len(out))})[[*names, "session", "k"]]
 
-    cut = ticks.withColumn("session", F.to_date(TIME).cast("string")).groupBy(KEY, "session").applyInPandas(run, EVENT_BARS + ", session string, k long")
+    cut = ticks.withColumn("session", F.to_date(TIME).cast("string")).groupBy(KEY, "session").applyInPandas(run,
+        EVENT_BARS + ", session string, k long")
     n = F.row_number().over(Window.partitionBy(KEY).orderBy("session", "k")) - 1
     return cut.withColumn("bar_id", F.concat(F.lit(f"{kind}-"), n.cast("string"), "bar_id")).select(*names)
 

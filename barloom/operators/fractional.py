@@ -141,7 +141,8 @@ def evaluate_orders(bars: DataFrame, candidates: tuple[float, ...] = CANDIDATES,
         if ok.sum() >= least and np.ptp(f[ok]) > 0:
             (a, pa), (k, pk) = adf(f[ok]), kpss(f[ok])
             c = float(np.corrcoef(f[ok], v[ok])[0, 1])
-        return pd.DataFrame([[inst, d, a, pa, k, pk, c, int(ok.sum()), kernel_length(d)]], columns=["instrument", "d", "adf", "p_adf", "kpss", "p_kpss", "corr", "n_obs", "kernel"])
+        return pd.DataFrame([[inst, d, a, pa, k, pk, c, int(ok.sum()), kernel_length(d)]],
+            columns=["instrument", "d", "adf", "p_adf", "kpss", "p_kpss", "corr", "n_obs", "kernel"])
 
     grid = F.explode(F.array(*[F.lit(d) for d in candidates]))
     return bars.select(KEY, TIME, F.col(x).alias("x"), grid.alias("d")).groupBy(KEY, "d").applyInPandas(one, EVALUATION)
@@ -151,5 +152,6 @@ def choose_order(evaluated: DataFrame, p_adf: float = 0.05, p_kpss: float = 0.05
     """The smallest acceptable order of each instrument; without one, that of the smallest (statistic, order)."""
     good = (F.col("p_adf") < p_adf) & (F.col("p_kpss") > p_kpss)
     finite = evaluated.where(F.col("adf").isNotNull() & ~F.isnan("adf")).withColumn("acceptable", good)
-    order = F.when(F.col("acceptable"), F.struct(F.lit(0).alias("a"), F.lit(0.0).alias("b"), F.col("d").alias("c"))).otherwise(F.struct(F.lit(1).alias("a"), F.col("adf").alias("b"), F.col("d").alias("c")))
+    order = F.when(F.col("acceptable"), F.struct(F.lit(0).alias("a"), F.lit(0.0).alias("b"),
+        F.col("d").alias("c"))).otherwise(F.struct(F.lit(1).alias("a"), F.col("adf").alias("b"), F.col("d").alias("c")))
     return finite.groupBy(KEY).agg(F.min_by(F.struct("d", "acceptable"), order).alias("r")).select(KEY, "r.d", "r.acceptable")

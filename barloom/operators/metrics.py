@@ -28,10 +28,14 @@ def performance(rows: DataFrame, key: list[str], per_year: float = 252.0, exposu
     """Return, risk, tail and activity of pnl rows with equity, in one aggregation; expected shortfall needs a second."""
     down = F.sqrt(F.avg(F.pow(F.least("pnl", F.lit(0.0)), F.lit(2))))
     out = rows.groupBy(*key).agg(
-        F.count("*").alias("n"), compounded("pnl").alias("total_return"), F.avg("pnl").alias("mean"), F.stddev_pop("pnl").alias("std"), down.alias("downside"),
-        F.skewness("pnl").alias("skew"), F.kurtosis("pnl").alias("kurt"), F.percentile("pnl", F.lit(0.05)).alias("var_95"), F.min("pnl").alias("worst_bar"),
-        F.max("drawdown").alias("max_drawdown"), F.avg(F.abs(exposure)).alias("mean_exposure"), F.avg((F.col(exposure) != 0).cast("double")).alias("time_invested"), F.count_if(F.col("pnl") > 0).alias("up_bars"))
-    out = out.withColumns({"sharpe": ratio(F.col("mean"), F.col("std")) * per_year**0.5, "sortino": ratio(F.col("mean"), F.col("downside")) * per_year**0.5,
+        F.count("*").alias("n"), compounded("pnl").alias("total_return"), F.avg("pnl").alias("mean"), F.stddev_pop("pnl").alias("std"),
+            down.alias("downside"),
+        F.skewness("pnl").alias("skew"), F.kurtosis("pnl").alias("kurt"), F.percentile("pnl", F.lit(0.05)).alias("var_95"),
+            F.min("pnl").alias("worst_bar"),
+        F.max("drawdown").alias("max_drawdown"), F.avg(F.abs(exposure)).alias("mean_exposure"),
+            F.avg((F.col(exposure) != 0).cast("double")).alias("time_invested"), F.count_if(F.col("pnl") > 0).alias("up_bars"))
+    out = out.withColumns({"sharpe": ratio(F.col("mean"), F.col("std")) * per_year**0.5,
+        "sortino": ratio(F.col("mean"), F.col("downside")) * per_year**0.5,
                            "cagr": F.pow(F.greatest(1 + F.col("total_return"), F.lit(1e-9)), per_year / F.col("n")) - 1})
     out = out.withColumn("calmar", ratio(F.col("cagr"), F.col("max_drawdown")))
     tail = rows.join(out.select(*key, "var_95"), key).where(F.col("pnl") <= F.col("var_95")).groupBy(*key).agg(F.avg("pnl").alias("es_95"))
@@ -42,16 +46,20 @@ def drawdown_stats(rows: DataFrame, key: list[str], order: str = "timestamp") ->
     """Largest drawdown, longest run under water (gaps and islands), current drawdown, ulcer index of rows with drawdown."""
     w = Window.partitionBy(*key).orderBy(order)
     run = rows.withColumn("_island", F.sum((F.col("drawdown") <= 0).cast("long")).over(w.rowsBetween(Window.unboundedPreceding, 0)))
-    islands = run.where("drawdown > 0").groupBy(*key, "_island").agg(F.count("*").alias("_len")).groupBy(*key).agg(F.max("_len").alias("longest_underwater"))
-    out = rows.groupBy(*key).agg(F.max("drawdown").alias("max_drawdown"), F.max_by("drawdown", order).alias("current_drawdown"), F.sqrt(F.avg(F.col("drawdown") * F.col("drawdown"))).alias("ulcer"))
+    islands = run.where("drawdown > 0").groupBy(*key,
+        "_island").agg(F.count("*").alias("_len")).groupBy(*key).agg(F.max("_len").alias("longest_underwater"))
+    out = rows.groupBy(*key).agg(F.max("drawdown").alias("max_drawdown"), F.max_by("drawdown", order).alias("current_drawdown"),
+        F.sqrt(F.avg(F.col("drawdown") * F.col("drawdown"))).alias("ulcer"))
     return out.join(islands, key, "left").withColumn("longest_underwater", F.coalesce("longest_underwater", F.lit(0)))
 
 
 def distribution(rows: DataFrame, key: list[str], x: str) -> DataFrame:
     good = rows.where(F.col(x).isNotNull() & ~F.isnan(x))
     p = lambda q: F.percentile(x, F.lit(q))
-    return good.groupBy(*key).agg(F.count("*").alias("n"), F.avg(x).alias("mean"), p(0.5).alias("median"), F.stddev_pop(x).alias("std"), p(0.05).alias("p05"), p(0.25).alias("p25"),
-                                  p(0.75).alias("p75"), p(0.95).alias("p95"), F.min(x).alias("lowest"), F.max(x).alias("highest"), F.avg((F.col(x) > 0).cast("double")).alias("positive"))
+    return good.groupBy(*key).agg(F.count("*").alias("n"), F.avg(x).alias("mean"), p(0.5).alias("median"), F.stddev_pop(x).alias("std"),
+        p(0.05).alias("p05"), p(0.25).alias("p25"),
+                                  p(0.75).alias("p75"), p(0.95).alias("p95"), F.min(x).alias("lowest"), F.max(x).alias("highest"),
+                                      F.avg((F.col(x) > 0).cast("double")).alias("positive"))
 
 
 def safe_corr(a: str, b: str) -> Column:

@@ -14,10 +14,13 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 
-def boosted(features: list[str], label: str = "y_norm", rounds: int = 20, depth: int = 3, rate: float = 0.03, share: float = 0.8, least: int = 40, seed: int = 7) -> Pipeline:
+def boosted(features: list[str], label: str = "y_norm", rounds: int = 20, depth: int = 3, rate: float = 0.03, share: float = 0.8,
+    least: int = 40, seed: int = 7) -> Pipeline:
     """Depth-3 boosted trees on the normalised label."""
-    return Pipeline(stages=[VectorAssembler(inputCols=features, outputCol="x"), GBTRegressor(featuresCol="x", labelCol=label, predictionCol="m", maxIter=rounds, maxDepth=depth,
-                                                                                            stepSize=rate, subsamplingRate=share, minInstancesPerNode=least, seed=seed)])
+    return Pipeline(stages=[VectorAssembler(inputCols=features, outputCol="x"),
+        GBTRegressor(featuresCol="x", labelCol=label, predictionCol="m", maxIter=rounds, maxDepth=depth,
+                                                                                            stepSize=rate, subsamplingRate=share,
+                                                                                                minInstancesPerNode=least, seed=seed)])
 
 
 def importance(model: PipelineModel, features: list[str]) -> dict[str, float]:
@@ -26,8 +29,10 @@ def importance(model: PipelineModel, features: list[str]) -> dict[str, float]:
 
 def direction(features: list[str], n_rows: int, c: float = 0.5) -> Pipeline:
     """P(y > 0): standardised inputs, L2 logistic; the penalty 1 / (c n) matches a loss that is summed."""
-    return Pipeline(stages=[VectorAssembler(inputCols=features, outputCol="x0"), StandardScaler(inputCol="x0", outputCol="xs", withMean=True, withStd=True),
-                            LogisticRegression(featuresCol="xs", labelCol="up", probabilityCol="prob", predictionCol="up_pred", rawPredictionCol="raw", regParam=1 / (c * n_rows), elasticNetParam=0.0, standardization=False, maxIter=50)])
+    return Pipeline(stages=[VectorAssembler(inputCols=features, outputCol="x0"),
+        StandardScaler(inputCol="x0", outputCol="xs", withMean=True, withStd=True),
+                            LogisticRegression(featuresCol="xs", labelCol="up", probabilityCol="prob", predictionCol="up_pred",
+                                rawPredictionCol="raw", regParam=1 / (c * n_rows), elasticNetParam=0.0, standardization=False, maxIter=50)])
 
 
 def probability() -> Column:
@@ -95,7 +100,8 @@ def ridge(rows: DataFrame, inputs: list[str], target: str, alpha: float = 1.0) -
     ok = rows.dropna(subset=[*inputs, target])
     names = ["one", *inputs]
     col = {n: F.lit(1.0) if n == "one" else F.col(n) for n in names}
-    sums = [F.sum(col[a] * col[b]).alias(f"{a}|{b}") for i, a in enumerate(names) for b in names[i:]] + [F.sum(col[a] * F.col(target)).alias(f"{a}|y") for a in names]
+    sums = [F.sum(col[a] * col[b]).alias(f"{a}|{b}") for i,
+        a in enumerate(names) for b in names[i:]] + [F.sum(col[a] * F.col(target)).alias(f"{a}|y") for a in names]
     got = ok.agg(*sums).first().asDict()
     k = len(names)
     g, b = np.zeros((k, k)), np.array([got[f"{a}|y"] or 0.0 for a in names])
@@ -108,7 +114,8 @@ def ridge(rows: DataFrame, inputs: list[str], target: str, alpha: float = 1.0) -
 
 
 def linear(coefficients: dict[str, float]) -> Column:
-    return sum((F.lit(v) * F.coalesce(F.col(n), F.lit(0.0)) for n, v in coefficients.items() if n != "one"), F.lit(coefficients.get("one", 0.0)))
+    return sum((F.lit(v) * F.coalesce(F.col(n), F.lit(0.0)) for n, v in coefficients.items() if n != "one"),
+        F.lit(coefficients.get("one", 0.0)))
 
 
 def digest(values) -> str:
@@ -117,6 +124,7 @@ def digest(values) -> str:
 
 def accept(metrics: dict, fold_wins: int, holdout_delta: float | None = None) -> dict[str, bool]:
     """Acceptance checks of a candidate model. The thresholds."""
-    out = {"accuracy": metrics["accuracy"] > 0.51, "correlation": metrics["corr"] > 0, "net": metrics["net"] > 0, "profit_factor": metrics["profit_factor"] > 1.05,
+    out = {"accuracy": metrics["accuracy"] > 0.51, "correlation": metrics["corr"] > 0, "net": metrics["net"] > 0,
+        "profit_factor": metrics["profit_factor"] > 1.05,
            "drawdown": metrics["max_drawdown"] < 0.15, "beats_baseline": fold_wins >= 3}
     return out | ({"holdout": holdout_delta > 0} if holdout_delta is not None else {})

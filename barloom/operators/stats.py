@@ -24,7 +24,8 @@ def _draws(spark: SparkSession, n: int, kernel, schema: str) -> DataFrame:
     return spark.range(n).mapInPandas(run, schema)
 
 
-def block_bootstrap(spark: SparkSession, pnl: np.ndarray, per_year: float = 252.0, block: int = 65, n: int = 1000, seed: int = 0) -> DataFrame:
+def block_bootstrap(spark: SparkSession, pnl: np.ndarray, per_year: float = 252.0, block: int = 65, n: int = 1000,
+    seed: int = 0) -> DataFrame:
     """Circular block bootstrap: sharpe, cagr, total_return, max_drawdown of each draw."""
     return _draws(spark, n, lambda k: block_draw(pnl, k, per_year, block, seed), BLOCK)
 
@@ -42,10 +43,12 @@ def block_draw(pnl: np.ndarray, k: int, per_year: float = 252.0, block: int = 65
     eq = np.cumprod(1 + x)
     sd = x.std()
     dd = float((1 - eq / np.maximum(np.maximum.accumulate(eq), 1)).max())
-    return k, float(x.mean() / sd * math.sqrt(per_year)) if sd > 0 else 0.0, float(max(eq[-1], 1e-9) ** (per_year / size) - 1), float(eq[-1] - 1), dd
+    return k, float(x.mean() / sd * math.sqrt(per_year)) if sd > 0 else 0.0, float(max(eq[-1],
+        1e-9) ** (per_year / size) - 1), float(eq[-1] - 1), dd
 
 
-def draws_by_key(rows: DataFrame, value: str, order: str, kernel, schema: str, n: int, parts: int = 8, key: str = "instrument") -> DataFrame:
+def draws_by_key(rows: DataFrame, value: str, order: str, kernel, schema: str, n: int, parts: int = 8,
+    key: str = "instrument") -> DataFrame:
     """kernel(values in order, draw number) -> tuple, for n draws of each key: a task for each key and part of the draws."""
     names = [f.split()[0] for f in schema.split(", ")]
 
@@ -62,7 +65,8 @@ def draws_by_key(rows: DataFrame, value: str, order: str, kernel, schema: str, n
 
 def intervals(draws: DataFrame, columns: list[str], confidence: float = 0.95, by: tuple[str, ...] = ()) -> DataFrame:
     lo, hi = (1 - confidence) / 2, (1 + confidence) / 2
-    parts = [draws.groupBy(*by).agg(F.lit(c).alias("metric"), F.avg(c).alias("mean"), F.percentile(c, F.lit(lo)).alias("low"), F.percentile(c, F.lit(hi)).alias("high")) for c in columns]
+    parts = [draws.groupBy(*by).agg(F.lit(c).alias("metric"), F.avg(c).alias("mean"), F.percentile(c, F.lit(lo)).alias("low"),
+        F.percentile(c, F.lit(hi)).alias("high")) for c in columns]
     out = parts[0]
     for p in parts[1:]:
         out = out.unionByName(p)

@@ -80,7 +80,8 @@ class Adverse:
         if self.model is None:
             return np.zeros(len(rows)), np.zeros(len(rows))
         d, _ = self._design(s, rows, e, p)
-        return np.maximum(self.model.predict(np.where(np.isfinite(d), d, self.model.mean)), self.floor), np.full(len(rows), self.z * self.residual)
+        return np.maximum(self.model.predict(np.where(np.isfinite(d), d, self.model.mean)), self.floor), np.full(len(rows),
+            self.z * self.residual)
 
 
 class Series:
@@ -130,7 +131,8 @@ class Series:
 
     def simulated(self, rows: np.ndarray, e: np.ndarray, adverse: np.ndarray, uncertainty: np.ndarray, **changes) -> tuple[np.ndarray, int]:
         """Results of the rows, and how many positions were closed."""
-        a = {c: self.of(c, rows) for c in FO.SIM_COLUMNS} | {"er": e * self.of("sigma", rows) * math.sqrt(HORIZON), "adverse": adverse, "uncertainty": uncertainty}
+        a = {c: self.of(c, rows) for c in FO.SIM_COLUMNS} | {"er": e * self.of("sigma", rows) * math.sqrt(HORIZON), "adverse": adverse,
+            "uncertainty": uncertainty}
         out, closed = FO.simulate(a, FO.scenario(**changes))
         return out["pnl"], len(closed)
 
@@ -138,10 +140,13 @@ class Series:
 def measure(pnl: np.ndarray, e: np.ndarray, y: np.ndarray) -> dict[str, float]:
     eq = np.cumprod(1 + pnl)
     active, won, lost = e != 0, pnl[pnl > 0].sum(), -pnl[pnl < 0].sum()
-    return {"net": float(pnl.sum()), "sharpe": float(pnl.mean() / pnl.std() * math.sqrt(252)) if len(pnl) and pnl.std() > 0 else 0.0, "n": len(pnl),
-            "total_return": float(eq[-1] - 1) if len(eq) else 0.0, "max_drawdown": float((1 - eq / np.maximum(np.maximum.accumulate(eq), 1)).max()) if len(eq) else 0.0,
+    return {"net": float(pnl.sum()), "sharpe": float(pnl.mean() / pnl.std() * math.sqrt(252)) if len(pnl) and pnl.std() > 0 else 0.0,
+        "n": len(pnl),
+            "total_return": float(eq[-1] - 1) if len(eq) else 0.0,
+                "max_drawdown": float((1 - eq / np.maximum(np.maximum.accumulate(eq), 1)).max()) if len(eq) else 0.0,
             "corr": float(np.corrcoef(e, y)[0, 1]) if len(e) > 1 and e.std() > 0 and y.std() > 0 else 0.0,
-            "accuracy": float((np.sign(e[active]) == np.sign(y[active])).mean()) if active.any() else 0.0, "profit_factor": float(won / lost) if lost > 0 else 0.0}
+            "accuracy": float((np.sign(e[active]) == np.sign(y[active])).mean()) if active.any() else 0.0,
+                "profit_factor": float(won / lost) if lost > 0 else 0.0}
 
 
 def evaluate(s: Series, rows: np.ndarray, names: list[str]) -> tuple[list[dict], tuple]:
@@ -163,8 +168,10 @@ def evaluate(s: Series, rows: np.ndarray, names: list[str]) -> tuple[list[dict],
         g = MO.Calibrator().fit(ca, s.of("y_norm", cal))
         ex, e = Adverse(s, cal, g.predict(ca), cp), g.predict(a)
         adverse, uncertainty = ex.predict(s, val, e, p)
-        records.append({"fold": fold, "d": d, "train_bars": s.label_end(train[-1]) + 1, "calibration_rows": len(cal), "exec_rows": ex.n, "residual_std": ex.residual, "r2": ex.r2,
-                        "adverse": float(adverse.mean()), "uncertainty": float(uncertainty.mean())} | measure(s.simulate(val, e, adverse, uncertainty), e, s.of("y", val)))
+        records.append({"fold": fold, "d": d, "train_bars": s.label_end(train[-1]) + 1, "calibration_rows": len(cal), "exec_rows": ex.n,
+            "residual_std": ex.residual, "r2": ex.r2,
+                        "adverse": float(adverse.mean()), "uncertainty": float(uncertainty.mean())} | measure(s.simulate(val, e, adverse,
+                            uncertainty), e, s.of("y", val)))
         kept.append((val, a, p))
     return records, tuple(np.concatenate(x) for x in zip(*kept, strict=True))
 
@@ -194,6 +201,30 @@ class Fitted:
         return e, *self.ex.predict(s, rows, e, p)
 
 
+def retrain(s: Series) -> list[dict]:
+    """A retrain on all rows: folds of the candidate and of the baseline, acceptance, and the model that it leaves."""
+    rows = np.arange(len(s.bars))
+    full, kept = evaluate(s, rows, FULL)
+    if not full:
+        return []
+    base, _ = evaluate(s, rows, BASELINE)
+    m = Fitted(s, 0, rows, FULL, kept)
+    weights = [f"{x:.9g}" for x in (m.d, *m.pair.m.w, *m.pair.w, *m.g.x, *m.g.y)]
+    return [{"folds": len(full), "mean_sharpe": float(np.mean([r["sharpe"] for r in full])), "wins": sum(a["net"] > b["net"] for a, b in zip(full, base, strict=True)), "accepted": accepted(full, base), "d": m.d,
+             "train_end": s.label_end(rows[-1]), "calibration_rows": len(kept[0]), "residual_std": m.ex.residual, "model": MO.digest(weights)}]
+
+
+def light_refits(s: Series, shift: int = 20) -> list[dict]:
+    """One refit as it is, and with shuffled labels, shuffled inputs, or a target that lies some bars later."""
+    if len(s.bars) < 200:
+        return []
+    y, cut = s.of("y_norm", np.arange(len(s.bars))), int(len(s.bars) * 0.6)
+    later = np.r_[y[shift:], np.full(shift, np.nan)]
+    later[cut - PURGE - shift : cut] = np.nan
+    runs = {"plain": Light(s, FULL), "shuffled_labels": Light(s, FULL, y=_seed(s, 1).permutation(y[:cut])), "shuffled_features": Light(s, FULL, shuffle=_seed(s, 2)), "target_shift": Light(s, FULL, y=later)}
+    return [{"variant": k, "d": m.d, **{n: v for n, v in m.deal(m.e).items() if n in ("net", "sharpe", "corr", "n")}} for k, m in runs.items()]
+
+
 #: windows of a walk, and the share of the rows that trains the first
 WINDOWS, FIRST = 21, 0.4
 VARIANTS = ("full", "baseline", "production")
@@ -217,22 +248,27 @@ def walk(s: Series) -> list[dict]:
         for v, m in models.items():
             parts[v].append(m.forecast(s, oos) if m and len(oos) else (np.zeros(len(oos)),) * 3)
         deployed = models["production"]
-        records.append({"window": w, "train_start": int(s.bars[history[0]]) if len(history) else None, "train_end": int(s.bars[history[-1]]) + 1 if len(history) else None, "oos_rows": len(oos),
-                        "d": models["full"].d if models["full"] else None, "accepted": ok, "model": models["full"].window if models["full"] else None, "deployed": deployed.window if deployed else None})
+        records.append({"window": w, "train_start": int(s.bars[history[0]]) if len(history) else None,
+            "train_end": int(s.bars[history[-1]]) + 1 if len(history) else None, "oos_rows": len(oos),
+                        "d": models["full"].d if models["full"] else None, "accepted": ok,
+                            "model": models["full"].window if models["full"] else None, "deployed": deployed.window if deployed else None})
     rows = np.arange(edges[0], n)
     for v in VARIANTS:
         e, adverse, uncertainty = (np.concatenate(x) for x in zip(*parts[v], strict=True))
         pnl, closed = s.simulated(rows, e, adverse, uncertainty)
         whole = measure(pnl, e, s.of("y", rows)) | {"deals": closed}
         for r, a, b in zip(records, edges - edges[0], edges[1:] - edges[0], strict=False):
-            r |= {f"net_{v}": round(float(pnl[a:b].sum()), 6), f"sharpe_{v}": round(whole["sharpe"], 6), f"return_{v}": round(whole["total_return"], 6), f"drawdown_{v}": round(whole["max_drawdown"], 6), f"pf_{v}": round(whole["profit_factor"], 6), f"deals_{v}": closed}
+            r |= {f"net_{v}": round(float(pnl[a:b].sum()), 6), f"sharpe_{v}": round(whole["sharpe"], 6),
+                f"return_{v}": round(whole["total_return"], 6), f"drawdown_{v}": round(whole["max_drawdown"], 6),
+                f"pf_{v}": round(whole["profit_factor"], 6), f"deals_{v}": closed}
     return records
 
 
 class Light:
     """One refit on the first 60 % of the rows, its last quarter held for the calibration; the rest is run."""
 
-    def __init__(self, s: Series, names: list[str], y: np.ndarray | None = None, shuffle: np.random.Generator | None = None, step: float = 0.0):
+    def __init__(self, s: Series, names: list[str], y: np.ndarray | None = None, shuffle: np.random.Generator | None = None,
+        step: float = 0.0):
         n, cut = len(s.bars), int(len(s.bars) * 0.6)
         inner = int(cut * (1 - INNER))
         fit, cal, self.rows = np.arange(inner - PURGE), np.arange(inner + PURGE, cut - PURGE), np.arange(cut, n)
@@ -263,9 +299,12 @@ def sanity(s: Series, shift: int = 20, draws: int = 20) -> list[dict]:
     full, y = Light(s, FULL), s.of("y_norm", np.arange(len(s.bars)))
     moved = np.r_[y[shift:], np.full(shift, np.nan)]
     moved[int(len(y) * 0.6) - PURGE - shift : int(len(y) * 0.6)] = np.nan  # no label from the rows that are run
-    refits = {"shuffled_labels": Light(s, FULL, y=_seed(s, 1).permutation(y[: int(len(y) * 0.6)])), "shuffled_features": Light(s, FULL, shuffle=_seed(s, 2)), "target_shift": Light(s, FULL, y=moved)}
-    runs = {"strategy": full.deal(full.e), "reversed": full.deal(-full.e), "zero_cost": full.deal(full.e, cost_scale=0.0), "double_cost": full.deal(full.e, cost_scale=2.0)}
-    runs |= {k: m.deal(m.e) for k, m in refits.items()} | {f"random_{k}": full.deal(_seed(s, 3, k).permutation(full.e)) for k in range(draws)}
+    refits = {"shuffled_labels": Light(s, FULL, y=_seed(s, 1).permutation(y[: int(len(y) * 0.6)])),
+        "shuffled_features": Light(s, FULL, shuffle=_seed(s, 2)), "target_shift": Light(s, FULL, y=moved)}
+    runs = {"strategy": full.deal(full.e), "reversed": full.deal(-full.e), "zero_cost": full.deal(full.e, cost_scale=0.0),
+        "double_cost": full.deal(full.e, cost_scale=2.0)}
+    runs |= {k: m.deal(m.e) for k, m in refits.items()} | {f"random_{k}": full.deal(_seed(s, 3,
+        k).permutation(full.e)) for k in range(draws)}
     return [{"scenario": k, **r} for k, r in runs.items()]
 
 
@@ -274,16 +313,19 @@ def around_order(s: Series, steps: tuple[int, ...] = (-2, -1, 0, 1, 2)) -> list[
     if len(s.bars) < 200:
         return []
     runs = {k: (m := Light(s, FULL, step=0.05 * k)) and (m.d, m.deal(m.e)) for k in steps}
-    return [{"step": k, "d": d, "net": r["net"], "sharpe": r["sharpe"], "corr": r["corr"], "collapsed": bool(runs[0][1]["sharpe"] > 0 > r["sharpe"])} for k, (d, r) in runs.items()]
+    return [{"step": k, "d": d, "net": r["net"], "sharpe": r["sharpe"], "corr": r["corr"],
+        "collapsed": bool(runs[0][1]["sharpe"] > 0 > r["sharpe"])} for k, (d, r) in runs.items()]
 
 
 def ablation(s: Series) -> list[dict]:
     """Net results of refits with and without each optional family: base, base with it, full without it, full."""
     if len(s.bars) < 200:
         return []
-    net = lambda families: (lambda m: m.deal(m.e)["net"])(Light(s, [n for f in FAMILIES if f in families for n in FAMILIES[f]]))
+    net = lambda families: (lambda m: m.deal(m.e)["net"])(Light(s,
+        [n for f in FAMILIES if f in families for n in FAMILIES[f]]))
     base, full = net({"PRICE"}), net(set(FAMILIES))
-    return [{"family": f, "baseline": base, "base_plus": net({"PRICE", f}), "full_minus": net(set(FAMILIES) - {f}), "full": full} for f in FAMILIES if f != "PRICE"]
+    return [{"family": f, "baseline": base, "base_plus": net({"PRICE", f}), "full_minus": net(set(FAMILIES) - {f}),
+        "full": full} for f in FAMILIES if f != "PRICE"]
 
 
 def sabotage(s: Series, seeds: int = 3) -> list[dict]:
@@ -294,7 +336,8 @@ def sabotage(s: Series, seeds: int = 3) -> list[dict]:
     for k, (family, names) in enumerate(FAMILIES.items()):
         at = [FULL.index(n) for n in names]
         sub = m.x[:, at]
-        ways = {"flip": -sub, "freeze": np.repeat(sub.mean(axis=0, keepdims=True), len(sub), axis=0), "delay": np.vstack([sub[:1], sub[:-1]]), "delay2": np.vstack([sub[:2], sub[:-2]]), "remove": np.zeros_like(sub)}
+        ways = {"flip": -sub, "freeze": np.repeat(sub.mean(axis=0, keepdims=True), len(sub), axis=0),
+            "delay": np.vstack([sub[:1], sub[:-1]]), "delay2": np.vstack([sub[:2], sub[:-2]]), "remove": np.zeros_like(sub)}
         for i in range(seeds):
             g = _seed(s, 4, k, i)
             ways |= {f"shuffle_{i}": g.permutation(sub), f"random_{i}": g.standard_normal(sub.shape) * sub.std(axis=0) + sub.mean(axis=0)}
@@ -313,9 +356,11 @@ def baselines(s: Series, draws: int = 20) -> list[dict]:
     a = {c: s.of(c, m.rows) for c in FO.SIM_COLUMNS}
     move, cost = a["open_next2"] / a["open_next"] - 1, a["cost_side"]
     net = lambda q: float((q * move - np.abs(np.diff(q, prepend=0.0)) * cost).sum())
-    held = FO.simulate(a | {"er": m.e * a["sigma"] * math.sqrt(HORIZON), "adverse": np.zeros(len(m.e)), "uncertainty": np.zeros(len(m.e))}, FO.SimParams())[0]["exposure"]
+    held = FO.simulate(a | {"er": m.e * a["sigma"] * math.sqrt(HORIZON), "adverse": np.zeros(len(m.e)), "uncertainty": np.zeros(len(m.e))},
+        FO.SimParams())[0]["exposure"]
     momentum = FO.momentum_exposure(s.a["log_close"], s.a["sigma"])[s.bars[m.rows]]
-    runs = {"strategy": net(held), "no_fractional": less.deal(less.e)["net"], "momentum": net(momentum)} | {f"random_{k}": net(_seed(s, 5, k).permutation(held)) for k in range(draws)}
+    runs = {"strategy": net(held), "no_fractional": less.deal(less.e)["net"],
+        "momentum": net(momentum)} | {f"random_{k}": net(_seed(s, 5, k).permutation(held)) for k in range(draws)}
     return [{"scenario": k, "net": v} for k, v in runs.items()]
 
 

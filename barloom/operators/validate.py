@@ -24,7 +24,8 @@ def structural_reasons(instrument: str | None = None) -> Column:
     missing = ~finite(o) | ~finite(h) | ~finite(lo) | ~finite(c) | ~finite(v)
     positive = F.least(*prices) <= 0
     shape = (h < F.greatest(o, c, lo) - TOLERANCE) | (lo > F.least(o, c, h) + TOLERANCE)
-    pairs = [(missing, "non-finite"), (positive, "non-positive price"), (shape, "inconsistent prices"), (v < 0, "negative volume"), (F.col("ask") < F.col("bid"), "crossed quote")]
+    pairs = [(missing, "non-finite"), (positive, "non-positive price"), (shape, "inconsistent prices"), (v < 0, "negative volume"),
+        (F.col("ask") < F.col("bid"), "crossed quote")]
     if instrument is not None:
         pairs.insert(0, (F.col(KEY) != instrument, "instrument"))
     return _reasons(pairs)
@@ -70,7 +71,8 @@ def validate(bars: DataFrame, bar_seconds: int, max_jump: float = MAX_JUMP, reco
             out.append((pdf[KEY].iloc[0], n, status, reason, halted))
         return pd.DataFrame(out, columns=["instrument", "file_order", "status", "reason", "halted"])
 
-    rows = bars.withColumn("bad", F.array_join(structural_reasons(), ",")).select(KEY, "file_order", F.unix_seconds(TIME).alias("t"), "close", "bad")
+    rows = bars.withColumn("bad", F.array_join(structural_reasons(), ",")).select(KEY, "file_order", F.unix_seconds(TIME).alias("t"),
+        "close", "bad")
     return rows.groupBy(KEY).applyInPandas(fold, CHECKED)
 
 

@@ -14,7 +14,8 @@ READY = "sigma_h is not null and open_next2 is not null and cost_side_exec is no
 
 def simulated(series: str) -> str:
     """The views of a simulation over series: rows with the columns of lab, one for each key of `instrument`."""
-    return SIM.replace("from lab)", "from series)").replace(LAB, LAB + f", ready as (select *, row_number() {ORDER} as vn from lab where {READY}), series as ({series})")
+    return SIM.replace("from lab)", "from series)").replace(LAB,
+        LAB + f", ready as (select *, row_number() {ORDER} as vn from lab where {READY}), series as ({series})")
 
 
 # --- folds
@@ -33,16 +34,19 @@ f as (select o.instrument, o."timestamp", o.y, k.*  exclude (instrument, n), cas
 SQL["FEA-20"] = sql_of(f"select {ID}, x0 as level from f", "level", KALMAN)
 SQL["FEA-22"] = sql_of(f"""select {ID}, (x0 - y) / unit as kalman_price, x1 / unit as kalman_velocity, (x1 - lag(x1) {ORDER}) / unit as kalman_acceleration, inn / unit as kalman_innovation,
  inn / sqrt(greatest(s, 1e-12)) as kalman_innovation_z, sqrt(greatest(p00, 0)) / unit as kalman_state_uncertainty, (y - x0) / unit as kalman_observed_minus_filtered from f""",
-                       "kalman_price kalman_velocity kalman_acceleration kalman_innovation kalman_innovation_z kalman_state_uncertainty kalman_observed_minus_filtered", KALMAN)
+                       "kalman_price kalman_velocity kalman_acceleration kalman_innovation kalman_innovation_z kalman_state_uncertainty kalman_observed_minus_filtered",
+                           KALMAN)
 DOLLARS = RSM.replace("t.size", "t.price * t.size").replace("TARGET", "50000")
 SQL["RSM-02"] = sql_of("""select b.instrument, min(t."timestamp") as start, arg_min(t.price, t.n) as open, max(t.price) as high, min(t.price) as low, arg_max(t.price, t.n) as close, sum(t.size) as volume,
  sum(t.price * t.size) as dollar_volume, count(*) as deal_count, 'dollar-' || b.bar || case when sum(t.price * t.size) < 50000 then '-partial' else '' end as bar_id
- from b join t on t.instrument = b.instrument and t.n = b.n group by b.instrument, b.bar""", "open high low close volume dollar_volume", DOLLARS)
+ from b join t on t.instrument = b.instrument and t.n = b.n group by b.instrument, b.bar""", "open high low close volume dollar_volume",
+     DOLLARS)
 
 
 # --- orders against the label
 def order_corr(orders: dict[str, float]) -> str:
-    return LAB + ", fo as (select *, " + ", ".join(f"{dot('log_close', list(FR.weights(d)))} as {n}" for n, d in orders.items()) + " from lab)"
+    return LAB + ", fo as (select *, " + ", ".join(f"{dot('log_close', list(FR.weights(d)))} as {n}" for n,
+        d in orders.items()) + " from lab)"
 
 
 def corr(a: str, b: str) -> str:
@@ -50,24 +54,30 @@ def corr(a: str, b: str) -> str:
     return f"case when count_if({both}) < 3 then 0 else coalesce(covar_pop({a}, {b}) / nullif(stddev_pop(case when {both} then {a} end) * stddev_pop(case when {both} then {b} end), 0), 0) end"
 
 
-SQL["AGG-13"] = sql_of(" union all ".join(f"select instrument, {d}::double as d, {corr(n, 'y')} as score from fo group by 1" for n, d in (("f0", 0.25), ("f1", 0.5), ("f2", 0.75))), "d score",
+SQL["AGG-13"] = sql_of(" union all ".join(f"select instrument, {d}::double as d, {corr(n, 'y')} as score from fo group by 1" for n,
+    d in (("f0", 0.25), ("f1", 0.5), ("f2", 0.75))), "d score",
                        order_corr({"f0": 0.25, "f1": 0.5, "f2": 0.75}))
 STEPS = {"step_m2": 0.25, "step_m1": 0.3, "step_0": 0.35, "step_1": 0.4, "step_2": 0.45}
-SQL["STR-05"] = sql_of("select instrument, " + ", ".join(f"{corr('f' + n, 'y')} as {n}" for n in STEPS) + " from fo group by 1", " ".join(STEPS), order_corr({"f" + n: d for n, d in STEPS.items()}))
+SQL["STR-05"] = sql_of("select instrument, " + ", ".join(f"{corr('f' + n, 'y')} as {n}" for n in STEPS) + " from fo group by 1",
+    " ".join(STEPS), order_corr({"f" + n: d for n, d in STEPS.items()}))
 
 # --- simulations and what is measured of them
 SAN = " union all ".join(f"select * replace (instrument || '/{n}' as instrument, {er} as er) from ready" for n, er in
                          (("base", "er"), ("reversed", "-er"), ("shifted", f"coalesce(lag(er, 20) {ORDER}, 0)"), ("zero", "0.0::double")))
 SQL["SAN-01"] = sql_of(f"select instrument as key, sum(pnl) as total, count(*) as n from ({PNL}) group by 1", "total", simulated(SAN))
-SQL["MOD-10"] = sql_of(f"select instrument as key, sum(pnl) as net, count(*) as n from ({PNL}) group by 1", "net", simulated("select * replace (instrument || '/holdout' as instrument) from ready where vn > 2000"))
+SQL["MOD-10"] = sql_of(f"select instrument as key, sum(pnl) as net, count(*) as n from ({PNL}) group by 1", "net",
+    simulated("select * replace (instrument || '/holdout' as instrument) from ready where vn > 2000"))
 BACKTEST = simulated("select * replace (instrument || '/backtest' as instrument) from ready") + f""", pn as ({PNL}), p1 as (select instrument, "timestamp", exposure as q, pnl, exp(sum(case when pnl > -1 then ln(1 + pnl) end) {ORDER}) as equity from pn),
 p as (select *, 1 - equity / greatest(max(equity) {ORDER}, 1) as drawdown from p1), a as ({PM.AGG1}), m as (select *, (select avg(pnl) from p where p.instrument = a.instrument and pnl <= a.var_95) as es_95,
  (select sqrt(avg(pow(least(pnl, 0), 2))) from p where p.instrument = a.instrument) as downside, (select count_if(pnl > 0) from p where p.instrument = a.instrument)::bigint as up_bars, pow(greatest(1 + total_return, 1e-9), 252.0 / n) - 1 as cagr from a)"""
-SQL["API-01"] = sql_of("select instrument as key, * exclude (instrument), coalesce(cagr / nullif(max_drawdown, 0), 0) as calmar from m", PM.A1 + " es_95 downside cagr calmar", BACKTEST)
-SQL["ABL-02"] = sql_of("select pn.instrument, vol_tag, coalesce(avg(pnl) / nullif(stddev_pop(pnl), 0), 0) * sqrt(252) as sharpe from pn join tags on tags.instrument = pn.instrument and tags.\"timestamp\" = pn.\"timestamp\" group by 1, 2", "sharpe",
+SQL["API-01"] = sql_of("select instrument as key, * exclude (instrument), coalesce(cagr / nullif(max_drawdown, 0), 0) as calmar from m",
+    PM.A1 + " es_95 downside cagr calmar", BACKTEST)
+SQL["ABL-02"] = sql_of("select pn.instrument, vol_tag, coalesce(avg(pnl) / nullif(stddev_pop(pnl), 0), 0) * sqrt(252) as sharpe from pn join tags on tags.instrument = pn.instrument and tags.\"timestamp\" = pn.\"timestamp\" group by 1, 2",
+    "sharpe",
                        SIM + f", r2 as (select *, row_number() {ORDER} as rn from r1), tags as ({WIN15}), pn as ({PNL})")
 SQL["RUN-03"] = sql_of("""select avg(delta) as mean, median(delta) as median, case when count(*) > 2 then (sum(delta) - max(delta) - min(delta)) / (count(*) - 2) else list_sort(list(delta))[2] end as trimmed,
- (sum(delta) - max(delta)) / greatest(count(*) - 1, 1) as without_best from (select (vn - 1) // 250 as w, sum(er * (open_next2 / open_next - 1)) as delta from ready group by 1)""", "mean median trimmed without_best",
+ (sum(delta) - max(delta)) / greatest(count(*) - 1, 1) as without_best from (select (vn - 1) // 250 as w, sum(er * (open_next2 / open_next - 1)) as delta from ready group by 1)""",
+     "mean median trimmed without_best",
                        LAB + f", ready as (select *, row_number() {ORDER} as vn from lab where {READY})")
 
 # --- ridge of three inputs, by Cramer's rule on its normal equations
@@ -76,5 +86,6 @@ g as (select count(*)::double as n, sum(a) as sa, sum(b) as sb, sum(a * a) + 1 a
 d as (select *, n * (aa * bb - ab * ab) - sa * (sa * bb - ab * sb) + sb * (sa * ab - aa * sb) as det from g)"""
 SQL["MOD-07"] = sql_of("""select 'one' as input, (st * (aa * bb - ab * ab) - sa * (ta * bb - ab * tb) + sb * (ta * ab - aa * tb)) / det as weight from d
  union all select 'range_rel', (n * (ta * bb - ab * tb) - st * (sa * bb - ab * sb) + sb * (sa * tb - ta * sb)) / det from d
- union all select 'relative_spread', (n * (aa * tb - ta * ab) - sa * (sa * tb - ta * sb) + st * (sa * ab - aa * sb)) / det from d""", "weight", GRAM)
+ union all select 'relative_spread', (n * (aa * tb - ta * ab) - sa * (sa * tb - ta * sb) + st * (sa * ab - aa * sb)) / det from d""",
+     "weight", GRAM)
 SQL["RUN-05"] = sql_of("select k::bigint as run, k / 10.0::double as sharpe from generate_series(0, 2) t(k)", "sharpe", "one as (select 1)")

@@ -91,7 +91,8 @@ class ModelRegistry:
 
     def publish(self, model_id: str, meta: Mapping | None = None) -> int:
         version = self.versions().count() + 1
-        self.spark.createDataFrame([(version, model_id, json.dumps(thaw(dict(meta or {})), default=str))], self.SCHEMA).coalesce(1).write.mode("append").parquet(self.root)
+        self.spark.createDataFrame([(version, model_id, json.dumps(thaw(dict(meta or {})), default=str))],
+            self.SCHEMA).coalesce(1).write.mode("append").parquet(self.root)
         return version
 
     def current(self) -> dict | None:

@@ -4,20 +4,28 @@ from __future__ import annotations
 
 # Gate, group, threshold and direction.
 GATES = [
-    ("windows", "walk_forward", 10, ">="), ("net_return", "walk_forward", 0.0, ">"), ("sharpe", "walk_forward", 0.0, ">"), ("max_drawdown", "walk_forward", 0.15, "<="),
-    ("delta_sharpe", "ablation", 0.0, ">"), ("dominance", "ablation", 0.5, "<="), ("cost_break_even", "stress", 1.5, ">="), ("delay_sharpe", "stress", 0.0, ">"),
-    ("bootstrap_low", "bootstrap", 0.0, ">"), ("p_bonferroni", "bootstrap", 0.05, "<="), ("destroyed_sharpe", "sanity", 1.0, "<="), ("leaks", "leakage", 0, "<="),
+    ("windows", "walk_forward", 10, ">="), ("net_return", "walk_forward", 0.0, ">"), ("sharpe", "walk_forward", 0.0, ">"),
+        ("max_drawdown", "walk_forward", 0.15, "<="),
+    ("delta_sharpe", "ablation", 0.0, ">"), ("dominance", "ablation", 0.5, "<="), ("cost_break_even", "stress", 1.5, ">="),
+        ("delay_sharpe", "stress", 0.0, ">"),
+    ("bootstrap_low", "bootstrap", 0.0, ">"), ("p_bonferroni", "bootstrap", 0.05, "<="), ("destroyed_sharpe", "sanity", 1.0, "<="),
+        ("leaks", "leakage", 0, "<="),
     ("holdout_return", "holdout", 0.0, ">"), ("holdout_sharpe", "holdout", 0.0, ">"), ("identical", "reproducibility", 1, ">="),
 ]
 # The gates of the full ladder. Yes-or-no gates are 1 or 0; those of a run on synthetic data are judged only there.
 FULL_GATES = [
-    ("windows", "walk_forward", 20, ">="), ("deals", "walk_forward", 200, ">="), ("sharpe", "walk_forward", 1.0, ">"), ("max_drawdown", "walk_forward", 0.25, "<"), ("profit_factor", "walk_forward", 1.2, ">"),
-    ("positive_windows", "walk_forward", 0.55, ">"), ("production_return", "walk_forward", 0.0, ">"), ("production_sharpe", "walk_forward", 0.0, ">"), ("deployed", "walk_forward", 0.5, ">="),
-    ("median_delta", "ablation", 0.0, ">"), ("positive_deltas", "ablation", 0.5, ">"), ("profitable_at_2x", "stress", 1, ">="), ("viable_at_plus_1", "stress", 1, ">="), ("collapsed", "stress", 0, "<="),
-    ("bootstrap_low", "bootstrap", 0.0, ">"), ("sanity_failed", "sanity", 0, "<="), ("leaks", "leakage", 0, "<="), ("holdout_opened", "holdout", 1, ">="), ("holdout_return", "holdout", 0.0, ">"),
+    ("windows", "walk_forward", 20, ">="), ("deals", "walk_forward", 200, ">="), ("sharpe", "walk_forward", 1.0, ">"),
+        ("max_drawdown", "walk_forward", 0.25, "<"), ("profit_factor", "walk_forward", 1.2, ">"),
+    ("positive_windows", "walk_forward", 0.55, ">"), ("production_return", "walk_forward", 0.0, ">"),
+        ("production_sharpe", "walk_forward", 0.0, ">"), ("deployed", "walk_forward", 0.5, ">="),
+    ("median_delta", "ablation", 0.0, ">"), ("positive_deltas", "ablation", 0.5, ">"), ("profitable_at_2x", "stress", 1, ">="),
+        ("viable_at_plus_1", "stress", 1, ">="), ("collapsed", "stress", 0, "<="),
+    ("bootstrap_low", "bootstrap", 0.0, ">"), ("sanity_failed", "sanity", 0, "<="), ("leaks", "leakage", 0, "<="),
+        ("holdout_opened", "holdout", 1, ">="), ("holdout_return", "holdout", 0.0, ">"),
     ("holdout_sharpe", "holdout", 0.0, ">"), ("identical", "reproducibility", 1, ">="),
 ]
-LADDER = [("CANDIDATE", {"walk_forward"}), ("VALIDATED CANDIDATE", {"ablation", "stress", "bootstrap", "sanity", "leakage"}), ("HOLDOUT PASSED", {"holdout"}), ("PAPER ELIGIBLE", {"reproducibility"})]
+LADDER = [("CANDIDATE", {"walk_forward"}), ("VALIDATED CANDIDATE", {"ablation", "stress", "bootstrap", "sanity", "leakage"}),
+    ("HOLDOUT PASSED", {"holdout"}), ("PAPER ELIGIBLE", {"reproducibility"})]
 _TEST = {">=": lambda v, t: v >= t, ">": lambda v, t: v > t, "<=": lambda v, t: v <= t, "<": lambda v, t: v < t}
 
 

@@ -29,19 +29,26 @@ AGG1 = """select instrument, count(*) as n, product(1 + pnl) - 1 as total_return
 A1 = "total_return mean std sharpe sortino var_95 worst_bar max_drawdown mean_exposure time_invested kurt skew"
 
 
-@query("AGG-01", sql_of(f"select a.*, (select avg(pnl) from p where p.instrument = a.instrument and pnl <= a.var_95) as es_95 from ({AGG1}) a", A1 + " es_95", PRE, 5), 5)
+@query("AGG-01",
+    sql_of(f"select a.*, (select avg(pnl) from p where p.instrument = a.instrument and pnl <= a.var_95) as es_95 from ({AGG1}) a",
+    A1 + " es_95", PRE, 5), 5)
 def agg_01(spark, sf_dir):
     return M.performance(pnl(spark, sf_dir), ["instrument"]).select("instrument", "n", *A1.split(), "es_95")
 
 
-@query("AGG-02", sql_of("select instrument, avg(pnl) * 252 as mean, stddev_pop(pnl) * sqrt(252) as std, sqrt(avg(pow(least(pnl, 0), 2))) * sqrt(252) as downside from p group by 1", "mean std downside", PRE))
+@query("AGG-02",
+    sql_of("select instrument, avg(pnl) * 252 as mean, stddev_pop(pnl) * sqrt(252) as std, sqrt(avg(pow(least(pnl, 0), 2))) * sqrt(252) as downside from p group by 1",
+    "mean std downside", PRE))
 def agg_02(spark, sf_dir):
     p = M.performance(pnl(spark, sf_dir), ["instrument"])
-    return p.select("instrument", (c("mean") * 252).alias("mean"), (c("std") * 252**0.5).alias("std"), (c("downside") * 252**0.5).alias("downside"))
+    return p.select("instrument", (c("mean") * 252).alias("mean"), (c("std") * 252**0.5).alias("std"),
+        (c("downside") * 252**0.5).alias("downside"))
 
 
-@query("AGG-03", sql_of(f"""select a.*, coalesce(b.l, 0)::bigint as longest_underwater from (select instrument, max(drawdown) as max_drawdown, arg_max(drawdown, "timestamp") as current_drawdown, sqrt(avg(drawdown * drawdown)) as ulcer from p group by 1) a
- left join (select instrument, max(n) as l from (select instrument, i, count(*) as n from (select *, sum((drawdown <= 0)::int) {ORDER} as i from p) where drawdown > 0 group by 1, 2) group by 1) b using (instrument)""", "max_drawdown current_drawdown ulcer", PRE))
+@query("AGG-03",
+    sql_of(f"""select a.*, coalesce(b.l, 0)::bigint as longest_underwater from (select instrument, max(drawdown) as max_drawdown, arg_max(drawdown, "timestamp") as current_drawdown, sqrt(avg(drawdown * drawdown)) as ulcer from p group by 1) a
+ left join (select instrument, max(n) as l from (select instrument, i, count(*) as n from (select *, sum((drawdown <= 0)::int) {ORDER} as i from p) where drawdown > 0 group by 1, 2) group by 1) b using (instrument)""",
+     "max_drawdown current_drawdown ulcer", PRE))
 def agg_03(spark, sf_dir):
     return M.drawdown_stats(pnl(spark, sf_dir), ["instrument"])
 
@@ -55,23 +62,32 @@ def agg_04(spark, sf_dir):
     return M.distribution(pnl(spark, sf_dir), ["instrument"], "pnl")
 
 
-@query("AGG-05", sql_of("select instrument, year(\"timestamp\")::int as year, count(*) as n, sum(pnl) as total, avg(pnl) as mean, avg((pnl > 0)::int) as win_rate from p group by 1, 2", "total mean win_rate", PRE))
+@query("AGG-05",
+    sql_of("select instrument, year(\"timestamp\")::int as year, count(*) as n, sum(pnl) as total, avg(pnl) as mean, avg((pnl > 0)::int) as win_rate from p group by 1, 2",
+    "total mean win_rate", PRE))
 def agg_05(spark, sf_dir):
-    return pnl(spark, sf_dir).groupBy("instrument", F.year("timestamp").alias("year")).agg(F.count("*").alias("n"), F.sum("pnl").alias("total"), F.avg("pnl").alias("mean"), F.avg((c("pnl") > 0).cast("double")).alias("win_rate"))
+    return pnl(spark, sf_dir).groupBy("instrument", F.year("timestamp").alias("year")).agg(F.count("*").alias("n"),
+        F.sum("pnl").alias("total"), F.avg("pnl").alias("mean"), F.avg((c("pnl") > 0).cast("double")).alias("win_rate"))
 
 
-@query("AGG-06", sql_of("select coalesce(case when grouping(instrument) = 0 then 'instrument' when grouping(y) = 0 then 'year' else 'side' end) as dimension, coalesce(instrument, y::varchar, s::varchar) as value, count(*) as n, sum(pnl) as total from (select instrument, year(\"timestamp\") as y, sign(q)::int as s, pnl from p) group by grouping sets ((instrument), (y), (s))", "total", PRE))
+@query("AGG-06",
+    sql_of("select coalesce(case when grouping(instrument) = 0 then 'instrument' when grouping(y) = 0 then 'year' else 'side' end) as dimension, coalesce(instrument, y::varchar, s::varchar) as value, count(*) as n, sum(pnl) as total from (select instrument, year(\"timestamp\") as y, sign(q)::int as s, pnl from p) group by grouping sets ((instrument), (y), (s))",
+    "total", PRE))
 def agg_06(spark, sf_dir):
     """Three groupings of the same rows in one pass."""
     df = pnl(spark, sf_dir).select("instrument", F.year("timestamp").alias("y"), F.signum("q").cast("int").alias("s"), "pnl")
     i, y, s = c("instrument"), c("y"), c("s")
-    g = df.groupingSets([[i], [y], [s]], i, y, s).agg(F.count("*").alias("n"), F.sum("pnl").alias("total"), F.grouping("instrument").alias("gi"), F.grouping("y").alias("gy"))
-    return g.select(F.when(c("gi") == 0, "instrument").when(c("gy") == 0, "year").otherwise("side").alias("dimension"), F.coalesce("instrument", c("y").cast("string"), c("s").cast("string")).alias("value"), "n", "total")
+    g = df.groupingSets([[i], [y], [s]], i, y, s).agg(F.count("*").alias("n"), F.sum("pnl").alias("total"),
+        F.grouping("instrument").alias("gi"), F.grouping("y").alias("gy"))
+    return g.select(F.when(c("gi") == 0, "instrument").when(c("gy") == 0, "year").otherwise("side").alias("dimension"),
+        F.coalesce("instrument", c("y").cast("string"), c("s").cast("string")).alias("value"), "n", "total")
 
 
 
 
-@query("AGG-07", sql_of(f"select instrument, vol_tag, count(*) as bars, product(1 + pnl) - 1 as total_return, avg(pnl) / nullif(stddev_pop(pnl), 0) * sqrt(252) as sharpe, avg((q <> 0)::int) as time_invested from (select p.instrument, p.pnl, p.q, t.vol_tag from p join tags t on p.instrument = t.instrument and p.\"timestamp\" = t.\"timestamp\") group by 1, 2", "total_return sharpe time_invested", PRE + f", r2 as (select *, row_number() {ORDER} as rn from r1), tags as ({WIN15})"))
+@query("AGG-07",
+    sql_of(f"select instrument, vol_tag, count(*) as bars, product(1 + pnl) - 1 as total_return, avg(pnl) / nullif(stddev_pop(pnl), 0) * sqrt(252) as sharpe, avg((q <> 0)::int) as time_invested from (select p.instrument, p.pnl, p.q, t.vol_tag from p join tags t on p.instrument = t.instrument and p.\"timestamp\" = t.\"timestamp\") group by 1, 2",
+    "total_return sharpe time_invested", PRE + f", r2 as (select *, row_number() {ORDER} as rn from r1), tags as ({WIN15})"))
 def agg_07(spark, sf_dir):
     tags = tag_regimes(ret(spark, sf_dir)).select("instrument", "timestamp", "vol_tag")
     rows = pnl(spark, sf_dir).drop("equity", "drawdown").join(tags, ["instrument", "timestamp"])
@@ -79,28 +95,40 @@ def agg_07(spark, sf_dir):
     return out.select("instrument", "vol_tag", c("n").alias("bars"), "total_return", "sharpe", "time_invested")
 
 
-@query("AGG-08", sql_of("select instrument, w as \"window\", count(*) as n, product(1 + pnl) - 1 as total_return, coalesce(avg(pnl) / nullif(stddev_pop(pnl), 0), 0) * sqrt(252) as sharpe, sum(abs(q - q0) * cost_side_exec) as cost from p group by 1, 2", "total_return sharpe cost", PRE))
+@query("AGG-08",
+    sql_of("select instrument, w as \"window\", count(*) as n, product(1 + pnl) - 1 as total_return, coalesce(avg(pnl) / nullif(stddev_pop(pnl), 0), 0) * sqrt(252) as sharpe, sum(abs(q - q0) * cost_side_exec) as cost from p group by 1, 2",
+    "total_return sharpe cost", PRE))
 def agg_08(spark, sf_dir):
     g = pnl(spark, sf_dir).groupBy("instrument", c("w").alias("window"))
-    return g.agg(F.count("*").alias("n"), M.compounded("pnl").alias("total_return"), (M.ratio(F.avg("pnl"), F.stddev_pop("pnl")) * 252**0.5).alias("sharpe"), F.sum(F.abs(c("q") - c("q0")) * c("cost_side")).alias("cost"))
+    return g.agg(F.count("*").alias("n"), M.compounded("pnl").alias("total_return"),
+        (M.ratio(F.avg("pnl"), F.stddev_pop("pnl")) * 252**0.5).alias("sharpe"),
+        F.sum(F.abs(c("q") - c("q0")) * c("cost_side")).alias("cost"))
 
 
-@query("AGG-09", sql_of("select w as \"window\", sum(case when instrument = 'A' then pnl end) as \"A\", sum(case when instrument = 'N' then pnl end) as \"N\", sum(case when instrument = 'R' then pnl end) as \"R\" from p group by 1", "A N R", PRE))
+@query("AGG-09",
+    sql_of("select w as \"window\", sum(case when instrument = 'A' then pnl end) as \"A\", sum(case when instrument = 'N' then pnl end) as \"N\", sum(case when instrument = 'R' then pnl end) as \"R\" from p group by 1",
+    "A N R", PRE))
 def agg_09(spark, sf_dir):
     return pnl(spark, sf_dir).groupBy(c("w").alias("window")).pivot("instrument", ["A", "N", "R"]).agg(F.sum("pnl"))
 
 
-@query("AGG-10", sql_of("select instrument, coalesce(covar_pop(er, y) / nullif(stddev_pop(case when y is not null then er end) * stddev_pop(case when er is not null then y end), 0), 0) as corr from lab group by 1", "corr", LAB))
+@query("AGG-10",
+    sql_of("select instrument, coalesce(covar_pop(er, y) / nullif(stddev_pop(case when y is not null then er end) * stddev_pop(case when er is not null then y end), 0), 0) as corr from lab group by 1",
+    "corr", LAB))
 def agg_10(spark, sf_dir):
     return labelled(spark, sf_dir).groupBy("instrument").agg(M.safe_corr("er", "y").alias("corr"))
 
 
-@query("AGG-12", sql_of("select instrument, coalesce(covar_pop(z, y) / nullif(stddev_pop(case when y is not null then z end) * stddev_pop(case when z is not null then y end), 0), 0) as ic from lab group by 1", "ic", LAB))
+@query("AGG-12",
+    sql_of("select instrument, coalesce(covar_pop(z, y) / nullif(stddev_pop(case when y is not null then z end) * stddev_pop(case when z is not null then y end), 0), 0) as ic from lab group by 1",
+    "ic", LAB))
 def agg_12(spark, sf_dir):
     return labelled(spark, sf_dir).groupBy("instrument").agg(M.safe_corr("z", "y").alias("ic"))
 
 
-@query("AGG-11", sql_of("select instrument, coalesce(max(case when t > 0 then t end) / nullif(sum(case when t > 0 then t end), 0), 0) as dominance from (select instrument, w, sum(pnl) as t from p group by 1, 2) group by 1", "dominance", PRE))
+@query("AGG-11",
+    sql_of("select instrument, coalesce(max(case when t > 0 then t end) / nullif(sum(case when t > 0 then t end), 0), 0) as dominance from (select instrument, w, sum(pnl) as t from p group by 1, 2) group by 1",
+    "dominance", PRE))
 def agg_11(spark, sf_dir):
     t = pnl(spark, sf_dir).groupBy("instrument", "w").agg(F.sum("pnl").alias("t"))
     up = F.when(c("t") > 0, c("t"))
@@ -117,27 +145,37 @@ def agg_13(spark, sf_dir):
     return out.select("instrument", F.expr("stack(3, 0.25D, d0, 0.5D, d1, 0.75D, d2) as (d, score)"))
 
 
-@query("AGG-14", sql_of("select instrument, product(1 + pnl) - 1 as total_return, max(drawdown) as max_drawdown from p group by 1", "total_return max_drawdown", PRE))
+@query("AGG-14", sql_of("select instrument, product(1 + pnl) - 1 as total_return, max(drawdown) as max_drawdown from p group by 1",
+    "total_return max_drawdown", PRE))
 def agg_14(spark, sf_dir):
     return M.performance(pnl(spark, sf_dir), ["instrument"]).select("instrument", "total_return", "max_drawdown")
 
 
-@query("AGG-15", sql_of("select instrument, \"timestamp\", ln(equity) as log_equity, drawdown, case when w < 6 then 'development' else 'holdout' end as segment from p", "log_equity drawdown", PRE))
+@query("AGG-15",
+    sql_of("select instrument, \"timestamp\", ln(equity) as log_equity, drawdown, case when w < 6 then 'development' else 'holdout' end as segment from p",
+    "log_equity drawdown", PRE))
 def agg_15(spark, sf_dir):
     """The holdout's equity is stitched to the development's last value: one running product does both."""
-    return pnl(spark, sf_dir).select("instrument", "timestamp", F.log("equity").alias("log_equity"), "drawdown", F.when(c("w") < 6, "development").otherwise("holdout").alias("segment"))
+    return pnl(spark, sf_dir).select("instrument", "timestamp", F.log("equity").alias("log_equity"), "drawdown",
+        F.when(c("w") < 6, "development").otherwise("holdout").alias("segment"))
 
 
-@query("AGG-16", sql_of("select instrument, w as retrain, t - lag(t) over (partition by instrument order by w) as delta_score from (select instrument, w, sum(pnl) as t from p group by 1, 2)", "delta_score", PRE))
+@query("AGG-16",
+    sql_of("select instrument, w as retrain, t - lag(t) over (partition by instrument order by w) as delta_score from (select instrument, w, sum(pnl) as t from p group by 1, 2)",
+    "delta_score", PRE))
 def agg_16(spark, sf_dir):
     t = pnl(spark, sf_dir).groupBy("instrument", c("w").alias("retrain")).agg(F.sum("pnl").alias("t"))
-    return t.select("instrument", "retrain", (c("t") - F.lag("t").over(Window.partitionBy("instrument").orderBy("retrain"))).alias("delta_score"))
+    return t.select("instrument", "retrain",
+        (c("t") - F.lag("t").over(Window.partitionBy("instrument").orderBy("retrain"))).alias("delta_score"))
 
 
-@query("AGG-17", sql_of("select instrument, count(*) as windows, count_if(t > 0)::bigint as accepted, avg((t > 0)::int) as deployed from (select instrument, w, sum(pnl) as t from p group by 1, 2) group by 1", "deployed", PRE))
+@query("AGG-17",
+    sql_of("select instrument, count(*) as windows, count_if(t > 0)::bigint as accepted, avg((t > 0)::int) as deployed from (select instrument, w, sum(pnl) as t from p group by 1, 2) group by 1",
+    "deployed", PRE))
 def agg_17(spark, sf_dir):
     t = pnl(spark, sf_dir).groupBy("instrument", "w").agg(F.sum("pnl").alias("t"))
-    return t.groupBy("instrument").agg(F.count("*").alias("windows"), F.count_if(c("t") > 0).alias("accepted"), F.avg((c("t") > 0).cast("double")).alias("deployed"))
+    return t.groupBy("instrument").agg(F.count("*").alias("windows"), F.count_if(c("t") > 0).alias("accepted"),
+        F.avg((c("t") > 0).cast("double")).alias("deployed"))
 
 
 BASE = FO.SimParams()
@@ -169,7 +207,8 @@ def sta_02(spark, sf_dir):
 def sta_03(spark, sf_dir):
     """The net results of closed positions, drawn in random order with replacement."""
     closed = FO.simulate_frame(sim_rows(spark, sf_dir), {"base": BASE}, want_deals=True).withColumn("instrument", F.split("key", "/")[0])
-    return ST.intervals(ST.draws_by_key(closed, "net", "entry_row", ST.deals_draw, ST.DEALS, n=2000), ["terminal", "max_drawdown"], by=("instrument",))
+    return ST.intervals(ST.draws_by_key(closed, "net", "entry_row", ST.deals_draw, ST.DEALS, n=2000), ["terminal", "max_drawdown"],
+        by=("instrument",))
 
 
 @query("STA-04")
@@ -192,9 +231,11 @@ def scenario_metrics(spark, sf_dir, params):
 def str_01(spark, sf_dir):
     """Cost curve: realised costs scaled with decisions frozen, decisions that expect other costs, and fixed costs of some basis
     points a round trip; with the level of each kind at which the return crosses 0 (null where it doesn't)."""
-    out = {f"realised_{x}": FO.scenario(cost_scale=x) for x in (0.0, 0.5, 1.0, 1.5, 2.0, 3.0, 5.0)} | {f"signal_{x}": FO.scenario(signal_cost_scale=x) for x in (0.5, 1.0, 2.0)}
+    out = {f"realised_{x}": FO.scenario(cost_scale=x) for x in (0.0, 0.5, 1.0, 1.5, 2.0, 3.0,
+        5.0)} | {f"signal_{x}": FO.scenario(signal_cost_scale=x) for x in (0.5, 1.0, 2.0)}
     out |= {f"bps_{x}": FO.scenario(cost_bps=float(x)) for x in (0, 1, 2, 5, 10, 20, 50)}
-    df = scenario_metrics(spark, sf_dir, out).withColumns({"kind": F.split("scenario", "_")[0], "level": F.split("scenario", "_")[1].cast("double")})
+    df = scenario_metrics(spark, sf_dir, out).withColumns({"kind": F.split("scenario", "_")[0],
+        "level": F.split("scenario", "_")[1].cast("double")})
     w = Window.partitionBy("instrument", "kind").orderBy("level")
     before, level = F.lag("total_return").over(w), F.lag("level").over(w)
     crossing = F.when((before > 0) & (c("total_return") <= 0), level + (c("level") - level) * before / (before - c("total_return")))
@@ -207,7 +248,8 @@ def str_02(spark, sf_dir):
     levels = (0.5, 1.0, 1.5, 2.0, 3.0)
     # survives: still earns something
     frozen = {f"x{x}_d{d}": FO.scenario(cost_scale=x, delay=d) for x in levels for d in (0, 1, 2, 3)}
-    return scenario_metrics(spark, sf_dir, frozen | {f"adaptive_x{x}": FO.scenario(cost_scale=x, signal_cost_scale=x) for x in levels}).withColumn("survives", c("total_return") > 0)
+    return scenario_metrics(spark, sf_dir, frozen | {f"adaptive_x{x}": FO.scenario(cost_scale=x,
+        signal_cost_scale=x) for x in levels}).withColumn("survives", c("total_return") > 0)
 
 
 @query("STR-03")
@@ -247,7 +289,9 @@ def san_01(spark, sf_dir):
     return out.groupBy("key").agg(F.sum("pnl").alias("total"), F.count("*").alias("n"))
 
 
-@query("SAN-02", sql_of(f"select instrument, max(abs(y - (ln(o5) - ln(o1)))) as largest, count(y) as n from (select *, lead(open, 5) {ORDER} as o5, lead(open, 1) {ORDER} as o1 from lab) group by 1", "largest", LAB))
+@query("SAN-02",
+    sql_of(f"select instrument, max(abs(y - (ln(o5) - ln(o1)))) as largest, count(y) as n from (select *, lead(open, 5) {ORDER} as o5, lead(open, 1) {ORDER} as o1 from lab) group by 1",
+    "largest", LAB))
 def san_02(spark, sf_dir):
     df = labelled(spark, sf_dir)
     again = F.log(F.lead("open", 5).over(by_time())) - F.log(F.lead("open", 1).over(by_time()))
@@ -264,42 +308,54 @@ def san_03(spark, sf_dir):
 
     at = F.lit(dt.datetime(1998, 1, 1)).cast("timestamp")
     bars = bars_daily(spark, sf_dir)
-    other = bars.withColumns({k: F.when(c("timestamp") > at, c(k) * 1.37).otherwise(c(k)) for k in ("open", "high", "low", "close", "volume")})
-    f = lambda b: X.volume_features(X.return_features(X.with_returns(b))).where(c("timestamp") <= at).select("instrument", "timestamp", "return_1", "return_16", "volume_z")
+    other = bars.withColumns({k: F.when(c("timestamp") > at, c(k) * 1.37).otherwise(c(k)) for k in ("open", "high", "low", "close",
+        "volume")})
+    f = lambda b: X.volume_features(X.return_features(X.with_returns(b))).where(c("timestamp") <= at).select("instrument", "timestamp",
+        "return_1", "return_16", "volume_z")
     return f(bars).exceptAll(f(other)).agg(F.count("*").alias("changed"))
 
 
-@query("SAN-04", sql_of(f"select count(*)::bigint as rows, count_if(not (available <= decided and decided <= executed))::bigint as violations from (select \"timestamp\" + interval 1 day as available, \"timestamp\" + interval 1 day as decided, greatest(lead(\"timestamp\") {ORDER}, \"timestamp\" + interval 1 day) as executed from bars) where executed is not null"))
+@query("SAN-04",
+    sql_of(f"select count(*)::bigint as rows, count_if(not (available <= decided and decided <= executed))::bigint as violations from (select \"timestamp\" + interval 1 day as available, \"timestamp\" + interval 1 day as decided, greatest(lead(\"timestamp\") {ORDER}, \"timestamp\" + interval 1 day) as executed from bars) where executed is not null"))
 def san_04(spark, sf_dir):
     from barloom.sources.bars import bars_daily
 
     df = bars_daily(spark, sf_dir)
     close = F.unix_seconds("timestamp") + 86400
-    df = df.select(close.alias("available"), close.alias("decided"), F.greatest(F.lead(F.unix_seconds("timestamp")).over(by_time()), close).alias("executed")).where("executed is not null")
-    return df.agg(F.count("*").alias("rows"), F.count_if(~((c("available") <= c("decided")) & (c("decided") <= c("executed")))).alias("violations"))
+    df = df.select(close.alias("available"), close.alias("decided"),
+        F.greatest(F.lead(F.unix_seconds("timestamp")).over(by_time()), close).alias("executed")).where("executed is not null")
+    return df.agg(F.count("*").alias("rows"),
+        F.count_if(~((c("available") <= c("decided")) & (c("decided") <= c("executed")))).alias("violations"))
 
 
 @query("ABL-02")
 def abl_02(spark, sf_dir):
     tags = tag_regimes(ret(spark, sf_dir)).select("instrument", "timestamp", "vol_tag")
     rows = FO.simulate_frame(sim_rows(spark, sf_dir), {"full": BASE}).withColumn("instrument", F.split("key", "/")[0])
-    return rows.join(tags, ["instrument", "timestamp"]).groupBy("instrument", "vol_tag").agg((M.ratio(F.avg("pnl"), F.stddev_pop("pnl")) * 252**0.5).alias("sharpe"))
+    return rows.join(tags, ["instrument", "timestamp"]).groupBy("instrument",
+        "vol_tag").agg((M.ratio(F.avg("pnl"), F.stddev_pop("pnl")) * 252**0.5).alias("sharpe"))
 
 
-SABOTAGE = {"s_flip": lambda x: -x, "s_freeze": lambda x: F.avg(x).over(Window.partitionBy("instrument")), "s_delay": lambda x: F.lag(x, 1).over(by_time()), "s_delay2": lambda x: F.lag(x, 2).over(by_time()), "s_remove": lambda x: F.lit(0.0)}
+SABOTAGE = {"s_flip": lambda x: -x, "s_freeze": lambda x: F.avg(x).over(Window.partitionBy("instrument")),
+    "s_delay": lambda x: F.lag(x, 1).over(by_time()), "s_delay2": lambda x: F.lag(x, 2).over(by_time()), "s_remove": lambda x: F.lit(0.0)}
 
 
-@query("ABL-03", sql_of(f"select instrument, sum(-r) as s_flip, count(r) * avg(r) as s_freeze, sum(d1) as s_delay, sum(d2) as s_delay2, 0.0::double as s_remove from (select *, lag(r, 1) {ORDER} as d1, lag(r, 2) {ORDER} as d2 from r1) group by 1", "s_flip s_freeze s_delay s_delay2", RET))
+@query("ABL-03",
+    sql_of(f"select instrument, sum(-r) as s_flip, count(r) * avg(r) as s_freeze, sum(d1) as s_delay, sum(d2) as s_delay2, 0.0::double as s_remove from (select *, lag(r, 1) {ORDER} as d1, lag(r, 2) {ORDER} as d2 from r1) group by 1",
+    "s_flip s_freeze s_delay s_delay2", RET))
 def abl_03(spark, sf_dir):
     df = ret(spark, sf_dir).withColumns({k: F.when(c("r").isNotNull() | F.lit(k != "s_freeze"), f(c("r"))) for k, f in SABOTAGE.items()})
     return df.groupBy("instrument").agg(*[F.sum(k).alias(k) for k in SABOTAGE])
 
 
-@query("BAS-01", sql_of("select instrument, 0.0::double as cash, product(1 + coalesce(exp(r) - 1, 0)) - 1 as buy_hold, sum(case when sigma_h > 0 then least(1, 0.1 / (sigma_h * sqrt(252))) * nr end) as vol_scaled from (select *, lead(r) " + ORDER + " as nr from r1) group by 1", "cash buy_hold vol_scaled", RET))
+@query("BAS-01",
+    sql_of("select instrument, 0.0::double as cash, product(1 + coalesce(exp(r) - 1, 0)) - 1 as buy_hold, sum(case when sigma_h > 0 then least(1, 0.1 / (sigma_h * sqrt(252))) * nr end) as vol_scaled from (select *, lead(r) " + ORDER + " as nr from r1) group by 1",
+    "cash buy_hold vol_scaled", RET))
 def bas_01(spark, sf_dir):
     from barloom.functions.scalars import vol_scaled_exposure
 
     df = ret(spark, sf_dir).withColumn("nr", F.lead("r").over(by_time()))
-    return df.groupBy("instrument").agg(F.lit(0.0).alias("cash"), M.compounded(F.coalesce(F.exp("r") - 1, F.lit(0.0))).alias("buy_hold"), F.sum(F.when(c("sigma_h") > 0, vol_scaled_exposure(c("sigma_h"), 252.0)) * c("nr")).alias("vol_scaled"))
+    return df.groupBy("instrument").agg(F.lit(0.0).alias("cash"), M.compounded(F.coalesce(F.exp("r") - 1, F.lit(0.0))).alias("buy_hold"),
+        F.sum(F.when(c("sigma_h") > 0, vol_scaled_exposure(c("sigma_h"), 252.0)) * c("nr")).alias("vol_scaled"))
 
 

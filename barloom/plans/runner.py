@@ -15,8 +15,10 @@ from barloom.plans.research import gates_frame, ladder_frame, resolve_stages
 from barloom.sources.bars import fresh_path
 
 #: the query that each stage stores
-TABLES = {"walkforward": "RUN-01-windows", "baselines": "BAS-01", "cost": "STR-01", "execution_stress": "STR-02", "timing": "STR-03", "perturbation": "STR-04", "d_perturbation": "STR-05", "sanity": "SAN-01",
-          "leakage": "SAN-03", "regimes": "AGG-07", "ablation": "ABL-01", "families": "ABL-03", "bootstrap": "STA-01", "holdout": "MOD-10", "reproducibility": "REP-02", "gates": "GAT-01"}
+TABLES = {"walkforward": "RUN-01-windows", "baselines": "BAS-01", "cost": "STR-01", "execution_stress": "STR-02", "timing": "STR-03",
+    "perturbation": "STR-04", "d_perturbation": "STR-05", "sanity": "SAN-01",
+          "leakage": "SAN-03", "regimes": "AGG-07", "ablation": "ABL-01", "families": "ABL-03", "bootstrap": "STA-01", "holdout": "MOD-10",
+              "reproducibility": "REP-02", "gates": "GAT-01"}
 
 
 #: what a stage stores beside its table, at <stage>_more
@@ -37,11 +39,13 @@ def open_holdout(spark: SparkSession, log: str, who: str, why: str) -> DataFrame
     """Appends a row to the access log and returns all of it. Nothing is ever taken out."""
     if not why.strip():
         raise ValueError("opening the holdout needs a reason")
-    spark.createDataFrame([(dt.datetime.now(dt.UTC).replace(tzinfo=None), who, why)], "at timestamp, who string, why string").write.mode("append").parquet(log)
+    spark.createDataFrame([(dt.datetime.now(dt.UTC).replace(tzinfo=None), who, why)],
+        "at timestamp, who string, why string").write.mode("append").parquet(log)
     return spark.read.parquet(log)
 
 
-def run_research(spark: SparkSession, sf_dir: str, spec: str = "quick", run_dir: str | None = None, holdout_reason: str | None = None) -> DataFrame:
+def run_research(spark: SparkSession, sf_dir: str, spec: str = "quick", run_dir: str | None = None,
+    holdout_reason: str | None = None) -> DataFrame:
     """Runs the stages, writes <run_dir>/<stage> for each, and returns (n, stage, rows, path). The gates judge the tables written before."""
     run_dir = run_dir or fresh_path(spark, "run")
     if holdout_reason:
@@ -64,12 +68,14 @@ def _summary(spark, sf_dir, spec):
     return run_research(spark, sf_dir, spec).select("n", "stage", "rows")
 
 
-@query("RUN-08", "select * from (values (0, 'walkforward', 21::bigint), (1, 'bootstrap', 4::bigint), (2, 'reproducibility', 1::bigint), (3, 'gates', 15::bigint)) t(n, stage, \"rows\")")
+@query("RUN-08",
+    "select * from (values (0, 'walkforward', 21::bigint), (1, 'bootstrap', 4::bigint), (2, 'reproducibility', 1::bigint), (3, 'gates', 15::bigint)) t(n, stage, \"rows\")")
 def run_08(spark, sf_dir):
     return _summary(spark, sf_dir, "walkforward,bootstrap,reproducibility,gates")
 
 
-@query("RUN-11", "select * from (values (0, 'baselines', 3::bigint), (1, 'timing', 9::bigint), (2, 'sanity', 12::bigint), (3, 'leakage', 1::bigint)) t(n, stage, \"rows\")")
+@query("RUN-11",
+    "select * from (values (0, 'baselines', 3::bigint), (1, 'timing', 9::bigint), (2, 'sanity', 12::bigint), (3, 'leakage', 1::bigint)) t(n, stage, \"rows\")")
 def run_11(spark, sf_dir):
     return _summary(spark, sf_dir, "baselines,timing,sanity,leakage")
 
@@ -82,7 +88,8 @@ def run_04(spark, sf_dir):
     return out.agg(F.count("*").alias("entries"), F.max_by("why", "at").alias("last_reason"))
 
 
-@query("RUN-10", sql_of("""select instrument, w as "window", 'm' || w::bigint as candidate, last_value(case when s > 0 then 'm' || w::bigint end ignore nulls) over (partition by instrument order by w rows unbounded preceding) as deployed
+@query("RUN-10",
+    sql_of("""select instrument, w as "window", 'm' || w::bigint as candidate, last_value(case when s > 0 then 'm' || w::bigint end ignore nulls) over (partition by instrument order by w rows unbounded preceding) as deployed
  from (select instrument, w, avg(pnl) / nullif(stddev_pop(pnl), 0) as s from p group by 1, 2)""", "", PRE))
 def run_10(spark, sf_dir):
     """Which model is deployed after each report: one that is rejected (here: no positive Sharpe ratio in its window) leaves the one before."""
@@ -100,9 +107,9 @@ def ord_05(spark, sf_dir):
 
 @query("API-02")
 def api_02(spark, sf_dir):
-    """Diagnosis: the score of each fractional order beside its stationarity."""
-    d = QUERIES["FRC-08"](spark, sf_dir).where("d in (0.5)").select("instrument", "d", "p_adf", "p_kpss")
-    return d.join(QUERIES["AGG-13"](spark, sf_dir), ["instrument", "d"])
+    """Training: each instrument's retrain, beside the stationarity of the order that it chose."""
+    tests = QUERIES["FRC-08"](spark, sf_dir).select("instrument", "d", "p_adf", "p_kpss", "n_obs")
+    return QUERIES["MOD-11"](spark, sf_dir).join(tests, ["instrument", "d"], "left")
 
 
 @query("API-03", "select true as identical, 0::bigint as differing")

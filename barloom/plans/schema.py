@@ -29,7 +29,8 @@ class FeatureSchema:
         return hashlib.sha256(repr((self.version, sorted(self.families.items()))).encode()).hexdigest()[:16]
 
 
-def build_schema(return_lags=(1, 2, 4, 8, 16), vol_windows=(10, 50, 200), slope_lags=(1, 4), raw_levels: bool = False, volume: bool = True, fractional: bool = True) -> FeatureSchema:
+def build_schema(return_lags=(1, 2, 4, 8, 16), vol_windows=(10, 50, 200), slope_lags=(1, 4), raw_levels: bool = False, volume: bool = True,
+    fractional: bool = True) -> FeatureSchema:
     """The default model inputs: 9 of PRICE, 7 of VOLATILITY, 2 of VOLUME, 21 of FRACTIONAL."""
     orders = ("adaptive", "025", "050", "075")
     out = {"PRICE": [f"return_{k}" for k in return_lags] + ["range_z", "close_location", "time_sin", "time_cos"],
@@ -38,7 +39,8 @@ def build_schema(return_lags=(1, 2, 4, 8, 16), vol_windows=(10, 50, 200), slope_
         out["VOLUME"] = ["volume_z", "volume_change"]
     if fractional:
         out["FRACTIONAL"] = ([f"fd_{o}" for o in orders] if raw_levels else []) + [f"fd_{o}_z" for o in orders] + [f"fd_slope_{k}_{o}" for o in orders for k in slope_lags] + [
-            f"fd_curvature_{o}" for o in orders] + ["fd_cross_sm", "fd_cross_mf", "fd_cross_sf", "fractional_volatility", "fractional_state"]
+            f"fd_curvature_{o}" for o in orders] + ["fd_cross_sm", "fd_cross_mf", "fd_cross_sf", "fractional_volatility",
+                "fractional_state"]
     return FeatureSchema(out)
 
 

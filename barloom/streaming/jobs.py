@@ -9,7 +9,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
-from barloom.sources.bars import KEY, TIME
+from barloom.sources.bars import KEY, TIME, fresh_path
 
 TICK = "instrument string, timestamp timestamp, price double, size double, sequence_id long"
 
@@ -64,11 +64,12 @@ def stream_event_bars(ticks: DataFrame, target: float, delay: str = "1 day") ->
 
 
 def collect_stream(df: DataFrame, name: str, checkpoint: str | None = None) -> DataFrame:
-    """Runs a stream over what is there and gives the result as a table in memory."""
-    writer = df.writeStream.format("memory").queryName(name).outputMode("append").trigger(availableNow=True)
-    q = (writer.option("checkpointLocation", checkpoint) if checkpoint else writer).start()
-    q.awaitTermination()
-    return df.sparkSession.table(name)
+    """Runs a stream over what is there, into a table in the shared folder that is read back."""
+    spark = df.sparkSession
+    path = fresh_path(spark, name)
+    writer = df.writeStream.format("parquet").queryName(name).outputMode("append").trigger(availableNow=True).option("path", path)
+    writer.option("checkpointLocation", checkpoint or fresh_path(spark, "stream")).start().awaitTermination()
+    return spark.read.schema(df.schema).parquet(path)
 
 
 def closed_batch(bars: DataFrame, length_seconds: int, delay_seconds: int = 20) -> DataFrame:

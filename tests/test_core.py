@@ -320,3 +320,51 @@ def test_gate_ladder():
     assert rung == "VALIDATED CANDIDATE" and sum(p is None for *_, p in rows) == 3
     assert gates.evaluate(good | {"collapsed": 1}, gates=gates.FULL_GATES)[1] == "CANDIDATE"
     assert gates.evaluate(good, synthetic=True, gates=gates.FULL_GATES)[1].startswith("EXPERIMENTAL")
+
+
+def engine_rows(n=420, seed=7):
+    rng = np.random.default_rng(seed)
+    close = 100 * np.exp(np.cumsum(rng.normal(0, 0.004, n)))
+    open_ = np.r_[100.0, close[:-1]]
+    at = [dt.datetime(2024, 1, 1) + dt.timedelta(hours=k) for k in range(n)]
+    rows = [("A", at[k], open_[k], max(open_[k], close[k]) * 1.001, min(open_[k], close[k]) * 0.999, close[k], rng.normal(0, 0.01), 0.004, 0.004, 4e-4, 0.1, 2e-4, 0.002, float(k // 24)) for k in range(n)]
+    bad = list(rows[300])
+    bad[3] = bad[4] / 2  # high below low
+    rows[300] = tuple(bad)
+    return [(*r[:2], *map(float, r[2:])) for r in rows]
+
+
+def test_engine(spark, tmp_path):
+    """Accounting, warm-up, causality, a bar out of shape, and the stream's rows equal to the batch's."""
+    from barloom.operators import engine
+
+    schema = "instrument string, timestamp timestamp, " + ", ".join(f"{c} double" for c in engine.INPUTS)
+    bars_ = spark.createDataFrame(engine_rows(), schema)
+    got = engine.run_engine(bars_).toPandas().sort_values("timestamp").reset_index(drop=True)
+    assert (got.status[:200] == "INITIALIZING").all() and got.status[300] == "REJECTED" and (got.ordered[:199] == 0).all() and (got.filled != 0).sum() > 20
+    ok = got[got.status != "REJECTED"].reset_index(drop=True)
+    paid = (ok.filled * ok.fill_price.fillna(0)).cumsum() + (ok.filled.abs() * ok.fill_price.fillna(0) * engine.COMMISSION).cumsum()
+    assert np.allclose(ok.cash, engine.CAPITAL - paid) and np.allclose(ok.units, ok.filled.cumsum()) and np.allclose(ok.filled[1:], ok.ordered[:-1])
+    part = engine.run_engine(bars_.where(F.col("timestamp") < dt.datetime(2024, 1, 14))).toPandas().sort_values("timestamp").reset_index(drop=True)
+    assert part.equals(got[: len(part)])
+    days = bars_.withColumn("d", F.dayofmonth("timestamp"))
+    for lo, hi in ((1, 6), (7, 12), (13, 31)):
+        days.where(F.col("d").between(lo, hi)).drop("d").coalesce(1).write.mode("append").parquet(str(tmp_path / "in"))
+    stream = spark.readStream.schema(schema).option("maxFilesPerTrigger", 1).parquet(str(tmp_path / "in"))
+    streamed = jobs.collect_stream(engine.stream_engine(stream), "engine_test", str(tmp_path / "c")).toPandas().sort_values("timestamp").reset_index(drop=True)
+    assert len(streamed) == len(got) and (streamed.status == got.status).all() and np.allclose(streamed.equity, got.equity, equal_nan=True)
+
+
+def test_engine_halts():
+    """A fall of more than a tenth halts until the window ends; while halted only what flattens is ordered."""
+    from barloom.operators import engine
+
+    s, rows, price = engine.State(), [], 100.0
+    for k in range(499):
+        before, price = price, price * (0.99 if 200 < k < 230 else 1.0)
+        bar = {"open": before, "high": max(before, price), "low": min(before, price), "close": price, "er": 0.05, "sigma": 0.05, "sigma_ref": 0.05, "cost": 4e-4, "stress_p": 0.0, "relative_spread": 0.0, "range_rel": 0.0, "day": k / 1.0}
+        rows.append(engine.on_bar(s, float(k), bar))
+    status = [r[0] for r in rows]
+    first = status.index("HALTED")
+    assert 200 < first < 230 and rows[first][2] == 0 and rows[first][4] <= 0 and rows[first + 1][7] == pytest.approx(0)
+    assert set(status[first:249]) == {"HALTED"} and status[251] == "RUNNING" and rows[260][7] > 0
