@@ -2,8 +2,8 @@
 
 Each task reads its documents in order, tokenises them and packs their pieces online: a fixed number of bins is open, kept in a
 bitset keyed by free space; a piece goes to the fullest open bin that it fits in; if it fits in none and all bins are open, the
-fullest closes first. Bins that are open when a task ends are then packed among themselves, by the same rule and from the
-largest, in groups of tasks, so that few of them stay half empty. No text is shuffled, and a lost task repeats the same bins.
+fullest closes first. Bins that are open when a task ends are then packed among themselves, by the same rule with a fixed number
+of open bins and from the largest, in groups of tasks, so that few of them stay half empty. No text is shuffled, and a lost task repeats the same bins.
 
 Defined cases: null text counts as empty, whose document is the end id alone. A document longer than a sequence is cut into
 whole sequences and a rest; no other is cut. Repeated rows are packed once each. Order of equal pieces is the order of reading.
@@ -26,7 +26,7 @@ from barloom.llm.common import cut, table
 
 CAPACITY = 2048
 OPEN_BINS = 256
-#: tasks whose open bins are packed together
+#: tasks whose open bins are packed together; they are all that can be open then, TASKS * OPEN_BINS
 TASKS = 16
 WORDS = 400_000
 
@@ -166,10 +166,10 @@ def pack_partition(batches: Iterator[pa.RecordBatch], encode: Callable, task: in
     yield batch([(None, None, None, None, None, which, None, fill) for which, fill in fit.open()])
 
 
-def merge_open(pdf, capacity: int):
+def merge_open(pdf, capacity: int, most: int = TASKS * OPEN_BINS):
     """Where the open bins of some tasks go: from the largest, each to the fullest new bin that it fits in."""
     pdf = pdf.sort_values(["open_fill", "bin"], ascending=[False, True], kind="stable")
-    fit = BestFit(capacity, len(pdf) + 1)
+    fit = BestFit(capacity, most)
     put = [fit.put(int(n)) for n in pdf["open_fill"]]
     leader: dict[int, int] = {}
     for (which, _), old in zip(put, pdf["bin"], strict=True):
@@ -187,7 +187,7 @@ def pack(docs: DataFrame, path: str, capacity: int = CAPACITY, open_bins: int =
 
     rows = cut(docs.select(F.col(id_col).cast("long").alias("doc"), F.col(text_col).alias("text")).mapInArrow(run, PIECES))
     left = rows.where(F.col("piece").isNull()).select("bin", "open_fill", F.shiftright("bin", 32 + TASKS.bit_length() - 1).alias("tasks"))
-    moved = left.groupBy("tasks").applyInPandas(lambda pdf: merge_open(pdf, capacity), "bin long, into long, shift long")
+    moved = left.groupBy("tasks").applyInPandas(lambda pdf: merge_open(pdf, capacity, TASKS * open_bins), "bin long, into long, shift long")
     out = rows.where(F.col("piece").isNotNull()).join(moved, "bin", "left")
     return out.select(F.col("doc").alias(id_col), "piece", "start", "length", "ids_crc32", F.coalesce("into", "bin").alias("sequence_id"),
                       (F.col("at") + F.coalesce("shift", F.lit(0))).alias("offset"))
