@@ -8,7 +8,8 @@ training toxic texts teach through windows drawn at random at first, then throug
 through windows drawn at random and their most toxic window. Prediction needs one number for each n-gram: no matrix there.
 
 Bounds: at most SAMPLE_TOXIC and SAMPLE_CLEAN labelled rows of at most LONGEST characters train the classifier (so at most 80 MB of
-text reach the driver); every row is scored, whatever its length. A toxic text missed counts MISS times a false alarm.
+text reach the driver); every row is scored, whatever its length. A toxic text missed counts MISS times a false alarm, less
+where few toxic texts calibrate (half of the way at MISS_HALF).
 Defined cases: null or empty text is scored like a window without n-grams (the bias alone). Rows with null labels don't train;
 without rows of both labels every score is the share of label 1, or 0. Repeated rows get equal results.
 """
@@ -25,7 +26,7 @@ from barloom.llm.ngrams import SPACE, flatten, gram_hashes
 
 BITS, ORDERS, DIM, WINDOW = 17, (3, 4, 5), 16, 8
 SAMPLE_TOXIC, SAMPLE_CLEAN, LONGEST = 1500, 2500, 20_000
-MISS = 4
+MISS, MISS_HALF = 4, 20
 FIRST, DRAWN = 5, 8  # epochs before the most toxic windows are known, and windows drawn at random for each text
 MIN_TEXTS = 5
 EPOCHS, BATCH, RATE, START, SCALE = 14, 128, 0.5, 1e-2, 10.0
@@ -180,7 +181,8 @@ def train_calibrated(texts: list[str], labels: list[int], share_of_toxic: float)
     model = train([texts[k] for k in rest], [labels[k] for k in rest])
     y = np.array([labels[k] for k in back])
     if len(set(y.tolist())) == 2 and len({labels[k] for k in rest}) == 2:
-        weight = np.where(y == 1, MISS * share_of_toxic / y.mean(), (1 - share_of_toxic) / (1 - y.mean()))
+        miss = 1 + (MISS - 1) * y.sum() / (y.sum() + MISS_HALF)
+        weight = np.where(y == 1, miss * share_of_toxic / y.mean(), (1 - share_of_toxic) / (1 - y.mean()))
         model.scale, model.shift = calibrate(model.logits([texts[k] for k in back]), y, weight)
     return model
 
