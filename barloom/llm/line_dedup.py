@@ -61,12 +61,11 @@ def dedup_lines(docs: DataFrame, min_chars: int = 20, min_docs: int = 3, id_col:
                 n_lines: str = "n_lines", n_dropped: str = "n_dropped", keep: str = "largest", whole_copies: bool = False) -> DataFrame:
     """docs with text_col less its repeated lines, and two long columns added: lines before, lines dropped.
 
-    Frequent keys are cut to the shared folder: read from there, both sides of the join are plain exchanges, and adaptive
+    Postings and frequent keys are cut to the shared folder: read from there, both sides of the join are plain exchanges, and adaptive
     execution can split a key that a third of all lines carry.
     """
     posts = postings(docs, id_col, text_col, min_chars)
-    if not whole_copies:
-        posts = posts.drop("_size")
+    posts = cut(posts if whole_copies else posts.drop("_size", "_len"))  # texts are split and hashed once
     frequent = cut(frequent_lines(posts, min_docs, keep))
     carried = posts.join(frequent, ["_k1", "_k2"])
     if whole_copies:  # the others agree anew on who keeps a line, since a copy may go
