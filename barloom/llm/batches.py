@@ -5,7 +5,6 @@ from __future__ import annotations
 from collections.abc import Callable, Iterator
 
 import numpy as np
-import pandas as pd
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -92,13 +91,10 @@ def lets_through(words: np.ndarray, *bits: np.ndarray) -> np.ndarray:
     return ok
 
 
-def may_be_among(ids: DataFrame, id_col: Column) -> Column:
-    """Whether id_col may be one of the ids (column id): surely true for those, and for a few others. Only ids pass through Python;
-    rows that it is false for need no join, so their other columns needn't be shuffled."""
-    held = ids.sparkSession.sparkContext.broadcast(id_filter(ids))
-
-    @F.pandas_udf("boolean")
-    def run(a: pd.Series, b: pd.Series) -> pd.Series:
-        return pd.Series(lets_through(held.value, a.to_numpy().astype(np.uint64), b.to_numpy().astype(np.uint64)))
-
-    return run(*filter_bits(id_col))
+def mark_among(rows: DataFrame, ids: DataFrame, id_col: Column) -> DataFrame:
+    """rows with _may: whether id_col may be one of the ids (column id): surely true for those, and for a few others. Rows that it is
+    false for need no join, so their other columns needn't be shuffled. What is broadcast are at most 2^(FILTER_BITS - 6) words."""
+    bit = lambda c: filter_bits(c)[0]
+    words = ids.select(bit(F.col("id")).alias("b")).groupBy(F.shiftright("b", 6).alias("_at")).agg(F.bit_or(F.expr("shiftleft(1L, cast(b & 63 as int))")).alias("_w"))
+    marked = rows.withColumn("_b", bit(id_col)).join(F.broadcast(words), F.shiftright("_b", 6) == F.col("_at"), "left")
+    return marked.withColumn("_may", F.coalesce(F.expr("(_w & shiftleft(1L, cast(_b & 63 as int))) != 0"), F.lit(False))).drop("_b", "_at", "_w")

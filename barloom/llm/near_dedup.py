@@ -38,6 +38,8 @@ WORDS, PERCENT = 5, 75
 COORDINATES, MATCHES = 128, 70
 POSTED = COORDINATES - MATCHES + 1
 CHUNK = 256
+#: classes of a block where parts of a large cell are compared with each other
+ACROSS = 1024
 #: counters of the frequency sketch that is sent to every executor
 SKETCH_BITS = 20
 _KNOWN = 150_000
@@ -185,7 +187,7 @@ def _collisions(a: np.ndarray, b: np.ndarray) -> np.ndarray:
     return total
 
 
-def _intersections(a: list[np.ndarray], b: list[np.ndarray], columns: int = 1 << 14) -> np.ndarray:
+def _intersections(a: list[np.ndarray], b: list[np.ndarray], columns: int = 1 << 12) -> np.ndarray:
     """Sizes of the intersections of each set of a with each of b, by products of 0-1 matrices of some columns at a time."""
     known, at = np.unique(np.concatenate([*a, *b]), return_inverse=True)
     row = np.repeat(np.arange(len(a) + len(b)), [len(s) for s in (*a, *b)])
@@ -340,15 +342,16 @@ def find_links(docs: DataFrame, classes: DataFrame, id_col: str, text_col: str,
 def _across(hopeful: DataFrame, sets: DataFrame, labels: DataFrame) -> DataFrame:
     """Components once the parts of each large cell are compared with each other.
 
-    Rows of every pair that is left include a class outside the leader's component (minor). Minor classes go in blocks of CHUNK
-    to each part of their cell; the classes of a part go to each block.
+    Rows of every pair that is left include a class outside the leader's component (minor). Minor classes go in blocks of ACROSS
+    to each part of their cell, as large; the classes of a part go to each block.
     """
-    members = hopeful.where("chunks > 1").select("leader", "chunks", "id").distinct()
+    members = hopeful.where("chunks > 1").select("leader", "id").distinct()
     members = members.join(labels.withColumnRenamed("node", "id"), "id", "left").withColumn("label", F.coalesce("label", "id"))
     members = cut(members)
     own = members.where(F.col("id") == F.col("leader")).select("leader", F.col("label").alias("_own"))
     members = cut(members.join(cut(own), "leader").withColumn("minor", F.col("label") != F.col("_own")).drop("_own"))
-    blocks = cut(members.where("minor").groupBy("leader").agg(F.ceil(F.count("*") / CHUNK).cast("int").alias("blocks")))
+    size = lambda n: F.ceil(n / ACROSS).cast("int")
+    blocks = cut(members.groupBy("leader").agg(size(F.count_if("minor")).alias("blocks"), size(F.count("*")).alias("chunks")).where("blocks > 0"))
     rows = members.join(blocks, "leader")
     minors = rows.where("minor").select("leader", "id", "label", F.lit(True).alias("minor"), _block(F.col("blocks")).alias("block"), F.explode(F.sequence(F.lit(0), F.col("chunks") - 1)).alias("chunk"))
     others = rows.select("leader", "id", "label", F.lit(False).alias("minor"), F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("block"), _block(F.col("chunks")).alias("chunk"))

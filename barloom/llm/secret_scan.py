@@ -17,7 +17,7 @@ import numpy as np
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from barloom.llm.batches import map_texts, may_be_among, slices
+from barloom.llm.batches import map_texts, mark_among, slices
 from barloom.llm.common import cut, table, whole
 
 # Kinds in their order, the first three the base kinds.
@@ -114,8 +114,7 @@ def redact(docs: DataFrame, mark: str = "<secret>", id_col: str = "doc_id", owne
     live = cut(judged.select("_id", "_t", F.filter("spans", lambda s: s.live).alias("_s")).where(F.size("_s") > 0))
     # texts without a live span aren't shuffled
     rows = docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("_d"))
-    may = may_be_among(live.select(F.col("_id").alias("id")), F.col(f"_d.`{id_col}`"))
-    rows = rows.withColumn("_may", may)
+    rows = mark_among(rows, live.select(F.col("_id").alias("id")), F.col(f"_d.`{id_col}`"))
     same = rows.where("not _may").select("_d.*")
     rows = rows.where("_may").join(live, F.col(f"_d.`{id_col}`").eqNullSafe(F.col("_id")) & (F.xxhash64(F.col(f"_d.`{text_col}`")) == F.col("_t")), "left")
     old = F.col(f"_d.`{text_col}`")

@@ -15,7 +15,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from barloom.llm.batches import may_be_among
+from barloom.llm.batches import mark_among
 from barloom.llm.common import WRITTEN, cut, drop
 from barloom.llm.language_id import UNKNOWN, fit, held_out, predict
 from barloom.llm.line_dedup import dedup_lines
@@ -57,7 +57,7 @@ def lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 def near(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Keeps the document with the smallest id of each component of near-duplicates; texts without a word have none."""
     gone = cut(near_duplicates(docs.select("doc_id", "text")).where("not kept").select(F.col("doc_id").alias("id")).distinct())
-    rows = whole_rows(docs).select("_d", "doc_id").withColumn("_may", may_be_among(gone, F.col("doc_id")))
+    rows = mark_among(whole_rows(docs).select("_d", "doc_id"), gone, F.col("doc_id"))
     # texts of documents that surely stay aren't shuffled
     return rows.where("not _may").unionByName(rows.where("_may").join(gone, F.col("doc_id") == F.col("id"), "left_anti")).select("_d.*")
 

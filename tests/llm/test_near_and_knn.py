@@ -97,6 +97,7 @@ def test_many_similar_classes_without_links(spark, monkeypatch):
     """Hundreds of texts of similarity 0.6 to 0.75 among each other, in several parts, verified in blocks; few are linked."""
     monkeypatch.setattr(near_dedup, "CHUNK", 64)
     monkeypatch.setattr(near_dedup, "IN_VAIN", 20)
+    monkeypatch.setattr(near_dedup, "ACROSS", 100)
     rng = random.Random(3)
     base = [f"w{k}" for k in range(400)]
     rows = []

@@ -1,6 +1,7 @@
 """The pipeline on the small table: stages keep their columns, decisions take effect, run() equals the stages one by one."""
 
 import corpus_pipeline
+from barloom.llm import common
 from barloom.llm.near_dedup import near_duplicates
 
 
@@ -20,7 +21,9 @@ def test_stages(spark, sf, tmp_path):
             assert docs.count() == near_duplicates(before).where("kept").count() < before.count()
         if name == "language":
             assert docs.count() >= 0.95 * n
+    before = len(common.WRITTEN)
     whole = corpus_pipeline.run(spark, sf)
+    assert len(common.WRITTEN) - before == 2  # what packing reads, and its pieces; tables of the stages before are gone
     key = ["doc_id", "piece", "start", "length", "ids_crc32"]
     assert whole.select(key).exceptAll(docs.select(key)).count() == 0 and whole.count() == docs.count()
 
