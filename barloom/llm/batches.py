@@ -6,7 +6,7 @@ from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -18,6 +18,17 @@ FILTER_BITS = 25
 ROWS = 500
 
 
+#: rows of an Arrow batch between the JVM and Python, where the session allows more: batches of texts are held on both sides
+BATCH = 1000
+
+
+def small_batches(spark: SparkSession) -> None:
+    """Lowers the session's rows of an Arrow batch to BATCH."""
+    key = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    if not 0 < int(spark.conf.get(key)) <= BATCH:
+        spark.conf.set(key, str(BATCH))
+
+
 _TABLES: list[dict] = []
 
 
@@ -30,6 +41,15 @@ def claim(words: dict | None = None) -> None:
     _TABLES[:] = [] if words is None else [words]
 
 
+def alone(work: Callable) -> Callable:
+    """make() for map_texts of an operator without a table of known words: those of others are cleared."""
+    def make():
+        claim()
+        return work
+
+    return make
+
+
 def slices(texts: list[str], most: int = SLICE) -> Iterator[tuple[int, int]]:
     """[start, end) of runs of texts of at most `most` characters, or of one text."""
     start, size = 0, 0
@@ -46,6 +66,7 @@ def map_texts(df: DataFrame, keep: list[str], text_col: str, fields: list[tuple[
               make: Callable[[], Callable[[list[str | None]], list]]) -> DataFrame:
     """Columns `keep` of df, and `fields` (name, type) computed from text_col. make() runs once for each task and returns what
     turns a list of texts into the list of the fields' columns. One Arrow pass, no shuffle."""
+    small_batches(df.sparkSession)
     kept = [f for f in df.select(*[F.col(f"`{c}`") for c in keep]).schema.fields]
     new = T.StructType.fromDDL(", ".join(f"`{n}` {t}" for n, t in fields))
     names = [f"_k{i}" for i in range(len(keep))]

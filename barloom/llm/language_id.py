@@ -17,7 +17,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from barloom.llm.batches import claim, map_texts, slices
+from barloom.llm.batches import alone, claim, map_texts, slices
 from barloom.llm.common import table
 from barloom.llm.ngrams import SPACE, flatten, gram_hashes
 
@@ -66,6 +66,7 @@ def counts_of(texts: list[str | None]) -> list:
 def document_frequencies(learn: DataFrame, text_col: str) -> np.ndarray:
     """How many learnable texts hold each bucket: counted in each task, then summed by bucket."""
     def run(batches):
+        claim()
         df = np.zeros(WIDTH, np.int64)
         for b in batches:
             texts = [t or "" for t in b.column(0).to_pylist()]
@@ -172,7 +173,7 @@ def fit(learn: DataFrame, sample: int = SAMPLE, id_col: str = "doc_id", text_col
     learn = learn.where(F.col(lang_col).isNotNull())
     n = learn.count()
     keep = F.pmod(F.xxhash64(F.col(id_col)), F.lit(1 << 30)) < int(min(1.0, 0.9 * sample / max(n, 1)) * (1 << 30))
-    picked = map_texts(learn.where(keep).limit(sample), [id_col, lang_col], text_col, [("ids", "array<int>"), ("counts", "array<int>")], lambda: counts_of).toArrow().to_pandas()
+    picked = map_texts(learn.where(keep).limit(sample), [id_col, lang_col], text_col, [("ids", "array<int>"), ("counts", "array<int>")], alone(counts_of)).toArrow().to_pandas()
     picked = picked.sort_values(id_col, kind="stable")
     df = document_frequencies(learn, text_col)
     rows = [(lang, np.asarray(i), np.asarray(c)) for lang, i, c in zip(picked[lang_col], picked["ids"], picked["counts"], strict=True)]
@@ -181,11 +182,7 @@ def fit(learn: DataFrame, sample: int = SAMPLE, id_col: str = "doc_id", text_col
 
 def predict(docs: DataFrame, model: Model, keep: list[str], text_col: str = "text") -> DataFrame:
     """Columns keep, lang_pred and score of each row."""
-    def make():
-        claim()
-        return model.predict
-
-    return map_texts(docs, keep, text_col, [("lang_pred", "string"), ("score", "double")], make)
+    return map_texts(docs, keep, text_col, [("lang_pred", "string"), ("score", "double")], alone(model.predict))
 
 
 def held_out(id_col: str = "doc_id") -> Column:

@@ -21,7 +21,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from barloom.llm.batches import ROWS, claim, slices
+from barloom.llm.batches import ROWS, claim, slices, small_batches
 from barloom.llm.common import cut, table
 
 CAPACITY = 2048
@@ -185,6 +185,7 @@ def pack(docs: DataFrame, path: str, capacity: int = CAPACITY, open_bins: int =
         claim(tokenizer.known)
         yield from pack_partition(batches, tokenizer.encode, TaskContext.get().partitionId(), capacity, open_bins, end_id)
 
+    small_batches(docs.sparkSession)
     rows = cut(docs.select(F.col(id_col).cast("long").alias("doc"), F.col(text_col).alias("text")).mapInArrow(run, PIECES))
     left = rows.where(F.col("piece").isNull()).select("bin", "open_fill", F.shiftright("bin", 32 + TASKS.bit_length() - 1).alias("tasks"))
     moved = left.groupBy("tasks").applyInPandas(lambda pdf: merge_open(pdf, capacity, TASKS * open_bins), "bin long, into long, shift long")

@@ -17,7 +17,7 @@ import numpy as np
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from barloom.llm.batches import map_texts, mark_among, slices
+from barloom.llm.batches import alone, map_texts, mark_among, slices
 from barloom.llm.common import cut, table, whole
 
 # Kinds in their order, the first three the base kinds.
@@ -80,7 +80,7 @@ def _scan(texts: list[str | None]):
 def candidates(docs: DataFrame, id_col: str = "doc_id", owner_col: str = "source", text_col: str = "text") -> DataFrame:
     """_id, _owner, _t (hash of the text) and all candidate spans of each row."""
     rows = docs.select(F.col(id_col).alias("_id"), whole(F.col(owner_col).cast("string")).alias("_owner"), F.xxhash64(text_col).alias("_t"), F.col(text_col).alias("_text"))
-    return map_texts(rows, ["_id", "_owner", "_t"], "_text", [("spans", "array<struct<kind:int,start:int,end:int,value:binary>>")], lambda: _scan)
+    return map_texts(rows, ["_id", "_owner", "_t"], "_text", [("spans", "array<struct<kind:int,start:int,end:int,value:binary>>")], alone(_scan))
 
 
 def ownership(found: DataFrame) -> DataFrame:

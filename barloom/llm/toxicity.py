@@ -20,7 +20,7 @@ import numpy as np
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from barloom.llm.batches import map_texts, slices
+from barloom.llm.batches import alone, map_texts, slices
 from barloom.llm.common import table
 from barloom.llm.ngrams import SPACE, flatten, gram_hashes
 
@@ -204,7 +204,7 @@ def fit(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: st
 
 def score(docs: DataFrame, model: Model, keep: list[str], text_col: str = "text") -> DataFrame:
     """Columns keep and score (0 to 1) of each row."""
-    return map_texts(docs, keep, text_col, [("score", "double")], lambda: model.scores)
+    return map_texts(docs, keep, text_col, [("score", "double")], alone(model.scores))
 
 
 def held_out(id_col: str = "doc_id") -> Column:

@@ -33,3 +33,16 @@ def test_language_stage_without_labels(spark):
     kept = corpus_pipeline.language(spark, docs, "").select("doc_id").collect()
     assert {r.doc_id for r in kept} == {0, 1}
     assert corpus_pipeline.language(spark, docs.where(F.lit(False)), "").count() == 0
+
+
+def test_small_arrow_batches(spark):
+    """Batches of texts between the JVM and Python are small, unless the session asks for smaller ones still."""
+    from barloom.llm import batches
+
+    key = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    old = spark.conf.get(key)
+    for before, after in (("10000", "1000"), ("0", "1000"), ("200", "200")):
+        spark.conf.set(key, before)
+        batches.small_batches(spark)
+        assert spark.conf.get(key) == after
+    spark.conf.set(key, old)
