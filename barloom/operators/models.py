@@ -5,28 +5,14 @@ from __future__ import annotations
 import hashlib
 
 import numpy as np
-from pyspark.ml import Pipeline, PipelineModel
+from pyspark.ml import Pipeline
 from pyspark.ml.classification import LogisticRegression
 from pyspark.ml.feature import StandardScaler, VectorAssembler
 from pyspark.ml.functions import vector_to_array
-from pyspark.ml.regression import GBTRegressor
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 
-def boosted(features: list[str], label: str = "y_norm", rounds: int = 20, depth: int = 3, rate: float = 0.03, share: float = 0.8,
-    least: int = 40, seed: int = 7) -> Pipeline:
-    """Depth-3 boosted trees on the normalised label."""
-    return Pipeline(stages=[VectorAssembler(inputCols=features, outputCol="x"),
-        GBTRegressor(featuresCol="x", labelCol=label, predictionCol="m", maxIter=rounds, maxDepth=depth,
-                                                                                            stepSize=rate, subsamplingRate=share,
-                                                                                                minInstancesPerNode=least, seed=seed)])
-
-
-def importance(model: PipelineModel, features: list[str]) -> dict[str, float]:
-    return dict(zip(features, model.stages[-1].featureImportances.toArray().tolist(), strict=True))
-
-
 def direction(features: list[str], n_rows: int, c: float = 0.5) -> Pipeline:
     """P(y > 0): standardised inputs, L2 logistic; the penalty 1 / (c n) matches a loss that is summed."""
     return Pipeline(stages=[VectorAssembler(inputCols=features, outputCol="x0"),

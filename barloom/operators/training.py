@@ -227,41 +227,6 @@ def light_refits(s: Series, shift: int = 20) -> list[dict]:
 
 #: windows of a walk, and the share of the rows that trains the first
 WINDOWS, FIRST = 21, 0.4
-VARIANTS = ("full", "baseline", "production")
-
-
-def walk(s: Series) -> list[dict]:
-    """A record for each window: training on the rows before it, whether it is accepted, what it deploys, and its deals out of
-    sample. full and baseline carry the last fitted model on, production the last accepted one; before any, they stay flat."""
-    n = len(s.bars)
-    edges = np.linspace(int(n * FIRST), n, WINDOWS + 1).astype(int)
-    models: dict[str, Fitted | None] = dict.fromkeys(VARIANTS)
-    parts, records = {v: [] for v in VARIANTS}, []
-    for w, (start, end) in enumerate(zip(edges, edges[1:], strict=False)):
-        history, oos = np.arange(max(0, start - edges[0]), max(0, start - PURGE)), np.arange(start, end)
-        full, kept = evaluate(s, history, FULL)
-        base, kept_base = evaluate(s, history, BASELINE)
-        ok = accepted(full, base)
-        if full:
-            models["full"], models["baseline"] = Fitted(s, w, history, FULL, kept), Fitted(s, w, history, BASELINE, kept_base)
-            models["production"] = models["full"] if ok else models["production"]
-        for v, m in models.items():
-            parts[v].append(m.forecast(s, oos) if m and len(oos) else (np.zeros(len(oos)),) * 3)
-        deployed = models["production"]
-        records.append({"window": w, "train_start": int(s.bars[history[0]]) if len(history) else None,
-            "train_end": int(s.bars[history[-1]]) + 1 if len(history) else None, "oos_rows": len(oos),
-                        "d": models["full"].d if models["full"] else None, "accepted": ok,
-                            "model": models["full"].window if models["full"] else None, "deployed": deployed.window if deployed else None})
-    rows = np.arange(edges[0], n)
-    for v in VARIANTS:
-        e, adverse, uncertainty = (np.concatenate(x) for x in zip(*parts[v], strict=True))
-        pnl, closed = s.simulated(rows, e, adverse, uncertainty)
-        whole = measure(pnl, e, s.of("y", rows)) | {"deals": closed}
-        for r, a, b in zip(records, edges - edges[0], edges[1:] - edges[0], strict=False):
-            r |= {f"net_{v}": round(float(pnl[a:b].sum()), 6), f"sharpe_{v}": round(whole["sharpe"], 6),
-                f"return_{v}": round(whole["total_return"], 6), f"drawdown_{v}": round(whole["max_drawdown"], 6),
-                f"pf_{v}": round(whole["profit_factor"], 6), f"deals_{v}": closed}
-    return records
 
 
 class Light:
@@ -376,4 +341,3 @@ def task(kernel, schema: str):
 
 
 FOLDS = "instrument string, fold int, d double, train_bars long, calibration_rows long, exec_rows long, residual_std double, r2 double, adverse double, uncertainty double, net double, sharpe double, n long, total_return double, max_drawdown double, corr double, accuracy double, profit_factor double"
-WALK = "instrument string, window int, train_start long, train_end long, oos_rows long, d double, accepted boolean, model int, deployed int, " + ", ".join(f"net_{v} double, sharpe_{v} double, return_{v} double, drawdown_{v} double, pf_{v} double, deals_{v} long" for v in VARIANTS)

@@ -2,28 +2,29 @@
 
 from __future__ import annotations
 
-# Gate, group, threshold and direction.
-GATES = [
-    ("windows", "walk_forward", 10, ">="), ("net_return", "walk_forward", 0.0, ">"), ("sharpe", "walk_forward", 0.0, ">"),
-        ("max_drawdown", "walk_forward", 0.15, "<="),
-    ("delta_sharpe", "ablation", 0.0, ">"), ("dominance", "ablation", 0.5, "<="), ("cost_break_even", "stress", 1.5, ">="),
-        ("delay_sharpe", "stress", 0.0, ">"),
-    ("bootstrap_low", "bootstrap", 0.0, ">"), ("p_bonferroni", "bootstrap", 0.05, "<="), ("destroyed_sharpe", "sanity", 1.0, "<="),
-        ("leaks", "leakage", 0, "<="),
-    ("holdout_return", "holdout", 0.0, ">"), ("holdout_sharpe", "holdout", 0.0, ">"), ("identical", "reproducibility", 1, ">="),
-]
-# The gates of the full ladder. Yes-or-no gates are 1 or 0; those of a run on synthetic data are judged only there.
-FULL_GATES = [
-    ("windows", "walk_forward", 20, ">="), ("deals", "walk_forward", 200, ">="), ("sharpe", "walk_forward", 1.0, ">"),
-        ("max_drawdown", "walk_forward", 0.25, "<"), ("profit_factor", "walk_forward", 1.2, ">"),
-    ("positive_windows", "walk_forward", 0.55, ">"), ("production_return", "walk_forward", 0.0, ">"),
-        ("production_sharpe", "walk_forward", 0.0, ">"), ("deployed", "walk_forward", 0.5, ">="),
-    ("median_delta", "ablation", 0.0, ">"), ("positive_deltas", "ablation", 0.5, ">"), ("profitable_at_2x", "stress", 1, ">="),
-        ("viable_at_plus_1", "stress", 1, ">="), ("collapsed", "stress", 0, "<="),
-    ("bootstrap_low", "bootstrap", 0.0, ">"), ("sanity_failed", "sanity", 0, "<="), ("leaks", "leakage", 0, "<="),
-        ("holdout_opened", "holdout", 1, ">="), ("holdout_return", "holdout", 0.0, ">"),
-    ("holdout_sharpe", "holdout", 0.0, ">"), ("identical", "reproducibility", 1, ">="),
-]
+# The threshold of each gate and how a value must lie to it. Yes-or-no gates are 1 or 0.
+THRESHOLDS = {
+    "windows": (20, ">="), "deals": (200, ">="), "net_return": (0.0, ">"), "sharpe": (1.0, ">"), "max_drawdown": (0.25, "<"),
+    "profit_factor": (1.2, ">"), "positive_windows": (0.55, ">"), "production_return": (0.0, ">"), "production_sharpe": (0.0, ">"),
+    "deployed": (0.5, ">="), "delta_sharpe": (0.0, ">"), "dominance": (0.5, "<="), "median_delta": (0.0, ">"),
+    "positive_deltas": (0.5, ">"), "cost_break_even": (1.5, ">="), "delay_sharpe": (0.0, ">"), "profitable_at_2x": (1, ">="),
+    "viable_at_plus_1": (1, ">="), "collapsed": (0, "<="), "bootstrap_low": (0.0, ">"), "p_bonferroni": (0.05, "<="),
+    "destroyed_sharpe": (1.0, "<="), "sanity_failed": (0, "<="), "leaks": (0, "<="), "holdout_opened": (1, ">="),
+    "holdout_return": (0.0, ">"), "holdout_sharpe": (0.0, ">"), "identical": (1, ">="),
+}
+
+
+def _gates(groups: dict[str, str]) -> list[tuple]:
+    """(gate, group, threshold, direction) of the gates named for each group."""
+    return [(name, group, *THRESHOLDS[name]) for group, names in groups.items() for name in names.split()]
+
+
+#: what can be judged without a cost curve by realised fills, and the full ladder
+GATES = _gates({"walk_forward": "windows net_return sharpe max_drawdown", "ablation": "delta_sharpe dominance", "stress": "cost_break_even delay_sharpe",
+                "bootstrap": "bootstrap_low p_bonferroni", "sanity": "destroyed_sharpe", "leakage": "leaks", "holdout": "holdout_return holdout_sharpe", "reproducibility": "identical"})
+FULL_GATES = _gates({"walk_forward": "windows deals sharpe max_drawdown profit_factor positive_windows production_return production_sharpe deployed",
+                     "ablation": "median_delta positive_deltas", "stress": "profitable_at_2x viable_at_plus_1 collapsed", "bootstrap": "bootstrap_low", "sanity": "sanity_failed",
+                     "leakage": "leaks", "holdout": "holdout_opened holdout_return holdout_sharpe", "reproducibility": "identical"})
 LADDER = [("CANDIDATE", {"walk_forward"}), ("VALIDATED CANDIDATE", {"ablation", "stress", "bootstrap", "sanity", "leakage"}),
     ("HOLDOUT PASSED", {"holdout"}), ("PAPER ELIGIBLE", {"reproducibility"})]
 _TEST = {">=": lambda v, t: v >= t, ">": lambda v, t: v > t, "<=": lambda v, t: v <= t, "<": lambda v, t: v < t}

@@ -190,10 +190,10 @@ def sta_01(spark, sf_dir):
 
 @query("STA-02")
 def sta_02(spark, sf_dir):
-    """What the fractional inputs add in each window of the walk, resampled over windows; and the exact sign test."""
+    """What the fractional inputs add to the Sharpe ratio of each window of the walk, resampled over windows; and the exact sign test."""
     from barloom.plans.base import QUERIES
 
-    deltas = QUERIES["RUN-01-windows"](spark, sf_dir).select("instrument", "window", (c("net_full") - c("net_baseline")).alias("delta"))
+    deltas = QUERIES["RUN-01-windows"](spark, sf_dir).select("instrument", "window", (c("window_sharpe_full") - c("window_sharpe_baseline")).alias("delta"))
 
     def one(delta, k):
         return *ST.ablation_draw(delta, k), ST.sign_test(delta)

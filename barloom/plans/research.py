@@ -17,6 +17,7 @@ from barloom.operators import folds as FO
 from barloom.operators import labels as L
 from barloom.operators import metrics as M
 from barloom.operators import models as MO
+from barloom.operators import retraining as R
 from barloom.operators import stats as ST
 from barloom.operators import training as T
 from barloom.plans import config as C
@@ -36,28 +37,36 @@ INPUTS = ["return_1", "return_4", "vol_50", "volatility_state"]
 
 
 def model_rows(spark, sf_dir):
+    """Rows with inputs and labels, their place in their instrument's series, and whether they lie in its first 60 %, which train."""
     df = L.labels(X.regime_columns(X.volatility_features(X.return_features(forecasts(spark, sf_dir)))))
-    df = df.withColumns({"row": (F.row_number().over(B.by_time()) - 1).cast("long"), "up": (c("y") > 0).cast("double")})
-    return L.valid_rows(df, [*INPUTS, "y_norm"])
+    df = L.valid_rows(df.withColumn("up", (c("y") > 0).cast("double")), [*INPUTS, "y_norm"])
+    place = F.row_number().over(B.by_time())
+    return df.withColumn("trains", place <= SPLIT * F.count("*").over(Window.partitionBy("instrument")))
+
+
+#: the share of an instrument's rows that trains, and the fit of a single model
+SPLIT, ROUNDS, LEAST = 0.6, 300, 50
+
+
+def boosted_rows(spark, sf_dir):
+    """Forecasts of each instrument's last rows by a model of its first ones: a task for each instrument."""
+    rows = R.positioned(training_rows(spark, sf_dir))
+    made = R.forecasts(rows, R.split_part(rows, SPLIT), [(ROUNDS, LEAST)]).where("inputs = 'full'")
+    return made.join(rows.select("instrument", "bar", "timestamp", "y_norm", "sigma"), ["instrument", "bar"])
 
 
 @query("MOD-01")
 def mod_01(spark, sf_dir):
-    rows = model_rows(spark, sf_dir)
-    train = rows.where("row < 1500").select("y_norm", *INPUTS)
-    model = MO.boosted(INPUTS, rounds=5).fit(train)
-    return model.transform(rows.where("row >= 1500")).groupBy("instrument").agg(F.count("*").alias("n"), F.avg("m").alias("mean_forecast"),
-        M.safe_corr("m", "y_norm").alias("ic"))
+    return boosted_rows(spark, sf_dir).groupBy("instrument").agg(F.count("*").alias("n"), F.avg("m").alias("mean_forecast"), M.safe_corr("m", "y_norm").alias("ic"))
 
 
 @query("MOD-02")
 def mod_02(spark, sf_dir):
     rows = model_rows(spark, sf_dir)
-    train = rows.where("row < 1500")
+    train = rows.where("trains")
     model = MO.direction(INPUTS, train.count()).fit(train)
-    return model.transform(rows.where("row >= 1500")).withColumn("p",
-        MO.probability()).groupBy("instrument").agg(F.avg("p").alias("mean_p"),
-        F.avg(((c("p") > 0.5) == (c("up") == 1)).cast("double")).alias("accuracy"))
+    return model.transform(rows.where("not trains")).withColumn("p", MO.probability()).groupBy("instrument").agg(
+        F.avg("p").alias("mean_p"), F.avg(((c("p") > 0.5) == (c("up") == 1)).cast("double")).alias("accuracy"))
 
 
 def calibrated(spark, sf_dir, kernel, schema: str):
@@ -84,9 +93,10 @@ def mod_04(spark, sf_dir):
 
 @query("MOD-05")
 def mod_05(spark, sf_dir):
-    """The first 1,500 rows of each instrument calibrate, the rest is predicted."""
+    """The first 60 % of each instrument's rows calibrate, the rest is predicted."""
     def kernel(a, y):
-        return list(zip(a[1500:], MO.Calibrator().fit(a[:1500], y[:1500]).predict(a[1500:]), strict=True))
+        k = int(len(a) * SPLIT)
+        return list(zip(a[k:], MO.Calibrator().fit(a[:k], y[:k]).predict(a[k:]), strict=True))
 
     return calibrated(spark, sf_dir, kernel, "a double, expected double")
 
@@ -99,16 +109,10 @@ def mod_18(spark, sf_dir):
 @query("MOD-06")
 def mod_06(spark, sf_dir):
     """M, P, their combination and the expected return of each row."""
-    rows = model_rows(spark, sf_dir)
-    train = rows.where("row < 1500")
-    m, p = MO.boosted(INPUTS, rounds=3).fit(train.select("y_norm", *INPUTS)), MO.direction(INPUTS, train.count()).fit(train)
-    scored = p.transform(m.transform(rows.where("row >= 1500")).drop("x")).withColumn("p", MO.probability())
     from barloom.functions.scalars import combine
 
-    return scored.withColumn("a", combine(c("m"), c("p"))).select("instrument", "timestamp", "m", "p", "a",
-        (c("a") * c("sigma_h") * 2).alias("er"))
-
-
+    scored = boosted_rows(spark, sf_dir).withColumn("a", combine(c("m"), c("p")))
+    return scored.select("instrument", "timestamp", "m", "p", "a", (c("a") * c("sigma") * 2).alias("er"))
 
 
 @query("MOD-07")
@@ -131,16 +135,17 @@ def training_rows(spark, sf_dir, bars=None):
     return df.withColumns(own).select("instrument", "timestamp", *T.COLUMNS)
 
 
-def fold_scores(spark, sf_dir):
-    """A task for each instrument: in each fold of its own rows fit, calibrate on what came before, try the validation rows, measure."""
-    return training_rows(spark, sf_dir).groupBy("instrument").applyInPandas(T.task(lambda s: T.evaluate(s, np.arange(len(s.bars)),
-        T.FULL)[0], T.FOLDS), T.FOLDS)
+def retrain_tables(spark, sf_dir, rows=None):
+    """The stored tables of a retrain of each instrument over all its rows, with the whole grid."""
+    folder = B.fresh_path(spark, "retrain")
+    placed = R.placed_rows(spark, training_rows(spark, sf_dir) if rows is None else rows, folder)
+    return R.retrained(placed, R.whole_window(placed), R.GRID, folder)
 
 
 @query("MOD-09")
 def mod_09(spark, sf_dir):
-    return fold_scores(spark, sf_dir).select("instrument", "fold", "net", "sharpe", "n", "corr", "accuracy", "max_drawdown",
-        "calibration_rows")
+    """Every grid point, with and without fractional inputs, in each fold of each instrument."""
+    return retrain_tables(spark, sf_dir)["fold_scores"].drop("window")
 
 
 @query("LAB-07")
@@ -158,8 +163,11 @@ def lab_07(spark, sf_dir):
 
 @query("MOD-17")
 def mod_17(spark, sf_dir):
-    """The adverse-selection model of each fold, from forecasts before its validation rows, and what it says of those."""
-    return fold_scores(spark, sf_dir).select("instrument", "fold", "exec_rows", "residual_std", "r2", "adverse", "uncertainty")
+    """The adverse-selection model of each fold of the chosen grid point, from forecasts before its validation rows, and what it says
+    of those."""
+    made = retrain_tables(spark, sf_dir)
+    best = made["choices"].where("inputs = 'full'").select(*R.AT, "inputs", "rounds", "least")
+    return made["fold_scores"].join(best, [*R.AT, "inputs", "rounds", "least"]).select("instrument", "fold", "exec_rows", "residual_std", "r2", "adverse", "uncertainty")
 
 
 @query("MOD-10")
@@ -173,10 +181,22 @@ RETRAIN = "instrument string, folds int, mean_sharpe double, wins int, accepted
 LIGHT = "instrument string, variant string, d double, net double, sharpe double, corr double, n long"
 
 
+@query("MOD-10-holdout")
+def mod_10_holdout(spark, sf_dir):
+    """The chosen models on the newest rows, which no choice has seen: refitted on the inner rows, calibrated on the folds."""
+    return retrain_tables(spark, sf_dir)["reports"].drop("window")
+
+
 @query("MOD-11")
 def mod_11(spark, sf_dir):
-    """A retrain of each instrument: folds, acceptance against the baseline, the chosen order, and the fitted model's digest."""
-    return training_rows(spark, sf_dir).groupBy("instrument").applyInPandas(T.task(T.retrain, RETRAIN), RETRAIN)
+    """A retrain of each instrument: choice by the folds, one look at the holdout, acceptance, and the refit on all rows that it
+    leaves: its digest, and its forecast for the newest row."""
+    made = retrain_tables(spark, sf_dir)
+    newest = R.chosen(made["windows"], made["choices"]).select(*R.AT, "first", F.lit(R.PRODUCTION_PART).alias("part"), c("m").alias("train_end"), (c("m") - 1).alias("start"), c("m").alias("end"),
+                                                               c("inner_end").alias("d_end"), *R.POINTS)
+    last = R.forecasts(made["rows"], newest, None).where("inputs = 'full'").select("instrument", "bar", c("m").alias("forecast"), c("p").alias("up"), c("digest").alias("model"))
+    means = made["choices"].where("inputs = 'full'").select("instrument", "mean_score")
+    return made["reports"].drop("window").join(means, "instrument").join(last.withColumnRenamed("bar", "train_end"), "instrument")
 
 
 @query("MOD-12")
@@ -230,9 +250,9 @@ def mod_15(spark, sf_dir):
 
 @query("MOD-16")
 def mod_16(spark, sf_dir):
-    rows = model_rows(spark, sf_dir).where("row < 1500").select("y_norm", *INPUTS)
-    return spark.createDataFrame(sorted(MO.importance(MO.boosted(INPUTS, rounds=3).fit(rows), INPUTS).items()),
-        "feature string, importance double")
+    """How often each instrument's model splits on each input."""
+    rows = R.positioned(training_rows(spark, sf_dir))
+    return R.importance(rows, R.split_part(rows, SPLIT), ROUNDS, LEAST).select("instrument", "feature", "splits")
 
 
 # --- runs
@@ -254,8 +274,35 @@ def run_01(spark, sf_dir):
 
 @query("RUN-01-windows")
 def run_01_windows(spark, sf_dir):
-    """The walk over each instrument's bars: train, accept, carry on, run out of sample. A row an instrument and window."""
-    return training_rows(spark, sf_dir).groupBy("instrument").applyInPandas(T.task(T.walk, T.WALK), T.WALK)
+    """The walk over each instrument's bars before the locked ones: retrain, accept, carry on, run out of sample. A row an instrument
+    and window; a task an instrument, window and fold."""
+    return R.walk_table(R.walked(training_rows(spark, sf_dir)))
+
+
+@query("RUN-01-holdout")
+def run_01_holdout(spark, sf_dir):
+    """The walk over the locked bars, opened on record, with the last models of the walk before carried in."""
+    before = R.walked(training_rows(spark, sf_dir))
+    made = R.holdout_walk(before, "EXPERIMENTAL", B.fresh_path(spark, "access"), "registered query: results are reported, not selected on", forced=True)
+    return R.walk_table(made)
+
+
+@query("RUN-03-walk")
+def run_03_walk(spark, sf_dir):
+    """What the fractional inputs add to each window's Sharpe ratio: mean, median, trimmed mean, mean without the best window, the
+    share of windows with a gain, and how much of all gains the best window has."""
+    return ablation_of(run_01_windows(spark, sf_dir))
+
+
+def ablation_of(walk):
+    rows = walk.where("model is not null").withColumn("delta", c("window_sharpe_full") - c("window_sharpe_baseline"))
+    v = F.array_sort(F.collect_list("delta"))  # a value a window
+    up = F.when(c("delta") > 0, c("delta"))
+    out = rows.groupBy("instrument").agg(F.count("*").alias("windows"), F.avg("delta").alias("mean"), F.percentile("delta", F.lit(0.5)).alias("median"), v.alias("v"), F.avg((c("delta") > 0).cast("double")).alias("positive"),
+                                         F.coalesce(M.ratio(F.max(up), F.sum(up)), F.lit(0.0)).alias("dominance"))
+    mean = lambda a: F.aggregate(a, F.lit(0.0), lambda x, y: x + y) / F.greatest(F.size(a), F.lit(1))
+    cut = lambda a, at, less: F.slice(a, at, F.greatest(F.size(a) - less, F.lit(1)))
+    return out.withColumns({"trimmed": mean(cut(c("v"), 2, 2)), "without_best": mean(cut(c("v"), 1, 1))}).drop("v")
 
 
 def _tasks(key: str, kernel, schema: str):
@@ -355,12 +402,12 @@ def run_09(spark, sf_dir):
 
 @query("GAT-01")
 def gat_01(spark, sf_dir):
-    """The gates, fed from the stages' queries over these tables."""
+    """The gates, fed from the stages' queries over these tables; the holdout stays closed."""
     from barloom.plans.base import QUERIES
     from barloom.plans.runner import stage_table
 
-    return gates_frame(spark, {stage: stage_table(spark, sf_dir, stage) for stage in ("walkforward", "execution_stress", "timing",
-        "bootstrap", "leakage", "reproducibility")} | {"holdout": QUERIES["MOD-10"](spark, sf_dir)})
+    tables = {stage: stage_table(spark, sf_dir, stage) for stage in ("walkforward", "execution_stress", "timing", "bootstrap", "leakage", "reproducibility")}
+    return gates_frame(spark, tables | {"sanity_more": QUERIES["SAN-01-refits"](spark, sf_dir)})
 
 
 def gate_values(tables) -> dict:
@@ -391,7 +438,11 @@ def gate_values(tables) -> dict:
         out["bootstrap_low"] = tables["bootstrap"].where("metric = 'sharpe'").select(F.inline("instruments")).agg(F.min("low")).first()[0]
     if "reproducibility" in tables:
         out["identical"] = int(one("reproducibility", F.sum("changed"))[0] == 0)
-    return out | {"leaks": one("leakage", F.sum("changed"))[0], "holdout_return": one("holdout", F.min("net"))[0]}
+    if "sanity_more" in tables:
+        out["destroyed_sharpe"] = tables["sanity_more"].where("scenario in ('shuffled_labels', 'shuffled_features')").agg(F.max("sharpe")).first()[0]
+    if "holdout" in tables:
+        out |= tables["holdout"].where("variant = 'full'").agg(F.min("total_return").alias("holdout_return"), F.min("sharpe").alias("holdout_sharpe")).first().asDict()
+    return out | {"leaks": one("leakage", F.sum("changed"))[0]}
 
 
 def gates_frame(spark, tables):
@@ -426,7 +477,7 @@ def ladder_values(tables) -> dict:
     """What the full ladder judges, from stage tables; the worst instrument counts, and a stage that didn't run leaves its gates open."""
     out = gate_values({k: v for k, v in tables.items() if k in ("bootstrap", "leakage", "reproducibility", "holdout")})
     if "walkforward" in tables:
-        delta = c("net_full") - c("net_baseline")
+        delta = c("window_sharpe_full") - c("window_sharpe_baseline")
         w = tables["walkforward"].select(F.inline("instruments")).groupBy("instrument").agg(
             F.count_if(c("model").isNotNull()).alias("windows"), F.first("deals_full").alias("deals"),
                 F.first("sharpe_full").alias("sharpe"), F.first("drawdown_full").alias("dd"), F.first("pf_full").alias("pf"),
@@ -448,7 +499,7 @@ def ladder_values(tables) -> dict:
     if "sanity_more" in tables:
         out["sanity_failed"] = sanity_verdicts(tables["sanity_more"]).where("not passed").count()
     if "holdout" in tables:
-        out |= {"holdout_opened": 1}
+        out["holdout_opened"] = 1
     return out
 
 

@@ -18,18 +18,6 @@ def names(spark, sf):
     return {r.instrument for r in bars.bars_daily(spark, sf).select("instrument").distinct().collect()}
 
 
-def test_folds_of_each_instrument(spark, sf, names):
-    got = QUERIES["MOD-09"](spark, sf).collect()
-    assert {(r.instrument, r.fold) for r in got} == {(i, f) for i in names for f in range(1, 6)}
-    for name in names:
-        mine = sorted((r for r in got if r.instrument == name), key=lambda r: r.fold)
-        n = len(series(spark, sf, name).bars)
-        assert sum(r.n for r in mine) == int(n * 0.9) - int(n * 0.4) - 5 * 5
-        assert all(a.calibration_rows + a.n == b.calibration_rows for a, b in zip(mine, mine[1:], strict=False))
-    orders, adverse = QUERIES["LAB-07"](spark, sf), QUERIES["MOD-17"](spark, sf)
-    assert {"d", "q_level", "train_bars"} <= set(orders.columns) and {"residual_std", "adverse", "uncertainty"} <= set(adverse.columns)
-
-
 def test_adverse_model_sees_no_later_rows(spark, sf):
     s = series(spark, sf, "A")
     rows = np.arange(len(s.bars))
@@ -40,21 +28,6 @@ def test_adverse_model_sees_no_later_rows(spark, sf):
     assert [r["residual_std"] for r in before[:3]] == [r["residual_std"] for r in after[:3]] and before[4]["residual_std"] != after[4]["residual_std"]
 
 
-def test_walk_follows_the_bars(spark, sf, names):
-    s = series(spark, sf, "A")
-    got = T.walk(s)
-    assert len(got) == T.WINDOWS and sum(r["oos_rows"] for r in got) == len(s.bars) - int(len(s.bars) * T.FIRST)
-    last = None
-    for r in got:
-        last = r["window"] if r["accepted"] else last
-        assert r["deployed"] == last and r["train_end"] <= s.bars[-1]
-    cut = s.bars[len(s.bars) // 2]
-    s.a["y_norm"][cut:] *= -1
-    s.a["open_next2"][cut:] *= 1.5
-    other = T.walk(s)
-    assert [r["net_full"] for r in got[:3]] == [r["net_full"] for r in other[:3]] and got[-1]["net_full"] != other[-1]["net_full"]
-
-
 def test_gates_judge_the_stored_tables(spark, sf, names, tmp_path):
     from barloom.plans.runner import run_research
 
