@@ -9,8 +9,10 @@ Two passes over the texts, then joins over what is frequent:
    are counted exactly, within a task by numbers that stand for their words and between tasks as strings. Nothing frequent is lost.
    What is frequent is cut to the shared folder, and candidates meet their parts and their extensions there in equi-joins.
 
-The sketch has 2 x ``cells_for(bytes)`` cells: in proportion to the input up to 2^26 a row. Beyond that more n-grams survive and are
-counted exactly, with the same result. At most 2^26 / 4 bytes of bits are broadcast; the driver sees nothing else.
+The sketch has two rows of 2^25 cells, or 2^26 for much text; in proportion to the n-grams, not to the tasks, since what a task sends
+is packed. It tells frequent n-grams apart while a cell holds fewer than ``min_count`` on average, which is up to about 3 GB of text for
+a count of 100; a larger corpus wants a larger count. With too small a sketch more n-grams survive and are counted exactly, with the same
+result. At most 16 MB of bits are broadcast; the driver sees nothing else.
 
 Defined cases: a null text is empty; a null language is ``und``, which a language of that name joins. A text without words, and an
 empty table, give nothing. Repeated rows count once each. Equal scores are ranked by count, then by phrase in byte order. A text
@@ -37,8 +39,13 @@ MIN_COUNT, LONGEST, TOP, SHARE = 100, 5, 2000, 100
 UNKNOWN = "und"
 ROWS = 2
 #: bytes of text handled at once, words that a task remembers, cells of one merged row
-SLICE, WORDS, BLOCK = 8_000_000, 400_000, 1 << 17
-LEAST_BITS, MOST_BITS = 17, 26
+SLICE, WORDS, BLOCK = 4_000_000, 400_000, 1 << 17
+#: bits of a cell's number: at least and at most
+LEAST_BITS, MOST_BITS = 25, 26
+#: counted phrases that a task holds before it adds equal ones up, and hands them on if that doesn't halve them
+HELD = 600_000
+#: bytes of text for each task at least: a task sends a sketch, and a row for each frequent phrase, whatever it has read
+TASK_BYTES = 64_000_000
 #: white space between words becomes a space, and what ends a piece a line end
 TABLE = bytes.maketrans(b".,;:!?\x0a\x0b\x0c\x0d\x09", b"\n" * 10 + b" ")
 SKIP, PIECE, TEXT = b"", b"\n", b"\r"
@@ -225,8 +232,27 @@ def count_task(sketch, bits: int, longest: int):
         langs = pa.array(s.langs, pa.string()).take(pa.array(lang))
         return pa.RecordBatch.from_arrays([langs, pa.array(np.full(len(f), n, np.int32)), phrases, pa.array(f, pa.int64())], names=names)
 
+    def added(tables):
+        sums = pa.concat_tables(tables).group_by(names[:3]).aggregate([("f", "sum")])
+        return sums.rename_columns([n.replace("f_sum", "f") for n in sums.column_names]).select(names)
+
     def run(batches):
+        """Equal phrases of the task's slices are added up before they leave it."""
         claim()
+        held, size = [], 0
+        for b in counted(batches):
+            held.append(pa.Table.from_batches([b]))
+            size += b.num_rows
+            if size > HELD:
+                held = [added(held)]
+                size = held[0].num_rows
+                if size > HELD // 2:
+                    yield from held[0].to_batches(10_000)
+                    held, size = [], 0
+        if held:
+            yield from added(held).to_batches(10_000)
+
+    def counted(batches):
         words, merged = Vocabulary(), sketch.value
         for s in slices(batches, words):
             total = np.bincount(s.lang[s.carried :], minlength=len(s.langs))
@@ -263,7 +289,9 @@ def frequent_phrases(docs: DataFrame, min_count: int = MIN_COUNT, longest: int =
         raise ValueError(f"phrases have 1 to {LONGEST_KEPT + 1} words, and a count of at least 1")
     spark = docs.sparkSession
     texts = docs.select(F.col(f"`{text_col}`").cast("binary").alias("t"), F.col(f"`{lang_col}`").cast("string").alias("l"))
-    bits = cells_for(texts.agg(F.sum(F.octet_length("t"))).first()[0] or 0, min_count)
+    size = texts.agg(F.sum(F.octet_length("t"))).first()[0] or 0
+    bits = cells_for(size, min_count)
+    texts = texts.coalesce(max(spark.sparkContext.defaultParallelism, -(-size // TASK_BYTES)))  # no shuffle
     sketch = spark.sparkContext.broadcast(frequent_cells(texts, bits, min_count, longest))
     counted = texts.mapInArrow(count_task(sketch, bits, longest), COUNTS).groupBy("lang", "words", "phrase").agg(F.sum("f").alias("f"))
     return cut(counted.where((F.col("words") == 0) | (F.col("f") >= min_count)))
