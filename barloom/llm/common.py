@@ -4,6 +4,9 @@ from __future__ import annotations
 
 import tempfile
 import uuid
+from collections.abc import Iterator
+from contextlib import contextmanager
+from contextvars import ContextVar
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -33,17 +36,38 @@ def shared_dir(spark: SparkSession) -> str:
     return path
 
 
-#: tables that cut() wrote and nothing has dropped yet, the newest last
+#: tables that cut() wrote and nothing has dropped yet
 WRITTEN: list[str] = []
+_OWN: ContextVar[list[str] | None] = ContextVar("tables", default=None)
 
 
-def cut(df: DataFrame) -> DataFrame:
-    """Materialise df in the shared folder and read it back: later stages don't recompute it and survive lost executors."""
+@contextmanager
+def tables() -> Iterator[list[str]]:
+    """The paths that are cut within the block by this thread: those of queries in other threads aren't among them."""
+    own: list[str] = []
+    outer = _OWN.set(own)
+    try:
+        yield own
+    finally:
+        _OWN.reset(outer)
+        if (around := _OWN.get()) is not None:
+            around += own
+
+
+def written(df: DataFrame) -> tuple[DataFrame, str]:
+    """df materialised in the shared folder and read back, and its path there."""
     spark = df.sparkSession
     path = f"{shared_dir(spark).rstrip('/')}/barloom-{uuid.uuid4().hex}"
     df.write.parquet(path)
     WRITTEN.append(path)
-    return spark.read.schema(df.schema).parquet(path)
+    if (own := _OWN.get()) is not None:
+        own.append(path)
+    return spark.read.schema(df.schema).parquet(path), path
+
+
+def cut(df: DataFrame) -> DataFrame:
+    """Materialise df in the shared folder and read it back: later stages don't recompute it and survive lost executors."""
+    return written(df)[0]
 
 
 def drop(spark: SparkSession, paths: list[str] | None = None) -> None:
@@ -51,7 +75,8 @@ def drop(spark: SparkSession, paths: list[str] | None = None) -> None:
     for path in list(WRITTEN if paths is None else paths):
         where = spark._jvm.org.apache.hadoop.fs.Path(path)
         where.getFileSystem(spark._jsc.hadoopConfiguration()).delete(where, True)
-        WRITTEN.remove(path)
+        if path in WRITTEN:
+            WRITTEN.remove(path)
 
 
 def ascii_lower(col: Column) -> Column:

@@ -3,7 +3,8 @@
 N-grams of one to three characters are hashed; term frequencies are relative to the text's n-grams, document frequencies are
 counted over all learnable rows. The weights are trained with follow-the-regularised-leader (proximal, per coordinate) under
 elastic-net penalties on a bounded sample of learnable rows, and a temperature is fitted on rows of the sample kept back.
-Prediction is one pass: a text's logits are means of table rows over all its n-grams, so memory doesn't grow with texts.
+Prediction is one pass: a text's logits are means of table rows over all its n-grams. Texts over _CHARS characters are read in
+pieces that overlap by the length of an n-gram, so memory doesn't grow with them beyond a copy of the text.
 
 Bounds: SAMPLE rows train the classifier; every learnable row counts for document frequencies; every row is predicted.
 Defined cases: null text, or text without a letter, is "und" with score 0; so is every text if nothing can be learnt. Ties go
@@ -51,13 +52,28 @@ def _grams(points, starts):
 WIDTH = len(ORDERS) << BITS
 
 
+def long_grams(text: str):
+    """For each piece of a text the buckets at its places, an array for each order: those that _grams gives for the whole text."""
+    low, more = text.lower(), max(ORDERS) - 1
+    for a in range(0, len(low) + 1, _CHARS):
+        b = min(a + _CHARS, len(low) + 1)
+        piece = (" " if a == 0 else "") + low[max(a - 1, 0) : b + more - 1]
+        points = np.frombuffer((piece + " " * (b - a + more - len(piece))).encode("utf-32-le", "surrogatepass"), "<u4")
+        points = np.where(points < len(_LETTER), _LETTER[np.minimum(points, len(_LETTER) - 1)], points)
+        yield [gram_hashes(points, n, BITS)[: b - a] + k * (1 << BITS) for k, n in enumerate(ORDERS)]
+
+
 def counts_of(texts: list[str | None]) -> list:
     """Buckets and counts of each text."""
     ids, counts = [], []
     for t in texts:
-        points, starts = _points([t or ""])
-        flat = np.concatenate([h[inside] for h, inside in _grams(points, starts)])
-        i, c = np.unique(flat, return_counts=True)
+        if len(t or "") > _CHARS:
+            total = sum(np.bincount(np.concatenate(hs), minlength=WIDTH) for hs in long_grams(t))
+            i = np.flatnonzero(total)
+            c = total[i]
+        else:
+            points, starts = _points([t or ""])
+            i, c = np.unique(np.concatenate([h[inside] for h, inside in _grams(points, starts)]), return_counts=True)
         ids.append(i.astype(np.int32))
         counts.append(c.astype(np.int32))
     return [ids, counts]
@@ -71,6 +87,12 @@ def document_frequencies(learn: DataFrame, text_col: str) -> np.ndarray:
         for b in batches:
             texts = [t or "" for t in b.column(0).to_pylist()]
             for a, z in slices(texts, _CHARS):
+                if len(texts[a]) > _CHARS:
+                    seen = np.zeros(WIDTH, bool)
+                    for hs in long_grams(texts[a]):
+                        seen[np.concatenate(hs)] = True
+                    df += seen
+                    a += 1
                 for lo in range(a, z, 200):
                     points, starts = _points(texts[lo : min(z, lo + 200)])
                     row = np.repeat(np.arange(len(starts), dtype=np.int64), np.diff(np.r_[starts, len(points)])) * WIDTH
@@ -126,7 +148,16 @@ class Model:
     def __init__(self, languages: list[str], weights: np.ndarray, bias: np.ndarray, temperature: float):
         self.languages, self.weights, self.bias, self.temperature = languages, weights, bias, temperature
 
+    def long_logits(self, text: str) -> np.ndarray:
+        total, n = np.zeros(len(self.languages)), 0
+        for hs in long_grams(text):
+            total += sum(self.weights[h] for h in hs).sum(axis=0, dtype=np.float64)
+            n += sum(map(len, hs))
+        return total[None] / n + self.bias
+
     def logits(self, texts: list[str]) -> np.ndarray:
+        if len(texts) == 1 and len(texts[0]) > _CHARS:
+            return self.long_logits(texts[0])
         points, starts = _points(texts)
         total = np.zeros((len(points), len(self.languages)), np.float32)
         n = np.zeros(len(texts))
@@ -186,7 +217,8 @@ def predict(docs: DataFrame, model: Model, keep: list[str], text_col: str = "tex
 
 
 def held_out(id_col: str = "doc_id") -> Column:
-    return F.pmod(F.crc32(F.col(id_col).cast("string").cast("binary")), F.lit(3)) == 1
+    """Rows that are kept for judging; those without an id aren't."""
+    return F.coalesce(F.pmod(F.crc32(F.col(id_col).cast("string").cast("binary")), F.lit(3)) == 1, F.lit(False))
 
 
 def op3_language_id(spark, sf_dir):

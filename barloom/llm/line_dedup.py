@@ -18,6 +18,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from barloom.llm.batches import mark_among
 from barloom.llm.common import SPACES, ascii_lower, cut, held, table, whole
 
 
@@ -72,9 +73,11 @@ def dedup_lines(docs: DataFrame, min_chars: int = 20, min_docs: int = 3, id_col:
         carried = cut(carried)
         others = cut(carried.join(cut(_copies(carried.where(F.col("_id") != F.col("_keeper")))), ["_id", "_t"], "left_anti").drop("_keeper"))
         carried = others.join(cut(frequent_lines(others, 1, keep)), ["_k1", "_k2"])
-    gone = carried.where(F.col("_id") != F.col("_keeper")).groupBy("_id", "_t").agg(F.collect_set("_pos").alias("_gone"))
-    rows = docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("_d"))
-    rows = rows.join(gone, (F.col(f"_d.`{id_col}`") == F.col("_id")) & (F.xxhash64(F.col(f"_d.`{text_col}`")) == F.col("_t")), "left")
+    gone = cut(carried.where(F.col("_id") != F.col("_keeper")).groupBy("_id", "_t").agg(F.collect_set("_pos").alias("_gone")))
+    rows = mark_among(docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("_d")), gone.select(F.col("_id").alias("id")), F.col(f"_d.`{id_col}`"))
+    lose = rows.where("_may").join(gone, (F.col(f"_d.`{id_col}`") == F.col("_id")) & (F.xxhash64(F.col(f"_d.`{text_col}`")) == F.col("_t")), "left")
+    # texts that surely lose nothing aren't shuffled
+    rows = lose.select("_d", "_gone").unionByName(rows.where("not _may").select("_d", F.lit(None).cast("array<int>").alias("_gone")))
     rows = rows.withColumn("_lines", held(_lines(F.col(f"_d.`{text_col}`"))))
     kept = F.array_except(F.sequence(F.lit(0), F.size("_lines") - 1), F.col("_gone"))
     text = F.when(F.col("_gone").isNull(), F.col(f"_d.`{text_col}`")).otherwise(

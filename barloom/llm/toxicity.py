@@ -8,7 +8,8 @@ training toxic texts teach through windows drawn at random at first, then throug
 through windows drawn at random and their most toxic window. Prediction needs one number for each n-gram: no matrix there.
 
 Bounds: at most SAMPLE_TOXIC and SAMPLE_CLEAN labelled rows of at most LONGEST characters train the classifier (so at most 80 MB of
-text reach the driver); every row is scored, whatever its length. A toxic text missed counts MISS times a false alarm, less
+text reach the driver); every row is scored, whatever its length: texts over _CHARS characters in pieces of whole windows, so that
+memory doesn't grow with them beyond a copy of the text. A toxic text missed counts MISS times a false alarm, less
 where few toxic texts calibrate (half of the way at MISS_HALF).
 Defined cases: null or empty text is scored like a window without n-grams (the bias alone). Rows with null labels don't train;
 without rows of both labels every score is the share of label 1, or 0. Repeated rows get equal results.
@@ -58,6 +59,24 @@ def windows(texts: list[str]):
     return grams, cuts, firsts
 
 
+def pieces(text: str):
+    """A long text in pieces of whole windows: each begins where a window does, so the windows are those of the whole text."""
+    low, at = text.lower(), 0
+    while at < len(low):
+        size = _CHARS
+        while True:
+            points = np.frombuffer(low[at : at + size].encode("utf-32-le", "surrogatepass"), "<u4")
+            blank = np.where(points < len(_WORD), _WORD[np.minimum(points, len(_WORD) - 1)], points) == SPACE
+            begins = np.flatnonzero(~blank & np.r_[True, blank[:-1]])
+            whole = (len(begins) - 1) // WINDOW * WINDOW
+            if at + size >= len(low) or whole > 0:
+                break
+            size *= 2  # words so long that a window isn't over
+        end = len(low) if at + size >= len(low) else at + int(begins[whole])
+        yield low[at:end]
+        at = end
+
+
 class Model:
     def __init__(self, table: np.ndarray, bias: float, scale: float = 1.0, shift: float = 0.0):
         self.table, self.bias, self.scale, self.shift = table, bias, scale, shift
@@ -75,6 +94,9 @@ class Model:
         out = np.zeros(len(texts))
         full = [t or "" for t in texts]
         for a, b in slices(full, _CHARS):
+            if len(full[a]) > _CHARS:
+                out[a] = max(self.window_logits(*windows([p])[:2]).max() for p in pieces(full[a]))
+                continue
             grams, cuts, firsts = windows(full[a:b])
             out[a:b] = np.maximum.reduceat(self.window_logits(grams, cuts), firsts)
         return out
@@ -208,7 +230,8 @@ def score(docs: DataFrame, model: Model, keep: list[str], text_col: str = "text"
 
 
 def held_out(id_col: str = "doc_id") -> Column:
-    return F.pmod(F.crc32(F.col(id_col).cast("string").cast("binary")), F.lit(5)) == 0
+    """Rows that are kept for judging; those without an id aren't."""
+    return F.coalesce(F.pmod(F.crc32(F.col(id_col).cast("string").cast("binary")), F.lit(5)) == 0, F.lit(False))
 
 
 def op8_toxicity(spark, sf_dir):

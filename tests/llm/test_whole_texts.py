@@ -46,3 +46,82 @@ def test_small_arrow_batches(spark):
         batches.small_batches(spark)
         assert spark.conf.get(key) == after
     spark.conf.set(key, old)
+
+
+def test_long_texts_in_pieces(spark, monkeypatch):
+    """Pieces of a long text give what the whole text gives."""
+    import numpy as np
+
+    from barloom.llm import language_id as LI
+    from barloom.llm import toxicity as TX
+
+    rng = np.random.default_rng(4)
+    words = ["der", "Hund", "the", "dog", "ΣΑΣ", "naïve", "x" * 70, "12", "あい", "İ", "\n", "  ", "-"]
+    texts = [" ".join(rng.choice(words, k)) + tail for k in (1, 7, 40, 400) for tail in ("", " ", "\n  ")]
+    model = LI.Model(["a", "b"], rng.normal(size=(LI.WIDTH, 2)).astype(np.float32), np.zeros(2), 1.0)
+    toxic = TX.Model(rng.normal(size=1 << TX.BITS).astype(np.float32), 0.1)
+    whole = [(model.logits([t])[0], LI.counts_of([t]), toxic.logits([t])[0]) for t in texts]
+    learn = spark.createDataFrame([(t,) for t in texts], "text string")
+    df = LI.document_frequencies(learn, "text")
+    for chars in (5, 33, 260):
+        monkeypatch.setattr(LI, "_CHARS", chars)
+        monkeypatch.setattr(TX, "_CHARS", chars)
+        for t, (logits, (ids, counts), score) in zip(texts, whole, strict=True):
+            assert np.allclose(model.logits([t])[0], logits, atol=1e-5)
+            i, c = LI.counts_of([t])
+            assert np.array_equal(i[0], ids[0]) and np.array_equal(c[0], counts[0])
+            assert toxic.logits([t])[0] == score
+    monkeypatch.setattr(LI, "_CHARS", 33)
+    seen = np.zeros(LI.WIDTH, np.int64)
+    for t in texts:
+        one = np.zeros(LI.WIDTH, bool)
+        for hs in LI.long_grams(t):
+            one[np.concatenate(hs)] = True
+        seen += one
+    assert np.array_equal(seen, df)
+
+
+def test_a_very_long_text_in_bounded_memory():
+    """A text of 60 million characters: three copies of it at most, where the whole-text way took 55 bytes a character."""
+    import subprocess
+    import sys
+
+    code = """
+import resource, numpy as np
+from barloom.llm import language_id as LI, toxicity as TX
+t = "some words of prose stand here, " * 1_875_000
+before = resource.getrusage(resource.RUSAGE_SELF).ru_maxrss
+m = LI.Model(["a", "b"], np.ones((LI.WIDTH, 2), np.float32), np.zeros(2), 1.0)
+assert m.predict([t])[0] == ["a"]
+TX.Model(np.ones(1 << TX.BITS, np.float32), 0.1).scores([t])
+print((resource.getrusage(resource.RUSAGE_SELF).ru_maxrss - before) / 1024)
+"""
+    got = subprocess.run([sys.executable, "-c", code], capture_output=True, text=True, timeout=300, cwd=__file__.rsplit("/tests/", 1)[0])
+    assert float(got.stdout) < 500, got.stderr
+
+
+def test_rows_without_an_id(spark):
+    from barloom.llm import language_id as LI
+    from barloom.llm import toxicity as TX
+
+    df = spark.createDataFrame([(None,), (1,)], "doc_id long")
+    assert {r[0] for m in (LI, TX) for r in df.where("doc_id is null").select(m.held_out()).collect()} == {False}
+
+
+def test_queries_in_threads_keep_their_tables(spark):
+    """Components in several threads of one driver: no thread deletes what another one reads."""
+    from concurrent.futures import ThreadPoolExecutor
+
+    from barloom.llm.common import tables
+    from barloom.llm.components import components
+
+    def work(k):
+        edges = spark.createDataFrame([(k * 100 + i, k * 100 + i + 1) for i in range(12)], "u long, v long")
+        with tables() as own:
+            got = {(r.node, r.label) for r in components(edges).collect()}
+        return k, got, own
+
+    with ThreadPoolExecutor(4) as pool:
+        done = list(pool.map(work, range(4)))
+    assert all(got == {(k * 100 + i, k * 100) for i in range(13)} for k, got, _ in done)
+    assert len({p for *_, own in done for p in own}) == sum(len(own) for *_, own in done)
