@@ -10,7 +10,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from barloom.sources.bars import KEY, TIME
+from barloom.sources.bars import KEY, TIME, stored
 
 #: rows of a chunk of a long series
 CHUNK = 50_000
@@ -18,8 +18,8 @@ CHUNK = 50_000
 
 def numbered(df: DataFrame) -> DataFrame:
     """df with _row, the place of each row in its instrument's series, from 0. Rows are numbered day by day; only the days' counts,
-    not the rows of an instrument, meet in one task."""
-    dated = df.withColumn("_day", F.to_date(TIME))
+    not the rows of an instrument, meet in one task. df is made once and stored, since the counts and the rows both come from it."""
+    dated = stored(df.withColumn("_day", F.to_date(TIME)), name="dated")
     before = F.sum("_n").over(Window.partitionBy(KEY).orderBy("_day").rowsBetween(Window.unboundedPreceding, -1))
     days = dated.groupBy(F.col(KEY).alias("_i"), F.col("_day").alias("_d")).agg(F.count("*").alias("_n"))
     days = days.withColumnsRenamed({"_i": KEY, "_d": "_day"}).select(KEY, "_day", F.coalesce(before, F.lit(0)).alias("_before"))

@@ -31,7 +31,7 @@ from barloom.operators import models as MO
 from barloom.operators import training as T
 from barloom.operators.boosting import Trees, boost
 from barloom.sources.access import open_holdout
-from barloom.sources.bars import KEY, TIME, by_time, fresh_path
+from barloom.sources.bars import KEY, TIME, by_time, fresh_path, stored
 
 #: fixed values: the default grid (rounds, least rows of a leaf), and one for walks over many windows
 GRID = [(rounds, least) for rounds in (150, 300, 600) for least in (50, 200)]
@@ -47,12 +47,6 @@ WINDOWS, FIRST, LOCKED = T.WINDOWS, T.FIRST, 0.15
 c = F.col
 
 
-def stored(df: DataFrame, folder: str, name: str) -> DataFrame:
-    """df, written to the shared folder: later phases don't repeat it, and lost executors cost no more than their tasks."""
-    df.write.parquet(f"{folder}/{name}")
-    return df.sparkSession.read.schema(df.schema).parquet(f"{folder}/{name}")
-
-
 def positioned(rows: DataFrame) -> DataFrame:
     """rows with bar (place in the series), ok (whether it is a row), row (rows before it) and n (rows in all)."""
     need = [*T.BASELINE, *T.EXEC, "y_norm", "sigma", "open_next2", "cost_side", "log_close"]
@@ -164,10 +158,10 @@ def prepared(pdf: pd.DataFrame) -> tuple | None:
     return own, pdf["bar"].to_numpy(), train, wanted, np.column_stack([made[n] for n in T.FULL]), pdf["y_norm"].to_numpy(float)[train], d
 
 
-def task_bars(rows: DataFrame, parts: DataFrame, extra: list[str]) -> DataFrame:
+def task_bars(rows: DataFrame, parts: DataFrame, extra: list[str], inputs: list[str] = T.BASELINE) -> DataFrame:
     """The bars that each part needs: from the lags before its first row to the last label behind its rows and d_end."""
     reach = parts.withColumn("stop", F.greatest("end", "d_end"))
-    bars = rows.select(KEY, "bar", "row", "ok", "y_norm", *T.BASELINE, "log_close")
+    bars = rows.select(KEY, "bar", "row", "ok", "y_norm", *inputs, "log_close")
     starts = rows.where("ok").select(KEY, c("row").alias("first"), c("bar").alias("first_bar"))
     met = bars.join(reach.join(starts, [KEY, "first"]), KEY).where((c("bar") >= c("first_bar") - FR.MAX_LAGS) & (c("row") - c("first") < c("stop") + 2 + T.HORIZON))
     return met.select(*AT, "part", "first", "train_end", "start", "end", "d_end", *extra, *[n for n in bars.columns if n != KEY])

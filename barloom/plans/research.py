@@ -330,12 +330,6 @@ def abl_01(spark, sf_dir):
         "delta": c("full") - c("baseline")})
 
 
-@query("ABL-04")
-def abl_04(spark, sf_dir):
-    return abl_01(spark, sf_dir).groupBy("instrument").agg(F.first(c("delta") > 0).alias("improves"),
-        F.first(c("full") > 0).alias("profitable"))
-
-
 @query("RUN-02", "select * from (values (0, 'walkforward'), (1, 'baselines'), (2, 'bootstrap'), (3, 'gates')) t(n, stage)")
 def run_02(spark, sf_dir):
     return spark.createDataFrame(list(enumerate(resolve_stages("walkforward,baselines,bootstrap,gates"))), "n int, stage string")

@@ -52,6 +52,14 @@ def fresh_path(spark: SparkSession, what: str) -> str:
     return f"{shared_dir(spark)}/{what}-{uuid.uuid4().hex}"
 
 
+def stored(df: DataFrame, folder: str | None = None, name: str = "table") -> DataFrame:
+    """df, written to the shared folder and read back: what reads it twice doesn't make it twice, and lost executors cost no more
+    than their tasks."""
+    path = f"{folder}/{name}" if folder else fresh_path(df.sparkSession, name)
+    df.write.parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
+
+
 def bars_daily(spark: SparkSession, sf_dir: str) -> DataFrame:
     """A bar for each return flag and ship date; prints are ordered by their four-column key. One shuffle with partial aggregates."""
     key = F.struct("l_orderkey", "l_linenumber", "l_partkey", "l_suppkey")
