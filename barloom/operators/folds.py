@@ -146,6 +146,8 @@ def simulate(a: dict[str, np.ndarray], p: SimParams) -> tuple[dict[str, np.ndarr
 
 
 ROWS = "key string, timestamp timestamp, exposure double, pnl double, cost_bar double, equity double"
+#: tasks of a key over which scenarios are dealt
+SCENARIO_GROUPS = 4
 DEALS = "key string, entry_row long, exit_row long, side int, gross double, cost double, net double, reason string"
 
 
@@ -154,19 +156,25 @@ def _arrays(pdf: pd.DataFrame) -> dict[str, np.ndarray]:
 
 
 def simulate_frame(rows: DataFrame, params: dict[str, SimParams], key: str = KEY, want_deals: bool = False) -> DataFrame:
-    """Simulated rows, or deals, of each key and scenario. Scenarios fan out: a task for each (key, scenario)."""
-    names = F.explode(F.array(*[F.lit(n) for n in params]))
+    """Simulated rows, or deals, of each key and scenario. Rows are copied to SCENARIO_GROUPS tasks of their key at most, whatever the
+    number of scenarios; a task runs its share of them one after the other."""
+    names = list(params)
+    groups = min(len(names), SCENARIO_GROUPS)
 
     def run(pdf: pd.DataFrame) -> pd.DataFrame:
         pdf = pdf.sort_values(TIME)
-        out, deals = simulate(_arrays(pdf), params[pdf["scenario"].iloc[0]])
-        label = f"{pdf[key].iloc[0]}/{pdf['scenario'].iloc[0]}"
-        if want_deals:
-            return pd.DataFrame([(label, *t) for t in deals], columns=[f.split()[0] for f in DEALS.split(", ")])
-        return pd.DataFrame({"key": label, "timestamp": pdf[TIME].to_numpy(), **out})[[f.split()[0] for f in ROWS.split(", ")]]
-
-    picked = rows.select(key, TIME, *SIM_COLUMNS, names.alias("scenario"))
-    return picked.groupBy(key, "scenario").applyInPandas(run, DEALS if want_deals else ROWS)
+        arrays, done = _arrays(pdf), []
+        for name in names[int(pdf["_group"].iloc[0]) :: groups]:
+            out, deals = simulate(arrays, params[name])
+            label = f"{pdf[key].iloc[0]}/{name}"
+            if want_deals:
+                done.append(pd.DataFrame([(label, *t) for t in deals], columns=[f.split()[0] for f in DEALS.split(", ")]))
+            else:
+                done.append(pd.DataFrame({"key": label, "timestamp": pdf[TIME].to_numpy(), **out})[[f.split()[0] for f in ROWS.split(", ")]])
+        return pd.concat(done)
+
+    picked = rows.select(key, TIME, *SIM_COLUMNS, F.explode(F.sequence(F.lit(0), F.lit(groups - 1))).alias("_group"))
+    return picked.groupBy(key, "_group").applyInPandas(run, DEALS if want_deals else ROWS)
 
 
 def scenario(**changes) -> SimParams:

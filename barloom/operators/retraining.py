@@ -144,8 +144,9 @@ COLUMNS_OF = {k: [T.FULL.index(n) for n in columns] for k, columns in INPUTS.ite
 POINTS = [f"{k}_{v}" for k in INPUTS for v in ("rounds", "least")]
 
 
-def prepared(pdf: pd.DataFrame) -> tuple | None:
-    """Of a task: its part, bars, training and wanted places, inputs of all bars, labels of the training rows, and the order."""
+def prepared(pdf: pd.DataFrame, order: float | None = None) -> tuple | None:
+    """Of a task: its part, bars, training and wanted places, inputs of all bars, labels of the training rows, and the order, which is
+    the task's own if none is given."""
     pdf = pdf.sort_values("bar")
     own, rel, ok = pdf.iloc[0], (pdf["row"] - pdf["first"]).to_numpy(), pdf["ok"].to_numpy(bool)
     train, wanted = np.flatnonzero(ok & (rel >= 0) & (rel < own["train_end"])), np.flatnonzero(ok & (rel >= own["start"]) & (rel < own["end"]))
@@ -153,7 +154,7 @@ def prepared(pdf: pd.DataFrame) -> tuple | None:
         return None
     close = pdf["log_close"].to_numpy(float)
     known = np.flatnonzero(ok & (rel >= 0) & (rel < own["d_end"]))
-    d = order_at(close[: known[-1] + 2 + T.HORIZON])
+    d = order_at(close[: known[-1] + 2 + T.HORIZON]) if order is None else order
     made = {**{n: pdf[n].to_numpy(float) for n in T.BASELINE}, "frac": FR.np_transform(close, d)}
     return own, pdf["bar"].to_numpy(), train, wanted, np.column_stack([made[n] for n in T.FULL]), pdf["y_norm"].to_numpy(float)[train], d
 
@@ -222,6 +223,38 @@ SCORES = f"{KEY} string, window int, inputs string, rounds int, least int, fold
 REPORTS = f"{KEY} string, window int, inputs string, rounds int, least int, d double, " + MEASURES
 
 
+def order_forecasts(rows: DataFrame, parts: DataFrame, orders: list[float], rounds: int, least: int) -> DataFrame:
+    """FORECASTS with the fractional order held at each of `orders`, whose place stands in `window`: a task for each part makes all
+    their channels and fits all their models from one binning. An order is fixed before the part is read, so it sees none of its rows."""
+    names = [x.split()[0] for x in FORECASTS.split(", ")]
+    plain = [T.FULL.index(n) for n in T.BASELINE]
+
+    def run(pdf: pd.DataFrame) -> pd.DataFrame:
+        made = prepared(pdf, orders[0])
+        if made is None:
+            return pd.DataFrame(columns=names)
+        own, bars, train, wanted, x, y, _ = made
+        close = pdf.sort_values("bar")["log_close"].to_numpy(float)
+        x = np.column_stack([x[:, plain], *[FR.np_transform(close, d) for d in orders]])
+        known = list(range(len(plain)))
+        m, _, digests = boost(x[train], y, x[wanted], [([*known, len(plain) + k], least) for k in range(len(orders))], [rounds], Trees())
+        out = []
+        for k, d in enumerate(orders):
+            use = [*known, len(plain) + k]
+            p = T.Pair(x[train][:, use], y).predict(x[wanted][:, use])[1]
+            out.append(pd.DataFrame({"window": k, "bar": bars[wanted], "m": m[k, rounds], "p": p, "d": d, "digest": digests[k, rounds]}))
+        return pd.concat(out).assign(**{KEY: own[KEY], "part": int(own["part"]), "inputs": "full", "rounds": rounds, "least": least})[names]
+
+    return task_bars(rows, parts, []).groupBy(*AT, "part").applyInPandas(run, FORECASTS)
+
+
+def score_by_order(rows: DataFrame, orders: list[float], rounds: int, least: int) -> DataFrame:
+    """SCORES of each order in each fold of each instrument's rows; `window` is the place of the order."""
+    parts = fold_parts(whole_window(rows))
+    made = stored(order_forecasts(rows, parts, orders, rounds, least), name="orders")
+    return fold_scores(made, rows, parts.withColumn("window", F.explode(F.sequence(F.lit(0), F.lit(len(orders) - 1)))))
+
+
 def with_bars(made: DataFrame, rows: DataFrame) -> DataFrame:
     """Forecasts beside the columns of their bars."""
     return made.join(rows.select(KEY, "bar", *[n for n in T.COLUMNS if n != "window"]), [KEY, "bar"])
@@ -337,24 +370,25 @@ VARIANTS = {"full": ("full", "model"), "baseline": ("baseline", "model"), "produ
 RESULTS = f"{KEY} string, variant string, window int, bar long, timestamp timestamp, e double, y double, exposure double, pnl double, deals long"
 
 
-def traded(trades: DataFrame, made: DataFrame, rows: DataFrame) -> DataFrame:
-    """RESULTS of each variant over the rows of all windows, one after the other; flat where it has no model yet."""
+def traded(trades: DataFrame, made: DataFrame, rows: DataFrame, owner: str = KEY) -> DataFrame:
+    """RESULTS of each variant over the rows of all windows, one after the other; flat where it has no model yet. owner: the column of
+    trades that says whose account the rows are dealt on, where that isn't the instrument's own."""
     names = [x.split()[0] for x in RESULTS.split(", ")]
 
     def run(pdf: pd.DataFrame) -> pd.DataFrame:
-        pdf = pdf.sort_values("bar")
+        pdf = pdf.sort_values([TIME, "bar"])
         a = {n: pdf[n].to_numpy(float) for n in FO.SIM_COLUMNS}
         e = pdf["e"].fillna(0.0).to_numpy(float)
         a |= {"er": e * a["sigma"] * math.sqrt(T.HORIZON), "adverse": pdf["adv"].fillna(0.0).to_numpy(float), "uncertainty": pdf["unc"].fillna(0.0).to_numpy(float)}
         out, closed = FO.simulate(a, FO.SimParams())
         ends = np.bincount([t[1] for t in closed], minlength=len(e)) if closed else np.zeros(len(e), int)
-        return pdf.assign(window=pdf["own"], e=e, exposure=out["exposure"], pnl=out["pnl"], deals=ends)[names]
+        return pdf.assign(**{KEY: pdf["_owner"]}, window=pdf["own"], e=e, exposure=out["exposure"], pnl=out["pnl"], deals=ends)[names]
 
-    spans = trades.select(KEY, c("window").alias("own"), "oos_start", "oos_end", F.explode(F.array(*[F.struct(F.lit(v).alias("variant"), F.lit(i).alias("inputs"), c(m).alias("carrier")) for v, (i, m) in VARIANTS.items()])).alias("v"))
+    spans = trades.select(KEY, c(owner).alias("_owner"), c("window").alias("own"), "oos_start", "oos_end", F.explode(F.array(*[F.struct(F.lit(v).alias("variant"), F.lit(i).alias("inputs"), c(m).alias("carrier")) for v, (i, m) in VARIANTS.items()])).alias("v"))
     bars = rows.where("ok").join(spans, KEY).where((c("row") >= c("oos_start")) & (c("row") < c("oos_end")))
-    bars = bars.select(KEY, TIME, "bar", "own", "y", "v.*", *[n for n in FO.SIM_COLUMNS])
+    bars = bars.select(KEY, "_owner", TIME, "bar", "own", "y", "v.*", *[n for n in FO.SIM_COLUMNS])
     made = made.select(KEY, c("window").alias("carrier"), "inputs", "bar", "e", "adv", "unc")
-    return bars.join(made, [KEY, "carrier", "inputs", "bar"], "left").groupBy(KEY, "variant").applyInPandas(run, RESULTS)
+    return bars.join(made, [KEY, "carrier", "inputs", "bar"], "left").groupBy("_owner", "variant").applyInPandas(run, RESULTS)
 
 
 def retrained(rows: DataFrame, windows: DataFrame, grid: list[tuple[int, int]], folder: str) -> dict[str, DataFrame]:

@@ -273,13 +273,18 @@ def sanity(s: Series, shift: int = 20, draws: int = 20) -> list[dict]:
     return [{"scenario": k, **r} for k, r in runs.items()]
 
 
+#: fixed value: the share of a Sharpe ratio that a collapse loses
+COLLAPSE = 0.75
+
+
 def around_order(s: Series, steps: tuple[int, ...] = (-2, -1, 0, 1, 2)) -> list[dict]:
-    """Refits with the fractional order some steps of 0.05 beside the chosen one; collapsed: the chosen one earns, the other loses."""
+    """Refits with the fractional order some steps of 0.05 beside the chosen one; collapsed: it loses
+    COLLAPSE of the chosen one's Sharpe ratio and earns nothing."""
     if len(s.bars) < 200:
         return []
     runs = {k: (m := Light(s, FULL, step=0.05 * k)) and (m.d, m.deal(m.e)) for k in steps}
     return [{"step": k, "d": d, "net": r["net"], "sharpe": r["sharpe"], "corr": r["corr"],
-        "collapsed": bool(runs[0][1]["sharpe"] > 0 > r["sharpe"])} for k, (d, r) in runs.items()]
+        "collapsed": bool(runs[0][1]["sharpe"] > 0 and r["sharpe"] < (1 - COLLAPSE) * runs[0][1]["sharpe"] and r["total_return"] <= 0)} for k, (d, r) in runs.items()]
 
 
 def ablation(s: Series) -> list[dict]:

@@ -80,6 +80,29 @@ SQL["RUN-03"] = sql_of("""select avg(delta) as mean, median(delta) as median, ca
      "mean median trimmed without_best",
                        LAB + f", ready as (select *, row_number() {ORDER} as vn from lab where {READY})")
 
+# --- scenarios: costs of decisions and of fills, and fills that come some bars later. A row without a later fill deals nothing
+def scenarios(named: dict[str, tuple[str, str, int]]) -> str:
+    """Views up to m (instrument, scenario, total_return, sharpe, max_drawdown, mean_exposure) of scenarios: cost that decisions expect,
+    cost of a side, delay."""
+    one = lambda name, cost, side, d: f"""select * replace (instrument || '/{name}' as instrument, {cost} as cost, {later(side, d)} as cost_side_exec, {later('open_next', d)} as open_next, {later('open_next2', d)} as open_next2) from ready"""
+    later = lambda x, d: f"lead({x}, {d}) {ORDER}" if d else x
+    idle = [f"""select instrument || '/{n}' as instrument, "timestamp", 0.0::double as q, 0.0::double as pnl from (select *, count(*) over (partition by instrument) - vn as left_over from ready) where left_over < {d}""" for n, (_, _, d) in named.items() if d]
+    rows = " union all ".join([f"select instrument, \"timestamp\", exposure as q, pnl from ({PNL})", *idle])
+    return simulated(" union all ".join(one(n, *v) for n, v in named.items())) + f""", p1 as (select *, exp(sum(case when pnl > -1 then ln(1 + pnl) end) {ORDER}) as equity from ({rows})), p as (select *, 1 - equity / greatest(max(equity) {ORDER}, 1) as drawdown from p1),
+ m as (select split_part(instrument, '/', 1) as instrument, split_part(instrument, '/', 2) as scenario, product(1 + pnl) - 1 as total_return, coalesce(avg(pnl) / nullif(stddev_pop(pnl), 0), 0) * sqrt(252) as sharpe, max(drawdown) as max_drawdown, avg(abs(q)) as mean_exposure from p group by all)"""
+
+
+MEASURED = "total_return sharpe max_drawdown mean_exposure"
+SQL["STR-03"] = sql_of("select * from m", MEASURED, scenarios({f"delay_{d}": ("cost", "cost_side_exec", d) for d in (0, 1, 2)}))
+LEVELS = (0.5, 1.0, 1.5, 2.0, 3.0)
+SQL["STR-02"] = sql_of("select *, total_return > 0 as survives from m", MEASURED,
+                       scenarios({f"x{x}_d{d}": ("cost", f"cost_side_exec * {x}", d) for x in LEVELS for d in (0, 1, 2, 3)} | {f"adaptive_x{x}": (f"cost * {x}", f"cost_side_exec * {x}", 0) for x in LEVELS}))
+COSTS = {f"realised_{x}": ("cost", f"cost_side_exec * {x}", 0) for x in (0.0, 0.5, 1.0, 1.5, 2.0, 3.0, 5.0)} | {f"signal_{x}": (f"cost * {x}", "cost_side_exec", 0) for x in (0.5, 1.0, 2.0)}
+COSTS |= {f"bps_{x}": ("cost", f"{x} / 2e4::double", 0) for x in (0, 1, 2, 5, 10, 20, 50)}
+SQL["STR-01"] = sql_of("""select * exclude (x), min(x) over (partition by instrument, kind) as break_even from (select *, case when lag(total_return) over w > 0 and total_return <= 0
+ then lag(level) over w + (level - lag(level) over w) * lag(total_return) over w / (lag(total_return) over w - total_return) end as x from (select *, split_part(scenario, '_', 1) as kind, split_part(scenario, '_', 2)::double as level from m) window w as (partition by instrument, kind order by level))""",
+                       MEASURED + " level break_even", scenarios(COSTS), 3)
+
 # --- ridge of three inputs, by Cramer's rule on its normal equations
 GRAM = LAB + """, x as (select range_rel as a, relative_spread as b, greatest(-0.1, least(0.1, ln(close_next) - ln(open_next))) as t from lab where range_rel is not null and relative_spread is not null),
 g as (select count(*)::double as n, sum(a) as sa, sum(b) as sb, sum(a * a) + 1 as aa, sum(a * b) as ab, sum(b * b) + 1 as bb, sum(t) as st, sum(a * t) as ta, sum(b * t) as tb from x),

@@ -8,8 +8,10 @@ from pyspark.sql.window import Window
 from barloom.operators import ablation as A
 from barloom.operators import digests as D
 from barloom.operators import features as X
+from barloom.operators import folds as FO
 from barloom.operators import halts as H
 from barloom.operators import mutation as MU
+from barloom.operators import representation as RP
 from barloom.operators import retraining as R
 from barloom.plans.base import BARS_DAILY, ORDER, query, sql_of
 from barloom.plans.research import training_rows
@@ -80,6 +82,44 @@ def src_07_digest(spark, sf_dir):
     return out.where("total is not null and mixed is not null").select("part", "rows")
 
 
+# --- orders and representations
+ORDERS = [round(0.05 * k, 2) for k in range(1, 20)]
+
+
+@query("AGG-13-folds")
+def agg_13_folds(spark, sf_dir):
+    """How well a fitted model does out of sample with the fractional order held at each value, over the folds of each instrument."""
+    scores = R.score_by_order(B.stored(R.positioned(training_rows(spark, sf_dir))), ORDERS, *R.GRID[0])
+    return scores.groupBy("instrument", "d").agg(F.count("*").alias("folds"), F.avg("score").alias("score"), F.avg("sharpe").alias("sharpe"), F.avg("accuracy").alias("accuracy"), F.sum("net").alias("net"), F.max("max_drawdown").alias("max_drawdown"))
+
+
+CANDIDATES = ["time_15", "tick_1", "tick_2"]
+#: the tape has deals only: quotes are taken to lie so far apart
+SPREAD = 1e-3
+
+
+def representation_tables(spark, sf_dir):
+    """A walk over the tape's instruments that picks its bars anew in each window: quarter hours, single deals, or pairs of deals."""
+    rows = None
+    for name in CANDIDATES:
+        if name.startswith("time"):
+            bars = B.bars_15m(spark, sf_dir)
+        else:
+            bars = FO.event_bars(B.deals(spark, sf_dir), *FO.parse_target(name)).withColumnRenamed("start", "timestamp").drop("bar_id")
+        quoted = bars.withColumns({"bid": c("close") * (1 - SPREAD / 2), "ask": c("close") * (1 + SPREAD / 2), "bid_size": c("volume") / 2, "ask_size": c("volume") / 2})
+        one = RP.keyed(training_rows(spark, sf_dir, X.with_returns(quoted)), name)
+        rows = one if rows is None else rows.unionByName(one)
+    return RP.selection_walk(rows, CANDIDATES, B.fresh_path(spark, "representation"), count=5)
+
+
+@query("RUN-06-walk")
+def run_06_walk(spark, sf_dir):
+    """Which bars each window trades on, by the folds before it, and what the account earns in it."""
+    out = representation_tables(spark, sf_dir)
+    net = out["results"].where("variant = 'full'").groupBy(c("instrument").alias("base"), "window").agg(F.sum("pnl").alias("net"), F.count("*").alias("n"))
+    return out["selection"].drop("instrument").join(net, ["base", "window"], "left").withColumnRenamed("base", "instrument")
+
+
 # --- ablation
 def ablation_tables(spark, sf_dir):
     """rows, forecasts and simulated rows of every variant over the windows of a walk."""

@@ -126,3 +126,40 @@ def test_bars_are_made_once(spark, sf):
     """The plan of a convolution over chunks reads stored bars; the deals behind them are read once, when they are stored."""
     plan = QUERIES["FRC-03"](spark, sf)._jdf.queryExecution().optimizedPlan().toString()
     assert "l_returnflag" not in plan and plan.count("Aggregate") == 1
+
+
+# --- orders and representations
+def test_scores_of_all_orders(spark, sf):
+    from barloom.operators import retraining as R
+    from barloom.plans import research
+
+    rows = B.stored(R.positioned(research.training_rows(spark, sf).where("instrument = 'A'")))
+    parts = R.fold_parts(R.whole_window(rows)).where("part = 2")
+    made = R.order_forecasts(rows, parts, evidence.ORDERS, 20, 20)
+    got = {(r.window, r.bar): r.m for r in made.collect()}
+    assert len({k for k, _ in got}) == 19
+    one = R.order_forecasts(rows, parts, evidence.ORDERS[6:7], 20, 20)
+    assert {r.d for r in one.collect()} == {evidence.ORDERS[6]} and one.count() * 19 == len(got)
+    late = rows.where("ok").where(F.col("row") == parts.first().start).first().bar
+    moved = rows.withColumn("y_norm", F.when(F.col("bar") >= late, -F.col("y_norm")).otherwise(F.col("y_norm")))  # labels of the validation rows
+    assert {(r.window, r.bar): r.m for r in R.order_forecasts(moved, parts, evidence.ORDERS, 20, 20).collect()} == got
+    scores = R.score_by_order(rows, [0.2, 0.5], 20, 20)
+    assert sorted((r.window, r.fold, r.d) for r in scores.collect()) == [(k, f, d) for k, d in enumerate((0.2, 0.5)) for f in range(1, 6)]
+
+
+def test_representation_by_fold_scores(spark):
+    out = evidence.representation_tables(spark, "/root/testdata/sf0.01")
+    want = sql("""select split_part(instrument, '@', 1) as base, "window", split_part(instrument, '@', 2) as candidate from choices where inputs = 'full'
+     qualify row_number() over (partition by base, "window" order by mean_score desc, case candidate when 'time_15' then 0 when 'tick_1' then 1 else 2 end) = 1""", choices=out["choices"])
+    got = out["selection"].select("base", "window", "candidate").collect()
+    assert sorted(want) == sorted(map(tuple, got)) and len({r.candidate for r in got}) >= 2 and len(got) == 5 * 5
+    # every window trains on bars that began before the reference's window does, and deals on those that began within it
+    edges = sql("""select w.instrument, w."window", max(r."timestamp") filter (where r.row < w.last) < min(s.t) and min(r."timestamp") filter (where r.row >= w.oos_start and r.row < w.oos_end) >= min(s.t)
+     from w join r on r.instrument = w.instrument and r.ok join (select split_part(w.instrument, '@', 1) as base, w."window", min(r."timestamp") as t from w join r on r.instrument = w.instrument and r.ok and r.row >= w.oos_start and r.row < w.oos_end and w.instrument like '%@time_15' group by 1, 2) s
+      on s.base = split_part(w.instrument, '@', 1) and s."window" = w."window" group by 1, 2""", w=out["windows"], r=out["rows"].select("instrument", "row", "timestamp", "ok"))
+    assert all(ok for *_, ok in edges) and len(edges) >= len(got)
+    rows = out["results"].where("variant = 'full'").collect()
+    chosen = {(r.base, r.window): r.candidate for r in got}
+    count = {(r.instrument, r.window): r.oos_end - r.oos_start for r in out["windows"].collect()}
+    for key, name in chosen.items():
+        assert sum((r.instrument, r.window) == key for r in rows) == count[f"{key[0]}@{name}", key[1]]

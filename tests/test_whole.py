@@ -28,19 +28,6 @@ def test_adverse_model_sees_no_later_rows(spark, sf):
     assert [r["residual_std"] for r in before[:3]] == [r["residual_std"] for r in after[:3]] and before[4]["residual_std"] != after[4]["residual_std"]
 
 
-def test_gates_judge_the_stored_tables(spark, sf, names, tmp_path):
-    from barloom.plans.runner import run_research
-
-    paths = {r.stage: r.path for r in run_research(spark, sf, "walkforward,timing,gates", str(tmp_path / "run")).collect()}
-    walk = spark.read.parquet(paths["walkforward"]).select("window", F.inline("instruments")).collect()
-    assert {(r.window, r.instrument) for r in walk} == {(w, i) for w in range(T.WINDOWS) for i in names}
-    gates = {r.gate: r for r in spark.read.parquet(paths["gates"]).collect()}
-    assert gates["sharpe"].value == pytest.approx(min(r.sharpe_full for r in walk)) and gates["windows"].value <= T.WINDOWS
-    timing = spark.read.parquet(paths["timing"]).where("scenario = 'delay_1'").collect()
-    assert gates["delay_sharpe"].value == pytest.approx(min(r.sharpe for r in timing))
-    assert gates["leaks"].value is None and gates["leaks"].passed is None
-
-
 @pytest.mark.parametrize("key", ["STA-01", "STA-02", "STA-03", "MOD-04", "MOD-18"])
 def test_statistics_of_each_instrument(spark, sf, names, key):
     rows = QUERIES[key](spark, sf).groupBy("instrument").count().collect()
