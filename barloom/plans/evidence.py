@@ -7,13 +7,16 @@ from pyspark.sql.window import Window
 
 from barloom.operators import ablation as A
 from barloom.operators import digests as D
+from barloom.operators import engine as EN
 from barloom.operators import features as X
 from barloom.operators import folds as FO
 from barloom.operators import halts as H
 from barloom.operators import mutation as MU
 from barloom.operators import representation as RP
 from barloom.operators import retraining as R
+from barloom.operators import versions as V
 from barloom.plans.base import BARS_DAILY, ORDER, query, sql_of
+from barloom.plans.decisions import engine_bars
 from barloom.plans.research import training_rows
 from barloom.plans.runner import run_research
 from barloom.plans.windows import tag_regimes
@@ -120,6 +123,25 @@ def run_06_walk(spark, sf_dir):
     return out["selection"].drop("instrument").join(net, ["base", "window"], "left").withColumnRenamed("base", "instrument")
 
 
+# --- backtests with a model that is retrained on the way
+def versioned_bars(spark, sf_dir):
+    """The engine's bars with the forecast of the model version in force, and the registry of versions."""
+    rows = B.stored(R.positioned(training_rows(spark, sf_dir)))
+    versions = B.stored(V.fitted_versions(rows, R.walk_windows(rows)), name="versions")
+    inputs = X.regime_columns(X.volatility_features(X.return_features(engine_bars(spark, sf_dir).drop("er"))))
+    return inputs.select("instrument", "timestamp", *[n for n in EN.INPUTS if n != "er"], *V.INPUTS), versions
+
+
+@query("API-01-engine")
+def api_01_engine(spark, sf_dir):
+    """A backtest bar by bar, its model swapped at the bar after each retrain: what the account did under each version."""
+    bars, versions = versioned_bars(spark, sf_dir)
+    known = B.stored(V.forecast_as_of(bars, versions), name="forecast")
+    done = EN.run_engine(known).join(known.select("instrument", "timestamp", "version"), ["instrument", "timestamp"])
+    return done.groupBy("instrument", "version").agg(F.count("*").alias("bars"), F.count_if(c("filled") != 0).alias("fills"), F.count_if(c("status") == "HALTED").alias("halted"),
+                                                     F.min_by("equity", "timestamp").alias("first_equity"), F.max_by("equity", "timestamp").alias("last_equity"))
+
+
 # --- ablation
 def ablation_tables(spark, sf_dir):
     """rows, forecasts and simulated rows of every variant over the windows of a walk."""

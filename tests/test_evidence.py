@@ -163,3 +163,40 @@ def test_representation_by_fold_scores(spark):
     count = {(r.instrument, r.window): r.oos_end - r.oos_start for r in out["windows"].collect()}
     for key, name in chosen.items():
         assert sum((r.instrument, r.window) == key for r in rows) == count[f"{key[0]}@{name}", key[1]]
+
+
+# --- model versions
+def test_a_backtest_swaps_its_models(spark, sf, tmp_path):
+    """The version in force is the last one published before a bar; its forecast is that of the fitted model; stream and batch agree
+    across the swaps."""
+    from barloom.operators import engine as EN
+    from barloom.operators import models as MO
+    from barloom.operators import training as T
+    from barloom.operators import versions as V
+    from barloom.streaming import jobs
+
+    bars, versions = evidence.versioned_bars(spark, sf)
+    bars = B.stored(bars.where("instrument = 'A'"))
+    known = V.forecast_as_of(bars, versions).toPandas().sort_values("timestamp").reset_index(drop=True)
+    table = versions.where("instrument = 'A'").toPandas().sort_values("published")
+    assert len(table) == 21 and known["version"].nunique() == 21
+    want = [table["version"][table["published"] < t].iloc[-1] if (table["published"] < t).any() else None for t in known["timestamp"]]
+    assert [None if v != v else int(v) for v in known["version"]] == want
+    for r in table.itertuples():
+        mine = known[known["version"] == r.version]
+        pair, g = T.Pair.__new__(T.Pair), MO.Calibrator()
+        pair.m = T.Ridge.__new__(T.Ridge)
+        pair.m.mean, pair.m.scale, pair.m.w, pair.m.base, pair.w = (np.array(v, float) for v in (r.mean, r.scale, r.w, r.base, r.up))
+        g.x, g.y, g.slope = np.array(r.gx, float), np.array(r.gy, float), None if len(r.gx) else r.slope
+        e = g.predict(pair.predict(mine[V.INPUTS].to_numpy(float))[0]) * mine["sigma"].to_numpy() * T.HORIZON**0.5
+        assert np.allclose(mine["er"], np.nan_to_num(e), atol=1e-12)
+    batch = EN.run_engine(V.forecast_as_of(bars, versions)).toPandas().sort_values("timestamp").reset_index(drop=True)
+    assert (batch["filled"] != 0).sum() > 10
+    half = bars.select(F.percentile_approx(F.unix_seconds("timestamp"), F.lit(0.75), F.lit(10_000))).first()[0]
+    for late in (False, True):
+        bars.where((F.unix_seconds("timestamp") > half) == late).coalesce(1).write.mode("append").parquet(str(tmp_path / "in"))
+    stream = spark.readStream.schema(bars.schema).option("maxFilesPerTrigger", 1).parquet(str(tmp_path / "in"))
+    streamed = jobs.collect_stream(EN.stream_engine(V.forecast_as_of(stream, versions)), "versions_test", str(tmp_path / "c")).toPandas().sort_values("timestamp").reset_index(drop=True)
+    assert len(streamed) == len(batch)
+    for n in ("status", "target", "approved", "ordered", "filled", "units", "cash", "equity"):
+        assert streamed[n].equals(batch[n]) or np.allclose(streamed[n].astype(float), batch[n].astype(float), equal_nan=True), n
