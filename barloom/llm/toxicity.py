@@ -27,7 +27,7 @@ from barloom.llm.ngrams import SPACE, flatten, gram_hashes
 
 BITS, ORDERS, DIM, WINDOW = 17, (3, 4, 5), 16, 8
 SAMPLE_TOXIC, SAMPLE_CLEAN, LONGEST = 1500, 2500, 20_000
-MISS, MISS_HALF = 4, 20
+MISS, MISS_HALF = 3, 20
 FIRST, DRAWN = 5, 8  # epochs before the most toxic windows are known, and windows drawn at random for each text
 MIN_TEXTS = 5
 EPOCHS, BATCH, RATE, START, SCALE = 14, 128, 0.5, 1e-2, 10.0
@@ -168,9 +168,9 @@ def train(texts: list[str], labels: list[int], seed: int = 5) -> Model:
             p[np.arange(len(part)), label] -= 1
             d = (p * np.take(weights, label)[:, None]).astype(np.float32)
             d_h = (SCALE * (d @ out.T) / n[:, None]).astype(np.float32)
-            own, inverse = np.unique(flat, return_inverse=True)
-            grad = np.zeros((len(own), DIM), np.float32)
-            np.add.at(grad, inverse, np.repeat(d_h, n, axis=0))
+            by = np.argsort(flat, kind="stable")
+            begins = np.flatnonzero(np.diff(flat[by], prepend=-1))
+            own, grad = flat[by[begins]], np.add.reduceat(np.repeat(d_h, n, axis=0)[by], begins, axis=0)
             d_out, d_bias = SCALE * (h.T @ d) / len(part), d.mean(axis=0)
             g_emb[own] += (grad * grad).sum(axis=1)
             emb[own] -= (RATE * known[own] / np.sqrt(g_emb[own]))[:, None] * grad

@@ -199,3 +199,88 @@ def test_best_fit_rule():
 def test_few_sequences(spark):
     rows = pack(spark.read.parquet("/root/testdata/sf0.01/documents.parquet").repartition(4), WORDS).toPandas()
     assert rows.sequence_id.nunique() <= 1.02 * -(-rows.length.sum() // 2048)
+
+
+def plain_toxicity(texts, labels, seed=5):
+    """Joint training of the embeddings and the softmax in loops: a window, an n-gram and a number at a time."""
+    import numpy as np
+
+    from barloom.llm import toxicity as TX
+
+    rng = np.random.default_rng(seed)
+    emb = rng.normal(0, 0.05, (1 << TX.BITS, TX.DIM)).astype(np.float32)
+    out = np.zeros((TX.DIM, 2), np.float32)
+    out[:, 1] = rng.normal(0, 0.5, TX.DIM)
+    out[:, 0] = -out[:, 1]
+    bias, g_emb, g_out, g_bias = np.zeros(2, np.float32), {}, np.ones((TX.DIM, 2)), np.ones(2)
+    bags, text_of, first = [], [], []  # the n-grams of each window
+    for k, t in enumerate(texts):
+        grams, cuts, _ = TX.windows([t])
+        first.append(len(bags))
+        for a, b in zip(cuts, [*cuts[1:], len(grams[0])], strict=True):
+            bags.append([int(g[at]) for at in range(a, b) for g in grams if g[at] >= 0])
+            text_of.append(k)
+    in_texts = {}
+    for k in range(len(texts)):
+        for g in {g for b, t in zip(bags, text_of, strict=True) if t == k for g in b}:
+            in_texts[g] = in_texts.get(g, 0) + 1
+    known = {g for g, n in in_texts.items() if n >= TX.MIN_TEXTS}
+    for g in range(len(emb)):
+        if g not in known:
+            emb[g] = 0
+    windows_of = [[w for w, t in enumerate(text_of) if t == k] for k in range(len(texts))]
+    for epoch in range(TX.EPOCHS):
+        share = rng.random((TX.DRAWN, len(texts)))
+        drawn = sorted({first[k] + int(share[i, k] * len(windows_of[k])) for i in range(TX.DRAWN) for k in range(len(texts))})
+        if epoch >= TX.FIRST:
+            worst = []
+            for own in windows_of:  # every window of the text is looked at
+                score = {w: float(np.mean([emb[g] @ (out[:, 1] - out[:, 0]) for g in bags[w]])) for w in own if bags[w]}
+                worst += [w for w, s in score.items() if s >= max(score.values()) - 1e-6]
+            drawn = sorted({w for w in drawn if labels[text_of[w]] == 0} | set(worst))
+        drawn = np.array([w for w in drawn if bags[w]])
+        toxic = max(np.mean([labels[text_of[w]] for w in drawn]), 1e-9)
+        weight = (0.5 / (1 - toxic + 1e-9), 0.5 / toxic)
+        rng.shuffle(drawn)
+        for lo in range(0, len(drawn), TX.BATCH):
+            part = drawn[lo : lo + TX.BATCH]
+            grad, d_out, d_bias = {}, np.zeros((TX.DIM, 2)), np.zeros(2)
+            for w in part:
+                h = sum(emb[g].astype(float) for g in bags[w]) / len(bags[w])
+                x = TX.SCALE * (h @ out) + bias
+                p = np.exp(x - x.max())
+                p /= p.sum()
+                y = labels[text_of[w]]
+                p[y] -= 1
+                d = p * weight[y]
+                for g in bags[w]:
+                    grad[g] = grad.get(g, 0) + TX.SCALE * (out.astype(float) @ d) / len(bags[w])
+                d_out += TX.SCALE * np.outer(h, d) / len(part)
+                d_bias += d / len(part)
+            for g, v in grad.items():
+                g_emb[g] = g_emb.get(g, TX.START) + (v * v).sum()
+                emb[g] -= (g in known) * TX.RATE / np.sqrt(g_emb[g]) * v
+            g_out += d_out * d_out
+            out -= 0.1 * d_out / np.sqrt(g_out)
+            g_bias += d_bias * d_bias
+            bias -= 0.1 * d_bias / np.sqrt(g_bias)
+    return TX.SCALE * (emb @ (out[:, 1] - out[:, 0])), bias[1] - bias[0]
+
+
+def test_toxicity_equals_plain_training(monkeypatch):
+    import numpy as np
+
+    from barloom.llm import toxicity as TX
+
+    rng = np.random.default_rng(2)
+    monkeypatch.setattr(TX, "EPOCHS", 7)
+    monkeypatch.setattr(TX, "BATCH", 16)
+    monkeypatch.setattr(TX, "MIN_TEXTS", 2)
+    good, bad = ["river", "meadow", "stone", "quiet", "walked"], ["vile", "rotten", "scum"]
+    texts = [" ".join(rng.choice(good, rng.integers(1, 30))) for _ in range(10)]
+    texts += [" ".join([*rng.choice(good, 9), *rng.choice(bad, 3), *rng.choice(good, 6)]) for _ in range(6)] + ["", "1"]
+    labels = [0] * 10 + [1] * 6 + [0, 0]
+    model = TX.train(texts, labels)
+    table, bias = plain_toxicity(texts, labels)
+    assert np.allclose(model.table, table, atol=2e-3) and abs(model.bias - bias) < 2e-3
+    assert np.abs(model.table).max() > 1 and (model.logits(texts[10:16]).min() > model.logits(texts[:10]).max())
