@@ -140,13 +140,17 @@ class Series:
 def measure(pnl: np.ndarray, e: np.ndarray, y: np.ndarray) -> dict[str, float]:
     eq = np.cumprod(1 + pnl)
     active, won, lost = e != 0, pnl[pnl > 0].sum(), -pnl[pnl < 0].sum()
-    return {"net": float(pnl.sum()), "sharpe": float(pnl.mean() / pnl.std() * math.sqrt(252)) if len(pnl) and pnl.std() > 0 else 0.0,
+    moves = len(e) > 1 and e.std() > 0 and y.std() > 0
+    return {
+        "net": float(pnl.sum()),
+        "sharpe": float(pnl.mean() / pnl.std() * math.sqrt(252)) if len(pnl) and pnl.std() > 0 else 0.0,
         "n": len(pnl),
-            "total_return": float(eq[-1] - 1) if len(eq) else 0.0,
-                "max_drawdown": float((1 - eq / np.maximum(np.maximum.accumulate(eq), 1)).max()) if len(eq) else 0.0,
-            "corr": float(np.corrcoef(e, y)[0, 1]) if len(e) > 1 and e.std() > 0 and y.std() > 0 else 0.0,
-            "accuracy": float((np.sign(e[active]) == np.sign(y[active])).mean()) if active.any() else 0.0,
-                "profit_factor": float(won / lost) if lost > 0 else 0.0}
+        "total_return": float(eq[-1] - 1) if len(eq) else 0.0,
+        "max_drawdown": float((1 - eq / np.maximum(np.maximum.accumulate(eq), 1)).max()) if len(eq) else 0.0,
+        "corr": float(np.corrcoef(e, y)[0, 1]) if moves else 0.0,
+        "accuracy": float((np.sign(e[active]) == np.sign(y[active])).mean()) if active.any() else 0.0,
+        "profit_factor": float(won / lost) if lost > 0 else 0.0,
+    }
 
 
 def evaluate(s: Series, rows: np.ndarray, names: list[str]) -> tuple[list[dict], tuple]:

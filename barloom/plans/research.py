@@ -404,39 +404,60 @@ def gat_01(spark, sf_dir):
     return gates_frame(spark, tables | {"sanity_more": QUERIES["SAN-01-refits"](spark, sf_dir)})
 
 
+def walk_values(walk) -> dict:
+    """Of the short list: what the walk of each instrument says; the worst one counts."""
+    up = F.when(c("net_full") > 0, c("net_full"))
+    each = walk.select(F.inline("instruments")).groupBy("instrument").agg(
+        F.count_if(c("model").isNotNull()).alias("windows"),
+        F.first("return_full").alias("net"),
+        F.first("sharpe_full").alias("sharpe"),
+        F.first("drawdown_full").alias("dd"),
+        F.sum("oos_rows").alias("n"),
+        (F.first("sharpe_full") - F.first("sharpe_baseline")).alias("delta"),
+        M.ratio(F.max(up), F.sum(up)).alias("dominance"),
+    ).collect()  # a row an instrument
+    worst = lambda k, f: f(r[k] for r in each)
+    corrected = lambda r: ST.multiple_testing(r.sharpe, r.n, 252.0, len(each) * T.WINDOWS)["p_bonferroni"] if r.sharpe > 0 and r.n else 1.0
+    return {
+        "windows": worst("windows", min),
+        "net_return": worst("net", min),
+        "sharpe": worst("sharpe", min),
+        "max_drawdown": worst("dd", max),
+        "delta_sharpe": worst("delta", min),
+        "dominance": worst("dominance", max),
+        "p_bonferroni": max(map(corrected, each)),
+    }
+
+
+def cost_break_even(stress) -> float:
+    """The cost level at which the worst instrument stops earning. Without a crossing it lies beyond the highest level, or below the
+    lowest."""
+    levels = stress.where(c("scenario").rlike("^x[0-9.]+_d0$")).select("instrument", F.regexp_extract("scenario", "^x([0-9.]+)", 1).cast("double").alias("x"), "total_return").collect()
+    points = {i: sorted((r.x, r.total_return) for r in levels if r.instrument == i) for i in {r.instrument for r in levels}}
+    beyond = lambda v: v[-1][0] if v[-1][1] > 0 else v[0][0]
+    return min(b if (b := ST.break_even(v)) is not None else beyond(v) for v in points.values())
+
+
 def gate_values(tables) -> dict:
     """What the gates judge, from stage tables; the worst instrument counts. A stage that didn't run leaves its gates open."""
-    one = lambda name, *aggs: tables[name].agg(*aggs).first() if name in tables else [None] * len(aggs)
-    out = {}
-    if "walkforward" in tables:
-        w = tables["walkforward"].select(F.inline("instruments"))
-        up = F.when(c("net_full") > 0, c("net_full"))
-        each = w.groupBy("instrument").agg(F.count_if(c("model").isNotNull()).alias("windows"), F.first("return_full").alias("net"),
-            F.first("sharpe_full").alias("sharpe"), F.first("drawdown_full").alias("dd"), F.sum("oos_rows").alias("n"),
-                                           (F.first("sharpe_full") - F.first("sharpe_baseline")).alias("delta"),
-                                               M.ratio(F.max(up), F.sum(up)).alias("dominance")).collect()  # a row an instrument
-        worst = lambda k, f: f(r[k] for r in each)
-        out = {"windows": worst("windows", min), "net_return": worst("net", min), "sharpe": worst("sharpe", min),
-            "max_drawdown": worst("dd", max), "delta_sharpe": worst("delta", min), "dominance": worst("dominance", max),
-               "p_bonferroni": max(ST.multiple_testing(r.sharpe, r.n, 252.0,
-                   len(each) * T.WINDOWS)["p_bonferroni"] if r.sharpe > 0 and r.n else 1.0 for r in each)}
+    out = walk_values(tables["walkforward"]) if "walkforward" in tables else {}
+    one = lambda stage, value: tables[stage].agg(value).first()[0]
     if "execution_stress" in tables:
-        levels = tables["execution_stress"].where(c("scenario").rlike("^x[0-9.]+_d0$")).select("instrument",
-            F.regexp_extract("scenario", "^x([0-9.]+)", 1).cast("double").alias("x"), "total_return").collect()
-        points = {i: sorted((r.x, r.total_return) for r in levels if r.instrument == i) for i in {r.instrument for r in levels}}
-        # without a crossing it lies beyond the highest level, or below the lowest
-        out["cost_break_even"] = min(b if (b := ST.break_even(v)) is not None else v[-1][0] if v[-1][1] > 0 else v[0][0] for v in points.values())
+        out["cost_break_even"] = cost_break_even(tables["execution_stress"])
     if "timing" in tables:
         out["delay_sharpe"] = tables["timing"].where("scenario = 'delay_1'").agg(F.min("sharpe")).first()[0]
     if "bootstrap" in tables:
         out["bootstrap_low"] = tables["bootstrap"].where("metric = 'sharpe'").select(F.inline("instruments")).agg(F.min("low")).first()[0]
     if "reproducibility" in tables:
-        out["identical"] = int(one("reproducibility", F.sum("changed"))[0] == 0)
+        out["identical"] = int(one("reproducibility", F.sum("changed")) == 0)
+    if "leakage" in tables:
+        out["leaks"] = one("leakage", F.sum("changed"))
     if "sanity_more" in tables:
         out["destroyed_sharpe"] = tables["sanity_more"].where("scenario in ('shuffled_labels', 'shuffled_features')").agg(F.max("sharpe")).first()[0]
     if "holdout" in tables:
-        out |= tables["holdout"].where("variant = 'full'").agg(F.min("total_return").alias("holdout_return"), F.min("sharpe").alias("holdout_sharpe")).first().asDict()
-    return out | {"leaks": one("leakage", F.sum("changed"))[0]}
+        held = tables["holdout"].where("variant = 'full'")
+        out |= held.agg(F.min("total_return").alias("holdout_return"), F.min("sharpe").alias("holdout_sharpe")).first().asDict()
+    return out
 
 
 def gates_frame(spark, tables):
@@ -473,21 +494,25 @@ def ladder_values(tables) -> dict:
     if "walkforward" in tables:
         delta = c("window_sharpe_full") - c("window_sharpe_baseline")
         w = tables["walkforward"].select(F.inline("instruments")).groupBy("instrument").agg(
-            F.count_if(c("model").isNotNull()).alias("windows"), F.first("deals_full").alias("deals"),
-                F.first("sharpe_full").alias("sharpe"), F.first("drawdown_full").alias("dd"), F.first("pf_full").alias("pf"),
-            F.avg((c("net_full") > 0).cast("double")).alias("up"), F.first("return_production").alias("pr"),
-                F.first("sharpe_production").alias("ps"), M.ratio(F.sum(F.when(c("deployed").isNotNull(), c("oos_rows"))),
-                F.sum("oos_rows")).alias("deployed"),
-            F.percentile(delta, F.lit(0.5)).alias("median_delta"), F.avg((delta > 0).cast("double")).alias("positive_deltas"))
-        names = {"windows": "windows", "deals": "deals", "sharpe": "sharpe", "profit_factor": "pf", "positive_windows": "up",
-            "production_return": "pr", "production_sharpe": "ps", "deployed": "deployed",
-                 "median_delta": "median_delta", "positive_deltas": "positive_deltas"}
-        out |= w.agg(F.max("dd").alias("max_drawdown"), *[F.min(col).alias(n) for n, col in names.items()]).first().asDict()
+            F.count_if(c("model").isNotNull()).alias("windows"),
+            F.first("deals_full").alias("deals"),
+            F.first("sharpe_full").alias("sharpe"),
+            F.first("drawdown_full").alias("max_drawdown"),
+            F.first("pf_full").alias("profit_factor"),
+            F.avg((c("net_full") > 0).cast("double")).alias("positive_windows"),
+            F.first("return_production").alias("production_return"),
+            F.first("sharpe_production").alias("production_sharpe"),
+            M.ratio(F.sum(F.when(c("deployed").isNotNull(), c("oos_rows"))), F.sum("oos_rows")).alias("deployed"),
+            F.percentile(delta, F.lit(0.5)).alias("median_delta"),
+            F.avg((delta > 0).cast("double")).alias("positive_deltas"),
+        )
+        low = [n for n in w.columns if n not in ("instrument", "max_drawdown")]
+        out |= w.agg(F.max("max_drawdown").alias("max_drawdown"), *[F.min(n).alias(n) for n in low]).first().asDict()
     if "cost" in tables:
         out["profitable_at_2x"] = int(tables["cost"].where("scenario = 'realised_2.0'").agg(F.min("total_return")).first()[0] > 0)
     if "timing" in tables:
-        out["viable_at_plus_1"] = int(tables["timing"].where("scenario = 'delay_1'").agg(F.min(F.least("total_return",
-            "sharpe"))).first()[0] > 0)
+        late = tables["timing"].where("scenario = 'delay_1'")
+        out["viable_at_plus_1"] = int(late.agg(F.min(F.least("total_return", "sharpe"))).first()[0] > 0)
     if collapse := [tables[k].where("collapsed").count() for k in ("perturbation", "d_perturbation_more") if k in tables]:
         out["collapsed"] = sum(collapse)
     if "sanity_more" in tables:
