@@ -196,7 +196,7 @@ def test_schema_and_config():
 
 
 def test_gates():
-    good = {n: (t + 1 if op != "<=" else t - 1) for n, _, t, op in gates.GATES}
+    good = {n: (t - 1 if op.startswith("<") else t + 1) for n, _, t, op in gates.GATES}
     assert gates.evaluate(good)[1] == "PAPER ELIGIBLE" and gates.evaluate({**good, "leaks": None})[1] == "CANDIDATE" and gates.evaluate({})[1] == "EXPERIMENTAL"
 
 
