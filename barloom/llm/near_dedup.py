@@ -22,7 +22,9 @@ one shingle. Rows with a null id are linked with nothing and kept. Rows that rep
 all its texts, which so belong to one component (n_shingles is that of each row). Ids are long, or cast to it; one that can't be cast
 ends the run with Spark's error.
 
-Bounds: parts and blocks are bounded by classes (CHUNK, ACROSS), not by bytes: two blocks of 1,024 sets of 20,000 shingles are 330 MB.
+Bounds: parts and blocks are bounded by classes (CHUNK, ACROSS) and by the shingles of their sets (SHINGLES): ids are dealt to as many
+parts as both need, so a part has about that many, and the largest set that is in it. From IN_VAIN verifications in vain on, a
+block's pairs are verified by matrix products instead of one by one, with the same results.
 """
 
 from __future__ import annotations
@@ -43,6 +45,8 @@ POSTED = COORDINATES - MATCHES + 1
 CHUNK = 256
 #: classes of a block where parts of a large cell are compared with each other
 ACROSS = 1024
+#: shingles of all sets of a part or block (8 bytes each)
+SHINGLES = 1 << 21
 #: counters of the frequency sketch that is sent to every executor
 SKETCH_BITS = 20
 _KNOWN = 150_000
@@ -153,7 +157,7 @@ def sketch(classes: DataFrame) -> np.ndarray:
 
 
 def postings(classes: DataFrame, frequency) -> DataFrame:
-    """(token, id, central) under the POSTED least frequent tokens of each class. frequency: a broadcast sketch."""
+    """(token, id, central, size) under the POSTED least frequent tokens of each class. frequency: a broadcast sketch."""
     def run(batches):
         counts = frequency.value
         for part in _parts(batches):
@@ -166,9 +170,10 @@ def postings(classes: DataFrame, frequency) -> DataFrame:
             rows = len(token)
             yield pa.RecordBatch.from_arrays([
                 pa.array(chosen.ravel().view(np.int64)), pa.array(np.repeat(part.column(0).to_numpy(zero_copy_only=False), POSTED)),
-                pa.array(np.repeat(central, POSTED))] if rows else [pa.array([], pa.int64())] * 3, names=["token", "id", "central"])
+                pa.array(np.repeat(central, POSTED)), pa.array(np.repeat(part.column(2).to_numpy(zero_copy_only=False), POSTED))] if rows else [pa.array([], pa.int64())] * 4,
+                names=["token", "id", "central", "size"])
 
-    return classes.select("id", "sig").mapInArrow(run, "token long, id long, central long")
+    return classes.select("id", "sig", "n").mapInArrow(run, "token long, id long, central long, size long")
 
 
 def _similar(a: np.ndarray, b: np.ndarray) -> bool:
@@ -243,7 +248,7 @@ class _Forest:
         return i != j
 
 
-_HOPEFUL = "leader long, chunk int, chunks int, id long"
+_HOPEFUL = "leader long, chunk int, chunks int, id long, size long"
 _LINKS = "u long, v long"
 
 
@@ -262,7 +267,7 @@ def _hopeful(part: pa.Table) -> pa.Table:
         part = part.filter(pa.array(hits.any(axis=1)))
     ids, at = np.unique(part.column("id").to_numpy(), return_index=True)  # an id with several texts stands there several times
     part = part.take(at)
-    return _table(_HOPEFUL, part.column("leader").to_numpy(), part.column("chunk").to_numpy(), part.column("chunks").to_numpy(), ids)
+    return _table(_HOPEFUL, part.column("leader").to_numpy(), part.column("chunk").to_numpy(), part.column("chunks").to_numpy(), ids, part.column("size").to_numpy())
 
 
 def _load(part: pa.Table):
@@ -307,12 +312,13 @@ def _sets_of(docs: DataFrame, wanted: DataFrame, id_col: str, text_col: str) ->
         for part in _parts(batches):
             ok = lets_through(held, *[part.column(k).to_numpy().astype(np.uint64) for k in (1, 2)])
             part = part.filter(pa.array(ok))
-            sets = [shingles(t) for t in part.column(3).to_pylist()]
-            some = np.array([len(s) > 0 for s in sets], bool)
-            part, sets = part.filter(pa.array(some)), [s for s in sets if len(s)]
-            sig = [r.tobytes() for r in signatures(sets)]
-            yield pa.RecordBatch.from_arrays([part.column(0), pa.array(sig, pa.binary()), pa.array([s.tobytes() for s in sets], pa.binary()),
-                                              pa.array([int(_mix(s).sum().view(np.int64)) for s in sets], pa.int64())], names=["id", "sig", "shingles", "k1"])
+            ids, texts = part.column(0), [t or "" for t in part.column(3).to_pylist()]
+            for a, b in slices(texts):
+                sets = [shingles(t) for t in texts[a:b]]
+                own, sets = ids.slice(a, b - a).filter(pa.array([len(s) > 0 for s in sets])), [s for s in sets if len(s)]
+                sig = [r.tobytes() for r in signatures(sets)]
+                yield pa.RecordBatch.from_arrays([own, pa.array(sig, pa.binary()), pa.array([s.tobytes() for s in sets], pa.binary()),
+                                                  pa.array([int(_mix(s).sum().view(np.int64)) for s in sets], pa.int64())], names=["id", "sig", "shingles", "k1"])
 
     rows = docs.where(F.col(id_col).isNotNull()).select(F.col(id_col).cast("long").alias("id"), F.col(text_col).alias("text"))
     return rows.select("id", *bit, "text").mapInArrow(run, "id long, sig binary, shingles binary, k1 long")
@@ -322,17 +328,22 @@ def _block(n: int | Column) -> Column:
     return F.pmod(F.xxhash64("id"), n).cast("int")
 
 
+def _blocks(classes: Column, most: int, shingles: Column) -> Column:
+    """Into how many blocks so many classes with so many shingles go: at most `most` classes and SHINGLES shingles each, on average."""
+    return F.ceil(F.greatest(classes / most, F.coalesce(shingles, F.lit(0)) / SHINGLES)).cast("int")
+
+
 def find_links(docs: DataFrame, classes: DataFrame, id_col: str, text_col: str, more: DataFrame) -> DataFrame:
     """Components (node, label) of classes (id, sig) by their links and those of more (u, v); classes linked with nothing are left out."""
     spark = docs.sparkSession
     posts = postings(classes, spark.sparkContext.broadcast(sketch(classes)))
     leaders = posts.groupBy("token").agg(F.count("*").alias("n"), F.max(F.struct("central", "id")).alias("best"))
     leaders = cut(leaders.where("n > 1").select("token", F.col("best.id").alias("leader")))
-    cells = cut(posts.join(leaders, "token").select("leader", "id").distinct())
-    large = cut(cells.groupBy("leader").agg(F.count("*").alias("n")).where(F.col("n") > CHUNK).select("leader", F.ceil(F.col("n") / CHUNK).cast("int").alias("_chunks")))
+    cells = cut(posts.join(leaders, "token").groupBy("leader", "id").agg(F.max("size").alias("size")))
+    large = cut(cells.groupBy("leader").agg(_blocks(F.count("*"), CHUNK, F.sum("size")).alias("_chunks")).where("_chunks > 1"))
     parts = cells.join(large, "leader", "left").withColumn("chunks", F.coalesce("_chunks", F.lit(1)))
     at = F.when(F.col("id") == F.col("leader"), F.sequence(F.lit(0), F.col("chunks") - 1)).otherwise(F.array(_block(F.col("chunks"))))
-    parts = parts.select("leader", "chunks", "id", F.explode(at).alias("chunk"))
+    parts = parts.select("leader", "chunks", "id", "size", F.explode(at).alias("chunk"))
     hopeful = cut(parts.join(classes.select("id", "sig"), "id").groupBy("leader", "chunk").applyInArrow(_hopeful, _HOPEFUL))
     sets = cut(_sets_of(docs, hopeful.select("id").distinct(), id_col, text_col).dropDuplicates(["id", "k1"]).drop("k1"))
     links = cut(hopeful.join(sets, "id").groupBy("leader", "chunk").applyInArrow(_link_part, _LINKS))
@@ -346,15 +357,15 @@ def _across(hopeful: DataFrame, sets: DataFrame, labels: DataFrame) -> DataFrame
     """Components once the parts of each large cell are compared with each other.
 
     Rows of every pair that is left include a class outside the leader's component (minor). Minor classes go in blocks of ACROSS
-    to each part of their cell, as large; the classes of a part go to each block.
+    or SHINGLES to each part of their cell, as large; the classes of a part go to each block.
     """
-    members = hopeful.where("chunks > 1").select("leader", "id").distinct()
+    members = hopeful.where("chunks > 1").select("leader", "id", "size").distinct()
     members = members.join(labels.withColumnRenamed("node", "id"), "id", "left").withColumn("label", F.coalesce("label", "id"))
     members = cut(members)
     own = members.where(F.col("id") == F.col("leader")).select("leader", F.col("label").alias("_own"))
     members = cut(members.join(cut(own), "leader").withColumn("minor", F.col("label") != F.col("_own")).drop("_own"))
-    size = lambda n: F.ceil(n / ACROSS).cast("int")
-    blocks = cut(members.groupBy("leader").agg(size(F.count_if("minor")).alias("blocks"), size(F.count("*")).alias("chunks")).where("blocks > 0"))
+    blocks = members.groupBy("leader").agg(_blocks(F.count_if("minor"), ACROSS, F.sum(F.when(F.col("minor"), F.col("size")))).alias("blocks"), _blocks(F.count("*"), ACROSS, F.sum("size")).alias("chunks"))
+    blocks = cut(blocks.where("blocks > 0"))
     rows = members.join(blocks, "leader")
     minors = rows.where("minor").select("leader", "id", "label", F.lit(True).alias("minor"), _block(F.col("blocks")).alias("block"), F.explode(F.sequence(F.lit(0), F.col("chunks") - 1)).alias("chunk"))
     others = rows.select("leader", "id", "label", F.lit(False).alias("minor"), F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("block"), _block(F.col("chunks")).alias("chunk"))
@@ -370,7 +381,7 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     docs = docs.withColumn(id_col, F.col(id_col).cast("long"))
     all_rows = cut(describe(docs, id_col, text_col))
     full = all_rows.where("n > 0 and id is not null")
-    classes = cut(full.groupBy("k1", "k2").agg(F.min("id").alias("id"), F.first("sig").alias("sig")))
+    classes = cut(full.groupBy("k1", "k2").agg(F.min("id").alias("id"), F.first("sig").alias("sig"), F.first("n").alias("n")))
     # ids with several texts: linked with the class of each
     several = full.groupBy("id").agg(F.min(F.struct("k1", "k2")).alias("a"), F.max(F.struct("k1", "k2")).alias("b")).where("a <> b").select("id")
     own = full.join(cut(several), "id").select(F.col("id").alias("u"), "k1", "k2").distinct()

@@ -5,6 +5,7 @@ import re
 
 import duckdb
 import numpy as np
+import pytest
 
 from barloom.llm import near_dedup
 from barloom.llm.components import components
@@ -93,11 +94,14 @@ def test_repeated_ids_with_other_texts(spark):
     assert sorted(got) == sorted([(3, 3, True), *[(i, 3, False) for i in (5, 5, 7, 9, 11, 11)], (20, 20, True), (5, 5, True)])
 
 
-def test_many_similar_classes_without_links(spark, monkeypatch):
-    """Hundreds of texts of similarity 0.6 to 0.75 among each other, in several parts, verified in blocks; few are linked."""
-    monkeypatch.setattr(near_dedup, "CHUNK", 64)
-    monkeypatch.setattr(near_dedup, "IN_VAIN", 20)
-    monkeypatch.setattr(near_dedup, "ACROSS", 100)
+@pytest.mark.parametrize("bounds", [{"CHUNK": 64, "ACROSS": 100}, {"SHINGLES": 20_000}])
+def test_many_similar_classes_without_links(spark, monkeypatch, bounds):
+    """Hundreds of texts of similarity 0.6 to 0.75 among each other, in several parts, verified in blocks; few are linked. Parts and
+    blocks are bounded by classes, or by shingles."""
+    for name, value in ({"IN_VAIN": 20} | bounds).items():
+        monkeypatch.setattr(near_dedup, name, value)
+    across, compare = [], near_dedup._across
+    monkeypatch.setattr(near_dedup, "_across", lambda *tables: across.append(1) or compare(*tables))
     rng = random.Random(3)
     base = [f"w{k}" for k in range(400)]
     rows = []
@@ -109,7 +113,16 @@ def test_many_similar_classes_without_links(spark, monkeypatch):
     rows += [(1000 + i, rows[i][1] + " end") for i in range(0, 300, 60)]
     got = {r.doc_id: r.component_id for r in near_duplicates(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
     want = brute(rows)
-    assert got == want and len(set(want.values())) > 150
+    assert got == want and len(set(want.values())) > 150 and across
+
+
+def test_blocks_by_shingles(spark):
+    """A cell of few classes with large sets is dealt to as many blocks as its shingles need."""
+    from pyspark.sql import functions as F
+
+    rows = [(leader, i, size) for leader, n, size in ((1, 10, 1_000_000), (2, 10, 100), (3, 600, 100), (4, 0, 0)) for i in range(n)]
+    got = spark.createDataFrame(rows, "leader long, id long, size long").groupBy("leader").agg(near_dedup._blocks(F.count("*"), near_dedup.CHUNK, F.sum("size")).alias("n"))
+    assert {r.leader: r.n for r in got.collect()} == {1: 5, 2: 1, 3: 3}
 
 
 def test_components(spark):
