@@ -5,7 +5,7 @@ from __future__ import annotations
 from barloom.operators import fractional as FR
 from barloom.plans import metrics as PM
 from barloom.plans.base import BARS_DAILY, ORDER, SQL, sql_of
-from barloom.plans.decisions import LAB, PNL, RSM, SIM
+from barloom.plans.decisions import FC, LAB, PNL, RSM, SIM, TARGET
 from barloom.plans.windows import RET, RN, WIN15, dot
 
 ID = 'instrument, "timestamp"'
@@ -61,6 +61,30 @@ STEPS = {"step_m2": 0.25, "step_m1": 0.3, "step_0": 0.35, "step_1": 0.4, "step_2
 SQL["STR-05"] = sql_of("select instrument, " + ", ".join(f"{corr('f' + n, 'y')} as {n}" for n in STEPS) + " from fo group by 1",
     " ".join(STEPS), order_corr({"f" + n: d for n, d in STEPS.items()}))
 
+# --- the per-bar engine on daily bars: fill of what the bar before ordered, marks, halts (a bar is a day of its own), rules, the next order
+ENGINE = FC + f""", b as (select *, row_number() {ORDER} as n, row_number() {ORDER} // 250 as win, {TARGET} as goal from f3),
+e(instrument, n, cash, units, pending, q, hold, ep, es, peak, wh, filled, price, equity, status, target, why) as (
+ select instrument, 0::bigint, 100000.0::double, 0.0::double, 0.0::double, 0.0::double, 0::bigint, 1.0::double, 0.0::double, 100000.0::double, -1::bigint, 0.0::double, null::double, null::double, '', 0.0::double, '' from b where n = 1
+ union all select instrument, n, cash, units, case when not changed then 0 when new = 0 then -units when abs(equity * new / close - units) * close >= 100 then equity * new / close - units else 0 end, new,
+  case when new = 0 or enters then 0 else held end, case when enters then close else ep end, case when enters then coalesce(sigma_h, 0) else es end, peak, wh, pending, price, equity, status, want, why
+ from (select *, new <> 0 and (entry or q = 0) as enters, new <> q or entry as changed
+ from (select *, case when n <= 200 or stop then 0 when hit then 0 when q <> 0 and held >= 12 then want when sign(want) <> sign(q) or abs(want - q) >= 0.15 then want else q end as new,
+   n > 200 and not stop and not hit and want <> 0 and ((q <> 0 and held >= 12) or sign(want) <> sign(q)) as entry,
+   case when n <= 200 then '' when stop then case when q <> 0 then 'halt' else '' end when hit then 'stop' when q <> 0 and held >= 12 then case when want <> 0 then 'reentry' else 'max_holding' end
+    when sign(want) = sign(q) or q = 0 then '' when want <> 0 then 'flip' else 'flat' end as why, case when n <= 200 then 'INITIALIZING' when stop then 'HALTED' else 'RUNNING' end as status
+ from (select *, equity <= 0 or wh = win or (day_start > 0 and equity / day_start - 1 < -0.025) as stop, case when n > 200 then goal else 0 end as want, case when n > 200 and q <> 0 then hold + 1 else hold end as held,
+   n > 200 and q <> 0 and sign(q) * (ln(close) - ln(ep)) < -8 * es as hit
+ from (select * exclude (wh), case when equity <= 0 then wh when equity / peak - 1 < -0.10 or wh = win then win else -1 end as wh
+ from (select * exclude (peak), case when equity <= 0 then peak when wh not in (-1, win) then equity else greatest(peak, equity) end as peak
+ from (select *, cash + units * open as day_start, cash + units * close as equity
+ from (select * exclude (cash, units), cash - case when pending <> 0 then pending * price + abs(pending) * price * 1e-4 else 0 end as cash, units + pending as units
+ from (select b.*, e.* exclude (instrument, n, filled, price, equity, status, target, why), case when e.pending <> 0 then b.open * (1 + sign(e.pending) * (coalesce(b.relative_spread, 0) / 2 + 0.05 * coalesce(b.range_rel, 0))) end as price
+ from e join b on b.instrument = e.instrument and b.n = e.n + 1))))))))),
+g as (select b."timestamp", e.*, q as approved, pending as ordered from e join b on b.instrument = e.instrument and b.n = e.n)"""
+SQL["FLD-13"] = sql_of(f"select {ID}, status, target, approved, why as reason, ordered from g", "target approved ordered", ENGINE)
+SQL["FLD-14"] = sql_of(f"select {ID}, filled, price as fill_price, units, cash, equity from g where filled <> 0", "filled fill_price units cash equity", ENGINE, 4)
+SQL["FLD-08"] = sql_of(f"select {ID}, target, approved, why as reason, ordered, equity from g where status = 'HALTED'", "target approved ordered equity", ENGINE, 4)
+
 # --- simulations and what is measured of them
 SAN = " union all ".join(f"select * replace (instrument || '/{n}' as instrument, {er} as er) from ready" for n, er in
                          (("base", "er"), ("reversed", "-er"), ("shifted", f"coalesce(lag(er, 20) {ORDER}, 0)"), ("zero", "0.0::double")))

@@ -321,7 +321,7 @@ def fld_17(spark, sf_dir):
     return FO.simulate_frame(sim_rows(spark, sf_dir), {"base": FO.SimParams()}, want_deals=True)
 
 
-@query("FLD-08")
+@query("FLD-08", digits=4)  # a capital that many fills went through
 def fld_08(spark, sf_dir):
     """Bars on which a halt is on, with what was wanted, what the halt leaves of it and what is ordered."""
     from barloom.operators import engine

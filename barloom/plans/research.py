@@ -695,7 +695,7 @@ def fld_13(spark, sf_dir):
     return EN.run_engine(engine_bars(spark, sf_dir)).select("instrument", "timestamp", "status", "target", "approved", "reason", "ordered")
 
 
-@query("FLD-14")
+@query("FLD-14", digits=4)  # a capital that many fills went through
 def fld_14(spark, sf_dir):
     """What each bar's open fills, and the ledger after it."""
     return EN.run_engine(engine_bars(spark, sf_dir)).where("filled <> 0").select("instrument", "timestamp", "filled", "fill_price", "units",
