@@ -5,7 +5,7 @@ from __future__ import annotations
 from barloom.operators import fractional as FR
 from barloom.plans import metrics as PM
 from barloom.plans.base import BARS_DAILY, ORDER, SQL, sql_of
-from barloom.plans.decisions import FC, LAB, PNL, RSM, SIM, TARGET
+from barloom.plans.decisions import EM, FC, LAB, PNL, RSM, SIM, TARGET, VM, XM
 from barloom.plans.windows import RET, RN, WIN15, dot
 
 ID = 'instrument, "timestamp"'
@@ -104,6 +104,37 @@ SQL["RUN-03"] = sql_of("""select avg(delta) as mean, median(delta) as median, ca
      "mean median trimmed without_best",
                        LAB + f", ready as (select *, row_number() {ORDER} as vn from lab where {READY})")
 
+# --- simulated rows and deals, with the equity, the drawdown halt of a window and what each deal cost. Daily bars are sessions of their
+# own, so a daily loss halts nothing. A row's side cost, opens and target are those of its scenario
+LEGACY = f"case when abs(er) - 3 * cost * {EM} > 0 then greatest(-{XM}, least({XM}, sign(er) * least(1, abs(er) / (6 * cost * {EM} + 1e-12)) * {VM})) else 0 end"
+
+
+def folded(series: dict[str, tuple[str, float, int, bool]]) -> str:
+    """Views up to e, a row for each bar of series: name -> target, times the side cost, bars of delay, whether a drawdown halts."""
+    one = lambda name, goal, times, d, halts: f"""select instrument || '/{name}' as instrument, "timestamp", vn as n, last_n - {d} as last_n, (vn - 1) // 250 as win, {goal} as want, log_close, sigma_h, {times} * lead(cost_side_exec, {d}) {ORDER} as side,
+  lead(open_next, {d}) {ORDER} as deal_price, lead(open_next2, {d}) {ORDER} / lead(open_next, {d}) {ORDER} - 1 as move, {halts} as halts from placed"""
+    return LAB + f""", placed as (select *, row_number() {ORDER} as vn, count(*) over (partition by instrument) as last_n from lab where {READY}),
+x as materialized (select * from ({" union all ".join(one(n, *v) for n, v in series.items())}) where n <= last_n),
+e(instrument, n, q, hold, ep, es, equity, peak, win, off, pnl, cost_bar, since, gross, paid, ends, d_since, d_side, d_gross, d_cost, why) as (
+ select instrument, 0::bigint, 0.0::double, 0::bigint, 1.0::double, 0.0::double, 1.0::double, 1.0::double, -1::bigint, false, 0.0::double, 0.0::double, 0::bigint, 0.0::double, 0.0::double, false, 0::bigint, 0, 0.0::double, 0.0::double, '' from x where n = 1
+ union all select instrument, n, new, case when new = 0 or opens then 0 else held end, case when opens then deal_price else ep end, case when opens then coalesce(sigma_h, 0) else es end, equity * (1 + new * move - cost), greatest(peak, equity * (1 + new * move - cost)), win, off,
+  new * move - cost, cost, case when opens then n else since end, case when ends then 0 else gross end + new * move,
+  case when opens then case when ends and turned then cost - abs(q) * side else cost end when new <> 0 then paid + cost when ends then 0 else paid end, ends, since, sign(q)::int, gross, paid + case when turned then abs(q) * side else 0 end, case when why = '' then 'flat' else why end
+ from (select *, ends and new <> 0 or q = 0 and new <> 0 as opens, abs(new - q) * side as cost, sign(new) <> sign(q) as turned
+ from (select *, q <> 0 and (new = 0 or sign(new) <> sign(q) or entry) as ends
+ from (select *, case when off or hit then 0 when q <> 0 and held >= 12 then want when sign(want) <> sign(q) or abs(want - q) >= 0.15 then want else q end as new, not off and not hit and want <> 0 and ((q <> 0 and held >= 12) or sign(want) <> sign(q)) as entry,
+   case when off then case when q <> 0 then 'halt' else '' end when hit then 'stop' when q <> 0 and held >= 12 then case when want <> 0 then 'reentry' else 'max_holding' end when sign(want) <> sign(q) and q <> 0 then case when want <> 0 then 'flip' else 'flat' end else '' end as why
+ from (select * exclude (off), off or (halts and equity / peak - 1 < -0.10) as off, case when q <> 0 then hold + 1 else hold end as held, q <> 0 and sign(q) * (log_close - ln(ep)) < -8 * es as hit
+ from (select x.*, e.q, e.hold, e.ep, e.es, e.equity, case when e.off and e.win <> x.win then e.equity else e.peak end as peak, e.off and e.win = x.win as off, e.since, e.gross, e.paid
+ from e join x on x.instrument = e.instrument and x.n = e.n + 1))))))"""
+
+
+FOLDED = {"base": (TARGET, 1.0, 0, False), "double": (TARGET, 2.0, 0, False), "delay1": (TARGET, 1.0, 1, False), "halts": (TARGET, 1.0, 0, True), "legacy": (LEGACY, 1.0, 0, False)}
+SQL["FLD-02"] = sql_of("""select e.instrument as key, x."timestamp", q as exposure, pnl, cost_bar, equity from e join x on x.instrument = e.instrument and x.n = e.n
+ union all select p.instrument || '/delay1', p."timestamp", 0, 0, 0, e.equity from placed p join e on e.instrument = p.instrument || '/delay1' and e.n = p.last_n - 1 and p.vn = p.last_n""", "exposure pnl cost_bar equity", folded(FOLDED))
+SQL["FLD-17"] = sql_of("""select instrument as key, d_since - 1 as entry_row, n - 1 as exit_row, d_side as side, d_gross as gross, d_cost as cost, d_gross - d_cost as net, why as reason from e where ends
+ union all select instrument, since - 1, n - 1, sign(q)::int, gross, paid, gross - paid, 'end' from e join (select instrument, max(n) as n from e group by 1) using (instrument, n) where q <> 0""", "gross cost net", folded({"base": FOLDED["base"]}))
+
 # --- scenarios: costs of decisions and of fills, and fills that come some bars later. A row without a later fill deals nothing
 def scenarios(named: dict[str, tuple[str, str, int]]) -> str:
     """Views up to m (instrument, scenario, total_return, sharpe, max_drawdown, mean_exposure) of scenarios: cost that decisions expect,
