@@ -2,7 +2,8 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+import math
+from collections.abc import Callable, Iterator
 
 import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
@@ -14,8 +15,14 @@ from barloom.sources.bars import KEY, TIME, fresh_path
 TICK = "instrument string, timestamp timestamp, price double, size double, sequence_id long"
 
 
-def tick_stream(spark: SparkSession, path: str, files_per_trigger: int = 1) -> DataFrame:
-    return spark.readStream.schema(TICK).option("maxFilesPerTrigger", files_per_trigger).parquet(path)
+#: fixed values: the arrivals that a tape is replayed in, and the ticks of one at least and at most (but for equal times)
+ARRIVALS, LEAST_TICKS, MOST_TICKS = 8, 5_000, 2_000_000
+
+
+def tick_stream(spark: SparkSession, path: str, files_per_trigger: int | None = 1) -> DataFrame:
+    """Ticks of a folder's files; without a number of files a trigger takes all that are there."""
+    reader = spark.readStream.schema(TICK)
+    return (reader.option("maxFilesPerTrigger", files_per_trigger) if files_per_trigger else reader).parquet(path)
 
 
 def stream_bars(ticks: DataFrame, length: str = "15 minutes", delay: str = "20 seconds", slide: str | None = None) -> DataFrame:
@@ -63,15 +70,37 @@ def stream_event_bars(ticks: DataFrame, target: float, delay: str = "1 day") ->
     return ticks.withWatermark(TIME, delay).groupBy(KEY).applyInPandasWithState(step, EVENT, _STATE, "append", GroupStateTimeout.NoTimeout)
 
 
-def collect_stream(df: DataFrame, name: str, checkpoint: str | None = None) -> DataFrame:
+def collect_stream(df: DataFrame, name: str, checkpoint: str | None = None, path: str | None = None) -> DataFrame:
     """Runs a stream over what is there, into a table in the shared folder that is read back."""
     spark = df.sparkSession
-    path = fresh_path(spark, name)
+    path = path or fresh_path(spark, name)
     writer = df.writeStream.format("parquet").queryName(name).outputMode("append").trigger(availableNow=True).option("path", path)
     writer.option("checkpointLocation", checkpoint or fresh_path(spark, "stream")).start().awaitTermination()
     return spark.read.schema(df.schema).parquet(path)
 
 
+def arrivals(ticks: DataFrame, path: str) -> int:
+    """Stores ticks under path, dealt by time into a number of slices that is returned; equal times share one (column arrival)."""
+    at, n = F.unix_micros(TIME), ticks.count()
+    count = max(min(ARRIVALS, math.ceil(n / LEAST_TICKS)), math.ceil(n / MOST_TICKS), 1)
+    shares = [F.lit(k / count) for k in range(1, count)]
+    cuts = ticks.agg(F.percentile_approx(at, F.array(*shares), F.lit(max(10_000, 100 * count)))).first()[0] if shares else None
+    before = F.size(F.filter(F.array(*[F.lit(x) for x in cuts]), lambda x: x < at)) if cuts else F.lit(0)
+    ticks.withColumn("arrival", F.coalesce(before, F.lit(0))).write.partitionBy("arrival").parquet(path)
+    return count
+
+
+def replay(ticks: DataFrame, job: Callable[[DataFrame], DataFrame], name: str) -> DataFrame:
+    """What the stream job makes of ticks that arrive in the order of time: after each arrival it runs on from its checkpoint over what
+    is new. Many tasks write an arrival, and their number doesn't grow with the tape until arrivals are full."""
+    spark = ticks.sparkSession
+    tape, path, checkpoint, out = (fresh_path(spark, x) for x in ("tape", "ticks", "ck", name))
+    for k in range(arrivals(ticks, tape)):
+        spark.read.schema(f"{TICK}, arrival int").parquet(tape).where(F.col("arrival") == k).drop("arrival").write.mode("append").parquet(path)
+        done = collect_stream(job(tick_stream(spark, path, None)), name, checkpoint, out)
+    return done
+
+
 def closed_batch(bars: DataFrame, length_seconds: int, delay_seconds: int = 20) -> DataFrame:
     """Bars of the batch form that a stream over the same rows has closed too."""
     return bars.where(F.unix_seconds(TIME) + length_seconds <= bars.agg(F.max(F.unix_seconds(TIME))).first()[0] - delay_seconds)
