@@ -252,6 +252,31 @@ def test_stream_bars_of_a_longer_tape_take_no_more_batches(spark, tmp_path):
     assert got.count() == want.count() > 2000 and r(got).exceptAll(r(want)).count() == 0
 
 
+def test_stream_event_bars_of_a_longer_tape_take_no_more_batches(spark, tmp_path):
+    """Bars and late deals are those of one pass over each instrument's whole tape, wherever it was cut into arrivals."""
+    folder = long_tape(spark, tmp_path, 90_000, 3)
+    got, batches = runs_of(spark, "SRC-15", folder)
+    assert 2 < batches <= 2 * 8
+    want = []
+    for name, rows in bars.deals(spark, folder).toPandas().sort_values(["timestamp", "sequence_id"]).groupby("instrument"):
+        last, start, volume, n, day = None, None, 0.0, 0, None
+        for t, price, size in zip(rows["timestamp"], rows["price"], rows["size"]):
+            if last is not None and t <= last:
+                want.append((name, t, price, size, 1, "late"))
+                continue
+            if n and t.date() != day:
+                want.append((name, start, close, volume, n, "partial"))
+                volume, n = 0.0, 0
+            start, day = (start, day) if n else (t, t.date())
+            last, close, volume, n = t, price, volume + size, n + 1
+            if volume >= 1000.0:
+                want.append((name, start, close, volume, n, "bar"))
+                volume, n = 0.0, 0
+    rows = got.toPandas()
+    assert {"bar", "late", "partial"} == set(rows["kind"])
+    assert sorted(rows.itertuples(index=False, name=None)) == sorted(want)
+
+
 def test_features_are_causal(spark, sf):
     b = bars.bars_daily(spark, sf)
     cut = F.lit(dt.datetime(1997, 1, 1)).cast("timestamp")
