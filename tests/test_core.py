@@ -426,3 +426,12 @@ def test_engine_halts():
     first = status.index("HALTED")
     assert 200 < first < 230 and rows[first][2] == 0 and rows[first][4] <= 0 and rows[first + 1][7] == pytest.approx(0)
     assert set(status[first:249]) == {"HALTED"} and status[251] == "RUNNING" and rows[260][7] > 0
+
+
+def test_bars_are_not_kept_between_queries(spark, sf):
+    with bars.made_once():
+        first = bars.bars_daily(spark, sf)
+        assert first.inputFiles() == bars.bars_daily(spark, sf).inputFiles()
+    with bars.made_once():
+        assert bars.bars_daily(spark, sf).inputFiles() != first.inputFiles()
+    assert bars.bars_daily(spark, sf).exceptAll(first).isEmpty() and first.exceptAll(bars.bars_daily(spark, sf)).isEmpty()
