@@ -428,6 +428,41 @@ def test_engine_halts():
     assert set(status[first:249]) == {"HALTED"} and status[251] == "RUNNING" and rows[260][7] > 0
 
 
+def scans_of(spark, table, run):
+    """How often the jobs of run() read all columns of a table's files that they need: its scans in executed plans."""
+    seen, read = [], bars.table
+
+    def counted(s, sf_dir, name):
+        if name != table:
+            return read(s, sf_dir, name)
+        mark = spark.sparkContext.accumulator(0)
+        seen.append((mark, read(s, sf_dir, name).count()))
+        schema = read(s, sf_dir, name).schema
+
+        def passed(batches):
+            for b in batches:
+                mark.add(b.num_rows)
+                yield b
+
+        return read(s, sf_dir, name).mapInArrow(passed, schema)
+
+    bars.table = counted
+    try:
+        out = run()
+        out.collect()
+    finally:
+        bars.table = read
+    return sum(m.value / n for m, n in seen)
+
+
+@pytest.mark.parametrize("query", ["MOD-02"])
+def test_bars_of_a_query_are_made_once(spark, sf, query):
+    """Fits, branches and stages read stored bars: line items are read once, not once for each of them."""
+    from barloom.plans import QUERIES
+
+    assert scans_of(spark, "lineitem", lambda: QUERIES[query](spark, sf)) == 1
+
+
 def test_bars_are_not_kept_between_queries(spark, sf):
     with bars.made_once():
         first = bars.bars_daily(spark, sf)
