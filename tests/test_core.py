@@ -455,7 +455,7 @@ def scans_of(spark, table, run):
     return sum(m.value / n for m, n in seen)
 
 
-@pytest.mark.parametrize("query", ["MOD-02"])
+@pytest.mark.parametrize("query", ["MOD-02", "API-01-engine"])
 def test_bars_of_a_query_are_made_once(spark, sf, query):
     """Fits, branches and stages read stored bars: line items are read once, not once for each of them."""
     from barloom.plans import QUERIES
