@@ -236,3 +236,34 @@ def test_models_of_each_instrument(spark, sf, count, key):
         assert sum(r.splits for r in got) > 300
     if key == "MOD-11":
         assert all(len(r.model) == 16 and r.forecast is not None for r in got)
+
+
+def test_fits_are_dealt_to_many_tasks(spark):
+    """Parts have few bytes and much work: merged by their size they would wait for each other in one task."""
+    from pyspark.sql import functions as F
+
+    from barloom.operators import retraining as R
+    from barloom.operators import training as T
+
+    names = ["y_norm", *T.BASELINE, "log_close"]
+    rows = spark.range(600).select(F.lit("A").alias("instrument"), F.col("id").alias("bar"), F.col("id").alias("row"), F.lit(True).alias("ok"), *[F.rand(1).alias(n) for n in names])
+    parts = spark.range(40).select(F.lit("A").alias("instrument"), F.col("id").cast("int").alias("window"), F.lit(0).cast("long").alias("first"), F.lit(1).alias("part"), *[F.lit(k).cast("long").alias(n) for n, k in (("train_end", 300), ("start", 300), ("end", 400), ("d_end", 300))])
+    dealt = R.task_bars(rows, parts, []).select("window", F.spark_partition_id().alias("task")).distinct().collect()
+    assert len(dealt) == 40 and len({r.task for r in dealt}) > 20
+
+
+def test_lags_of_a_unit_root_test_take_one_decomposition(monkeypatch):
+    """Every number of lags by one decomposition, with the residuals of a fit of each; dependent columns are still fitted one by one."""
+    import numpy as np
+
+    from barloom.operators import fractional as FR
+
+    fits, plain = [], FR._ols
+    monkeypatch.setattr(FR, "_ols", lambda y, x: fits.append(1) or plain(y, x))
+    rng = np.random.default_rng(3)
+    FR.adf(rng.normal(size=500).cumsum())
+    assert len(fits) == 1
+    m, y = np.column_stack([np.ones(200), rng.normal(size=(200, 6))]), rng.normal(size=200)
+    for x in (m, np.column_stack([m, m[:, 2]])):
+        want = [float(r @ r) for r in (plain(y, x[:, :k])[1] for k in range(2, x.shape[1] + 1))]
+        assert np.allclose(FR.nested_residuals(y, x, 2), want, rtol=1e-10)
