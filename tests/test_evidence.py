@@ -1,5 +1,7 @@
 """Retrain-driven halts, forward mutation, digests of stored runs, ablation over windows."""
 
+import datetime as dt
+
 import duckdb
 import numpy as np
 import pytest
@@ -200,3 +202,34 @@ def test_a_backtest_swaps_its_models(spark, sf, tmp_path):
     assert len(streamed) == len(batch)
     for n in ("status", "target", "approved", "ordered", "filled", "units", "cash", "equity"):
         assert streamed[n].equals(batch[n]) or np.allclose(streamed[n].astype(float), batch[n].astype(float), equal_nan=True), n
+
+
+def test_a_forecast_is_worked_out_once_for_a_bar(spark):
+    """Versions keep the corners of their maps only, with the same values, and a bar's forecast isn't made anew for each point of a map."""
+    from barloom.operators import models as MO
+    from barloom.operators import training as T
+    from barloom.operators import versions as V
+
+    rng = np.random.default_rng(3)
+    n, k = 4000, len(V.INPUTS)
+    a = rng.normal(size=n)
+    g = MO.Calibrator().fit(a, 0.1 * a + rng.normal(size=n))
+    gx, gy = V.corners(g.x, g.y)
+    assert len(gx) < 200 < len(g.x) == n
+    at = np.r_[g.x, rng.normal(size=n), -9.0, 9.0]
+    assert np.array_equal(np.interp(at, g.x, g.y), np.interp(at, gx, gy))
+    assert [len(v) for v in V.corners(np.empty(0), np.empty(0))] == [0, 0] and V.corners(np.array([1.0]), np.array([2.0]))[0].tolist() == [1.0]
+
+    w, up, day = rng.normal(size=k), rng.normal(size=k + 1), dt.datetime(2020, 1, 1)
+    model = lambda v, s: ("A", v, day + dt.timedelta(days=10 * v), [0.0] * k, [1.0] * k, (s * w).tolist(), 0.0, up.tolist(), gx.tolist(), gy.tolist(), None)
+    versions = spark.createDataFrame([model(0, 1.0), model(1, -1.0)], V.VERSIONS)
+    x = rng.normal(size=(30, k))
+    rows = [("A", day + dt.timedelta(days=i), 0.01, *map(float, x[i])) for i in range(30)]
+    out = V.forecast_as_of(spark.createDataFrame(rows, "instrument string, timestamp timestamp, sigma double, " + ", ".join(f"`{c}` double" for c in V.INPUTS)), versions)
+    got = out.orderBy("timestamp").toPandas()
+    assert got["version"].isna()[0] and got["version"][1:].tolist() == [0] * 10 + [1] * 19
+    m, p = (x @ w) * np.where(np.arange(30) < 11, 1, -1), 1 / (1 + np.exp(-(up[0] + x @ up[1:])))
+    agreed = np.where(np.sign(m) == np.sign(p - 0.5), m * np.abs(2 * p - 1), 0.0)
+    assert np.allclose(got["er"][1:], (g.predict(agreed) * 0.01 * T.HORIZON**0.5)[1:], atol=1e-12) and got["er"][0] == 0
+    plan = out._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.count("aggregate(") == 2
