@@ -463,6 +463,27 @@ def test_bars_of_a_query_are_made_once(spark, sf, query):
     assert scans_of(spark, "lineitem", lambda: QUERIES[query](spark, sf)) == 1
 
 
+def test_a_fit_passes_over_stored_rows(spark, sf, monkeypatch):
+    """The inputs and labels of MOD-02 are made once: neither the passes of the fit nor the forecasts work the windows out again."""
+    from barloom.operators import models as MO
+    from barloom.plans import QUERIES
+
+    made, plans = MO.direction, []
+
+    class Fit:
+        def __init__(self, *given):
+            self.pipeline = made(*given)
+
+        def fit(self, train):
+            plans.append(train._jdf.queryExecution().optimizedPlan().toString())
+            return self.pipeline.fit(train)
+
+    monkeypatch.setattr(MO, "direction", Fit)
+    out = QUERIES["MOD-02"](spark, sf)
+    plans.append(out._jdf.queryExecution().optimizedPlan().toString())
+    assert len(plans) == 2 and not any("Window" in p for p in plans) and out.count() == 3
+
+
 def test_bars_are_not_kept_between_queries(spark, sf):
     with bars.made_once():
         first = bars.bars_daily(spark, sf)
