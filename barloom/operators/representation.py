@@ -30,6 +30,19 @@ def candidate():
     return F.substring_index(KEY, "@", -1)
 
 
+#: when a bar began, in microseconds, while its place stands for its time
+BEGAN = "began"
+
+
+def in_place(bars: DataFrame) -> DataFrame:
+    """bars with their place (_row) for their time, so that windows over bars that begin at once keep their order."""
+    return bars.withColumn(BEGAN, F.unix_micros(TIME).cast("double")).withColumn(TIME, F.timestamp_micros("_row"))
+
+
+def in_time(rows: DataFrame) -> DataFrame:
+    return rows.withColumn(TIME, F.timestamp_micros(c(BEGAN).cast("long"))).drop(BEGAN) if BEGAN in rows.columns else rows
+
+
 def aligned_windows(rows: DataFrame, reference: str, count: int = R.WINDOWS) -> DataFrame:
     """The windows of the reference, laid over the rows of each candidate by time: as many rows train as begin before the window,
     but no more than began before the first one."""
@@ -55,8 +68,8 @@ def selected(picked: DataFrame, order: list[str]) -> DataFrame:
 
 def selection_walk(rows: DataFrame, order: list[str], folder: str, grid: list[tuple[int, int]] = R.WALK_GRID, count: int = R.WINDOWS) -> dict[str, DataFrame]:
     """The tables of a walk over all candidates (the first of `order` is the reference), `selection`, and `results` of the account that
-    trades each window on its chosen bars."""
-    placed = stored(R.positioned(rows), folder, "rows")
+    trades each window on its chosen bars. rows: in time, or in_place."""
+    placed = stored(in_time(R.positioned(rows)), folder, "rows")
     out = R.deal(R.retrained(placed, aligned_windows(placed, order[0], count), grid, folder), folder)
     out["selection"] = stored(selected(out["choices"], order), folder, "selection")
     trades = out["carried"].join(out["selection"].select(KEY, "base", "window"), R.AT)

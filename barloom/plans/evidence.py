@@ -17,7 +17,7 @@ from barloom.operators import retraining as R
 from barloom.operators import versions as V
 from barloom.plans.base import BARS_DAILY, ORDER, query, sql_of
 from barloom.plans.decisions import engine_bars
-from barloom.plans.research import training_rows
+from barloom.plans.research import long_training_rows, training_rows
 from barloom.plans.runner import run_research
 from barloom.plans.windows import tag_regimes
 from barloom.sources import bars as B
@@ -101,17 +101,23 @@ CANDIDATES = ["time_15", "tick_1", "tick_2"]
 SPREAD = 1e-3
 
 
-def representation_tables(spark, sf_dir):
-    """A walk over the tape's instruments that picks its bars anew in each window: quarter hours, single deals, or pairs of deals."""
-    rows = None
+def candidate_bars(spark, sf_dir):
+    """The tape's instruments in each candidate's bars, with their place (_row): bars of deals that came at once are in the deals' order."""
+    out = None
     for name in CANDIDATES:
         if name.startswith("time"):
-            bars = B.bars_15m(spark, sf_dir)
+            bars = B.bars_15m(spark, sf_dir).withColumn("_row", (F.row_number().over(B.by_time()) - 1).cast("long"))
         else:
-            bars = FO.event_bars(B.deals(spark, sf_dir), *FO.parse_target(name)).withColumnRenamed("start", "timestamp").drop("bar_id")
-        quoted = bars.withColumns({"bid": c("close") * (1 - SPREAD / 2), "ask": c("close") * (1 + SPREAD / 2), "bid_size": c("volume") / 2, "ask_size": c("volume") / 2})
-        one = RP.keyed(training_rows(spark, sf_dir, X.with_returns(quoted)), name)
-        rows = one if rows is None else rows.unionByName(one)
+            bars = FO.event_bars(B.deals(spark, sf_dir), *FO.parse_target(name)).withColumnRenamed("start", "timestamp").withColumn("_row", F.split_part("bar_id", F.lit("-"), F.lit(2)).cast("long")).drop("bar_id")
+        one = RP.keyed(bars, name)
+        out = one if out is None else out.unionByName(one)
+    return out.withColumns({"bid": c("close") * (1 - SPREAD / 2), "ask": c("close") * (1 + SPREAD / 2), "bid_size": c("volume") / 2, "ask_size": c("volume") / 2})
+
+
+def representation_tables(spark, sf_dir):
+    """A walk over the tape's instruments that picks its bars anew in each window: quarter hours, single deals, or pairs of deals."""
+    placed = RP.in_place(candidate_bars(spark, sf_dir))
+    rows = long_training_rows(placed, (RP.BEGAN,)).withColumn("session", F.floor(c(RP.BEGAN) / 1e6).cast("double"))
     return RP.selection_walk(rows, CANDIDATES, B.fresh_path(spark, "representation"), count=5)
 
 

@@ -267,3 +267,57 @@ def test_lags_of_a_unit_root_test_take_one_decomposition(monkeypatch):
     for x in (m, np.column_stack([m, m[:, 2]])):
         want = [float(r @ r) for r in (plain(y, x[:, :k])[1] for k in range(2, x.shape[1] + 1))]
         assert np.allclose(FR.nested_residuals(y, x, 2), want, rtol=1e-10)
+
+
+def test_a_unit_root_test_of_long_series():
+    """Where the approximation of the p-value ends: a long stationary series has no unit root, an explosive one has. Blocks of rows
+    give the statistic of one fit over all."""
+    import math
+
+    from barloom.operators import fractional as FR
+
+    rng = np.random.default_rng(4)
+    noise = rng.normal(size=20_000)
+    tau, p = FR.adf(noise)
+    assert tau < -36 and p == 0.0 and FR.adf(np.exp(np.arange(300) * 0.02) + rng.normal(size=300) * 1e-3)[1] == 1.0
+    dx = np.diff(noise)
+    fits = []
+    for lags in range(21):
+        rows = np.arange(20, len(dx))
+        m = np.column_stack([np.ones(len(rows)), noise[rows], *[dx[rows - j] for j in range(1, lags + 1)]])
+        fits.append((len(rows) * math.log(FR._ols(dx[rows], m)[1].var()) + 2 * (2 + lags), lags))
+    lags = min(fits)[1]
+    rows = np.arange(lags, len(dx))
+    m = np.column_stack([np.ones(len(rows)), noise[rows], *[dx[rows - j] for j in range(1, lags + 1)]])
+    beta, left = FR._ols(dx[rows], m)
+    assert tau == pytest.approx(beta[1] / math.sqrt(np.linalg.inv(m.T @ m)[1, 1] * (left @ left) / (len(rows) - m.shape[1])), rel=1e-9)
+    assert R.order_at(noise) == FR.CANDIDATES[0]  # so the first order is taken, and not each one tried
+
+
+def test_rows_of_long_series_in_chunks(spark, sf, rows):
+    """Windows of chunks equal those of whole instruments, bit for bit; bars that begin at once keep their order, in any partitioning."""
+    from barloom.operators import representation as RP
+    from barloom.plans import evidence
+
+    names = ["instrument", "timestamp", *T.COLUMNS]
+    made = research.long_training_rows(bars.bars_daily(spark, sf), chunk=300).select(names)
+    assert made.exceptAll(rows.select(names)).isEmpty() and made.count() == rows.count()
+    tape = spark.range(900).select(F.lit("A").alias("instrument"), F.timestamp_seconds(F.floor(F.col("id") / 30) * 7).alias("timestamp"), (100 + F.col("id") % 17).cast("double").alias("price"),
+                                   F.lit(1.0).alias("size"), F.col("id").alias("sequence_id"))
+    cut = evidence.FO.event_bars(tape.repartition(7, F.rand(1)), "tick", 1).withColumnRenamed("start", "timestamp")
+    cut = cut.withColumns({"_row": F.split_part("bar_id", F.lit("-"), F.lit(2)).cast("long"), **{n: F.col("close") for n in ("bid", "ask")}, **{n: F.lit(1.0) for n in ("bid_size", "ask_size")}})
+    placed = RP.in_time(R.positioned(research.long_training_rows(RP.in_place(cut.repartition(5, F.rand(2))), (RP.BEGAN,), chunk=200)))
+    got = placed.orderBy("bar").select("timestamp", "log_close").toPandas()
+    assert np.array_equal(np.round(np.exp(got["log_close"])).astype(int), 100 + np.arange(900) % 17) and got["timestamp"].is_monotonic_increasing and got["timestamp"].nunique() == 30
+
+
+def test_the_walk_has_no_long_frames(spark, monkeypatch):
+    """A frame of 390 rows sorted anew for each row took most of the time of a long tape."""
+    from barloom.operators import representation as RP
+    from barloom.plans import evidence
+
+    seen = {}
+    monkeypatch.setattr(RP, "selection_walk", lambda rows, *a, **kw: seen.update(rows=rows))
+    evidence.representation_tables(spark, "/root/testdata/sf0.001")
+    plan = seen["rows"]._jdf.queryExecution().optimizedPlan().toString()
+    assert "percentile" not in plan and "stddev_pop" not in plan and "lead(" in plan
